@@ -17,10 +17,15 @@ _N = FLATTENING / (2 - FLATTENING)
 ECCENTRICITY = (FLATTENING * (2 - FLATTENING)) ** 0.5
 RADIUS = SCALE * SEMI_MAJOR_M / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64 + _N**6 / 256)
 
+TERMS = 4
+
 
 def _series(rows: list[list[float]]) -> list[float]:
-    """Row j holds the coefficients of n^(j+1), n^(j+2), ... up to n^6."""
-    return [sum(c * _N ** (j + 1 + k) for k, c in enumerate(row)) for j, row in enumerate(rows)]
+    """Row j holds the coefficients of n^(j+1), n^(j+2), ... up to n^6.
+
+    Terms past the fourth are below a tenth of a micrometre and only make the code longer.
+    """
+    return [sum(c * _N ** (j + 1 + k) for k, c in enumerate(row)) for j, row in enumerate(rows)][:TERMS]
 
 
 # Sixth-order Krüger coefficients (Karney 2011).
@@ -59,6 +64,14 @@ def _terms(coefficients: list[float], outer: str, inner: str | None, a: str, b:
     return " + ".join(parts)
 
 
+def _nan(value: Column) -> Column:
+    return F.coalesce(value, F.lit(float("nan")))
+
+
+def _null(value: Column) -> Column:
+    return F.nanvl(value, F.lit(None).cast("double"))
+
+
 def utm_epsg(lon: Column, lat: Column) -> Column:
     """EPSG code of the UTM zone that holds the point."""
     zone = ((lon + 180) / 6).cast("int") + 1
@@ -74,32 +87,38 @@ def false_northing(epsg: Column) -> Column:
 
 
 def with_utm(df: DataFrame, lat: str, lon: str, epsg: str, easting: str = "easting", northing: str = "northing") -> DataFrame:
-    """Project ``lat``/``lon`` into the zone named by ``epsg``; adds two metre columns."""
-    phi, lam = f"radians({lat})", "_lam"
+    """Project ``lat``/``lon`` into the zone named by ``epsg``; adds two metre columns.
+
+    Inside, a missing coordinate is NaN: without null checks the generated code is half as long.
+    """
+    phi, lam = "_phi", "_lam"
     return (
-        df.withColumn("_lam", F.radians(F.col(lon) - central_meridian(F.col(epsg))))
+        df.withColumn("_lam", _nan(F.radians(F.col(lon) - central_meridian(F.col(epsg)))))
+        .withColumn("_phi", _nan(F.radians(F.col(lat))))
         .withColumn("_tau", F.expr(
             f"sinh(atanh(sin({phi})) - {ECCENTRICITY!r}D * atanh({ECCENTRICITY!r}D * sin({phi})))"))
         .withColumn("_xi", F.expr(f"atan2(_tau, cos({lam}))"))
         .withColumn("_eta", F.expr(f"asinh(sin({lam}) / sqrt(_tau * _tau + cos({lam}) * cos({lam})))"))
         .withColumn(easting, F.expr(
             f"{FALSE_EASTING}D + {RADIUS!r}D * (_eta + {_terms(FORWARD, 'cos', 'sinh', '_xi', '_eta')})"))
-        .withColumn(northing, false_northing(F.col(epsg)) + F.expr(
+        .withColumn(northing, F.expr(
             f"{RADIUS!r}D * (_xi + {_terms(FORWARD, 'sin', 'cosh', '_xi', '_eta')})"))
-        .drop("_lam", "_tau", "_xi", "_eta")
+        .withColumn(easting, _null(F.col(easting)))
+        .withColumn(northing, _null(F.col(northing)) + false_northing(F.col(epsg)))
+        .drop("_lam", "_phi", "_tau", "_xi", "_eta")
     )
 
 
 def with_latlon(df: DataFrame, easting: str, northing: str, epsg: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Inverse of :func:`with_utm`."""
     return (
-        df.withColumn("_xi", (F.col(northing) - false_northing(F.col(epsg))) / RADIUS)
-        .withColumn("_eta", (F.col(easting) - FALSE_EASTING) / RADIUS)
+        df.withColumn("_xi", _nan((F.col(northing) - false_northing(F.col(epsg))) / RADIUS))
+        .withColumn("_eta", _nan((F.col(easting) - FALSE_EASTING) / RADIUS))
         .withColumn("_xp", F.expr(f"_xi - ({_terms(INVERSE, 'sin', 'cosh', '_xi', '_eta')})"))
         .withColumn("_ep", F.expr(f"_eta - ({_terms(INVERSE, 'cos', 'sinh', '_xi', '_eta')})"))
         .withColumn("_chi", F.expr("asin(sin(_xp) / cosh(_ep))"))
-        .withColumn(lat, F.expr(f"degrees(_chi + {_terms(LATITUDE, 'sin', None, '_chi')})"))
-        .withColumn(lon, central_meridian(F.col(epsg)) + F.expr("degrees(atan2(sinh(_ep), cos(_xp)))"))
+        .withColumn(lat, _null(F.expr(f"degrees(_chi + {_terms(LATITUDE, 'sin', None, '_chi')})")))
+        .withColumn(lon, central_meridian(F.col(epsg)) + _null(F.expr("degrees(atan2(sinh(_ep), cos(_xp)))")))
         .drop("_xi", "_eta", "_xp", "_ep", "_chi")
     )
 

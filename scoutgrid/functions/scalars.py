@@ -74,7 +74,7 @@ def expand_ticks(missions: DataFrame, n_ticks: Column, out: str = "tick") -> Dat
 
 def text_list(text: Column) -> Column:
     """Comma list of trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda part: part != "")
+    return F.filter(F.transform(F.split(text, ","), lambda part: F.trim(part)), lambda part: part != "")
 
 
 def offset_list(text: Column) -> Column:

@@ -141,8 +141,7 @@ def terrain_report(cells: DataFrame, metadata: DataFrame) -> DataFrame:
     fields = inspect_fields(cells)
     stats = field_stats(unpivot_fields(fields))
     packed = F.array_sort(F.collect_list(F.struct("row", "col", *FIELD_NAMES)))
-    arrays = fields.groupBy("mission_id").agg(packed.alias("_a")).select(
-        "mission_id", *[F.transform("_a", lambda s, n=n: s[n]).alias(n) for n in FIELD_NAMES])
+    arrays = fields.groupBy("mission_id").agg(packed.alias("_a")).select("mission_id", *[F.col(f"_a.{n}").alias(n) for n in FIELD_NAMES])
     as_map = F.map_from_entries(F.collect_list(F.struct("field", F.struct("min", "max", "nonzero_frac"))))
     return (
         arrays.select("mission_id", F.struct(*FIELD_NAMES).alias("fields"))

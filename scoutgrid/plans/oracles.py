@@ -75,7 +75,7 @@ TERRAIN = f"{RELIEF}, {gradient('relief', 'terrain')}"
 PROX = """exp(-(least(abs("row" - 16), abs(col - 16)) * 50e0) / 20e0)"""
 COSTED = f"""{TERRAIN}, costed AS (SELECT *, greatest(CASE WHEN on_road THEN 1e0 ELSE 4e0 END, CASE WHEN degrees(slope) >= 30 THEN 8e0 ELSE 0e0 END,
    CASE WHEN NOT is_land THEN 20e0 ELSE 0e0 END, 0.5e0) AS cost FROM (SELECT *, is_land AND {PROX} >= exp(-4e0) AS on_road FROM terrain))"""
-FORMULA = f"""{CELLS}, shape AS (SELECT * EXCLUDE (p), CASE WHEN v < 20 THEN 0 ELSE v END / (1e0 + abs("row" - 16) + abs(col - 16)) AS p
+FORMULA = f"""{CELLS}, shape AS (SELECT * EXCLUDE (p, v), CASE WHEN v < 20 THEN 0 ELSE v END / (1e0 + abs("row" - 16) + abs(col - 16)) AS p
    FROM (SELECT *, ("row" * 31 + col * 17 + mission_id * 7) % 101 AS v FROM cells)),
  surf AS (SELECT * EXCLUDE (p), p / sum(p) OVER (PARTITION BY mission_id) AS p FROM shape)"""
 EVENTS = "ev AS (SELECT *, epoch_us(ts) AS us FROM events)"
@@ -153,8 +153,8 @@ oracle("validate_missions", """q AS (SELECT c_custkey AS k, c_custkey % 19 = 0 A
 oracle("normalize_detections", DETECTIONS, f"""SELECT event_id, us AS ts, CAST(CASE WHEN event_id % 3 = 2 THEN false ELSE person END AS BIGINT) AS person, CAST(CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS BIGINT) AS frame,
   CASE WHEN event_id % 4 = 0 THEN CAST(4 AS BIGINT) END AS n_box, CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 7 AS DOUBLE) END AS box3,
   {r('CASE WHEN event_id % 5 <> 0 THEN lat END', 6, 'lat')}, {r('CASE WHEN event_id % 5 <> 0 THEN lon END', 6, 'lon')}, {r('CASE WHEN event_id % 3 < 2 THEN event_id % 500 END', 3, 'alt')},
-  {r('conf', 4, 'confidence')}, {r('CASE WHEN event_id % 4 = 1 THEN 100 ELSE least(100, conf * 100) END', 4, 'confidence_percent')}
-  FROM (SELECT *, CASE WHEN event_id % 6 = 0 THEN 0e0 ELSE least(1e0, round(confidence * 1.25e0, 4)) END AS conf FROM det) WHERE event_id % 97 <> 0""")
+  {r('conf', 6, 'confidence')}, {r('CASE WHEN event_id % 4 = 1 THEN 100 ELSE least(100, conf * 100) END', 4, 'confidence_percent')}
+  FROM (SELECT *, CASE WHEN event_id % 6 = 0 THEN 0e0 ELSE least(1e0, round(confidence * 1.25e0, 6)) END AS conf FROM det) WHERE event_id % 97 <> 0""")
 oracle("person_split", DETECTIONS, f"""SELECT event_id, CAST(person AS BIGINT) AS person, {r('CASE WHEN ok THEN la END', 7, 'lat')}, {r('CASE WHEN ok THEN lon END', 7, 'lon')} FROM
   (SELECT *, la BETWEEN -90 AND 90 AS ok FROM (SELECT *, lat + CASE WHEN event_id % 31 = 0 THEN 90 ELSE 0 END + 60 / 111320e0 AS la FROM det))""")
 
@@ -252,8 +252,8 @@ oracle("resample_offset_grid", f"""{RELIEF}, mv0 AS (SELECT * FROM {utm('(SELECT
  tg AS (SELECT mission_id, "row", col, (origin_n + 825e0 - n) / 50e0 AS row_f, (e - (origin_e - 825e0)) / 50e0 AS col_f FROM mv)""", f"SELECT {KEYS}, {r('v', 5, 'elevation')} FROM {sampled('tg', 'relief', 31, 'elevation')}")
 oracle("display_samples", f"""{FORMULA}, ax2 AS (SELECT CAST(range AS INT) AS i FROM range(64)), tg AS (SELECT mission_id, a.i AS out_row, b.i AS out_col, (a.i + 0.5e0) / 2 - 0.5 AS row_f, (b.i + 0.5e0) / 2 - 0.5 AS col_f FROM pins, ax2 a, ax2 b)""",
        f"SELECT mission_id, CAST(out_row AS BIGINT) AS out_row, CAST(out_col AS BIGINT) AS out_col, {r('v', 9, 'p')} FROM {sampled('tg', 'surf', 31, 'p', clamp=True)}")
-_legs = "(VALUES (-0.006e0, 0e0, 0.006e0, 0e0), (-0.002e0, -0.005e0, 0e0, 0.001e0), (0e0, 0.001e0, 0.004e0, 0.005e0)) AS g(ax, ay, bx, by)"
-oracle("road_fields", f"""{CELLS}, lg0 AS (SELECT p.*, lkp_lat + ay AS alat, lkp_lon + ax AS alon, lkp_lat + by AS blat, lkp_lon + bx AS blon FROM pins p, {_legs}),
+_legs = "(VALUES (-0.006e0, 0e0, 0.006e0, 0e0), (-0.002e0, -0.005e0, 0e0, 0.001e0), (0e0, 0.001e0, 0.004e0, 0.005e0)) AS g(ax, ay, qx, qy)"
+oracle("road_fields", f"""{CELLS}, lg0 AS (SELECT p.*, lkp_lat + ay AS alat, lkp_lon + ax AS alon, lkp_lat + qy AS blat, lkp_lon + qx AS blon FROM pins p, {_legs}),
  lg AS (SELECT *, be - ae AS de, bn - an AS dn, sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) AS len FROM {utm(utm('lg0', 'alat', 'alon', 'ae', 'an'), 'blat', 'blon', 'be', 'bn')}),
  smp AS (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT *, greatest(1, CAST(floor(len / 25e0) AS BIGINT)) AS n FROM lg)),
  hit AS (SELECT mission_id, CAST(floor((origin_n + 825e0 - (an + (k / n) * dn)) / 50e0) AS INT) AS "row", CAST(floor((ae + (k / n) * de - (origin_e - 825e0)) / 50e0) AS INT) AS col, avg(de / len) AS te, avg(dn / len) AS tn FROM smp GROUP BY 1, 2, 3),
@@ -322,36 +322,44 @@ oracle("reachability", f"""{CLASSES}, {walk('relief', '0.35e0')}, rr AS (SELECT
        f"SELECT {KEYS}, {r('reach', 9)}, {r('score', 8, 'reach_score')}, {r('reach_exp', 9)}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 9, 'p')} FROM bl")
 
 
-def stack(tick: int, with_loops: bool) -> str:
-    """Layer surface of one tick as CTE ``stk{tick}``; hops and walk must be there."""
+def stack(tick: int) -> str:
+    """Topography and personality of one tick as CTE ``pe{tick}``; the walk must be there."""
     h = (tick + 1) * 1e0
     a, b = f"tp{tick}", f"pe{tick}"
-    target = f"CASE WHEN sc IS NULL OR t > {h}e0 THEN 0 ELSE ({h}e0 - t) / {h}e0 END".replace("sc IS NULL OR ", "t IS NULL OR ")
-    out = f"""{a} AS (SELECT c.*, CASE WHEN NOT topography THEN p WHEN NOT is_land THEN 0 ELSE 0.45e0 * p + 0.55e0 * ({target}) * CASE WHEN degrees(slope) >= 30 THEN 0.7e0 ELSE 1 END END AS q FROM costed c LEFT JOIN walk USING (mission_id, "row", col)),
+    target = f"CASE WHEN t IS NULL OR t > {h}e0 THEN 0 ELSE ({h}e0 - t) / {h}e0 END"
+    return f"""{a} AS (SELECT c.*, CASE WHEN NOT topography THEN p WHEN NOT is_land THEN 0 ELSE 0.45e0 * p + 0.55e0 * ({target}) * CASE WHEN degrees(slope) >= 30 THEN 0.7e0 ELSE 1 END END AS q FROM costed c LEFT JOIN walk USING (mission_id, "row", col)),
  {b} AS MATERIALIZED (SELECT * EXCLUDE (q), CASE WHEN personality AND NOT is_pin THEN q * power(greatest(0.35e0, least(1.2e0, 1.2e0 - (age - 10) / 100e0)) * (0.85e0 + 0.1e0 * (fitness - 1)) * CASE WHEN injured THEN 0.45e0 ELSE 1 END,
     1 + least(1, sqrt(("row" - 16) * ("row" - 16) + (col - 16) * (col - 16)) / 16e0)) ELSE q END AS q FROM {a})"""
-    return out
 
 
 _pe_mask = "CASE WHEN (wet AND is_land) OR (NOT wet AND NOT is_land) THEN 0 ELSE q END"
-oracle("layer_stack", f"""{SHARES}, {walk('relief', '2e0')}, {stack(1, True)}, {pushes('SELECT mission_id, "row", col, q AS p FROM pe1 WHERE roads', 'dshare', 'dstay', 6)},
- rd AS (SELECT b.*, CASE WHEN NOT b.roads THEN q ELSE 0.12e0 * q + 0.88e0 * CASE WHEN is_pin THEN greatest(s.p * bo, q * bo) ELSE s.p * bo END END AS g FROM (SELECT *, 1 + 0.88e0 * 1.05e0 * {PROX} AS bo FROM pe1) b LEFT JOIN s6 s USING (mission_id, "row", col)),
+def stacked(tick: int, diffusion: int, advection: int) -> str:
+    """Masked surface ``fin`` of one tick through all layers."""
+    waves = pushes('SELECT mission_id, "row", col, p FROM terrain WHERE wet', 'ashare', 'astay', advection)
+    for k in range(advection + 1):
+        waves = waves.replace(f"s{k} AS", f"z{k} AS").replace(f"FROM s{k} s", f"FROM z{k} s")
+    return f"""{SHARES}, {walk('relief', f'{tick + 1}e0')}, {stack(tick)}, {pushes(f'SELECT mission_id, "row", col, q AS p FROM pe{tick} WHERE roads', 'dshare', 'dstay', diffusion)},
+ rd AS (SELECT b.*, CASE WHEN NOT b.roads THEN q ELSE 0.12e0 * q + 0.88e0 * CASE WHEN is_pin THEN greatest(s.p * bo, q * bo) ELSE s.p * bo END END AS g FROM (SELECT *, 1 + 0.88e0 * 1.05e0 * {PROX} AS bo FROM pe{tick}) b LEFT JOIN s{diffusion} s USING (mission_id, "row", col)),
  al AS (SELECT t.*, "row" + dr AS n_row, col + dc AS n_col, 1 + sqrt(60e0) * 2.5e0 * greatest((0.4e0 * dc) / (0.4e0 * sqrt(dr * dr + dc * dc)), 0) AS w FROM terrain t, {EIGHT} WHERE wet AND NOT is_land),
  asum AS (SELECT mission_id, "row", col, 0.15e0 + sum(w) AS tot FROM al GROUP BY 1, 2, 3), ashare AS (SELECT a.mission_id, a."row", a.col, n_row, n_col, w / tot AS share FROM al a JOIN asum USING (mission_id, "row", col) WHERE n_row BETWEEN 0 AND 31 AND n_col BETWEEN 0 AND 31),
  astay AS (SELECT t.mission_id, t."row", t.col, CASE WHEN t.is_land THEN 1e0 ELSE 0.15e0 / tot END AS share FROM terrain t LEFT JOIN asum USING (mission_id, "row", col) WHERE t.wet),
- {pushes('SELECT mission_id, "row", col, p FROM terrain WHERE wet', 'ashare', 'astay', 2).replace('s0 AS', 'z0 AS').replace('s1 AS', 'z1 AS').replace('s2 AS', 'z2 AS').replace('FROM s0 s', 'FROM z0 s').replace('FROM s1 s', 'FROM z1 s')}, zm AS (SELECT mission_id, sum(p) AS m FROM z2 GROUP BY 1),
- fin AS (SELECT r.mission_id, r."row", r.col, CASE WHEN wet THEN CASE WHEN is_land THEN 0 ELSE z.p / zm.m END WHEN NOT is_land THEN 0 ELSE g END AS p FROM rd r LEFT JOIN z2 z USING (mission_id, "row", col) LEFT JOIN zm USING (mission_id))""",
-       f"SELECT {KEYS}, {r('p', 9)} FROM fin")
+ {waves}, zm AS (SELECT mission_id, sum(p) AS m FROM z{advection} GROUP BY 1),
+ fin AS (SELECT r.* EXCLUDE (p), CASE WHEN wet THEN CASE WHEN is_land THEN 0 ELSE z.p / zm.m END WHEN NOT is_land THEN 0 ELSE g END AS p FROM rd r LEFT JOIN z{advection} z USING (mission_id, "row", col) LEFT JOIN zm USING (mission_id))"""
+
+
+oracle("layer_stack", stacked(1, 6, 2), f"SELECT {KEYS}, {r('p', 9)} FROM fin")
 
 
 def mpp_of(src: str) -> str:
     return f"""mi AS (SELECT *, "row" BETWEEN 1 AND 30 AND col BETWEEN 1 AND 30 AS inn FROM {src}), mh AS (SELECT mission_id, count(*) FILTER (inn AND p > 1e-12) > 0 AS has FROM mi GROUP BY 1),
- mv AS (SELECT mi.*, CASE WHEN inn OR NOT has THEN p ELSE 0 END AS v FROM mi JOIN mh USING (mission_id)), mc AS (SELECT mission_id, quantile_cont(v, 0.95) FILTER (v > 1e-12) AS cut FROM mv GROUP BY 1),
+ mv AS (SELECT mi.*, CASE WHEN inn OR NOT has THEN p ELSE 0 END AS v FROM mi JOIN mh USING (mission_id)), mc AS (SELECT mission_id, quantile_cont(CASE WHEN v > 1e-12 THEN v END, 0.95) AS cut FROM mv GROUP BY 1),
  mm AS (SELECT mv.* FROM mv JOIN mc USING (mission_id) WHERE v >= cut)"""
 
 
 oracle("mpp_formula", f"{FORMULA}, {mpp_of('surf')}", f"SELECT mission_id, count(*) AS n_cells, {r('sum(lat * v) / sum(v)', 8, 'lat')}, {r('sum(lon * v) / sum(v)', 8, 'lon')} FROM {latlon('mm')} GROUP BY 1")
 
+oracle("mpp", f"{stacked(3, 18, 6)}, {mpp_of('fin')}", f"SELECT mission_id, count(*) AS n_cells, {r('sum(lat * v) / sum(v)', 8, 'lat')}, {r('sum(lon * v) / sum(v)', 8, 'lon')} FROM {latlon('mm')} GROUP BY 1")
+
 # --- evidence
 oracle("tick_join", PLACED, """SELECT mission_id, CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT) AS tick, CAST(count(*) FILTER (person) AS BIGINT) AS finds, CAST(count(*) FILTER (NOT person) AS BIGINT) AS sweeps FROM det GROUP BY 1, 2""")
 
@@ -373,8 +381,8 @@ oracle("suppress_boost", f"""{FORMULA}, {CLEAN[len(PINS) + 2:]}, bst AS (SELECT
 _ring = [(-0.0041, -0.0032), (0.0049, -0.0017), (0.0036, 0.0043), (-0.0022, 0.0028)]
 _hole = [(-0.0011, -0.0009), (0.0013, -0.0009), (0.0013, 0.0011), (-0.0011, 0.0011)]
 _sides = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for ring in (_ring, _hole) for a, b in zip(ring, ring[1:] + ring[:1]))
-HITS = f"""sides AS (SELECT * FROM (VALUES {_sides}) AS g(ax, ay, bx, by)), located AS (SELECT * FROM {latlon('surf')}),
- hits AS (SELECT mission_id, "row", col FROM (SELECT c.mission_id, c."row", c.col, count(*) FILTER ((lkp_lat + ay > lat) <> (lkp_lat + by > lat) AND lon < ((lkp_lon + bx + far) - (lkp_lon + ax + far)) * (lat - (lkp_lat + ay)) / ((lkp_lat + by) - (lkp_lat + ay)) + (lkp_lon + ax + far)) AS n
+HITS = f"""sides AS (SELECT * FROM (VALUES {_sides}) AS g(ax, ay, qx, qy)), located AS (SELECT * FROM {latlon('surf')}),
+ hits AS (SELECT mission_id, "row", col FROM (SELECT c.mission_id, c."row", c.col, count(*) FILTER ((lkp_lat + ay > lat) <> (lkp_lat + qy > lat) AND lon < ((lkp_lon + qx + far) - (lkp_lon + ax + far)) * (lat - (lkp_lat + ay)) / ((lkp_lat + qy) - (lkp_lat + ay)) + (lkp_lon + ax + far)) AS n
    FROM (SELECT *, CASE WHEN mission_id % 10 = 0 THEN 5e0 ELSE 0 END AS far FROM located) c, sides GROUP BY 1, 2, 3) WHERE n % 2 = 1)"""
 NEG = f"""{FORMULA}, {HITS}, ng AS (SELECT s.mission_id, s."row", s.col, s.p AS old, h.mission_id IS NOT NULL AS searched, CASE WHEN h.mission_id IS NULL THEN s.p ELSE greatest(s.p * (1 - (0.5e0 + s.mission_id % 7 / 10e0) + CASE WHEN s.mission_id % 7 >= 5 THEN (0.5e0 + s.mission_id % 7 / 10e0) - 0.99e0 ELSE 0 END), 1e-8) END AS q
    FROM surf s LEFT JOIN hits h USING (mission_id, "row", col)), nw AS (SELECT *, CASE WHEN bool_or(searched) OVER (PARTITION BY mission_id) THEN q / sum(q) OVER (PARTITION BY mission_id) ELSE old END AS p FROM ng)"""
@@ -383,7 +391,7 @@ oracle("negative_search", NEG, f"SELECT {KEYS}, CAST(searched AS BIGINT) AS sear
 oracle("heatmap_delta", NEG, f"SELECT {KEYS}, {r('p', 9)} FROM nw WHERE abs(p - old) > 1e-5")
 oracle("delta_merge", f"{FORMULA}, {_tail}, lst AS (SELECT mission_id, \"row\", col, arg_max(confidence, event_id) AS c FROM onto GROUP BY 1, 2, 3)", f"SELECT s.mission_id, CAST(s.\"row\" AS BIGINT) AS \"row\", CAST(s.col AS BIGINT) AS col, {r('coalesce(c, s.p)', 9, 'p')} FROM surf s LEFT JOIN lst USING (mission_id, \"row\", col)")
 oracle("footprint_union", f"{PLACED}, u AS (SELECT DISTINCT mission_id, \"row\", col FROM onto)", "SELECT mission_id, count(*) AS seen_cells, CAST(1024 - count(*) AS BIGINT) AS open_cells FROM u GROUP BY 1 HAVING count(*) < 1024")
-_masked = ", ".join(f"{stack(t, False)}, mk{t} AS (SELECT *, {_pe_mask} AS m FROM pe{t})" for t in range(4))
+_masked = ", ".join(f"{stack(t)}, mk{t} AS (SELECT *, {_pe_mask} AS m FROM pe{t})" for t in range(4))
 ONLY = f"{COSTED}, {walk('relief', '4e0')}, {_masked}"
 oracle("history_blend", ONLY, f"""SELECT a.mission_id, CAST(a."row" AS BIGINT) AS "row", CAST(a.col AS BIGINT) AS col, {r('CASE WHEN a.wet THEN d.m ELSE 0.6e0 * (0.6e0 * (0.6e0 * a.m + 0.4e0 * b.m) + 0.4e0 * c.m) + 0.4e0 * d.m END', 9, 'p')}
   FROM mk0 a JOIN mk1 b USING (mission_id, "row", col) JOIN mk2 c USING (mission_id, "row", col) JOIN mk3 d USING (mission_id, "row", col)""")
@@ -412,7 +420,7 @@ oracle("field_range", f"""{PUBLISHED}, ord AS (SELECT *, row_number() OVER (PART
        f"SELECT mission_id, field, {r('''CASE WHEN field = 'reachability' THEN 0 ELSE a END''', 6, 'range_min')}, {r('''CASE WHEN field = 'reachability' THEN CASE WHEN b > 1e-9 THEN b ELSE 1 END WHEN b - a < 1e-9 THEN a + 1 ELSE b END''', 6, 'range_max')} FROM rg")
 oracle("color_range", f"{FORMULA}, cr AS (SELECT mission_id, min(p) AS a, max(p) AS b, count(*) FILTER (p > 1e-8) / count(*) AS share FROM surf GROUP BY 1)",
        f"SELECT mission_id, CAST(share > 0 AND share < 0.01 AS BIGINT) AS low_mass, {r('CASE WHEN b - a <= 1e-8 THEN 0 ELSE a END', 9, 'range_min')}, {r('CASE WHEN b - a <= 1e-8 THEN 1 ELSE b END', 9, 'range_max')}, {r('greatest(b, 1e-8)', 9, 'grid_max')}, {r('a', 9, 'grid_min')}, {r('share', 6)} FROM cr")
-oracle("unit_surface", f"{FORMULA}, un AS (SELECT *, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) AS unit FROM surf WINDOW w AS (PARTITION BY mission_id))", f"SELECT {KEYS}, CAST(unit >= 0.4e0 AS BIGINT) AS masked, {r('unit', 8)} FROM un")
+oracle("unit_surface", f"{FORMULA}, un AS (SELECT *, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) AS unit FROM surf WINDOW w AS (PARTITION BY mission_id))", f"SELECT {KEYS}, CAST(unit >= 0.4e0 AS BIGINT) AS masked, {r('unit', 12)} FROM un")
 oracle("heatmap_export", f"{FORMULA}, {META[len(PINS) + 2:]}", f"""SELECT s.mission_id, count(*) AS n, CAST(32 AS BIGINT) AS "rows", {r('max(p) FILTER ("row" = 0 AND col = 0)', 9, 'p0')}, {r('max(p) FILTER ("row" = 15 AND col = 20)', 9, 'p500')}, {r('max(p) FILTER ("row" = 31 AND col = 31)', 9, 'p1023')}, {r('any_value(north)', 8, 'north')} FROM surf s JOIN meta USING (mission_id) GROUP BY 1""")
 oracle("terrain_report", TERRAIN, f"""SELECT mission_id, count(*) AS n, CAST(1 AS BIGINT) AS n_warnings, {r('max(elevation) FILTER ("row" = 31 AND col = 31)', 3, 'last_elevation')}, {r('max(degrees(slope))', 6, 'max_slope')} FROM terrain GROUP BY 1""")
 
@@ -423,7 +431,7 @@ def moved(lat: str, u: str, v: str, length: str, axis: str) -> str:
 
 
 oracle("current_vectors", f"""{META}, axis AS (SELECT CAST(range AS INT) AS i FROM range(32)), gr AS (SELECT m.*, a.i AS "row", b.i AS col, a.i + b.i < shore AS water, west + (b.i + 0.5e0) / 32 * (east - west) AS lo, north - (a.i + 0.5e0) / 32 * (north - south) AS la FROM meta m, axis a, axis b),
- arr AS (SELECT mission_id, "row", col, lo, la, 0.4e0 AS u, 0.4e0 * cos(radians(90)) AS v, 0.4e0 AS sp, 600 * (0.35e0 + 0.65e0 * (0.4e0 / CASE WHEN mission_id % 2 = 0 THEN sqrt(1.25e0) ELSE 0.4e0 END)) AS len, 'shaft' AS kind, NULL AS source FROM gr WHERE water AND "row" % 2 = 0 AND col % 2 = 0
+ arr AS (SELECT mission_id, "row", col, lo, la, 0.4e0 AS u, 0.4e0 * cos(radians(90)) AS v, 0.4e0 AS sp, 600 * (0.35e0 + 0.65e0 * (0.4e0 / CASE WHEN mission_id % 2 = 0 THEN sqrt(1.25e0) ELSE 0.4e0 END)) AS len, 'shaft' AS kind, CAST(NULL AS VARCHAR) AS source FROM gr WHERE water AND "row" % 2 = 0 AND col % 2 = 0
    UNION ALL SELECT mission_id, "row", col, lo, la, 1e0, 0.5e0, sqrt(1.25e0), 810e0, 'lkp', 'fallback' FROM gr WHERE "row" = 16 AND col = 16 AND mission_id % 2 = 0),
  tip AS (SELECT *, lo + {moved('la', 'u', 'v', 'len', 'lon')} AS tlo, la + {moved('la', 'u', 'v', 'len', 'lat')} AS tla, -u / sp * 0.42e0 - v / sp * 0.42e0 AS lu, -v / sp * 0.42e0 + u / sp * 0.42e0 AS lv, -u / sp * 0.42e0 + v / sp * 0.42e0 AS ru, -v / sp * 0.42e0 - u / sp * 0.42e0 AS rv FROM arr)""",
        f"""SELECT {KEYS}, kind, source, {r('lo', 7, 'lon')}, {r('la', 7, 'lat')}, {r('sp', 6, 'speed')}, {r('len', 4, 'length_m')}, {r('tlo', 7, 'tip_lon')}, {r('tla', 7, 'tip_lat')}, {r('tlo - ' + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lon'), 7, 'left_lon')}, {r('tla - ' + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lat'), 7, 'left_lat')},
@@ -455,7 +463,7 @@ _brg = "coalesce((degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(ra
 oracle("drone_tracks", TRACK, f"SELECT mission_id, CAST(sortie AS BIGINT) AS sortie, CAST(found AS BIGINT) AS found, CAST(active AS BIGINT) AS active, n AS n_points, {r('y2', 7, 'lat')}, {r('x2', 7, 'lon')}, {r(_brg, 4, 'heading_deg')} FROM tr")
 oracle("track_heads", TRACK, f"SELECT mission_id, arg_max('drone-' || (sortie + 1), CAST(active AS INT) * 100 + sortie) AS asset_id, count(*) AS n_drones, {r('arg_max(y2, CAST(active AS INT) * 100 + sortie)', 7, 'lat')} FROM tr GROUP BY 1")
 oracle("trail_segments", f"{SORTIES}, lg AS (SELECT *, lag(lon) OVER w AS x0, lag(la) OVER w AS y0 FROM rev WHERE rv < 900000 WINDOW w AS (PARTITION BY mission_id, sortie ORDER BY rv, event_id))",
-       f"""SELECT mission_id, CAST(sortie AS BIGINT) AS sortie, event_id AS record_id, {r('x0', 7, 'from_lon')}, {r('y0', 7, 'from_lat')}, {r('lon', 7, 'to_lon')}, {r('la', 7, 'to_lat')}, {r('rv', 5, 'reveal_sec')}, {r('greatest(0, 1 - (900000 - rv) / CASE WHEN st <= 900000 AND 900000 < st + dur THEN 600000 ELSE 400000 END)', 8, 'opacity')} FROM lg WHERE x0 IS NOT NULL""")
+       f"""SELECT mission_id, CAST(sortie AS BIGINT) AS sortie, event_id AS record_id, {r('x0', 7, 'from_lon')}, {r('y0', 7, 'from_lat')}, {r('lon', 7, 'to_lon')}, {r('la', 7, 'to_lat')}, {r('rv', 6, 'reveal_sec')}, {r('greatest(0, 1 - (900000 - rv) / CASE WHEN st <= 900000 AND 900000 < st + dur THEN 600000 ELSE 400000 END)', 8, 'opacity')} FROM lg WHERE x0 IS NOT NULL""")
 oracle("subsample", f"""{EVENTS}, rc AS (SELECT event_id, user_id % 3 AS sortie, us, event_type = 'purchase' AND user_id % 5 = 0 AS person FROM ev), ct AS (SELECT sortie, count(*) AS n, count(*) FILTER (person) AS f FROM rc GROUP BY 1),
  ot AS (SELECT rc.*, n, f, row_number() OVER (PARTITION BY rc.sortie ORDER BY us, event_id) - 1 AS k FROM rc JOIN ct USING (sortie) WHERE NOT person),
  pk AS (SELECT sortie, CAST(floor(i * ((n - f) / (300 - f))) AS BIGINT) AS k FROM (SELECT *, unnest(range(0, 300 - f)) AS i FROM ct WHERE n > 300 AND f < 300))""",
@@ -470,5 +478,5 @@ oracle("latest_state", TRACK, """SELECT mission_id, kind, CAST(2 AS BIGINT) AS t
 oracle("message_routing", DETECTIONS, """SELECT mission_id, count(*) AS n, count(DISTINCT event_id % 50) AS frames FROM det WHERE event_id % 3 = 0 GROUP BY 1 UNION ALL SELECT CAST(-1 AS BIGINT), count(*), CAST(0 AS BIGINT) FROM det WHERE event_id % 3 <> 0""")
 oracle("mission_status", f"{DETECTIONS}, mx AS (SELECT mission_id, max(CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT)) AS t FROM det GROUP BY 1)", f"SELECT p.mission_id, coalesce(t, 0) AS tick_count, {r('3600', 3, 'step_sec')} FROM pins p LEFT JOIN mx USING (mission_id)")
 oracle("overpass_roads", "", "SELECT c_custkey, c_custkey AS way_id, CAST(2 AS BIGINT) AS n, CAST('32.' || (100 + c_custkey % 900) AS DOUBLE) AS lat1, CAST('35.' || (100 + c_custkey % 800) AS DOUBLE) AS lon2 FROM customer")
-oracle("assembled_roads", "rf AS (SELECT l_orderkey AS way_id, l_linenumber AS pos, p_retailprice AS lat, CAST(p_size AS DOUBLE) AS lon FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0 AND l_orderkey % 5 IN (0, 2, 4))",
+oracle("assembled_roads", "rf AS (SELECT l_orderkey AS way_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos, p_retailprice AS lat, CAST(p_size AS DOUBLE) AS lon FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 7 <> 0 AND l_orderkey % 5 IN (0, 2, 4))",
        f"SELECT way_id, count(*) AS n, {r('arg_min(lat, pos)', 4, 'lat1')}, {r('arg_max(lon, pos)', 4, 'lon_last')} FROM rf WHERE way_id IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING count(*) >= 2")

@@ -38,14 +38,15 @@ def micros(name: str):
 
 # --- shared inputs -------------------------------------------------------------------------
 
-def fields(spark: SparkSession, folder: str, last_tick: int = 3) -> DataFrame:
-    return hm.prepare_fields(tb.cross_proximity(tb.terrain(spark, folder)), last_tick, F.lit(STEP))
+def surfaces(spark: SparkSession, folder: str, ticks: list[int], without: tuple[str, ...] = ()) -> DataFrame:
+    """Raw layer surfaces of some ticks of all missions."""
+    wanted = F.array(*[F.lit(t) for t in ticks])
+    return hm.surfaces_by_profile(tb.missions(spark, folder), tb.terrain_of, wanted, max(ticks), F.lit(STEP), SIZE, without=without)
 
 
 def surface(spark: SparkSession, folder: str, tick: int = 3) -> DataFrame:
     """Raw layer surface of one tick with the mission's pin and origin."""
-    raw = hm.raw_surfaces(fields(spark, folder, tick), F.array(F.lit(tick)), size=SIZE)
-    return grid.attach_missions(raw, tb.missions(spark, folder))
+    return grid.attach_missions(surfaces(spark, folder, [tick]), tb.missions(spark, folder))
 
 
 def formula_surface(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,7 +205,7 @@ def normalize_detections(spark, folder):
     n = tm.normalize_detections(tb.raw_detections(spark, folder))
     n = n.select("event_id", micros("ts"), "lat", "lon", "alt", F.col("person").cast("bigint").alias("person"), "confidence", "confidence_percent", "frame",
                  F.size("bbox").alias("n_box"), F.col("bbox")[2].alias("box3"))
-    return shown(n.withColumn("n_box", F.when(F.col("n_box") > 0, F.col("n_box"))), "event_id", "ts", "person", "frame", "n_box", "box3", lat=6, lon=6, alt=3, confidence=4, confidence_percent=4)
+    return shown(n.withColumn("n_box", F.when(F.col("n_box") > 0, F.col("n_box"))), "event_id", "ts", "person", "frame", "n_box", "box3", lat=6, lon=6, alt=3, confidence=6, confidence_percent=4)
 
 
 @query
@@ -614,14 +615,14 @@ def footprint_union(spark, folder):
 
 @query
 def history_blend(spark, folder):
-    s = hm.raw_surfaces(fields(spark, folder, 3), F.sequence(F.lit(0), F.lit(3)), size=SIZE, only=("topography", "personality"))
+    s = surfaces(spark, folder, [0, 1, 2, 3], ("roads", "sea_drift"))
     return shown(ev.history_closed_form(s, 3), "mission_id", "row", "col", p=9)
 
 
 @query
 def tick_fold(spark, folder):
     """Three ticks with sweeps and finds folded in order."""
-    s = hm.raw_surfaces(fields(spark, folder, 3), F.sequence(F.lit(0), F.lit(3)), size=SIZE, only=("topography", "personality"))
+    s = surfaces(spark, folder, [0, 1, 2, 3], ("roads", "sea_drift"))
     t = ticked(spark, folder).where("tick <= 3")
     boosts = ev.boost_factors(ev.person_events(t).drop("position"))
     return shown(hm.run_ticks(s, 3, ev.swept_cells(t, tb.RES_M), boosts), "mission_id", "row", "col", p=9)
@@ -675,7 +676,7 @@ def color_range(spark, folder):
 def unit_surface(spark, folder):
     u = report.unit_surface(formula_surface(spark, folder))
     masked = sc.mask_on(F.col("unit"), F.lit(0.0), F.lit(1.0), 0.4)
-    return shown(u.withColumn("masked", masked.cast("bigint")), "mission_id", "row", "col", "masked", unit=8)
+    return shown(u.withColumn("masked", masked.cast("bigint")), "mission_id", "row", "col", "masked", unit=12)
 
 
 @query
@@ -779,7 +780,7 @@ def track_heads(spark, folder):
 def trail_segments(spark, folder):
     s = DEFAULTS.but(trail_fade_sec=600000.0, trail_fade_done_sec=400000.0)
     t = tracks.trail_segments(revealed(spark, folder), F.lit(900000.0), s, 86400.0)
-    return shown(t, "mission_id", "sortie", "record_id", from_lon=7, from_lat=7, to_lon=7, to_lat=7, reveal_sec=5, opacity=8)
+    return shown(t, "mission_id", "sortie", "record_id", from_lon=7, from_lat=7, to_lon=7, to_lat=7, reveal_sec=6, opacity=8)
 
 
 @query

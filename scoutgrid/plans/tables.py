@@ -39,6 +39,11 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     return make_cells(missions(spark, folder))
 
 
+def terrain_of(chosen: DataFrame) -> DataFrame:
+    """Cells of some missions with relief, slope, land flag and the cross of roads."""
+    return cross_proximity(slope_aspect(with_elevation(make_cells(chosen))).withColumn("is_land", F.col("elevation") > 1.0))
+
+
 def with_elevation(grid: DataFrame) -> DataFrame:
     """Shore, gentle relief, a steep band from column 20 and a cliff at column 26."""
     r, c = F.col("row"), F.col("col")
@@ -99,7 +104,7 @@ def raw_detections(spark: SparkSession, folder: str) -> DataFrame:
     e = F.col("event_id")
     stamp = F.when(e % 97 == 0, F.lit("not a time")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     person = F.col("person").cast("string")
-    lat, lon, conf = F.format_string("%.6f", F.col("lat")), F.format_string("%.6f", F.col("lon")), F.format_string("%.4f", F.col("confidence") * 1.25)
+    lat, lon, conf = F.format_string("%.6f", F.col("lat")), F.format_string("%.6f", F.col("lon")), F.format_string("%.6f", F.col("confidence") * 1.25)
     head = F.when(e % 3 == 0, F.format_string('{"ts":"%s","person":%s,"altitude":%d', stamp, person, e % 500)).when(
         e % 3 == 1, F.format_string('{"timestamp":"%s","person_found":%s,"alt_m":"%d"', stamp, person, e % 500)).otherwise(
         F.format_string('{"timestamp":"","ts":"%s","person_found":null,"person":true', stamp))
