@@ -1,78 +1,85 @@
 """Sequential rules (cool-down, smoothing) that still split a hot key into time slices.
 
-Each slice is reduced on its own to what the next slice needs to know, those few numbers are
-chained per key, and the slice is finished with the state it starts from.
+Spark gathers each (key, slice) into one sorted array; a slice is bounded by its width. Each
+slice is reduced on its own to what the next one needs to know, those few numbers are chained
+per key, and the slice is finished with the state it starts from. The array steps are Pandas
+functions over a column of slices, so many small slices share one Arrow batch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..settings import DEFAULTS
-from .slices import SLICE, join_back, previous, with_slice, within
+from .slices import SLICE, previous, with_slice
 
 
-def _fields(df: DataFrame, names: list[str]) -> list[T.StructField]:
-    return [df.schema[n] for n in names]
+def _gather(df: DataFrame, keys: list[str], item, out: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
 
 
 def throttle(df: DataFrame, keys: list[str], cooldown_sec: float, ts: str = "ts", tie: tuple[str, ...] = (),
              slice_sec: float | None = None) -> DataFrame:
     """Keep a row only if it is at least ``cooldown_sec`` after the last row kept for its key."""
     wait = int(round(cooldown_sec * 1e6))
-    width = max(slice_sec or 3600.0, 2.0 * cooldown_sec)
-    micros = int(round(width * 1e6))
+    micros = int(round(max(slice_sec or 3600.0, 2.0 * cooldown_sec) * 1e6))
+    # rows of one time: only the first can ever be kept
     firsts = df.withColumn("_t", F.unix_micros(F.col(ts))).groupBy(*keys, "_t").agg(
         F.min_by(F.struct(*df.columns), F.struct(*[F.col(c) for c in (tie or keys)])).alias("_row"))
-    firsts = firsts.withColumn(SLICE, F.floor(F.col("_t") / micros).cast("bigint"))
-    times = firsts.select(*keys, SLICE, "_t")
-
-    def exits(frame: pd.DataFrame) -> pd.DataFrame:
-        """Last kept time of the slice for each time its first kept row can have."""
-        t = np.sort(frame["_t"].to_numpy())
-        n, nxt = len(t), np.searchsorted(t, t + wait, side="left")
-        last = np.arange(n)
-        for i in range(n - 1, -1, -1):
-            if nxt[i] < n:
-                last[i] = last[nxt[i]]
-        start = int(frame[SLICE].iloc[0]) * micros
-        count = min(n, int(np.searchsorted(t, start + wait, side="left")) + 1)
-        first, end = t[:count], t[last[:count]]
-        keep = np.append(end[1:] != end[:-1], True)  # a run with one outcome is its largest time
-        head = frame[[*keys, SLICE]].iloc[:1]
-        return head.assign(_first=[first[keep].tolist()], _end=[end[keep].tolist()])
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(SLICE)
-        last, entry = None, []
-        for first, end in zip(frame["_first"], frame["_end"]):
-            entry.append(last)
-            at = 0 if last is None else int(np.searchsorted(first, last + wait, side="left"))
-            if at < len(first):
-                last = int(end[at])
-        return frame[[*keys, SLICE]].assign(_entry=pd.array(entry, dtype="Int64"))
-
-    def kept(frame: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(frame["_t"].to_numpy())
-        entry = frame["_entry"].iloc[0]
-        at = 0 if pd.isna(entry) else int(np.searchsorted(t, int(entry) + wait, side="left"))
-        picks = []
-        while at < len(t):
-            picks.append(int(t[at]))
-            at = int(np.searchsorted(t, t[at] + wait, side="left"))
-        out = frame[keys].iloc[:1].loc[lambda f: f.index.repeat(len(picks))].reset_index(drop=True)
-        return out.assign(_t=np.array(picks, dtype="int64"))
-
-    base = _fields(times, [*keys, SLICE])
-    longs = T.ArrayType(T.LongType())
-    summary = times.groupBy(*keys, SLICE).applyInPandas(
-        exits, T.StructType(base + [T.StructField("_first", longs), T.StructField("_end", longs)]))
-    entries = summary.groupBy(*keys).applyInPandas(chain, T.StructType(base + [T.StructField("_entry", T.LongType())]))
-    picked = join_back(times, entries, keys).groupBy(*keys, SLICE).applyInPandas(
-        kept, T.StructType(_fields(times, keys) + [T.StructField("_t", T.LongType())]))
-    return firsts.drop(SLICE).join(picked, [*keys, "_t"], "left_semi").select("_row.*")
+    number = F.floor(F.col("_t") / micros).cast("bigint")
+    slices = _gather(firsts.withColumn(SLICE, number), [*keys, SLICE], F.col("_t"), "_times")
+
+    @F.pandas_udf("first array<bigint>, end array<bigint>")
+    def exits(times: pd.Series, numbers: pd.Series) -> pd.DataFrame:
+        """Last kept time of a slice for each time its first kept row can have."""
+        first, end = [], []
+        for t, number in zip(times, numbers):
+            n, nxt = len(t), np.searchsorted(t, t + wait)
+            last = np.arange(n)
+            for i in range(n - 1, -1, -1):
+                if nxt[i] < n:
+                    last[i] = last[nxt[i]]
+            count = min(n, int(np.searchsorted(t, number * micros + wait)) + 1)
+            a, b = t[:count], t[last[:count]]
+            keep = np.append(b[1:] != b[:-1], True)  # of a run with one outcome the largest time is enough
+            first.append(a[keep])
+            end.append(b[keep])
+        return pd.DataFrame({"first": first, "end": end})
+
+    @F.pandas_udf("array<bigint>")
+    def entries(chains: pd.Series) -> pd.Series:
+        """Last kept time before each slice of a key, slices in order."""
+        out = []
+        for chain in chains:
+            last, entry = None, []
+            for step in chain:
+                entry.append(last)
+                at = 0 if last is None else int(np.searchsorted(step["first"], last + wait))
+                if at < len(step["first"]):
+                    last = int(step["end"][at])
+            out.append(entry)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<bigint>")
+    def kept(times: pd.Series, starts: pd.Series) -> pd.Series:
+        out = []
+        for t, start in zip(times, starts):
+            at = 0 if pd.isna(start) else int(np.searchsorted(t, int(start) + wait))
+            picks = []
+            while at < len(t):
+                picks.append(int(t[at]))
+                at = int(np.searchsorted(t, t[at] + wait))
+            out.append(picks)
+        return pd.Series(out)
+
+    reduced = slices.withColumn("_x", exits("_times", SLICE)).select(*keys, SLICE, F.col("_x.first").alias("first"), F.col("_x.end").alias("end"))
+    chains = _gather(reduced, keys, F.struct(SLICE, "first", "end"), "_chain").withColumn("_entry", entries("_chain"))
+    started = chains.select(*keys, F.explode(F.arrays_zip(F.col(f"_chain.{SLICE}").alias("s"), F.col("_entry").alias("e"))).alias("_z")).select(
+        *keys, F.col("_z.s").alias(SLICE), F.col("_z.e").alias("_start"))
+    picked = slices.join(started, [*keys, SLICE]).select(*keys, F.explode(kept("_times", "_start")).alias("_t"))
+    return firsts.join(picked, [*keys, "_t"], "left_semi").select("_row.*")
 
 
 def ewma(df: DataFrame, keys: list[str], value: str, alpha: float = 0.1, ts: str = "ts", tie: tuple[str, ...] = (),
@@ -84,29 +91,40 @@ def ewma(df: DataFrame, keys: list[str], value: str, alpha: float = 0.1, ts: str
     """
     keep = 1.0 - alpha
     sliced = with_slice(df, F.unix_micros(ts) / 1e6, slice_sec)
-    order = [F.unix_micros(ts), *tie]
-    ranked = sliced.withColumn("_i", F.row_number().over(within(keys, *order)))
-
-    def local(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_i")
-        return frame.assign(_y=frame[value].astype("float64").ewm(alpha=alpha, adjust=False).mean())
-
-    def chain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(SLICE)
-        state, carried = None, []
-        for n, x0, y in zip(frame["_n"], frame["_x0"], frame["_yn"]):
-            carried.append(state)
-            state = y if state is None else y + keep ** n * (state - x0)
-        return frame[[*keys, SLICE, "_x0"]].assign(_in=pd.Series(carried, index=frame.index, dtype="float64"))
-
-    smoothed = ranked.groupBy(*keys, SLICE).applyInPandas(local, T.StructType(ranked.schema.fields + [T.StructField("_y", T.DoubleType())]))
-    ends = smoothed.groupBy(*keys, SLICE).agg(
-        F.count("*").alias("_n"), F.min_by(F.col(value).cast("double"), "_i").alias("_x0"), F.max_by("_y", "_i").alias("_yn"))
-    carried = ends.groupBy(*keys).applyInPandas(chain, T.StructType(
-        _fields(ends, [*keys, SLICE]) + [T.StructField("_x0", T.DoubleType()), T.StructField("_in", T.DoubleType())]))
-    fix = F.pow(F.lit(keep), F.col("_i")) * (F.col("_in") - F.col("_x0"))
-    return join_back(smoothed, carried, keys).withColumn(out, F.col("_y") + F.coalesce(F.nanvl(fix, F.lit(None)), F.lit(0.0))).drop(
-        SLICE, "_i", "_y", "_x0", "_in")
+    item = F.struct(F.unix_micros(ts).alias("t"), *tie, F.col(value).cast("double").alias("x"), F.struct(*df.columns).alias("row"))
+    slices = _gather(sliced, [*keys, SLICE], item, "_items")
+
+    @F.pandas_udf("array<double>")
+    def local(values: pd.Series) -> pd.Series:
+        out = []
+        for x in values:
+            y = np.empty(len(x))
+            y[0] = x[0]
+            for i in range(1, len(x)):
+                y[i] = keep * y[i - 1] + alpha * x[i]
+            out.append(y)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<double>")
+    def carried(chains: pd.Series) -> pd.Series:
+        out = []
+        for chain in chains:
+            state, entry = None, []
+            for step in chain:
+                entry.append(state)
+                state = step["y"] if state is None else step["y"] + keep ** step["n"] * (state - step["x"])
+            out.append(entry)
+        return pd.Series(out)
+
+    smoothed = slices.withColumn("_y", local(F.col("_items.x")))
+    ends = smoothed.select(*keys, SLICE, F.size("_items").alias("n"), F.col("_items")[0]["x"].alias("x"), F.element_at("_y", -1).alias("y"))
+    chains = _gather(ends, keys, F.struct(SLICE, "n", "x", "y"), "_chain").withColumn("_in", carried("_chain"))
+    started = chains.select(*keys, F.explode(F.arrays_zip(F.col(f"_chain.{SLICE}").alias("s"), F.col("_in").alias("v"))).alias("_z")).select(
+        *keys, F.col("_z.s").alias(SLICE), F.col("_z.v").alias("_in"))
+    rows = smoothed.join(started, [*keys, SLICE]).withColumn("_x0", F.col("_items")[0]["x"]).select(
+        "_in", "_x0", F.posexplode(F.arrays_zip(F.col("_items.row").alias("row"), F.col("_y").alias("y"))).alias("_i", "_z"))
+    fix = F.pow(F.lit(keep), F.col("_i") + 1) * (F.col("_in") - F.col("_x0"))
+    return rows.select("_z.row.*", (F.col("_z.y") + F.coalesce(fix, F.lit(0.0))).alias(out))
 
 
 def smoothed_rate(df: DataFrame, keys: list[str], ts: str = "ts", tie: tuple[str, ...] = (), alpha: float = 0.1,

@@ -84,7 +84,7 @@ DETECTIONS = f"""{PINS}, {EVENTS}, det AS (SELECT m.*, e.event_id, e.user_id, e.
    FROM ev e JOIN missions0 m ON m.mission_id = CAST(floor(e.user_id * 2 / 3) AS BIGINT))""".replace("missions0", "pins")
 PLACED = f"""{DETECTIONS}, placed AS (SELECT *, (origin_n + 825e0 - point_n) / 50e0 AS row_f, (point_e - (origin_e - 825e0)) / 50e0 AS col_f FROM {utm('det', 'lat', 'lon', 'point_e', 'point_n')}),
  onto AS (SELECT *, CAST(floor(row_f) AS INT) AS "row", CAST(floor(col_f) AS INT) AS col FROM placed WHERE floor(row_f) BETWEEN 0 AND 31 AND floor(col_f) BETWEEN 0 AND 31),
- timed AS (SELECT *, CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT) AS tick FROM onto)"""
+ timed AS MATERIALIZED (SELECT *, CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT) AS tick FROM onto)"""
 KEYS = 'mission_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col'
 
 
@@ -98,9 +98,9 @@ META = f"""{PINS}, ext AS (SELECT *, origin_e - 825e0 AS min_e, origin_e + 775e0
    least(nw_lon, ne_lon, se_lon, sw_lon) AS west FROM {latlon(latlon(latlon(latlon('ext', 'min_e', 'max_n', 'nw_lat', 'nw_lon'), 'max_e', 'max_n', 'ne_lat', 'ne_lon'), 'max_e', 'min_n', 'se_lat', 'se_lon'), 'min_e', 'min_n', 'sw_lat', 'sw_lon')})"""
 _corner = ", ".join(r(f"{c}_{p}", 8) for c in ("nw", "ne", "se", "sw") for p in ("lat", "lon"))
 oracle("grid_metadata", META, f"SELECT mission_id, CAST(epsg AS BIGINT) AS epsg, {', '.join(r(c, 4) for c in ('origin_e', 'origin_n', 'min_e', 'max_e', 'min_n', 'max_n'))}, {r('area_m2', 2)}, {_corner}, {', '.join(r(c, 8) for c in ('north', 'south', 'east', 'west'))} FROM meta")
-oracle("grid_cells", CELLS, f"SELECT {KEYS}, {r('easting', 4)}, {r('northing', 4)}, {r('lat', 8)}, {r('lon', 8)}, {r('p', 1)} FROM {latlon('cells')}")
-oracle("utm_roundtrip", DETECTIONS, f"SELECT event_id, {r('easting', 4)}, {r('northing', 4)}, {r('lat', 8, 'lat2')}, {r('lon', 8, 'lon2')} FROM {utm('det', 'lat', 'lon')}")
-oracle("point_to_cell", PLACED, f"SELECT event_id, {KEYS}, {r('row_f', 6)}, {r('col_f', 6)} FROM onto")
+oracle("grid_cells", CELLS, f"SELECT {KEYS}, {r('easting', 3)}, {r('northing', 3)}, {r('lat', 8)}, {r('lon', 8)}, {r('p', 1)} FROM {latlon('cells')}")
+oracle("utm_roundtrip", DETECTIONS, f"SELECT event_id, {r('easting', 3)}, {r('northing', 3)}, {r('lat', 7, 'lat2')}, {r('lon', 7, 'lon2')} FROM {utm('det', 'lat', 'lon')}")
+oracle("point_to_cell", PLACED, f"SELECT event_id, {KEYS}, {r('row_f', 4)}, {r('col_f', 4)} FROM onto")
 oracle("point_to_cell_clamped", PLACED, """SELECT event_id, mission_id, CAST(greatest(0, least(31, floor(row_f))) AS BIGINT) AS "row", CAST(greatest(0, least(31, floor(col_f))) AS BIGINT) AS col FROM placed""")
 
 
@@ -195,8 +195,8 @@ oracle("merge_report", f"""{MERGED}, tot AS (SELECT user_id, count(*) AS j, coun
   CAST(0 AS BIGINT) AS malformed_not_found_csv_timestamps, {r('c.off / 1e6', 6, 'clock_offset_seconds')} FROM chosen c JOIN tot USING (user_id) JOIN tc USING (user_id) JOIN mm USING (user_id)""")
 oracle("json_arrays", TELE, "SELECT user_id, CAST(us // 86400000000 AS BIGINT) AS bucket, count(*) AS n, min(us) AS first_us, CAST(sum(event_id) AS BIGINT) AS ids FROM tele GROUP BY 1, 2")
 oracle("gps_track", EVENTS, f"SELECT user_id, event_id, us // 10000 * 10000 AS ts, {r('value', 6, 'lat')}, {r('value / 4', 6, 'lon')} FROM ev WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND NOT (value = 0)")
-oracle("best_detection", "b AS (SELECT event_id // 3 AS frame, event_id, value, event_type IN ('purchase', 'click', 'view') AND value / 100 >= 0.5 AS good FROM events), g AS (SELECT * FROM b WHERE good QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, event_id) = 1)",
-       f"SELECT CAST(f.frame AS BIGINT) AS frame, CAST(g.event_id IS NOT NULL AS BIGINT) AS person, CAST(g.event_id AS DOUBLE) AS box2, {r('g.value / 100', 3, 'confidence')} FROM (SELECT DISTINCT frame FROM b) f LEFT JOIN g USING (frame)")
+oracle("best_detection", "b AS (SELECT event_id // 3 AS frame, event_id, value, event_type IN ('purchase', 'click', 'view') AND value / 97 >= 0.5 AS good FROM events), g AS (SELECT * FROM b WHERE good QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, event_id) = 1)",
+       f"SELECT CAST(f.frame AS BIGINT) AS frame, CAST(g.event_id IS NOT NULL AS BIGINT) AS person, CAST(g.event_id AS DOUBLE) AS box2, {r('g.value / 97', 3, 'confidence')} FROM (SELECT DISTINCT frame FROM b) f LEFT JOIN g USING (frame)")
 oracle("clip_summary", "", f"SELECT event_id % 4 AS clip, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS found, count(*) AS processed, {r('''100e0 * count(*) FILTER (event_type = 'purchase') / count(*)''', 6, 'percent')} FROM events GROUP BY 1")
 oracle("carry_boxes", "", f"SELECT f.event_id AS frame, CAST(f.event_id // 5 * 5 AS BIGINT) AS source_frame, {r('''CASE WHEN s.event_type = 'purchase' THEN s.value END''', 4, 'confidence')} FROM events f LEFT JOIN events s ON s.event_id = f.event_id // 5 * 5")
 
@@ -249,7 +249,7 @@ oracle("upsample", f"""{RELIEF}, coarse AS (SELECT mission_id, "row" // 4 AS "ro
        f"SELECT {KEYS}, {r('v', 6, 'elevation')} FROM {sampled('tg', 'coarse', 7, 'elevation')}")
 oracle("resample_offset_grid", f"""{RELIEF}, mv0 AS (SELECT * FROM {utm('(SELECT mission_id, lkp_lat + 0.003e0 AS la, lkp_lon, 32636 AS epsg, origin_e, origin_n FROM pins)', 'la', 'lkp_lon', 'me', 'mn')}),
  mv AS (SELECT m.*, a.i AS "row", b.i AS col, me - 825e0 + (b.i + 0.5e0) * 50e0 AS e, mn + 825e0 - (a.i + 0.5e0) * 50e0 AS n FROM mv0 m, axis a, axis b),
- tg AS (SELECT mission_id, "row", col, (origin_n + 825e0 - n) / 50e0 AS row_f, (e - (origin_e - 825e0)) / 50e0 AS col_f FROM mv)""", f"SELECT {KEYS}, {r('v', 5, 'elevation')} FROM {sampled('tg', 'relief', 31, 'elevation')}")
+ tg AS (SELECT mission_id, "row", col, (origin_n + 825e0 - n) / 50e0 AS row_f, (e - (origin_e - 825e0)) / 50e0 AS col_f FROM mv)""", f"SELECT {KEYS}, {r('v', 3, 'elevation')} FROM {sampled('tg', 'relief', 31, 'elevation')}")
 oracle("display_samples", f"""{FORMULA}, ax2 AS (SELECT CAST(range AS INT) AS i FROM range(64)), tg AS (SELECT mission_id, a.i AS out_row, b.i AS out_col, (a.i + 0.5e0) / 2 - 0.5 AS row_f, (b.i + 0.5e0) / 2 - 0.5 AS col_f FROM pins, ax2 a, ax2 b)""",
        f"SELECT mission_id, CAST(out_row AS BIGINT) AS out_row, CAST(out_col AS BIGINT) AS out_col, {r('v', 9, 'p')} FROM {sampled('tg', 'surf', 31, 'p', clamp=True)}")
 _legs = "(VALUES (-0.006e0, 0e0, 0.006e0, 0e0), (-0.002e0, -0.005e0, 0e0, 0.001e0), (0e0, 0.001e0, 0.004e0, 0.005e0)) AS g(ax, ay, qx, qy)"
@@ -365,7 +365,7 @@ oracle("tick_join", PLACED, """SELECT mission_id, CAST(floor((us - epoch_us(TIME
 
 
 def swept(radius: float) -> str:
-    return f"""swp AS (SELECT DISTINCT t.mission_id, t.tick, c."row", c.col FROM timed t JOIN (SELECT a.i AS "row", b.i AS col FROM (SELECT CAST(range AS INT) AS i FROM range(32)) a, (SELECT CAST(range AS INT) AS i FROM range(32)) b) c
+    return f"""swp AS MATERIALIZED (SELECT DISTINCT t.mission_id, t.tick, c."row", c.col FROM timed t JOIN (SELECT a.i AS "row", b.i AS col FROM (SELECT CAST(range AS INT) AS i FROM range(32)) a, (SELECT CAST(range AS INT) AS i FROM range(32)) b) c
    ON abs(c."row" - t."row") <= 3 AND abs(c.col - t.col) <= 3 WHERE NOT t.person AND ((c."row" = t."row" AND c.col = t.col)
    OR power(t.origin_e - 825e0 + (c.col + 0.5e0) * 50 - t.point_e, 2) + power(t.origin_n + 825e0 - (c."row" + 0.5e0) * 50 - t.point_n, 2) <= {radius * radius}e0))"""
 
@@ -420,7 +420,7 @@ oracle("field_range", f"""{PUBLISHED}, ord AS (SELECT *, row_number() OVER (PART
        f"SELECT mission_id, field, {r('''CASE WHEN field = 'reachability' THEN 0 ELSE a END''', 6, 'range_min')}, {r('''CASE WHEN field = 'reachability' THEN CASE WHEN b > 1e-9 THEN b ELSE 1 END WHEN b - a < 1e-9 THEN a + 1 ELSE b END''', 6, 'range_max')} FROM rg")
 oracle("color_range", f"{FORMULA}, cr AS (SELECT mission_id, min(p) AS a, max(p) AS b, count(*) FILTER (p > 1e-8) / count(*) AS share FROM surf GROUP BY 1)",
        f"SELECT mission_id, CAST(share > 0 AND share < 0.01 AS BIGINT) AS low_mass, {r('CASE WHEN b - a <= 1e-8 THEN 0 ELSE a END', 9, 'range_min')}, {r('CASE WHEN b - a <= 1e-8 THEN 1 ELSE b END', 9, 'range_max')}, {r('greatest(b, 1e-8)', 9, 'grid_max')}, {r('a', 9, 'grid_min')}, {r('share', 6)} FROM cr")
-oracle("unit_surface", f"{FORMULA}, un AS (SELECT *, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) AS unit FROM surf WINDOW w AS (PARTITION BY mission_id))", f"SELECT {KEYS}, CAST(unit >= 0.4e0 AS BIGINT) AS masked, {r('unit', 12)} FROM un")
+oracle("unit_surface", f"{FORMULA}, un AS (SELECT *, (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) AS unit FROM surf WINDOW w AS (PARTITION BY mission_id))", f"SELECT {KEYS}, CAST(unit >= 0.41e0 AS BIGINT) AS masked, {r('unit', 12)} FROM un")
 oracle("heatmap_export", f"{FORMULA}, {META[len(PINS) + 2:]}", f"""SELECT s.mission_id, count(*) AS n, CAST(32 AS BIGINT) AS "rows", {r('max(p) FILTER ("row" = 0 AND col = 0)', 9, 'p0')}, {r('max(p) FILTER ("row" = 15 AND col = 20)', 9, 'p500')}, {r('max(p) FILTER ("row" = 31 AND col = 31)', 9, 'p1023')}, {r('any_value(north)', 8, 'north')} FROM surf s JOIN meta USING (mission_id) GROUP BY 1""")
 oracle("terrain_report", TERRAIN, f"""SELECT mission_id, count(*) AS n, CAST(1 AS BIGINT) AS n_warnings, {r('max(elevation) FILTER ("row" = 31 AND col = 31)', 3, 'last_elevation')}, {r('max(degrees(slope))', 6, 'max_slope')} FROM terrain GROUP BY 1""")
 
@@ -445,7 +445,7 @@ oracle("effective_sample_size", f"{DETECTIONS}, w AS (SELECT mission_id, (1 + ev
        f"SELECT mission_id, n, CAST(ess < n / 2 AS BIGINT) AS resample, {r('ess', 4)} FROM e")
 oracle("kde_surface", f"""{PLACED}, pt AS (SELECT mission_id, (1 + event_id % 13) / 1000e0 AS w, row_f - 0.5 AS rf, col_f - 0.5 AS cf FROM placed), ax AS (SELECT CAST(range AS INT) AS i FROM range(32)),
  kd AS (SELECT mission_id, x.i AS "row", y.i AS col, sum(w * exp(-0.5e0 * (power(x.i - rf, 2) + power(y.i - cf, 2)) / 1.21e0)) AS d FROM pt, ax x, ax y WHERE x.i BETWEEN floor(rf - 4) AND ceil(rf + 4) AND y.i BETWEEN floor(cf - 4) AND ceil(cf + 4) GROUP BY 1, 2, 3),
- kr AS (SELECT *, d * (1 + 1.05e0 * {PROX}) AS q FROM kd)""", f"SELECT {KEYS}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 9, 'p')} FROM kr")
+ kr AS (SELECT *, d * (1 + 1.05e0 * {PROX}) AS q FROM kd)""", f"SELECT {KEYS}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 10, 'p')} FROM kr")
 oracle("systematic_resample", """pt AS (SELECT event_id % 8 AS mission_id, event_id // 8 AS idx, 1 + event_id * 7 % 13 AS raw FROM events), cu AS (SELECT *, sum(raw) OVER w AS hi, sum(raw) OVER w - raw AS lo, sum(raw) OVER (PARTITION BY mission_id) AS tot, count(*) OVER (PARTITION BY mission_id) AS n FROM pt WINDOW w AS (PARTITION BY mission_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
  dr AS (SELECT *, greatest(0, CAST(floor(lo / tot * n - 0.37e0) AS BIGINT) + 1) AS j0, least(n - 1, CAST(floor(hi / tot * n - 0.37e0) AS BIGINT)) AS j1 FROM cu)""",
        "SELECT mission_id, idx, CAST(j1 - j0 + 1 AS BIGINT) AS copies, CAST(j0 AS BIGINT) AS first_draw FROM dr WHERE j1 >= j0")

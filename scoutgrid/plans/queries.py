@@ -71,19 +71,19 @@ def grid_metadata(spark, folder):
 @query
 def grid_cells(spark, folder):
     c = grid.with_cell_latlon(tb.cells(spark, folder))
-    return shown(c, "mission_id", "row", "col", easting=4, northing=4, lat=8, lon=8, p=1)
+    return shown(c, "mission_id", "row", "col", easting=3, northing=3, lat=8, lon=8, p=1)
 
 
 @query
 def utm_roundtrip(spark, folder):
     d = geo.with_utm(tb.placed_detections(spark, folder), "lat", "lon", "epsg")
     back = geo.with_latlon(d, "easting", "northing", "epsg", "lat2", "lon2")
-    return shown(back, "event_id", easting=4, northing=4, lat2=8, lon2=8)
+    return shown(back, "event_id", easting=3, northing=3, lat2=7, lon2=7)
 
 
 @query
 def point_to_cell(spark, folder):
-    return shown(grid.point_to_cell(tb.placed_detections(spark, folder)), "event_id", "mission_id", "row", "col", row_f=6, col_f=6)
+    return shown(grid.point_to_cell(tb.placed_detections(spark, folder)), "event_id", "mission_id", "row", "col", row_f=4, col_f=4)
 
 
 @query
@@ -291,7 +291,7 @@ def gps_track(spark, folder):
 def best_detection(spark, folder):
     e = tb.events(spark, folder)
     boxes = e.select("user_id", F.floor(F.col("event_id") / 3).alias("frame"), F.when(F.col("event_type").isin("purchase", "click", "view"), "person").otherwise("car").alias("label"),
-                     (F.col("value") / 100).alias("confidence"), (F.col("event_id") % 3).alias("box_no"), F.array(F.col("value"), F.col("event_id").cast("double")).alias("bbox"))
+                     (F.col("value") / 97).alias("confidence"), (F.col("event_id") % 3).alias("box_no"), F.array(F.col("value"), F.col("event_id").cast("double")).alias("bbox"))
     boxes = boxes.withColumn("clip", F.lit(0).cast("bigint")).drop("user_id")
     frames = boxes.select("clip", "frame").distinct()
     got = tm.best_detection(boxes, frames, ["clip"])
@@ -385,7 +385,7 @@ def resample_offset_grid(spark, folder):
     src = grid.with_origin(m).select("mission_id", F.col("epsg").alias("source_epsg"), F.col("origin_e").alias("source_origin_e"), F.col("origin_n").alias("source_origin_n"),
                                      F.col("size").alias("source_size"), F.col("res_m").alias("source_res_m"))
     targets = raster.fields_on_grid(moved, src)
-    return shown(raster.resample_bilinear(targets, tb.with_elevation(tb.cells(spark, folder)), "elevation", F.lit(SIZE), "elevation"), "mission_id", "row", "col", elevation=5)
+    return shown(raster.resample_bilinear(targets, tb.with_elevation(tb.cells(spark, folder)), "elevation", F.lit(SIZE), "elevation"), "mission_id", "row", "col", elevation=3)
 
 
 @query
@@ -675,7 +675,7 @@ def color_range(spark, folder):
 @query
 def unit_surface(spark, folder):
     u = report.unit_surface(formula_surface(spark, folder))
-    masked = sc.mask_on(F.col("unit"), F.lit(0.0), F.lit(1.0), 0.4)
+    masked = sc.mask_on(F.col("unit"), F.lit(0.0), F.lit(1.0), 0.41)
     return shown(u.withColumn("masked", masked.cast("bigint")), "mission_id", "row", "col", "masked", unit=12)
 
 
@@ -728,7 +728,7 @@ def effective_sample_size(spark, folder):
 @query
 def kde_surface(spark, folder):
     k = points.kde_surface(weighted_points(spark, folder), tb.cross_proximity(tb.cells(spark, folder)))
-    return shown(k, "mission_id", "row", "col", p=9)
+    return shown(k, "mission_id", "row", "col", p=10)
 
 
 @query
