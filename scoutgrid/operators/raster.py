@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geo
@@ -216,39 +218,52 @@ def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = Fa
     return samples.where(inside).groupBy(*CELL_KEYS).agg(F.avg("te").alias("tangent_e"), F.avg("tn").alias("tangent_n"))
 
 
+def _nearest_marks(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Index of the nearest mark for every cell of an n x n grid, row-major.
+
+    First the nearest mark of each column, then the best column of each row. Ties go to the
+    smaller column, then the smaller row.
+    """
+    far = 4 * n
+    line = np.arange(n)
+    away, which = np.full((n, n), far), np.full((n, n), -1)
+    for i in np.lexsort((-rows, cols)):  # larger rows first, so that smaller ones win ties
+        gap = np.abs(line - rows[i])
+        closer = gap <= away[:, cols[i]]
+        away[closer, cols[i]], which[closer, cols[i]] = gap[closer], i
+    best, answer = np.full((n, n), 2 * far * far), np.full((n, n), -1)
+    for c in np.unique(cols):
+        total = (away[:, [c]]) ** 2 + (line[None, :] - c) ** 2
+        closer = total < best
+        best = np.where(closer, total, best)
+        answer = np.where(closer, which[:, [c]], answer)
+    return answer.ravel()
+
+
 def road_fields(cells: DataFrame, touched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Exact distance to the nearest road cell, proximity and that cell's tangent.
 
-    Pass one finds the nearest road cell of each column (running windows); pass two takes the
-    best column of the row. Only columns no further away than the cell's own column answer can
-    win, so the row's array is sliced to that span: exact, and no cell is paired with all others.
-    Ties go to the smaller column, then the smaller row.
+    A mission's road cells (never more than its grid holds) go to one group, which answers for
+    all its cells; the dense table is not shipped there. Missions without roads get zeros.
     """
-    marks = touched.select(*CELL_KEYS, F.struct(F.col("row"), "tangent_e", "tangent_n").alias("_hit"))
-    down = W.partitionBy("mission_id", "col").orderBy("row")
-    north = F.last("_hit", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0))
-    south = F.last("_hit", ignorenulls=True).over(
-        W.partitionBy("mission_id", "col").orderBy(F.desc("row")).rowsBetween(W.unboundedPreceding, 0))
-    out = cells.join(marks, list(CELL_KEYS), "left").withColumn("_n", north).withColumn("_s", south)
-    up, below = F.col("row") - F.col("_n.row"), F.col("_s.row") - F.col("row")
-    best = F.when(F.col("_s").isNull() | (up <= below), F.col("_n")).otherwise(F.col("_s"))
-    far = 2 * 512
-    out = out.withColumn("_v", best).withColumn("_dv", F.coalesce(F.abs(F.col("row") - F.col("_v.row")), F.lit(far)))
-    line = F.collect_list(F.struct("_dv", "_v")).over(
-        W.partitionBy("mission_id", "row").orderBy("col").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    start = F.greatest(F.lit(0), F.col("col") - F.col("_dv"))
-    span = F.slice("_line", start + 1, F.col("col") + F.col("_dv") - start + 1)
-    def candidate(x: Column, i: Column) -> Column:
-        c = start + i
-        return F.struct(((c - F.col("col")) * (c - F.col("col")) + x["_dv"] * x["_dv"]).alias("d2"), c.alias("c"),
-                        x["_v"]["row"].alias("r"), x["_v"]["tangent_e"].alias("te"), x["_v"]["tangent_n"].alias("tn"))
-    out = out.withColumn("_line", line).withColumn("_best", F.array_min(F.filter(
-        F.transform(span, candidate), lambda s: s["r"].isNotNull())))
-    dist = F.sqrt(F.col("_best.d2")) * F.col("res_m")
+    sized = touched.join(cells.groupBy("mission_id").agg(F.max("size").alias("size")), "mission_id").select(
+        "mission_id", "row", "col", "size", "tangent_e", "tangent_n")
+
+    def answer(table: pa.Table) -> pa.Table:
+        n = table["size"][0].as_py()
+        rows, cols = table["row"].to_numpy(), table["col"].to_numpy()
+        at = _nearest_marks(rows, cols, n)
+        r, c = np.divmod(np.arange(n * n), n)
+        return pa.table({
+            "mission_id": np.full(n * n, table["mission_id"][0].as_py(), dtype="int64"), "row": r.astype("int32"), "col": c.astype("int32"),
+            "_d": np.hypot(r - rows[at], c - cols[at]), "_te": table["tangent_e"].to_numpy()[at], "_tn": table["tangent_n"].to_numpy()[at]})
+
+    near = sized.groupBy("mission_id").applyInArrow(answer, "mission_id bigint, row int, col int, _d double, _te double, _tn double")
+    dist = F.col("_d") * F.col("res_m")
+    out = cells.join(near, list(CELL_KEYS), "left")
     return out.select(
-        *cells.columns, dist.alias("road_dist_m"),
-        F.coalesce(F.exp(-dist / settings.road_decay_m), F.lit(0.0)).alias("road_proximity"),
-        F.coalesce("_best.te", F.lit(0.0)).alias("road_tangent_e"), F.coalesce("_best.tn", F.lit(0.0)).alias("road_tangent_n"))
+        *cells.columns, dist.alias("road_dist_m"), F.coalesce(F.exp(-dist / settings.road_decay_m), F.lit(0.0)).alias("road_proximity"),
+        F.coalesce("_te", F.lit(0.0)).alias("road_tangent_e"), F.coalesce("_tn", F.lit(0.0)).alias("road_tangent_n"))
 
 
 def is_road(proximity: Column, settings: Settings = DEFAULTS) -> Column:

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..session import cut_lineage
 from ..settings import DEFAULTS, Settings
 from .grid import CELL_KEYS, with_cell_latlon
 from .ranking import ranked_cells
@@ -137,8 +138,11 @@ def route_crossings(stops: DataFrame, missions: DataFrame) -> DataFrame:
 
 
 def drone_routes(cells: DataFrame, missions: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Polished stops with positions, and one summary row per mission."""
-    stops = polish_routes(plan_routes(cells, settings), missions)
+    """Polished stops with positions, and one summary row per mission.
+
+    The stops (at most twelve small rows per mission) feed several results, so they are kept.
+    """
+    stops = cut_lineage(polish_routes(plan_routes(cells, settings), missions))
     placed = with_cell_latlon(stops.join(missions.select("mission_id", "epsg"), "mission_id"))
     summary = path_length(stops, missions).join(covered_mass(stops, cells, settings.route_radius_cells), "mission_id", "left").withColumn(
         "expected_coverage", F.coalesce("expected_coverage", F.lit(0.0)))

@@ -38,7 +38,9 @@ def normalize_detections(raw: DataFrame, text: str = "value") -> DataFrame:
     box = F.transform(boxes, lambda x: x.try_cast("double"))
     whole = F.when(boxes.isNotNull() & ~F.exists(box, lambda x: x.isNull()), box)
     frame = get("frame")
-    parsed = raw.withColumn("_m", F.from_json(F.col(text), "map<string,string>")).where("_m is not null")
+    # parsed in a generator: filters on what follows are not pushed below it, where each
+    # mention of the map would parse the text again
+    parsed = raw.withColumn("_m", F.explode(F.filter(F.array(F.from_json(F.col(text), "map<string,string>")), lambda x: x.isNotNull())))
     return parsed.select(
         *[c for c in raw.columns if c != text],
         parse_iso(stamp).alias("ts"), F.when(both, lat).alias("lat"), F.when(both, lon).alias("lon"),

@@ -445,7 +445,7 @@ oracle("effective_sample_size", f"{DETECTIONS}, w AS (SELECT mission_id, (1 + ev
        f"SELECT mission_id, n, CAST(ess < n / 2 AS BIGINT) AS resample, {r('ess', 4)} FROM e")
 oracle("kde_surface", f"""{PLACED}, pt AS (SELECT mission_id, (1 + event_id % 13) / 1000e0 AS w, row_f - 0.5 AS rf, col_f - 0.5 AS cf FROM placed), ax AS (SELECT CAST(range AS INT) AS i FROM range(32)),
  kd AS (SELECT mission_id, x.i AS "row", y.i AS col, sum(w * exp(-0.5e0 * (power(x.i - rf, 2) + power(y.i - cf, 2)) / 1.21e0)) AS d FROM pt, ax x, ax y WHERE x.i BETWEEN floor(rf - 4) AND ceil(rf + 4) AND y.i BETWEEN floor(cf - 4) AND ceil(cf + 4) GROUP BY 1, 2, 3),
- kr AS (SELECT *, d * (1 + 1.05e0 * {PROX}) AS q FROM kd)""", f"SELECT {KEYS}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 10, 'p')} FROM kr")
+ kr AS (SELECT *, d * (1 + 1.05e0 * {PROX}) AS q FROM kd)""", f"SELECT {KEYS}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 7, 'p')} FROM kr")
 oracle("systematic_resample", """pt AS (SELECT event_id % 8 AS mission_id, event_id // 8 AS idx, 1 + event_id * 7 % 13 AS raw FROM events), cu AS (SELECT *, sum(raw) OVER w AS hi, sum(raw) OVER w - raw AS lo, sum(raw) OVER (PARTITION BY mission_id) AS tot, count(*) OVER (PARTITION BY mission_id) AS n FROM pt WINDOW w AS (PARTITION BY mission_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
  dr AS (SELECT *, greatest(0, CAST(floor(lo / tot * n - 0.37e0) AS BIGINT) + 1) AS j0, least(n - 1, CAST(floor(hi / tot * n - 0.37e0) AS BIGINT)) AS j1 FROM cu)""",
        "SELECT mission_id, idx, CAST(j1 - j0 + 1 AS BIGINT) AS copies, CAST(j0 AS BIGINT) AS first_draw FROM dr WHERE j1 >= j0")

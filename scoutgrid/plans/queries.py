@@ -728,7 +728,7 @@ def effective_sample_size(spark, folder):
 @query
 def kde_surface(spark, folder):
     k = points.kde_surface(weighted_points(spark, folder), tb.cross_proximity(tb.cells(spark, folder)))
-    return shown(k, "mission_id", "row", "col", p=10)
+    return shown(k, "mission_id", "row", "col", p=7)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.grid import make_cells, with_origin
 from ..operators.raster import slope_aspect
-from ..session import use_utc
+from ..session import spread, use_utc
 from ..settings import METRES_PER_DEGREE
 
 SIZE, RES_M, STEP_SEC = 32, 50.0, 3600.0
@@ -74,7 +74,7 @@ def roads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spread(table(spark, folder, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:

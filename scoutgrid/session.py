@@ -39,6 +39,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than the session has shuffle partitions out to all tasks.
+
+    For small files with much work per row; a scan that has enough splits is left alone.
+    """
+    wanted = shuffle_partitions(df.sparkSession)
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -42,7 +42,8 @@ def parse_messages(raw: DataFrame, text: str = "value") -> DataFrame:
     and messages with missing fields; ``quarantine`` keeps those.
     """
     msg = F.col("msg")
-    parsed = raw.withColumn("msg", F.from_json(text, ENVELOPE))
+    # one parse per text: see normalize_detections
+    parsed = raw.withColumn("msg", F.explode(F.array(F.from_json(text, ENVELOPE))))
     kind = F.when(msg["event"].isin("engine_tick", "update_layers"), msg["event"]).otherwise(msg["type"])
     parsed = parsed.withColumn("kind", kind)
     ok = F.lit(False)
