@@ -125,5 +125,8 @@ def point_to_cell(points: DataFrame, outside: str = "drop", lat: str = "lat", lo
         top = size - 1
         return out.withColumn("row", F.greatest(F.lit(0), F.least(top, row))).withColumn(
             "col", F.greatest(F.lit(0), F.least(top, col)))
-    return out.withColumn("row", row).withColumn("col", col).where(
-        (F.col("row") >= 0) & (F.col("row") < size) & (F.col("col") >= 0) & (F.col("col") < size))
+    # dropped in a generator: as a filter on row and col the projection would be pushed down
+    # into every one of its comparisons
+    inside = (row >= 0) & (row < size) & (col >= 0) & (col < size)
+    placed = F.explode(F.when(inside, F.array(F.struct(row.alias("row"), col.alias("col")))))
+    return out.withColumn("_cell", placed).withColumn("row", F.col("_cell.row")).withColumn("col", F.col("_cell.col")).drop("_cell")

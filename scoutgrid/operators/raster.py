@@ -205,11 +205,12 @@ def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = Fa
     edges = geo.with_utm(edges, "a_lat", "a_lon", "epsg", "ae", "an")
     edges = geo.with_utm(edges, "b_lat", "b_lon", "epsg", "be", "bn")
     edges = edges.withColumn("de", F.col("be") - F.col("ae")).withColumn("dn", F.col("bn") - F.col("an"))
-    edges = edges.withColumn("length", F.hypot("de", "dn")).where("length > 0").withColumn(
+    edges = edges.withColumn("length", F.hypot("de", "dn")).withColumn(
         "steps", F.greatest(F.lit(1), F.floor(F.col("length") / (res * 0.5)).cast("int")))
     before = size * res / 2 if half_cell_shift else geo.edge_before(size, res)
     t = F.col("k") / F.col("steps")
-    samples = edges.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("steps")))).select(
+    places = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("steps")))  # no filter: see point_to_cell
+    samples = edges.withColumn("k", F.explode(places)).select(
         "mission_id", size.alias("_size"),
         F.floor((F.col("origin_n") + before - (F.col("an") + t * F.col("dn"))) / res).cast("int").alias("row"),
         F.floor((F.col("ae") + t * F.col("de") - (F.col("origin_e") - before)) / res).cast("int").alias("col"),
