@@ -66,7 +66,7 @@ def cross_proximity(grid: DataFrame) -> DataFrame:
 
 def roads(spark: SparkSession, folder: str) -> DataFrame:
     """Two polylines through every pin: an east-west and a slanted one with a bend."""
-    m = missions(spark, folder)
+    m = spread(missions(spark, folder))
     def at(dx: float, dy: float):
         return F.struct((F.col("lkp_lon") + dx).alias("lon"), (F.col("lkp_lat") + dy).alias("lat"))
     lines = F.array(F.array(at(-0.006, 0.0), at(0.006, 0.0)), F.array(at(-0.002, -0.005), at(0.0, 0.001), at(0.004, 0.005)))

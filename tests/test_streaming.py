@@ -71,7 +71,7 @@ def test_fold_and_relayer(spark, small, tmp_path):
     assert checked and all(abs(got[(r.mission_id, r.row, r.col)] - r.p) < 1e-12 for r in checked)
     fold(spark.read.parquet(str(tmp_path / "rec")), 0)  # the same batch again leaves the same state
     assert {(r.mission_id, r.row, r.col): r.p for r in state.latest().collect()} == got
-    control = spark.createDataFrame([(1, json.dumps({"event": "update_layers", "mission_id": "1", "layers": {"topography": False, "bogus": True}}))], "seq bigint, value string")
+    control = spark.createDataFrame([(1, json.dumps({"event": "update_layers", "mission_id": "1", "layers": {"topography": False, "roads": True, "bogus": True}}))], "seq bigint, value string")
     st.relayer_batches(fields, state, 32)(control, 1)
     again = {(r.mission_id, r.row, r.col): r.p for r in state.latest().collect()}
     assert any(again[k] != got[k] for k in got if k[0] == 1) and all(again[k] == got[k] for k in got if k[0] != 1)
