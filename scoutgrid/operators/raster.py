@@ -188,7 +188,7 @@ def fields_on_grid(display: DataFrame, source_missions: DataFrame) -> DataFrame:
 # --- roads ---------------------------------------------------------------------------------
 
 def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = False) -> DataFrame:
-    """Cells touched by polylines with their mean unit tangent.
+    """Cells touched by polylines with their mean unit tangent and the grid's size.
 
     ``roads`` is (mission_id, way_id, pts array<struct<lon,lat>>), ``missions`` carries the
     origin. Edges are split inside their own row, so polylines are never regrouped; samples
@@ -216,7 +216,8 @@ def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = Fa
         F.floor((F.col("ae") + t * F.col("de") - (F.col("origin_e") - before)) / res).cast("int").alias("col"),
         (F.col("de") / F.col("length")).alias("te"), (F.col("dn") / F.col("length")).alias("tn"))
     inside = (F.col("row") >= 0) & (F.col("row") < F.col("_size")) & (F.col("col") >= 0) & (F.col("col") < F.col("_size"))
-    return samples.where(inside).groupBy(*CELL_KEYS).agg(F.avg("te").alias("tangent_e"), F.avg("tn").alias("tangent_n"))
+    return samples.where(inside).groupBy(*CELL_KEYS).agg(
+        F.avg("te").alias("tangent_e"), F.avg("tn").alias("tangent_n"), F.max("_size").alias("size"))
 
 
 def _nearest_marks(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
@@ -247,9 +248,6 @@ def road_fields(cells: DataFrame, touched: DataFrame, settings: Settings = DEFAU
     A mission's road cells (never more than its grid holds) go to one group, which answers for
     all its cells; the dense table is not shipped there. Missions without roads get zeros.
     """
-    sized = touched.join(cells.groupBy("mission_id").agg(F.max("size").alias("size")), "mission_id").select(
-        "mission_id", "row", "col", "size", "tangent_e", "tangent_n")
-
     def answer(table: pa.Table) -> pa.Table:
         n = table["size"][0].as_py()
         rows, cols = table["row"].to_numpy(), table["col"].to_numpy()
@@ -259,7 +257,7 @@ def road_fields(cells: DataFrame, touched: DataFrame, settings: Settings = DEFAU
             "mission_id": np.full(n * n, table["mission_id"][0].as_py(), dtype="int64"), "row": r.astype("int32"), "col": c.astype("int32"),
             "_d": np.hypot(r - rows[at], c - cols[at]), "_te": table["tangent_e"].to_numpy()[at], "_tn": table["tangent_n"].to_numpy()[at]})
 
-    near = sized.groupBy("mission_id").applyInArrow(answer, "mission_id bigint, row int, col int, _d double, _te double, _tn double")
+    near = touched.select("mission_id", "row", "col", "size", "tangent_e", "tangent_n").groupBy("mission_id").applyInArrow(answer, "mission_id bigint, row int, col int, _d double, _te double, _tn double")
     dist = F.col("_d") * F.col("res_m")
     out = cells.join(near, list(CELL_KEYS), "left")
     return out.select(

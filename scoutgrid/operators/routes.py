@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..session import cut_lineage
 from ..settings import DEFAULTS, Settings
 from .grid import CELL_KEYS, with_cell_latlon
-from .ranking import ranked_cells
 
 STOP = T.StructType([
     T.StructField("mission_id", T.LongType()), T.StructField("stop", T.IntegerType()),
@@ -18,56 +19,52 @@ STOP = T.StructType([
     T.StructField("easting", T.DoubleType()), T.StructField("northing", T.DoubleType())])
 
 
-def footprints(cells: DataFrame, candidates: DataFrame, radius: int) -> DataFrame:
-    """Candidates with the mass of each cell of their square footprint."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    asked = candidates.select("mission_id", F.col("rank"), F.col("row").alias("_r"), F.col("col").alias("_c")).withColumn(
-        "_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
-    asked = asked.withColumn("row", F.col("_r") + F.col("_dr")).withColumn("col", F.col("_c") + F.col("_dc"))
-    return asked.join(cells.select(*CELL_KEYS, "p"), list(CELL_KEYS)).groupBy("mission_id", "rank").agg(
-        F.collect_list(F.struct("row", "col", "p")).alias("footprint"))
-
-
-def _greedy(pool: pd.DataFrame, s: Settings) -> list[int]:
-    """Positions (in candidate order) of the stops, best new mass per distance first."""
-    east, north = pool["easting"].tolist(), pool["northing"].tolist()
-    areas = [{(c["row"], c["col"]): c["p"] for c in area} for area in pool["footprint"]]
-    here, flown, covered, chosen = (pool["origin_e"].iloc[0], pool["origin_n"].iloc[0]), 0.0, set(), []
-    while len(chosen) < s.route_stops:
-        best = None
-        for i, area in enumerate(areas):
-            leg = math.hypot(here[0] - east[i], here[1] - north[i])
-            if i in chosen or flown + leg > s.route_length_m:
-                continue
-            gain = math.fsum(p for cell, p in area.items() if cell not in covered)
-            option = (gain / (1.0 + leg / s.route_distance_m), gain)
-            if best is None or option > best[0]:
-                best = (option, i, leg)
-        if best is None or best[0][1] <= s.min_mass:
+def _greedy(mass: np.ndarray, res: float, s: Settings) -> list[tuple[int, int]]:
+    """Cells of the stops in the order chosen: most new mass per distance first.
+
+    Ties go to the larger new mass, then to the earlier candidate.
+    """
+    n, r = len(mass), s.route_radius_cells
+    flat = mass.ravel()
+    pool = np.lexsort((-np.arange(flat.size), -flat))[:s.route_candidates]
+    rows, cols = np.divmod(pool[flat[pool] > s.min_mass], n)
+    east, north = (cols - n // 2) * res, (n // 2 - rows) * res
+    left = np.pad(mass, r)
+    areas = np.lib.stride_tricks.sliding_window_view(left, (2 * r + 1, 2 * r + 1))
+    here, flown, taken, stops = (0.0, 0.0), 0.0, np.zeros(len(rows), dtype=bool), []
+    while len(stops) < s.route_stops:
+        leg = np.hypot(east - here[0], north - here[1])
+        gain = areas[rows, cols].sum(axis=(1, 2))
+        score = np.where(taken | (flown + leg > s.route_length_m), -1.0, gain / (1.0 + leg / s.route_distance_m))
+        if not len(score) or score.max() < 0:
             break
-        _, i, leg = best
-        chosen.append(i)
-        flown, here = flown + leg, (east[i], north[i])
-        covered |= areas[i].keys()
-    return chosen
+        best = np.flatnonzero(score == score.max())
+        i = best[np.argmax(gain[best])]
+        if gain[i] <= s.min_mass:
+            break
+        stops.append((int(rows[i]), int(cols[i])))
+        taken[i], flown, here = True, flown + leg[i], (east[i], north[i])
+        left[rows[i]:rows[i] + 2 * r + 1, cols[i]:cols[i] + 2 * r + 1] = 0.0
+    return stops
 
 
 def plan_routes(cells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Stops of every mission's route in the order they were chosen.
 
-    Spark ranks the candidates and gathers their footprints; what reaches a group is at most
-    128 candidates of 25 cells, whatever the size of the grid.
+    A dozen dependent choices on one bounded grid: one group per mission, fed with the surface
+    and nothing else. Needs ``size``, ``res_m`` and the origin columns.
     """
-    best = ranked_cells(cells, settings.route_candidates, settings).select(
-        "mission_id", "rank", "row", "col", "easting", "northing", "origin_e", "origin_n")
-    pool = best.join(footprints(cells, best, settings.route_radius_cells), ["mission_id", "rank"])
-
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rank").reset_index(drop=True)
-        picked = frame.loc[_greedy(frame, settings), ["mission_id", "row", "col", "easting", "northing"]]
-        return picked.assign(stop=range(1, len(picked) + 1))[STOP.names]
-
-    return pool.groupBy("mission_id").applyInPandas(choose, STOP)
+    def choose(table: pa.Table) -> pa.Table:
+        n, res = table["size"][0].as_py(), table["res_m"][0].as_py()
+        mass = np.zeros(n * n)
+        mass[table["row"].to_numpy() * n + table["col"].to_numpy()] = table["p"].to_numpy()
+        stops = np.array(_greedy(mass.reshape(n, n), res, settings), dtype="int32").reshape(-1, 2)
+        return pa.table({
+            "mission_id": np.full(len(stops), table["mission_id"][0].as_py(), dtype="int64"), "stop": np.arange(1, len(stops) + 1, dtype="int32"),
+            "row": stops[:, 0], "col": stops[:, 1], "easting": table["origin_e"][0].as_py() + (stops[:, 1] - n // 2) * res,
+            "northing": table["origin_n"][0].as_py() + (n // 2 - stops[:, 0]) * res})
+
+    return cells.select("mission_id", "row", "col", "size", "res_m", "origin_e", "origin_n", "p").groupBy("mission_id").applyInArrow(choose, STOP)
 
 
 def _untangle(points: list[tuple[float, float]]) -> list[int]:

@@ -401,7 +401,7 @@ def display_samples(spark, folder):
 def road_fields(spark, folder):
     m = grid.with_origin(tb.missions(spark, folder))
     touched = raster.road_cells(tb.roads(spark, folder), m)
-    f = raster.road_fields(tb.cells(spark, folder), touched)
+    f = raster.road_fields(tb.cells(spark, folder).select("mission_id", "row", "col", "res_m"), touched)
     return shown(f, "mission_id", "row", "col", road_dist_m=4, road_proximity=8, road_tangent_e=6, road_tangent_n=6)
 
 
