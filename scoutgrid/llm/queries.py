@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, mixing, quality_rules, secret_scan, url_filter
+from scoutgrid.llm import chat, jaccard_join, mixing, quality_rules, secret_scan, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
                         listed(F.col("spans")).alias("spans"), count("named"))
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return jaccard_join.joined(docs, k=3, percent=90).select(F.col("row").alias("doc_id"), "n_shingles", "component_id", "n_links")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality_rules.judged(docs).select(
@@ -53,4 +58,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_secret_scan, op4_quality_rules, op5_url_filter, op8_source_mixing, op10_chat_format)}
+    op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op8_source_mixing, op10_chat_format)}
