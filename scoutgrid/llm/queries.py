@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, jaccard_join, mixing, quality_rules, secret_scan, url_filter
+from scoutgrid.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, secret_scan, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    hits = decontaminate.marked(docs, table(spark, folder, "benchmark"), keep=("doc_id",))
+    return hits.select("row.doc_id", F.explode("hits").alias("hit")).select(
+        "doc_id", F.col("hit.item").alias("item_id"), F.col("hit.start").alias("start_word"), F.col("hit.end").alias("end_word"),
+        F.col("hit.distance").alias("distance"))
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan.scanned(table(spark, folder, "documents").select("doc_id", "text"), keep=("doc_id",))
     base = F.filter("spans", lambda s: s["kind"] != "named")
@@ -58,4 +66,4 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op8_source_mixing, op10_chat_format)}
+    op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op8_source_mixing, op10_chat_format)}
