@@ -190,3 +190,16 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     return info.select("row", "class", "n").join(known, "class", "left").select(
         "row", "class", F.col("n").alias("n_shingles"), F.coalesce("component_id", "row").alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of every linked group with its own columns: the one with the smallest key, among these the smallest text hash.
+
+    Rows without a word are not linked and all stay, except that rows equal in key and text are kept once.
+    """
+    name = F.struct(docs[f"`{key}`"].alias("key"), F.xxhash64(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))).alias("hash"))
+    known = joined(docs.select(name.alias("name"), docs[f"`{text}`"].alias("text")), "name", "text", k, percent)
+    kept = known.where(F.col("row") == F.col("component_id")).select(F.col("row.key").alias("kept_key"), F.col("row.hash").alias("kept_hash")).distinct()
+    rows = packed(docs, key=name["key"], hash=name["hash"])
+    both = rows.join(kept, rows["key"].eqNullSafe(kept["kept_key"]) & (rows["hash"] == kept["kept_hash"]))
+    return both.select("row", "key", "hash").dropDuplicates(["key", "hash"]).select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, decontaminate, jaccard_join, mixing, quality_rules, secret_scan, url_filter
+from scoutgrid.llm import chat, decontaminate, jaccard_join, mil_quality, mixing, ppm, quality_rules, secret_scan, toxicity, url_filter
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,11 +48,26 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(pages, rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ppm.scored(docs).select(F.col("row").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, folder, "labels")).withColumnRenamed("row", "doc_id")
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_quality_mil(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return mil_quality.scored(docs, table(spark, folder, "labels")).withColumnRenamed("row", "doc_id")
+
+
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     hard = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
                                  "conv_id long, turn long, role string, text string")
@@ -66,4 +81,5 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op8_source_mixing, op10_chat_format)}
+    op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_lm_score,
+    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format)}

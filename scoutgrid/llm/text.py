@@ -30,3 +30,8 @@ def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     generator holds it above.
     """
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def held_out(key: Column, folds: int, fold: int) -> Column:
+    """Whether crc32 of the key as text leaves ``fold``; null keys count as empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
