@@ -69,7 +69,7 @@ def branches(nodes: DataFrame, per_root: int = 1) -> DataFrame:
     chosen = cut_lineage(paths.join(inner, "id", "left_anti").withColumn("rank", F.row_number().over(order))
                          .where(F.col("rank") <= per_root).select("root", F.col("id").alias("leaf"), "rank", "id"))
     for up in reversed(ups):
-        chosen = chosen.unionByName(chosen.join(up, "id").select("root", "leaf", "rank", F.col("up").alias("id")))
+        chosen = cut_lineage(chosen.unionByName(chosen.join(up, "id").select("root", "leaf", "rank", F.col("up").alias("id"))))
     return chosen.join(paths.select("id", "depth"), "id")
 
 
