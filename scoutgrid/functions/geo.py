@@ -86,41 +86,41 @@ def false_northing(epsg: Column) -> Column:
     return F.when(epsg >= 32700, F.lit(FALSE_NORTHING_SOUTH)).otherwise(F.lit(0.0))
 
 
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once.
+
+    Chained projections are merged and would repeat a series at every use, until the generated code is too long to
+    compile; a one-row generator between them keeps each series in one place.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_utm(df: DataFrame, lat: str, lon: str, epsg: str, easting: str = "easting", northing: str = "northing") -> DataFrame:
     """Project ``lat``/``lon`` into the zone named by ``epsg``; adds two metre columns.
 
     Inside, a missing coordinate is NaN: without null checks the generated code is half as long.
     """
-    phi, lam = "_phi", "_lam"
-    return (
-        df.withColumn("_lam", _nan(F.radians(F.col(lon) - central_meridian(F.col(epsg)))))
-        .withColumn("_phi", _nan(F.radians(F.col(lat))))
-        .withColumn("_tau", F.expr(
-            f"sinh(atanh(sin({phi})) - {ECCENTRICITY!r}D * atanh({ECCENTRICITY!r}D * sin({phi})))"))
-        .withColumn("_xi", F.expr(f"atan2(_tau, cos({lam}))"))
-        .withColumn("_eta", F.expr(f"asinh(sin({lam}) / sqrt(_tau * _tau + cos({lam}) * cos({lam})))"))
-        .withColumn(easting, F.expr(
-            f"{FALSE_EASTING}D + {RADIUS!r}D * (_eta + {_terms(FORWARD, 'cos', 'sinh', '_xi', '_eta')})"))
-        .withColumn(northing, F.expr(
-            f"{RADIUS!r}D * (_xi + {_terms(FORWARD, 'sin', 'cosh', '_xi', '_eta')})"))
-        .withColumn(easting, _null(F.col(easting)))
-        .withColumn(northing, _null(F.col(northing)) + false_northing(F.col(epsg)))
-        .drop("_lam", "_phi", "_tau", "_xi", "_eta")
-    )
+    phi = _nan(F.radians(F.col(lat)))
+    out = _settled(df, _lam=_nan(F.radians(F.col(lon) - central_meridian(F.col(epsg)))),
+                   _tau=F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi))))
+    out = _settled(out, _xi=F.expr("atan2(_tau, cos(_lam))"),
+                   _eta=F.expr("asinh(sin(_lam) / sqrt(_tau * _tau + cos(_lam) * cos(_lam)))"))
+    out = _settled(out, **{
+        easting: _null(F.expr(f"{FALSE_EASTING}D + {RADIUS!r}D * (_eta + {_terms(FORWARD, 'cos', 'sinh', '_xi', '_eta')})")),
+        northing: _null(F.expr(f"{RADIUS!r}D * (_xi + {_terms(FORWARD, 'sin', 'cosh', '_xi', '_eta')})")) + false_northing(F.col(epsg))})
+    return out.drop("_lam", "_tau", "_xi", "_eta")
 
 
 def with_latlon(df: DataFrame, easting: str, northing: str, epsg: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Inverse of :func:`with_utm`."""
-    return (
-        df.withColumn("_xi", _nan((F.col(northing) - false_northing(F.col(epsg))) / RADIUS))
-        .withColumn("_eta", _nan((F.col(easting) - FALSE_EASTING) / RADIUS))
-        .withColumn("_xp", F.expr(f"_xi - ({_terms(INVERSE, 'sin', 'cosh', '_xi', '_eta')})"))
-        .withColumn("_ep", F.expr(f"_eta - ({_terms(INVERSE, 'cos', 'sinh', '_xi', '_eta')})"))
-        .withColumn("_chi", F.expr("asin(sin(_xp) / cosh(_ep))"))
-        .withColumn(lat, _null(F.expr(f"degrees(_chi + {_terms(LATITUDE, 'sin', None, '_chi')})")))
-        .withColumn(lon, central_meridian(F.col(epsg)) + _null(F.expr("degrees(atan2(sinh(_ep), cos(_xp)))")))
-        .drop("_xi", "_eta", "_xp", "_ep", "_chi")
-    )
+    out = _settled(df, _xi=_nan((F.col(northing) - false_northing(F.col(epsg))) / RADIUS), _eta=_nan((F.col(easting) - FALSE_EASTING) / RADIUS))
+    out = _settled(out, _xp=F.expr(f"_xi - ({_terms(INVERSE, 'sin', 'cosh', '_xi', '_eta')})"),
+                   _ep=F.expr(f"_eta - ({_terms(INVERSE, 'cos', 'sinh', '_xi', '_eta')})"))
+    out = _settled(out, _chi=F.expr("asin(sin(_xp) / cosh(_ep))"), _lon=F.expr("degrees(atan2(sinh(_ep), cos(_xp)))"))
+    out = _settled(out, **{lat: _null(F.expr(f"degrees(_chi + {_terms(LATITUDE, 'sin', None, '_chi')})")),
+                           lon: central_meridian(F.col(epsg)) + _null(F.col("_lon"))})
+    return out.drop("_xi", "_eta", "_xp", "_ep", "_chi", "_lon")
 
 
 # --- grid geometry -------------------------------------------------------------------------

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalars import valid_position
 from ..settings import DEFAULTS, Settings
@@ -66,24 +69,36 @@ def boost(cells: DataFrame, keys=("mission_id",)) -> DataFrame:
     return out.withColumn("p", F.when(use, F.col("_f") / F.col("_t")).otherwise(F.col("_f"))).drop("_hit", "_f", "_t")
 
 
-def negative_search(cells: DataFrame, searches: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Lower the mass inside each mission's searched polygon by its probability of detection.
+def negative_search(cells: DataFrame, searches: DataFrame, settings: Settings = DEFAULTS, sequence: str | None = None) -> DataFrame:
+    """Lower the mass inside each mission's searched polygons by their probability of detection, one after the other.
 
-    ``cells`` carries lat/lon. Every searched cell gets at least the floor; a polygon that
-    holds no cell changes nothing. Adds ``searched``.
+    ``cells`` carries lat/lon; ``searches`` is (mission_id, rings, pod) and, if a mission has several, ``sequence`` names
+    the column of their order. After every search each of its cells has at least the floor and the mission is
+    renormalised; a polygon that holds no cell changes nothing. Adds ``searched``. A cell stays one row.
     """
     pod = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("pod")))
-    hit = cells_in_polygon(cells.select(*CELL_KEYS, "lat", "lon"), searches).select(*CELL_KEYS, pod.alias("_pod"))
-    floor = F.lit(settings.search_floor)
-    p, keep = F.col("p"), 1.0 - F.col("_pod")
-    small = (p < settings.search_log_below) & (p > 0)
-    lowered = F.greatest(F.when(small, F.exp(F.log(p) + F.log(keep))).otherwise(p * keep), floor)
-    out = cells.join(hit, list(CELL_KEYS), "left").withColumn("searched", F.col("_pod").isNotNull())
-    out = out.withColumn("_f", F.when(F.col("searched"), lowered).otherwise(p))
-    out = out.withColumn("_any", F.max("searched").over(mission_window())).withColumn("_t", mission_sum("_f"))
-    even = F.lit(1.0) / F.count("*").over(mission_window())
-    scaled = F.when(F.col("_t") < settings.search_floor, even).otherwise(F.col("_f") / F.col("_t"))
-    return out.withColumn("p", F.when(F.col("_any"), scaled).otherwise(p)).drop("_pod", "_f", "_any", "_t")
+    place = F.col(sequence).cast("long") if sequence else F.lit(0).cast("long")
+    hits = cells_in_polygon(cells.select(*CELL_KEYS, "lat", "lon"), searches.select("mission_id", "rings", "pod", place.alias("_seq")))
+    hits = hits.groupBy(*CELL_KEYS).agg(F.sort_array(F.collect_list(F.struct("_seq", pod.alias("pod")))).alias("_hits"))
+    given = cells.join(hits, list(CELL_KEYS), "left").withColumn("searched", F.col("_hits").isNotNull())
+    kept = [c for c in given.columns if c != "_hits"]
+    schema = T.StructType([f for f in given.schema.fields if f.name in kept])
+    floor = settings.search_floor
+
+    def fold(table: pa.Table) -> pa.Table:
+        p, rows = table["p"].to_numpy().astype(float), table["_hits"].combine_chunks()
+        found = rows.flatten()
+        at = np.repeat(np.arange(len(p)), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(rows), 0)))
+        order, share = found.field("_seq").to_numpy(), found.field("pod").to_numpy()
+        for step in np.unique(order):
+            here = order == step
+            p = p.copy()
+            p[at[here]] = np.maximum(p[at[here]] * (1.0 - share[here]), floor)
+            total = p.sum()
+            p = np.full(len(p), 1.0 / len(p)) if total < floor else p / total
+        return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p)).select(kept)
+
+    return given.groupBy("mission_id").applyInArrow(fold, schema)
 
 
 def blend_history(cells: DataFrame, prior: str = "prior", settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:

@@ -1,8 +1,8 @@
 """Grid tables: one row per (mission, row, col), hash-partitioned once by mission.
 
-A mission's grid is bounded (at most 512 x 512 cells), so every per-mission window below
-is bounded too, and ``hash(mission_id)`` satisfies windows on (mission_id, row) and
-(mission_id, col): the raster operators add sorts, not shuffles.
+A mission's grid is the unit of work: every per-mission window or Arrow group below is as large as one
+grid, whatever its size, and missions of different sizes share a table. ``hash(mission_id)`` satisfies windows on
+(mission_id, row) and (mission_id, col): the raster operators add sorts, not shuffles.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geo
 from ..session import shuffle_partitions
-from ..settings import MAX_GRID
 
 CELL_KEYS = ("mission_id", "row", "col")
 
@@ -51,7 +50,7 @@ def make_cells(missions: DataFrame, partitions: int | None = None) -> DataFrame:
     a mission row is shuffled.
     """
     n = partitions or shuffle_partitions(missions.sparkSession)
-    axis = F.sequence(F.lit(0), F.least(F.col("size"), F.lit(MAX_GRID)) - 1)
+    axis = F.sequence(F.lit(0), F.col("size") - 1)
     half = F.floor(F.col("size") / 2)
     return (
         with_origin(missions).repartition(n, "mission_id")

@@ -18,7 +18,8 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inne
     Rows of a hot key are spread over ``salts`` tasks; ``few`` is repeated that often. When
     ``few`` is below Spark's broadcast limit the planner broadcasts it and nothing moves.
     """
-    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in many.columns[:8]]), F.lit(salts)).cast("int"))
+    hashed = [f.name for f in many.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.lit(salts)).cast("int"))
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -104,10 +105,10 @@ def parse_polygon(geojson: Column) -> Column:
 
 
 def cells_in_polygon(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Cells whose centre lies in a polygon of their mission.
+    """Cells whose centre lies in a polygon of their mission; a cell once per polygon that holds it.
 
-    ``cells`` carries lat/lon; ``polygons`` is (mission_id, rings, ...). The join is on the
-    mission, the bounding box is checked first and the exact test runs only inside it.
+    ``cells`` carries lat/lon; ``polygons`` is (mission_id, rings, ...). Polygons meet the bounds of grid rows,
+    and only the rows that a polygon's box touches are joined to their cells; the exact test comes last.
     """
     flat = F.flatten("rings")
     def side(pick, part: str) -> Column:
@@ -115,9 +116,14 @@ def cells_in_polygon(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     boxed = polygons.withColumns({
         "_west": side(F.array_min, "lon"), "_east": side(F.array_max, "lon"),
         "_south": side(F.array_min, "lat"), "_north": side(F.array_max, "lat")})
+    rows = cells.groupBy("mission_id", "row").agg(F.min("lat").alias("_lat0"), F.max("lat").alias("_lat1"),
+                                                  F.min("lon").alias("_lon0"), F.max("lon").alias("_lon1"))
+    touched = boxed.join(rows, "mission_id").where(
+        (F.col("_lat1") >= F.col("_south")) & (F.col("_lat0") <= F.col("_north"))
+        & (F.col("_lon1") >= F.col("_west")) & (F.col("_lon0") <= F.col("_east"))).drop("_lat0", "_lat1", "_lon0", "_lon1")
     inside = F.col("lon").between(F.col("_west"), F.col("_east")) & F.col("lat").between(F.col("_south"), F.col("_north"))
     hit = F.when(inside, point_in_polygon(F.col("rings"), F.col("lon"), F.col("lat"))).otherwise(F.lit(False))
-    return cells.join(boxed, "mission_id").where(hit).drop("_west", "_east", "_south", "_north")
+    return cells.join(touched, ["mission_id", "row"]).where(hit).drop("_west", "_east", "_south", "_north")
 
 
 def disc_cells(points: DataFrame, radius_m: float, res_m: float, keep: list[str]) -> DataFrame:
@@ -141,8 +147,12 @@ def disc_cells(points: DataFrame, radius_m: float, res_m: float, keep: list[str]
 
 
 def lookup_cells(points: DataFrame, cells: DataFrame, values: list[str]) -> DataFrame:
-    """Attribute lookup of placed points; salted because one cell may hold most points."""
-    return salted_join(points, cells.select(*CELL_KEYS, *values), list(CELL_KEYS))
+    """Attribute lookup of placed points; salted because one cell may hold most points.
+
+    The dense table meets the distinct cells of the points first, so that only cells in use are repeated per salt.
+    """
+    used = cells.select(*CELL_KEYS, *values).join(points.select(*CELL_KEYS).distinct(), list(CELL_KEYS))
+    return salted_join(points, used, list(CELL_KEYS))
 
 
 def nearest_cell(places: DataFrame, cells: DataFrame, wanted: Column) -> DataFrame:

@@ -64,11 +64,11 @@ def _central(value: str, window, spacing: Column) -> Column:
     return F.when(gap == 0, 0.0).otherwise(rise / (gap * spacing))
 
 
-def slope_aspect(cells: DataFrame, value: str = "elevation", keys=("mission_id",), southward_aspect: bool = False) -> DataFrame:
+def slope_aspect(cells: DataFrame, value: str = "elevation", keys=("mission_id",), northward_aspect: bool = False) -> DataFrame:
     """Slope (radians) and the unit downhill direction.
 
-    ``aspect_n`` points downhill toward north; ``southward_aspect`` flips its sign, which is
-    what taking the row gradient without turning the axis gives.
+    ``aspect_n`` is the negated gradient along rows, which grow southward; ``northward_aspect`` turns
+    the axis, so that it points downhill toward north.
     """
     gx = _central(value, _line(keys, "row", "col"), F.col("res_m"))
     gy = _central(value, _line(keys, "col", "row"), F.col("res_m"))
@@ -77,7 +77,7 @@ def slope_aspect(cells: DataFrame, value: str = "elevation", keys=("mission_id",
     north = F.col("_gy") / (steep + 1e-8)
     return out.withColumns({
         "slope": F.atan(steep), "aspect_e": -F.col("_gx") / (steep + 1e-8),
-        "aspect_n": -north if southward_aspect else north}).drop("_gx", "_gy")
+        "aspect_n": north if northward_aspect else -north}).drop("_gx", "_gy")
 
 
 def land_mask(cells: DataFrame, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
@@ -187,13 +187,31 @@ def fields_on_grid(display: DataFrame, source_missions: DataFrame) -> DataFrame:
 
 # --- roads ---------------------------------------------------------------------------------
 
-def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = False) -> DataFrame:
+def _inside_range(before: Column, span: Column) -> tuple[Column, Column]:
+    """First and last sample number of a leg that may lie on the grid, a sample to spare on both sides."""
+    steps = F.col("steps")
+    def along(start: Column, move: Column) -> tuple[Column, Column]:
+        """Sample numbers at which start + k / steps * move enters and leaves 0 .. span."""
+        a, b = -start / move * steps, (span - start) / move * steps
+        out = (start < 0) | (start > span)
+        still = move == 0
+        return (F.when(still, F.when(out, steps + 2.0).otherwise(0.0)).otherwise(F.least(a, b)),
+                F.when(still, F.when(out, -2.0).otherwise(steps.cast("double"))).otherwise(F.greatest(a, b)))
+    e0, e1 = along(F.col("ae") - (F.col("origin_e") - before), F.col("de"))
+    n0, n1 = along(F.col("origin_n") + before - F.col("an"), -F.col("dn"))
+    low, high = F.greatest(e0, n0) - 1, F.least(e1, n1) + 1
+    return (F.greatest(F.lit(0.0), F.least(F.floor(low).cast("double"), steps + 1.0)).cast("int"),
+            F.greatest(F.lit(-1.0), F.least(F.ceil(high).cast("double"), steps.cast("double"))).cast("int"))
+
+
+def road_cells(roads: DataFrame, missions: DataFrame, cell_convention: bool = False) -> DataFrame:
     """Cells touched by polylines with their mean unit tangent and the grid's size.
 
     ``roads`` is (mission_id, way_id, pts array<struct<lon,lat>>), ``missions`` carries the
     origin. Edges are split inside their own row, so polylines are never regrouped; samples
-    are averaged per cell with a map-side partial aggregate. ``half_cell_shift`` puts the
-    grid edge at size * res / 2, half a cell off the cell convention for even sizes.
+    are averaged per cell with a map-side partial aggregate. The grid edge lies size * res / 2 from the pin;
+    ``cell_convention`` puts it where cells have theirs, half a cell farther for even sizes. Legs are cut to the
+    samples whose place can lie on the grid before any sample is made.
     """
     size, res = F.col("size"), F.col("res_m")
     legs = F.arrays_zip(F.slice("pts", 1, F.size("pts") - 1).alias("a"), F.slice("pts", 2, F.size("pts") - 1).alias("b"))
@@ -207,9 +225,10 @@ def road_cells(roads: DataFrame, missions: DataFrame, half_cell_shift: bool = Fa
     edges = edges.withColumn("de", F.col("be") - F.col("ae")).withColumn("dn", F.col("bn") - F.col("an"))
     edges = edges.withColumn("length", F.hypot("de", "dn")).withColumn(
         "steps", F.greatest(F.lit(1), F.floor(F.col("length") / (res * 0.5)).cast("int")))
-    before = size * res / 2 if half_cell_shift else geo.edge_before(size, res)
+    before = geo.edge_before(size, res) if cell_convention else size * res / 2
     t = F.col("k") / F.col("steps")
-    places = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("steps")))  # no filter: see point_to_cell
+    first, last = _inside_range(before, size * res)
+    places = F.when((F.col("length") > 0) & (first <= last), F.sequence(first, last))  # no filter: see point_to_cell
     samples = edges.withColumn("k", F.explode(places)).select(
         "mission_id", size.alias("_size"),
         F.floor((F.col("origin_n") + before - (F.col("an") + t * F.col("dn"))) / res).cast("int").alias("row"),

@@ -1,9 +1,7 @@
-"""Search routes: greedy coverage for all missions at once, 2-opt polish, length and crossings."""
+"""Search routes: greedy coverage for all missions at once, uncrossing, length and crossings."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -67,23 +65,27 @@ def plan_routes(cells: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return cells.select("mission_id", "row", "col", "size", "res_m", "origin_e", "origin_n", "p").groupBy("mission_id").applyInArrow(choose, STOP)
 
 
-def _untangle(points: list[tuple[float, float]]) -> list[int]:
-    """2-opt order of an open path whose first point stays; moves are taken as soon as they help."""
-    path = list(range(len(points)))
-    def leg(i: int, j: int) -> float:
-        return math.dist(points[i], points[j])
-    moved = len(path) >= 3
-    while moved:
-        moved = False
-        for i in range(1, len(path) - 1):
-            for j in range(i + 1, len(path)):
-                tail = path[j + 1] if j + 1 < len(path) else None
-                was = leg(path[i - 1], path[i]) + (leg(path[j], tail) if tail is not None else 0.0)
-                now = leg(path[i - 1], path[j]) + (leg(path[i], tail) if tail is not None else 0.0)
-                if now + 1e-9 < was:
-                    path[i:j + 1] = path[i:j + 1][::-1]
-                    moved = True
-    return path
+def _uncrossed(points: np.ndarray) -> np.ndarray:
+    """Order of an open path, first point fixed, that no reversal of a stretch of stops shortens.
+
+    A route has a dozen stops, so every pass weighs all reversals in one matrix: turning the stretch from
+    place a to place b replaces the leg into a and the leg out of b. The best one is taken (the first
+    of equals), until none saves more than a rounding error; two crossing legs always leave one that does.
+    """
+    order = np.arange(len(points))
+    while len(order) > 2:
+        x = points[order]
+        apart = np.hypot(*(x[:, None] - x[None, :]).transpose(2, 0, 1))
+        into = np.diagonal(apart, 1)  # into[a - 1] leads into place a; the last place has no leg out
+        out = np.append(into[1:], 0.0)
+        across = np.hstack([apart[1:, 2:], np.zeros((len(x) - 1, 1))])
+        saved = into[:, None] + out[None, :] - apart[:-1, 1:] - across
+        saved = np.triu(saved, 1)
+        a, b = np.unravel_index(saved.argmax(), saved.shape)
+        if saved[a, b] <= 1e-9:
+            break
+        order[a + 1:b + 2] = order[a + 1:b + 2][::-1]
+    return order
 
 
 def polish_routes(stops: DataFrame, missions: DataFrame) -> DataFrame:
@@ -92,8 +94,8 @@ def polish_routes(stops: DataFrame, missions: DataFrame) -> DataFrame:
 
     def shorten(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("stop").reset_index(drop=True)
-        points = [(frame["origin_e"].iloc[0], frame["origin_n"].iloc[0]), *zip(frame["easting"], frame["northing"])]
-        order = [k - 1 for k in _untangle(points)[1:]]
+        points = np.vstack([frame[["origin_e", "origin_n"]].iloc[:1], frame[["easting", "northing"]]])
+        order = _uncrossed(points)[1:] - 1
         return frame.loc[order].assign(stop=range(1, len(order) + 1))[STOP.names]
 
     return joined.groupBy("mission_id").applyInPandas(shorten, STOP)

@@ -1,16 +1,13 @@
 """Moving probability between neighbouring cells, and least travel time.
 
-Diffusion and drift are the same thing here: a static 8-neighbour stencil whose incoming
-weights are columns ``c0..c7`` (and ``cs`` for the cell itself). The weights are built with
-windows: all cells of a mission sit in one partition sorted by (row, col), where the neighbour
-(dr, dc) is always ``dr * size + dc`` rows away. Running many steps is left to array arithmetic
-per mission; as a chain of windows each step costs about fifty times as much.
+Diffusion and drift are the same thing here: a static 8-neighbour stencil. Weights and all steps of a
+mission are array arithmetic in one Arrow group, which knows its own grid size; as a chain of windows
+each step costs about fifty times as much.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +19,17 @@ from ..settings import DEFAULTS, NEIGHBOURS, Settings
 from .grid import mission_sum, mission_window
 from .raster import terrain_weight
 
-INCOMING = tuple(f"c{i}" for i in range(len(NEIGHBOURS)))
+def neighbour_values(cells: DataFrame, values: list[str], keys=("mission_id",)) -> DataFrame:
+    """Columns ``_n0`` .. ``_n7``: the named values of the eight neighbours as structs, null off the grid.
 
-
-def shifted(value: str, dr: int, dc: int, size: int, keys=("mission_id",)) -> Column:
-    """Value of the cell at (row + dr, col + dc), null off the grid. ``size`` is the common grid size."""
-    offset = dr * size + dc
-    shift = f"{'lead' if offset > 0 else 'lag'}({value}, {abs(offset)}) OVER (PARTITION BY {', '.join(keys)} ORDER BY row, col)"
-    inside = [f"row {'<' if dr > 0 else '>'} {size - 1 if dr > 0 else 0}"] if dr else []
-    inside += [f"col {'<' if dc > 0 else '>'} {size - 1 if dc > 0 else 0}"] if dc else []
-    return F.expr(f"CASE WHEN {' AND '.join(inside)} THEN {shift} END")
+    Two passes of windows, along columns and then along rows, that need no grid size: missions of
+    different sizes stand side by side in one table.
+    """
+    down, across = W.partitionBy(*keys, "col").orderBy("row"), W.partitionBy(*keys, "row").orderBy("col")
+    lines = cells.withColumn("_v0", F.struct(*values)).withColumns({"_v-1": F.lag("_v0").over(down), "_v1": F.lead("_v0").over(down)})
+    pick = {-1: F.lag, 1: F.lead}
+    return lines.select(*cells.columns, *[
+        (pick[dc](f"_v{dr}").over(across) if dc else F.col(f"_v{dr}")).alias(f"_n{i}") for i, (dr, dc) in enumerate(NEIGHBOURS)])
 
 
 def neighbours(cells: DataFrame) -> DataFrame:
@@ -76,13 +74,13 @@ def flat_transition_weight(road_from: Column, road_to: Column, settings: Setting
     return transition_weight(F.lit(1.0), cost, road_from, road_to, settings)
 
 
-def transition_edges(cells: DataFrame, size: int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+def transition_edges(cells: DataFrame, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
     """Outgoing weights of every cell as rows (needs ``cost`` and ``on_road``)."""
-    near = cells.select("*", *[
-        F.struct(F.lit(i if i < 4 else i + 1).alias("idx"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"),
-                 shifted("cost", dr, dc, size, keys).alias("cost"), shifted("on_road", dr, dc, size, keys).alias("road")).alias(f"_e{i}")
-        for i, (dr, dc) in enumerate(NEIGHBOURS)])
-    edges = near.withColumn("_e", F.explode(F.array(*[f"_e{i}" for i in range(8)]))).where("_e.cost is not null")
+    near = neighbour_values(cells, ["cost", "on_road"], keys)
+    steps = F.array(*[F.struct(F.lit(i if i < 4 else i + 1).alias("idx"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"),
+                               F.col(f"_n{i}.cost").alias("cost"), F.col(f"_n{i}.on_road").alias("road"))
+                      for i, (dr, dc) in enumerate(NEIGHBOURS)])
+    edges = near.withColumn("_e", F.explode(steps)).where("_e.cost is not null")
     weight = transition_weight(F.hypot(F.col("_e.dr"), F.col("_e.dc")), F.col("_e.cost"), F.col("on_road"), F.col("_e.road"), settings)
     return edges.select(*keys, "row", "col", (F.col("row") + F.col("_e.dr")).alias("n_row"),
                         (F.col("col") + F.col("_e.dc")).alias("n_col"), F.col("_e.idx").alias("idx"), weight.alias("weight"))
@@ -90,49 +88,48 @@ def transition_edges(cells: DataFrame, size: int, settings: Settings = DEFAULTS,
 
 # --- the stencil ---------------------------------------------------------------------------
 
-def diffusion_stencil(cells: DataFrame, size: int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
-    """Incoming weights of one cost-surface step (needs ``cost`` and ``on_road``).
+def _diffusion_shares(cost: np.ndarray, road: np.ndarray, s: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Share of a cell's mass that stays, and the shares that go to its eight neighbours.
 
     The denominator always counts eight neighbours: one off the grid has the floor cost and
     is no road, and the share sent to it is lost. That leak is part of the result.
     """
-    bonus = 1.0 + settings.trail_bonus
-    off_grid = settings.weight_scale * (settings.distance_share + settings.topology_share / settings.cost_floor)
-    def either(plain: str, pulled: str, dr: int, dc: int, use_pulled: Column) -> Column:
-        """The neighbour's value of one of two columns."""
-        return F.when(use_pulled, shifted(pulled, dr, dc, size, keys)).otherwise(shifted(plain, dr, dc, size, keys))
-    def leaving(dr: int, dc: int) -> Column:
-        return F.coalesce(either("_g", "_gp", dr, dc, ~F.col("on_road")), F.lit(off_grid)) / math.hypot(dr, dc)
-    def entering(dr: int, dc: int) -> Column:
-        return F.coalesce(either("_u", "_up", dr, dc, F.col("on_road")) * F.col("_g") / math.hypot(dr, dc), F.lit(0.0))
-    out = cells.withColumn("_g", conductance(F.col("cost"), settings))
-    out = out.withColumn("_gp", F.when(F.col("on_road"), F.col("_g") * bonus).otherwise(F.col("_g")))
-    out = out.withColumn("_u", 1.0 / (settings.diffusion_self + reduce(lambda a, b: a + b, [leaving(*s) for s in NEIGHBOURS])))
-    out = out.withColumn("_up", F.when(F.col("on_road"), F.col("_u")).otherwise(F.col("_u") * bonus))
-    kept = [c for c in cells.columns if c not in (*INCOMING, "cs")]
-    return out.select(*kept, (settings.diffusion_self * F.col("_u")).alias("cs"),
-                      *[entering(*s).alias(n) for s, n in zip(NEIGHBOURS, INCOMING)])
-
-
-def drift_stencil(cells: DataFrame, size: int, dt_sec: Column, strength: float = 1.0, settings: Settings = DEFAULTS,
-                  keys=("mission_id",)) -> DataFrame:
-    """Incoming weights of one drift step along ``current_u``/``current_v`` on water cells."""
-    u, v = F.col("current_u"), F.col("current_v")
-    speed = F.hypot(u, v)
-    bias = strength * settings.advection_strength * F.sqrt(F.greatest(dt_sec, F.lit(1.0)) / max(settings.reference_dt_sec, 1.0))
-    out = cells.withColumn("_active", ~F.col("is_land") & (speed > 1e-9)).withColumn("_bias", bias)
-    def push(dr: int, dc: int) -> Column:
-        along = (u * float(dc) - v * float(dr)) / F.greatest(speed * math.hypot(dr, dc), F.lit(1e-12))
-        return F.when(F.col("_active"), 1.0 + F.col("_bias") * F.greatest(along, F.lit(0.0))).otherwise(0.0)
-    out = out.withColumns({f"_w{i}": push(*s) for i, s in enumerate(NEIGHBOURS)})
-    out = out.withColumn("_sum", settings.advection_self + reduce(lambda a, b: a + b, [F.col(f"_w{i}") for i in range(8)]))
-    out = out.withColumns({f"_w{i}": F.col(f"_w{i}") / F.col("_sum") for i in range(8)})
-    def entering(dr: int, dc: int) -> Column:
-        opposite = NEIGHBOURS.index((-dr, -dc))
-        return F.coalesce(shifted(f"_w{opposite}", dr, dc, size, keys), F.lit(0.0))
-    kept = [c for c in cells.columns if c not in (*INCOMING, "cs")]
-    stay = F.when(F.col("_active"), settings.advection_self / F.col("_sum")).otherwise(1.0)
-    return out.select(*kept, stay.alias("cs"), *[entering(*s).alias(n) for s, n in zip(NEIGHBOURS, INCOMING)])
+    n = len(cost)
+    pull = np.pad(s.weight_scale * (s.distance_share + s.topology_share / np.maximum(cost, s.cost_floor)), 1,
+                  constant_values=s.weight_scale * (s.distance_share + s.topology_share / s.cost_floor))
+    roads = np.pad(road, 1)
+    out = []
+    for dr, dc in NEIGHBOURS:
+        there = (slice(1 + dr, 1 + dr + n), slice(1 + dc, 1 + dc + n))
+        bonus = np.where(~road & roads[there], 1.0 + s.trail_bonus, 1.0)
+        out.append(pull[there] * bonus / math.hypot(dr, dc))
+    total = s.diffusion_self + sum(out)
+    return s.diffusion_self / total, [w / total for w in out]
+
+
+def _drift_shares(u: np.ndarray, v: np.ndarray, land: np.ndarray, bias: float, s: Settings) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The same for one drift step along the current; land and still water keep all."""
+    speed = np.hypot(u, v)
+    active = ~land & (speed > 1e-9)
+    out = []
+    for dr, dc in NEIGHBOURS:
+        along = (u * dc - v * dr) / np.maximum(speed * math.hypot(dr, dc), 1e-12)
+        out.append(np.where(active, 1.0 + bias * np.maximum(along, 0.0), 0.0))
+    total = s.advection_self + sum(out)
+    return np.where(active, s.advection_self / total, 1.0), [w / total for w in out]
+
+
+def _stepped(surface: np.ndarray, stay: np.ndarray, shares: list[np.ndarray], times: int) -> np.ndarray:
+    """``times`` steps of moving mass to the neighbours."""
+    n = len(surface)
+    flows = [(*_overlap(n, *step), share) for step, share in zip(NEIGHBOURS, shares)]
+    flows = [(here, there, share[here]) for here, there, share in flows]
+    for _ in range(times):
+        moved = surface * stay
+        for here, there, share in flows:
+            moved[there] += surface[here] * share
+        surface = moved
+    return surface
 
 
 def _per_mission(cells: DataFrame, keys, work, schema: T.StructType) -> DataFrame:
@@ -164,55 +161,52 @@ def _overlap(n: int, dr: int, dc: int):
     return here, there
 
 
-def apply_stencil(cells: DataFrame, steps: Column | int, value: str = "p", keys=("mission_id",)) -> DataFrame:
-    """Run ``steps`` stencil steps (a column may give each group its own number).
+def _rewritten(cells: DataFrame, steps: Column | int, work, value: str, keys, **given: Column) -> DataFrame:
+    """Rewrite ``value`` by ``work(reader, first row, times)`` in one Arrow group per mission.
 
-    Many steps on a small bounded grid are array arithmetic: one group per mission, all its
-    steps in one task, only ``value`` is rewritten in the Arrow table.
+    The group reads its own size from its rows. Many steps on a small grid are array
+    arithmetic; weights and steps share one pass through Python.
     """
     wanted = steps if isinstance(steps, Column) else F.lit(steps)
-    given = cells.withColumn("_steps", wanted.cast("int"))
+    kept, schema = list(cells.columns), cells.schema
 
     def run(table: pa.Table) -> pa.Table:
         times = table["_steps"][0].as_py() or 0
         if times > 0:
-            n, at, read = _grid_reader(table)
-            surface, own = read(value), read("cs")
-            into = [(*_overlap(n, *s), read(name)) for s, name in zip(NEIGHBOURS, INCOMING)]
-            into = [(here, there, weight[here]) for here, there, weight in into]
-            for _ in range(times):
-                moved = surface * own
-                for here, there, weight in into:
-                    moved[here] += weight * surface[there]
-                surface = moved
+            _, at, read = _grid_reader(table)
+            surface = work(read, lambda name: table[name][0].as_py(), times)
             table = table.set_column(table.schema.get_field_index(value), value, pa.array(surface.ravel()[at]))
         return table.select(kept)
 
-    kept = [c for c in cells.columns if c not in (*INCOMING, "cs")]
-    schema = T.StructType([f for f in cells.schema.fields if f.name in kept])
-    return _per_mission(given, keys, run, schema)
+    return _per_mission(cells.withColumns({"_steps": wanted.cast("int"), **given}), keys, run, schema)
 
 
-def diffuse(cells: DataFrame, size: int, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
-    """Cost-surface diffusion of ``p``."""
-    return apply_stencil(diffusion_stencil(cells, size, settings, keys), steps, "p", keys)
+def diffuse(cells: DataFrame, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+    """Cost-surface diffusion of ``p`` (needs ``cost``, ``on_road`` and ``size``)."""
+    def work(read, first, times):
+        return _stepped(read("p"), *_diffusion_shares(read("cost"), read("on_road") > 0, settings), times)
+    return _rewritten(cells, steps, work, "p", keys)
 
 
-def diffuse_flat(cells: DataFrame, size: int, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+def diffuse_flat(cells: DataFrame, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
     """Diffusion over flat land with ``on_road`` as the only difference between cells."""
     cost = travel_cost(F.col("on_road"), F.lit(0.0), F.lit(True), settings)
-    return diffuse(cells.withColumn("cost", cost), size, steps, settings, keys)
+    return diffuse(cells.withColumn("cost", cost), steps, settings, keys)
 
 
-def drift(cells: DataFrame, size: int, steps: Column | int, dt_sec: Column, strength: float = 1.0,
+def drift(cells: DataFrame, steps: Column | int, dt_sec: Column, strength: float = 1.0,
           settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
     """Advect ``p`` on water. Each step keeps the mission's mass; as the step is linear, one
     rescale at the end gives the same surface."""
-    start = cells.withColumn("_mass", mission_sum("p", keys))
-    done = apply_stencil(drift_stencil(start, size, dt_sec, strength, settings, keys), steps, "p", keys)
-    done = done.withColumn("_left", mission_sum("p", keys))
-    scaled = F.when((F.col("_left") > 1e-15) & (F.col("_mass") > 0), F.col("p") * (F.col("_mass") / F.col("_left"))).otherwise(F.col("p"))
-    return done.withColumn("p", scaled).drop("_mass", "_left")
+    bias = strength * settings.advection_strength * F.sqrt(F.greatest(dt_sec, F.lit(1.0)) / max(settings.reference_dt_sec, 1.0))
+
+    def work(read, first, times):
+        start = read("p")
+        shares = _drift_shares(read("current_u"), read("current_v"), read("is_land") > 0, first("_bias"), settings)
+        done = _stepped(start, *shares, times)
+        mass, left = start.sum(), done.sum()
+        return done * (mass / left) if left > 1e-15 and mass > 0 else done
+    return _rewritten(cells, steps, work, "p", keys, _bias=bias)
 
 
 # --- directional weights -------------------------------------------------------------------
@@ -239,8 +233,8 @@ def current_weights(cells: DataFrame, dt_sec: Column, weight: float = 1.0, setti
     return directional_weights(cells, u, v, strength)
 
 
-def road_weights(cells: DataFrame, size: int, weight: float, settings: Settings = DEFAULTS) -> DataFrame:
-    return transition_edges(cells, size, settings).withColumn("weight", F.col("weight") * weight)
+def road_weights(cells: DataFrame, weight: float, settings: Settings = DEFAULTS) -> DataFrame:
+    return transition_edges(cells, settings).withColumn("weight", F.col("weight") * weight)
 
 
 # --- least travel time ---------------------------------------------------------------------

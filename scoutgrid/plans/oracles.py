@@ -67,7 +67,7 @@ def gradient(src: str, out: str) -> str:
   JOIN {src} w ON w.mission_id = c.mission_id AND w."row" = c."row" AND w.col = greatest(c.col - 1, 0)
   JOIN {src} s ON s.mission_id = c.mission_id AND s.col = c.col AND s."row" = least(c."row" + 1, c.size - 1)
   JOIN {src} n ON n.mission_id = c.mission_id AND n.col = c.col AND n."row" = greatest(c."row" - 1, 0)),
- {out} AS (SELECT *, atan(sqrt(gx * gx + gy * gy)) AS slope, -gx / (sqrt(gx * gx + gy * gy) + 1e-8) AS aspect_e, gy / (sqrt(gx * gx + gy * gy) + 1e-8) AS aspect_n,
+ {out} AS (SELECT *, atan(sqrt(gx * gx + gy * gy)) AS slope, -gx / (sqrt(gx * gx + gy * gy) + 1e-8) AS aspect_e, -gy / (sqrt(gx * gx + gy * gy) + 1e-8) AS aspect_n,
    elevation > 1 AS is_land FROM {out}_g)"""
 
 
@@ -256,7 +256,7 @@ _legs = "(VALUES (-0.006e0, 0e0, 0.006e0, 0e0), (-0.002e0, -0.005e0, 0e0, 0.001e
 oracle("road_fields", f"""{CELLS}, lg0 AS (SELECT p.*, lkp_lat + ay AS alat, lkp_lon + ax AS alon, lkp_lat + qy AS blat, lkp_lon + qx AS blon FROM pins p, {_legs}),
  lg AS (SELECT *, be - ae AS de, bn - an AS dn, sqrt((be - ae) * (be - ae) + (bn - an) * (bn - an)) AS len FROM {utm(utm('lg0', 'alat', 'alon', 'ae', 'an'), 'blat', 'blon', 'be', 'bn')}),
  smp AS (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT *, greatest(1, CAST(floor(len / 25e0) AS BIGINT)) AS n FROM lg)),
- hit AS (SELECT mission_id, CAST(floor((origin_n + 825e0 - (an + (k / n) * dn)) / 50e0) AS INT) AS "row", CAST(floor((ae + (k / n) * de - (origin_e - 825e0)) / 50e0) AS INT) AS col, avg(de / len) AS te, avg(dn / len) AS tn FROM smp GROUP BY 1, 2, 3),
+ hit AS (SELECT mission_id, CAST(floor((origin_n + 800e0 - (an + (k / n) * dn)) / 50e0) AS INT) AS "row", CAST(floor((ae + (k / n) * de - (origin_e - 800e0)) / 50e0) AS INT) AS col, avg(de / len) AS te, avg(dn / len) AS tn FROM smp GROUP BY 1, 2, 3),
  road AS (SELECT * FROM hit WHERE "row" BETWEEN 0 AND 31 AND col BETWEEN 0 AND 31)""",
        f"""SELECT mission_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, {r('sqrt(d2) * 50e0', 4, 'road_dist_m')}, {r('exp(-sqrt(d2) * 50e0 / 20e0)', 8, 'road_proximity')}, {r('te', 6, 'road_tangent_e')}, {r('tn', 6, 'road_tangent_n')} FROM
   (SELECT c.mission_id, c."row", c.col, (h."row" - c."row") * (h."row" - c."row") + (h.col - c.col) * (h.col - c.col) AS d2, h.te, h.tn FROM cells c JOIN road h USING (mission_id)
@@ -381,11 +381,25 @@ oracle("suppress_boost", f"""{FORMULA}, {CLEAN[len(PINS) + 2:]}, bst AS (SELECT
 _ring = [(-0.0041, -0.0032), (0.0049, -0.0017), (0.0036, 0.0043), (-0.0022, 0.0028)]
 _hole = [(-0.0011, -0.0009), (0.0013, -0.0009), (0.0013, 0.0011), (-0.0011, 0.0011)]
 _sides = ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for ring in (_ring, _hole) for a, b in zip(ring, ring[1:] + ring[:1]))
-HITS = f"""sides AS (SELECT * FROM (VALUES {_sides}) AS g(ax, ay, qx, qy)), located AS (SELECT * FROM {latlon('surf')}),
- hits AS (SELECT mission_id, "row", col FROM (SELECT c.mission_id, c."row", c.col, count(*) FILTER ((lkp_lat + ay > lat) <> (lkp_lat + qy > lat) AND lon < ((lkp_lon + qx + far) - (lkp_lon + ax + far)) * (lat - (lkp_lat + ay)) / ((lkp_lat + qy) - (lkp_lat + ay)) + (lkp_lon + ax + far)) AS n
-   FROM (SELECT *, CASE WHEN mission_id % 10 = 0 THEN 5e0 ELSE 0 END AS far FROM located) c, sides GROUP BY 1, 2, 3) WHERE n % 2 = 1)"""
-NEG = f"""{FORMULA}, {HITS}, ng AS (SELECT s.mission_id, s."row", s.col, s.p AS old, h.mission_id IS NOT NULL AS searched, CASE WHEN h.mission_id IS NULL THEN s.p ELSE greatest(s.p * (1 - (0.5e0 + s.mission_id % 7 / 10e0) + CASE WHEN s.mission_id % 7 >= 5 THEN (0.5e0 + s.mission_id % 7 / 10e0) - 0.99e0 ELSE 0 END), 1e-8) END AS q
-   FROM surf s LEFT JOIN hits h USING (mission_id, "row", col)), nw AS (SELECT *, CASE WHEN bool_or(searched) OVER (PARTITION BY mission_id) THEN q / sum(q) OVER (PARTITION BY mission_id) ELSE old END AS p FROM ng)"""
+def _held(name: str, east: str) -> str:
+    """Cells inside the search polygon moved east by so many degrees."""
+    return f""" {name} AS (SELECT mission_id, "row", col FROM (SELECT c.mission_id, c."row", c.col, count(*) FILTER ((lkp_lat + ay > lat) <> (lkp_lat + qy > lat) AND lon < ((lkp_lon + qx + far) - (lkp_lon + ax + far)) * (lat - (lkp_lat + ay)) / ((lkp_lat + qy) - (lkp_lat + ay)) + (lkp_lon + ax + far)) AS n
+   FROM (SELECT *, {east} AS far FROM located) c, sides GROUP BY 1, 2, 3) WHERE n % 2 = 1)"""
+
+
+_far = "CASE WHEN mission_id % 10 = 0 THEN 5e0 ELSE 0 END"
+HITS = f"sides AS (SELECT * FROM (VALUES {_sides}) AS g(ax, ay, qx, qy)), located AS (SELECT * FROM {latlon('surf')}), {_held('hits', _far)}"
+
+
+def _search(out: str, given: str, hits: str, pod: str) -> str:
+    """One search: lower, floor, renormalise missions it touches."""
+    return f""", {out}_q AS (SELECT s.*, h.mission_id IS NOT NULL AS hit, CASE WHEN h.mission_id IS NULL THEN s.p ELSE greatest(s.p * (1 - least(0.99e0, {pod})), 1e-8) END AS q
+   FROM {given} s LEFT JOIN {hits} h USING (mission_id, "row", col)),
+ {out} AS (SELECT * EXCLUDE (hit, q, p, searched), searched OR hit AS searched, CASE WHEN bool_or(hit) OVER (PARTITION BY mission_id) THEN q / sum(q) OVER (PARTITION BY mission_id) ELSE p END AS p FROM {out}_q)"""
+
+
+NEG = f"""{FORMULA}, {HITS}, {_held('again', "CASE WHEN mission_id % 3 = 0 THEN 0.001e0 ELSE 9e0 END")},
+ ng AS (SELECT mission_id, "row", col, p, p AS old, FALSE AS searched FROM surf){_search('n1', 'ng', 'hits', "0.5e0 + s.mission_id % 7 / 10e0")}{_search('nw', 'n1', 'again', "0.3e0")}"""
 oracle("cells_in_polygon", f"{FORMULA}, {HITS}", f"SELECT {KEYS} FROM hits")
 oracle("negative_search", NEG, f"SELECT {KEYS}, CAST(searched AS BIGINT) AS searched, {r('p', 9)} FROM nw")
 oracle("heatmap_delta", NEG, f"SELECT {KEYS}, {r('p', 9)} FROM nw WHERE abs(p - old) > 1e-5")

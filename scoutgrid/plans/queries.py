@@ -41,7 +41,7 @@ def micros(name: str):
 def surfaces(spark: SparkSession, folder: str, ticks: list[int], without: tuple[str, ...] = ()) -> DataFrame:
     """Raw layer surfaces of some ticks of all missions."""
     wanted = F.array(*[F.lit(t) for t in ticks])
-    return hm.surfaces_by_profile(tb.missions(spark, folder), tb.terrain_of, wanted, max(ticks), F.lit(STEP), SIZE, without=without)
+    return hm.surfaces_by_profile(tb.missions(spark, folder), tb.terrain_of, wanted, max(ticks), F.lit(STEP), without=without)
 
 
 def surface(spark: SparkSession, folder: str, tick: int = 3) -> DataFrame:
@@ -458,14 +458,14 @@ def cost_map(spark, folder):
 
 @query
 def transition_edges(spark, folder):
-    e = tp.transition_edges(costed(spark, folder).select("mission_id", "row", "col", "size", "cost", "on_road"), SIZE)
+    e = tp.transition_edges(costed(spark, folder).select("mission_id", "row", "col", "size", "cost", "on_road"))
     return shown(e, "mission_id", "row", "col", "n_row", "n_col", "idx", weight=8)
 
 
 @query
 def neighbour_share(spark, folder):
     """Edge weights normalised per cell."""
-    e = tp.transition_edges(costed(spark, folder).select("mission_id", "row", "col", "size", "cost", "on_road"), SIZE)
+    e = tp.transition_edges(costed(spark, folder).select("mission_id", "row", "col", "size", "cost", "on_road"))
     return shown(tp.normalize_weights(e, "weight"), "mission_id", "row", "col", "idx", weight=8)
 
 
@@ -484,13 +484,13 @@ def current_weights(spark, folder):
 @query
 def diffuse(spark, folder):
     c = costed(spark, folder).withColumn("p", F.col("p") + F.when((F.col("row") == 1) & (F.col("col") == 1), 0.5).otherwise(0.0))
-    return shown(tp.diffuse(c.select("mission_id", "row", "col", "size", "cost", "on_road", "p"), SIZE, 3), "mission_id", "row", "col", p=9)
+    return shown(tp.diffuse(c.select("mission_id", "row", "col", "size", "cost", "on_road", "p"), 3), "mission_id", "row", "col", p=9)
 
 
 @query
 def drift(spark, folder):
     c = tb.terrain(spark, folder).withColumn("p", F.when((F.col("row") < 4) & (F.col("col") < 4), 1.0).otherwise(F.col("p"))).withColumn("current_u", F.lit(0.4)).withColumn("current_v", F.lit(-0.3))
-    return shown(tp.drift(c.select("mission_id", "row", "col", "size", "is_land", "current_u", "current_v", "p"), SIZE, 2, F.lit(60.0)), "mission_id", "row", "col", p=9)
+    return shown(tp.drift(c.select("mission_id", "row", "col", "size", "is_land", "current_u", "current_v", "p"), 2, F.lit(60.0)), "mission_id", "row", "col", p=9)
 
 
 @query
@@ -565,16 +565,25 @@ def suppress_boost(spark, folder):
     return shown(out, *keys, p=9)
 
 
-def searches(spark, folder):
-    """A slanted quadrilateral with a hole around each pin; every tenth one lies far away."""
+def searches(spark, folder, again=False):
+    """A slanted quadrilateral with a hole around each pin; every tenth one lies far away. ``again``: moved east, every third mission."""
     m = tb.missions(spark, folder)
-    far = F.when(F.col("mission_id") % 10 == 0, 5.0).otherwise(0.0)
+    far = F.lit(0.001) if again else F.when(F.col("mission_id") % 10 == 0, 5.0).otherwise(0.0)
+    if again:
+        m = m.where("mission_id % 3 = 0")
     def at(dx, dy):
         return F.array(F.col("lkp_lon") + dx + far, F.col("lkp_lat") + dy)
     ring = F.array(at(-0.0041, -0.0032), at(0.0049, -0.0017), at(0.0036, 0.0043), at(-0.0022, 0.0028), at(-0.0041, -0.0032))
     hole = F.array(at(-0.0011, -0.0009), at(0.0013, -0.0009), at(0.0013, 0.0011), at(-0.0011, 0.0011), at(-0.0011, -0.0009))
     text = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring, hole).alias("coordinates")))
-    return m.select("mission_id", joins.parse_polygon(text).alias("rings"), (0.5 + F.col("mission_id") % 7 / 10.0).alias("pod"))
+    pod = F.lit(0.3) if again else 0.5 + F.col("mission_id") % 7 / 10.0
+    return m.select("mission_id", joins.parse_polygon(text).alias("rings"), pod.alias("pod"), F.lit(int(again)).alias("search"))
+
+
+def searched_surface(spark, folder):
+    """The surface after one search, in every third mission two."""
+    c = grid.with_cell_latlon(formula_surface(spark, folder))
+    return c, ev.negative_search(c, searches(spark, folder).unionByName(searches(spark, folder, True)), sequence="search")
 
 
 @query
@@ -585,15 +594,13 @@ def cells_in_polygon(spark, folder):
 
 @query
 def negative_search(spark, folder):
-    c = grid.with_cell_latlon(formula_surface(spark, folder))
-    out = ev.negative_search(c, searches(spark, folder))
+    _, out = searched_surface(spark, folder)
     return shown(out.withColumn("searched", F.col("searched").cast("bigint")), "mission_id", "row", "col", "searched", p=9)
 
 
 @query
 def heatmap_delta(spark, folder):
-    c = grid.with_cell_latlon(formula_surface(spark, folder))
-    new = ev.negative_search(c, searches(spark, folder))
+    c, new = searched_surface(spark, folder)
     return shown(ev.heatmap_delta(c, new, 1e-5), "mission_id", "row", "col", p=9)
 
 

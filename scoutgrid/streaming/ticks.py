@@ -115,7 +115,7 @@ class StateTable:
         return self.before(1 << 62)
 
 
-def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_m: float, size: int,
+def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_m: float,
                  settings: Settings = DEFAULTS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: advance the surfaces of the missions seen by one tick per batch.
 
@@ -130,7 +130,7 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
         seen = batch.groupBy("mission_id").agg(F.max("tick").alias("now"))
         n = shuffle_partitions(batch.sparkSession)
         active = fields.join(seen, "mission_id").repartition(n, "mission_id")
-        surface = raw_surfaces(active, F.array("now"), settings, size)
+        surface = raw_surfaces(active, F.array("now"), settings)
         swept = ev.swept_cells(batch, res_m, settings).groupBy(*keys).agg(F.max("tick").alias("_new"))
         boosts = ev.boost_factors(ev.person_events(batch).drop("position"), settings).groupBy(*keys).agg(F.product("boost").alias("boost"))
         merged = surface.join(prior.select(*keys, F.col("p").alias("prior"), "last_sweep"), keys, "left").join(swept, keys, "left").join(boosts, keys, "left")
@@ -155,7 +155,7 @@ def merge_delta_batches(state: StateTable) -> Callable[[DataFrame, int], None]:
     return apply
 
 
-def relayer_batches(fields: DataFrame, state: StateTable, size: int, settings: Settings = DEFAULTS) -> Callable[[DataFrame, int], None]:
+def relayer_batches(fields: DataFrame, state: StateTable, settings: Settings = DEFAULTS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: recompute toggled missions at their tick, without history.
 
     ``fields`` carries the switches; control messages replace them. The state's tick stays.
@@ -168,7 +168,7 @@ def relayer_batches(fields: DataFrame, state: StateTable, size: int, settings: S
         ticks = prior.groupBy("mission_id").agg(F.max("tick").alias("now"))
         switched = layer_switches(controls, fields, "seq").join(ticks, "mission_id").repartition(
             shuffle_partitions(batch.sparkSession), "mission_id")
-        fresh = raw_surfaces(switched, F.array("now"), settings, size).select(*keys, F.col("p").alias("_p"))
+        fresh = raw_surfaces(switched, F.array("now"), settings).select(*keys, F.col("p").alias("_p"))
         out = prior.join(fresh, keys, "left").withColumn("p", F.coalesce("_p", "p")).drop("_p")
         state.write(batch_id, out)
 

@@ -111,16 +111,16 @@ def test_nearest_wanted_cell_equals_brute_force(spark):
 def test_diffusion_prefers_roads_and_leaks_only_at_the_border(spark):
     n = 16
     c = grid.make_cells(missions(spark, n)).withColumn("on_road", F.col("row") == 8)
-    p = matrix(tp.diffuse_flat(c.select("mission_id", "row", "col", "size", "on_road", "p"), n, 4), "p", n)
+    p = matrix(tp.diffuse_flat(c.select("mission_id", "row", "col", "size", "on_road", "p"), 4), "p", n)
     assert abs(p.sum() - 1) < 1e-12 and p[8, 10] > p[10, 8]
     edge = c.withColumn("p", ((F.col("row") == 0) & (F.col("col") == 0)).cast("double"))
-    assert matrix(tp.diffuse_flat(edge.select("mission_id", "row", "col", "size", "on_road", "p"), n, 1), "p", n).sum() < 1
+    assert matrix(tp.diffuse_flat(edge.select("mission_id", "row", "col", "size", "on_road", "p"), 1), "p", n).sum() < 1
 
 
 def test_drift_moves_downstream_and_keeps_mass(spark):
     n = 16
     c = grid.make_cells(missions(spark, n)).withColumns({"is_land": F.lit(False), "current_u": F.lit(0.4), "current_v": F.lit(0.0)})
-    p = matrix(tp.drift(c.select("mission_id", "row", "col", "size", "is_land", "current_u", "current_v", "p"), n, 8, F.lit(60.0)), "p", n)
+    p = matrix(tp.drift(c.select("mission_id", "row", "col", "size", "is_land", "current_u", "current_v", "p"), 8, F.lit(60.0)), "p", n)
     assert abs(p.sum() - 1) < 1e-12 and (p * np.arange(n)[None, :]).sum() > 9
 
 
@@ -140,7 +140,7 @@ def test_registered_layer_takes_part(spark):
     layers.register_layer(layer)
     try:
         c = grid.make_cells(missions(spark, 8)).withColumns({"halve": F.lit(True), "is_land": F.lit(True), "sea_drift": F.lit(False)})
-        out = layers.apply_layers(c, layers.LayerContext(8), ("halve",))
+        out = layers.apply_layers(c, layers.LayerContext(), ("halve",))
         assert abs(out.agg(F.sum("p")).first()[0] - 0.5) < 1e-12
     finally:
         layers.REGISTRY.remove(layer)

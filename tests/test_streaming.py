@@ -55,16 +55,16 @@ def test_sessions_and_first_events(spark, tmp_path):
 def test_fold_and_relayer(spark, small, tmp_path):
     m = tb.missions(spark, small)
     fields = hm.prepare_fields(tb.terrain_of(m), 3, F.lit(3600.0)).cache()
-    first = hm.raw_surfaces(fields, F.array(F.lit(0)), size=32)
+    first = hm.raw_surfaces(fields, F.array(F.lit(0)))
     start = first.select("mission_id", "row", "col", "p", "tick", F.lit(None).cast("bigint").alias("last_sweep")).withColumn("tick", F.col("tick").cast("bigint"))
     state = st.StateTable(str(tmp_path / "state"), start)
     records = q.ticked(spark, small).where("tick = 1")
     records.write.mode("overwrite").parquet(str(tmp_path / "rec"))
-    fold = st.fold_batches(fields, state, m, 50.0, 32)
+    fold = st.fold_batches(fields, state, m, 50.0)
     stream = spark.readStream.schema(records.schema).parquet(str(tmp_path / "rec"))
     st.run_fold(fold, stream, str(tmp_path / "ck")).awaitTermination()
     got = {(r.mission_id, r.row, r.col): r.p for r in state.latest().collect()}
-    both = hm.raw_surfaces(fields, F.array(F.lit(0), F.lit(1)), size=32)
+    both = hm.raw_surfaces(fields, F.array(F.lit(0), F.lit(1)))
     want = hm.run_ticks(both, 1, ev.swept_cells(records, 50.0), ev.boost_factors(ev.person_events(records).drop("position")))
     live = {r.mission_id for r in records.select("mission_id").distinct().collect()}
     checked = [r for r in want.collect() if r.mission_id in live]
@@ -72,7 +72,7 @@ def test_fold_and_relayer(spark, small, tmp_path):
     fold(spark.read.parquet(str(tmp_path / "rec")), 0)  # the same batch again leaves the same state
     assert {(r.mission_id, r.row, r.col): r.p for r in state.latest().collect()} == got
     control = spark.createDataFrame([(1, json.dumps({"event": "update_layers", "mission_id": "1", "layers": {"topography": False, "roads": True, "bogus": True}}))], "seq bigint, value string")
-    st.relayer_batches(fields, state, 32)(control, 1)
+    st.relayer_batches(fields, state)(control, 1)
     again = {(r.mission_id, r.row, r.col): r.p for r in state.latest().collect()}
     assert any(again[k] != got[k] for k in got if k[0] == 1) and all(again[k] == got[k] for k in got if k[0] != 1)
 
