@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scoutgrid.llm.shingles import WordCodes, mixed
-from scoutgrid.llm.text import held_out
+from scoutgrid.llm.text import hashed_sample, held_out
 
 PASSAGE = 64
 MAX_LABELLED = 8000
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """
     known = labels.select(labels[f"`{key}`"].alias("key"), labels[f"`{label}`"].cast("int").alias("label")).where(
         ~held_out(F.col("key"), folds, fold) & F.col("label").isin(0, 1)).distinct()
-    chosen = known.orderBy(F.xxhash64("key"), "key", "label").limit(MAX_LABELLED)
+    chosen = hashed_sample(known, MAX_LABELLED)
     rows = docs.select(docs[f"`{key}`"].alias("row"), held_out(docs[f"`{key}`"], folds, fold).alias("held_out"),
                        docs[f"`{text}`"].cast("string").cast("binary").alias("text"))
     read = rows.join(F.broadcast(chosen), rows["row"] == chosen["key"]).select("label", "text").mapInArrow(

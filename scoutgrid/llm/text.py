@@ -35,3 +35,15 @@ def once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 def held_out(key: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text leaves ``fold``; null keys count as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def hashed_sample(keys: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` of the keys (column ``key``), all if there are no more: those with the smallest hashes.
+
+    The bound on the hash comes from a count, so that no task sends more than its share of the sample.
+    """
+    n = keys.count()
+    if n <= limit:
+        return keys
+    bound = int((limit * 0.97 / n) * 2**62)
+    return keys.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), "key"), 2) < bound).limit(limit)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scoutgrid.llm.decontaminate import folded
 from scoutgrid.llm.shingles import WordCodes
-from scoutgrid.llm.text import held_out
+from scoutgrid.llm.text import hashed_sample, held_out
 
 PLACES = 1 << 20
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
@@ -108,10 +108,10 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     known = labels.select(labels[f"`{key}`"].alias("key"), labels[f"`{label}`"].cast("int").alias("label")).where(
         ~held_out(F.col("key"), folds, fold) & F.col("label").isNotNull())
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
-    toxic = known.where("label = 1").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(MAX_POSITIVE)
+    toxic = hashed_sample(known.where("label = 1").select("key").distinct(), MAX_POSITIVE)
     rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].cast("string").cast("binary").alias("text"))
     rows = rows.where(~held_out(F.col("key"), folds, fold))
-    plain = rows.select("key").distinct().orderBy(F.xxhash64(F.lit(1), "key"), "key").limit(MAX_UNLABELLED)
+    plain = hashed_sample(rows.select("key").distinct(), MAX_UNLABELLED)
     both = toxic.select("key", F.lit(True).alias("toxic")).union(plain.select("key", F.lit(False).alias("toxic")))
     found = rows.join(F.broadcast(both), "key").select("toxic", "text").mapInArrow(_read, "toxic boolean, places array<int>").collect()
     split = {True: [], False: []}
