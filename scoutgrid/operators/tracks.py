@@ -133,3 +133,15 @@ def sortie_events(revealed: DataFrame, step_sec: Column) -> DataFrame:
     """Revealed finds as detection events with their tick."""
     return revealed.where("person").withColumn("tick", reveal_tick(step_sec)).withColumn(
         "position", valid_position(F.col("lat"), F.col("lon"), F.col("north_m")))
+
+
+def all_evidence(feed: DataFrame, revealed: DataFrame, step_sec: Column) -> DataFrame:
+    """Bag union of the live feed and the flights' revealed records as (mission, tick, source, person, lat, lon, confidence).
+
+    ``feed`` carries its tick; a flight's record counts in the tick that reveals it, at its shifted place. Nothing is
+    deduplicated: a find that both report raises its cell twice.
+    """
+    columns = ["mission_id", "tick", "person", "lat", "lon", "confidence"]
+    flown = revealed.withColumn("tick", reveal_tick(step_sec)).withColumn("_p", valid_position(F.col("lat"), F.col("lon"), F.col("north_m")))
+    flown = flown.withColumns({"lat": F.col("_p.lat"), "lon": F.col("_p.lon")})
+    return feed.select(*columns, F.lit("feed").alias("source")).unionByName(flown.select(*columns, F.lit("sortie").alias("source")))

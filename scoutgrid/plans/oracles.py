@@ -179,6 +179,7 @@ def near(left: str, right: str, tol: int, later: bool) -> str:
   QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY abs(t.us - l.us) NULLS LAST, t.us {order}) = 1)"""
 
 
+oracle("attach_gps", TELE, f"SELECT n.event_id AS source_index, n.user_id, {r('e.value', 6, 'latitude')}, {r('e.value / 2', 6, 'longitude')} FROM {near('mdet', 'tele', 7200000000, True)} n LEFT JOIN events e ON e.event_id = n.sample")
 oracle("asof_nearest", TELE, f"SELECT event_id AS source_index, user_id, sample, round(gap / 1e6, 6) AS gap_sec FROM {near('mdet', 'tele', 7200000000, True)}")
 CLAIM = "(SELECT *, CASE WHEN sample IS NOT NULL AND row_number() OVER (PARTITION BY user_id, sample ORDER BY us, event_id) = 1 THEN sample END AS won FROM {})"
 oracle("asof_claim", TELE, f"SELECT event_id AS source_index, user_id, won AS sample FROM {CLAIM.format(near('mdet', 'tele', 7200000000, False))}")
@@ -283,6 +284,7 @@ oracle("transition_edges", EDGES, f"SELECT {KEYS}, CAST(n_row AS BIGINT) AS n_ro
 oracle("neighbour_share", EDGES, f"SELECT {KEYS}, CAST(idx AS BIGINT) AS idx, {r('weight / sum(weight) OVER (PARTITION BY mission_id, \"row\", col)', 8, 'weight')} FROM edges WHERE inside")
 NINE_IDX = "(VALUES (-1,-1,0),(-1,0,1),(-1,1,2),(0,-1,3),(0,0,4),(0,1,5),(1,-1,6),(1,0,7),(1,1,8)) AS o(dr, dc, idx)"
 _in9 = '"row" + dr BETWEEN 0 AND 31 AND col + dc BETWEEN 0 AND 31'
+oracle("road_weights", EDGES, f"SELECT {KEYS}, CAST(n_row AS BIGINT) AS n_row, CAST(n_col AS BIGINT) AS n_col, CAST(idx AS BIGINT) AS idx, {r('0.88e0 * weight', 8, 'weight')} FROM edges WHERE inside")
 oracle("wind_weights", f"{CELLS}, w AS (SELECT *, 4e0 AS u, 2.5e0 - mission_id % 6 AS v FROM cells), a AS (SELECT *, (u * dc - v * dr) / sqrt(u * u + v * v) AS al FROM w, {NINE_IDX})",
        f"SELECT {KEYS}, CAST(idx AS BIGINT) AS idx, {r('CASE WHEN idx <> 4 AND al > 0 THEN sqrt(10 / 60e0) * least(sqrt(u * u + v * v) / 5, 1.5e0) * al ELSE 0 END', 8, 'weight')} FROM a WHERE {_in9}")
 oracle("current_weights", f"{RELIEF}, a AS (SELECT *, (0.4e0 * dc + 0.1e0 * dr) / (sqrt(0.17e0) * sqrt(dr * dr + dc * dc)) AS al FROM relief, {NINE_IDX})",
@@ -466,6 +468,7 @@ oracle("systematic_resample", """pt AS (SELECT event_id % 8 AS mission_id, event
 oracle("top_points", f"{DETECTIONS}, w AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY (1 + event_id % 13) DESC, event_id DESC) AS rank FROM det)", f"SELECT mission_id, rank, event_id, {r('(1 + event_id % 13) / 1000e0', 6, 'weight')} FROM w WHERE rank <= 20")
 
 # --- flights
+_tail_timed = "timed_all AS (SELECT *, CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT) AS tick FROM det)"
 SORTIES = f"""{DETECTIONS}, rec AS (SELECT *, user_id % 8 AS sortie FROM det), fl AS (SELECT mission_id, sortie, min(us) AS b, max(us) AS z, bool_or(person) AS found, count(*) AS n FROM rec GROUP BY 1, 2),
  fo AS (SELECT *, (z - b) / 1e6 AS dur, CASE WHEN mission_id % 2 = 0 AND sortie % 2 = 0 THEN 600e0 * sortie END AS ex, row_number() OVER (PARTITION BY mission_id ORDER BY sortie) AS i FROM fl),
  sch AS (SELECT *, coalesce(ex, 120e0) AS st FROM fo WHERE i = 1 UNION ALL SELECT f.*, coalesce(f.ex, s.st + s.dur + 10) FROM sch s JOIN fo f ON f.mission_id = s.mission_id AND f.i = s.i + 1),
@@ -478,6 +481,13 @@ oracle("drone_tracks", TRACK, f"SELECT mission_id, CAST(sortie AS BIGINT) AS sor
 oracle("track_heads", TRACK, f"SELECT mission_id, arg_max('drone-' || (sortie + 1), CAST(active AS INT) * 100 + sortie) AS asset_id, count(*) AS n_drones, {r('arg_max(y2, CAST(active AS INT) * 100 + sortie)', 7, 'lat')} FROM tr GROUP BY 1")
 oracle("trail_segments", f"{SORTIES}, lg AS (SELECT *, lag(lon) OVER w AS x0, lag(la) OVER w AS y0 FROM rev WHERE rv < 900000 WINDOW w AS (PARTITION BY mission_id, sortie ORDER BY rv, event_id))",
        f"""SELECT mission_id, CAST(sortie AS BIGINT) AS sortie, event_id AS record_id, {r('x0', 7, 'from_lon')}, {r('y0', 7, 'from_lat')}, {r('lon', 7, 'to_lon')}, {r('la', 7, 'to_lat')}, {r('rv', 6, 'reveal_sec')}, {r('greatest(0, 1 - (900000 - rv) / CASE WHEN st <= 900000 AND 900000 < st + dur THEN 600000 ELSE 400000 END)', 8, 'opacity')} FROM lg WHERE x0 IS NOT NULL""")
+oracle("marker_opacity", f"""{TRACK}, nl AS (SELECT mission_id, sortie, max(rv) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY mission_id, sortie ORDER BY rv, event_id) AS i FROM rev WHERE rv < 900000) WHERE i > 1 GROUP BY 1, 2)""",
+       f"SELECT tr.mission_id, CAST(tr.sortie AS BIGINT) AS sortie, {r('CASE WHEN active THEN 1 ELSE coalesce(greatest(0, 1 - (900000 - newest) / 400000e0), 0) END', 8, 'opacity')} FROM tr LEFT JOIN nl USING (mission_id, sortie)")
+BOTH = f"""{SORTIES}, {_tail_timed}, bo AS (SELECT mission_id, tick, 'feed' AS source, person, lat, lon FROM timed_all UNION ALL SELECT mission_id, CAST(floor(rv / 3600) + 1 AS BIGINT), 'sortie', person, la, lon FROM rev)"""
+oracle("all_evidence", BOTH, f"SELECT mission_id, tick, source, count(*) FILTER (person) AS finds, count(*) FILTER (NOT person) AS sweeps, {r('avg(lat)', 7, 'lat')} FROM bo GROUP BY 1, 2, 3")
+oracle("live_sweep", f"""{SORTIES}, px AS (SELECT *, (origin_n + 825e0 - point_n) / 50e0 AS row_f, (point_e - (origin_e - 825e0)) / 50e0 AS col_f FROM {utm('(SELECT * EXCLUDE (lat), la AS lat FROM rev)', 'lat', 'lon', 'point_e', 'point_n')}),
+ timed AS MATERIALIZED (SELECT *, CAST(floor(row_f) AS INT) AS "row", CAST(floor(col_f) AS INT) AS col, CAST(floor(rv / 3600) + 1 AS BIGINT) AS tick FROM px WHERE floor(row_f) BETWEEN 0 AND 31 AND floor(col_f) BETWEEN 0 AND 31), {swept(10.0)}""",
+       f"SELECT mission_id, tick, CAST(\"row\" AS BIGINT) AS \"row\", CAST(col AS BIGINT) AS col FROM swp")
 oracle("subsample", f"""{EVENTS}, rc AS (SELECT event_id, user_id % 3 AS sortie, us, event_type = 'purchase' AND user_id % 5 = 0 AS person FROM ev), ct AS (SELECT sortie, count(*) AS n, count(*) FILTER (person) AS f FROM rc GROUP BY 1),
  ot AS (SELECT rc.*, n, f, row_number() OVER (PARTITION BY rc.sortie ORDER BY us, event_id) - 1 AS k FROM rc JOIN ct USING (sortie) WHERE NOT person),
  pk AS (SELECT sortie, CAST(floor(i * ((n - f) / (300 - f))) AS BIGINT) AS k FROM (SELECT *, unnest(range(0, 300 - f)) AS i FROM ct WHERE n > 300 AND f < 300))""",

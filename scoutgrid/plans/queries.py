@@ -236,6 +236,14 @@ def asof_nearest(spark, folder):
     return got.select("source_index", "user_id", F.col("r_sample").alias("sample"), F.round("gap_sec", 6).alias("gap_sec"))
 
 
+@query
+def attach_gps(spark, folder):
+    """Detections with the place of the nearest telemetry fix."""
+    fixes = tb.telemetry(spark, folder).select("user_id", "ts", "lat", "lon")
+    got = tm.attach_gps(tb.merge_detections(spark, folder), fixes, ["user_id"], DEFAULTS.but(gps_tolerance_sec=7200.0), 86400.0)
+    return shown(got, "source_index", "user_id", latitude=6, longitude=6)
+
+
 @query
 def asof_claim(spark, folder):
     got = joins.asof_claim(tb.merge_detections(spark, folder), tb.telemetry(spark, folder).select("user_id", "ts", F.col("source_index").alias("sample")),
@@ -469,6 +477,12 @@ def neighbour_share(spark, folder):
     return shown(tp.normalize_weights(e, "weight"), "mission_id", "row", "col", "idx", weight=8)
 
 
+@query
+def road_weights(spark, folder):
+    e = tp.road_weights(costed(spark, folder).select("mission_id", "row", "col", "size", "cost", "on_road"), DEFAULTS.roads_weight)
+    return shown(e, "mission_id", "row", "col", "n_row", "n_col", "idx", weight=8)
+
+
 @query
 def wind_weights(spark, folder):
     c = tb.cells(spark, folder).withColumn("wind_u", F.lit(4.0)).withColumn("wind_v", 2.5 - F.col("mission_id") % 6)
@@ -790,6 +804,33 @@ def trail_segments(spark, folder):
     return shown(t, "mission_id", "sortie", "record_id", from_lon=7, from_lat=7, to_lon=7, to_lat=7, reveal_sec=6, opacity=8)
 
 
+@query
+def marker_opacity(spark, folder):
+    s = DEFAULTS.but(trail_fade_sec=600000.0, trail_fade_done_sec=400000.0)
+    shown_now = revealed(spark, folder)
+    segments = tracks.trail_segments(shown_now, F.lit(900000.0), s, 86400.0)
+    return shown(tracks.marker_opacity(segments, tracks.track_snapshot(shown_now, F.lit(900000.0)), s), "mission_id", "sortie", opacity=8)
+
+
+@query
+def all_evidence(spark, folder):
+    """Feed and flights united: finds and sweeps of each tick, mission and source."""
+    feed = ticked(spark, folder).select("mission_id", "tick", "person", "lat", "lon", "confidence")
+    e = tracks.all_evidence(feed, revealed(spark, folder), F.lit(STEP))
+    return shown(e.groupBy("mission_id", "tick", "source").agg(
+        F.count_if("person").alias("finds"), F.count_if(~F.col("person")).alias("sweeps"), F.avg("lat").alias("lat")),
+        "mission_id", "tick", "source", "finds", "sweeps", lat=7)
+
+
+@query
+def live_sweep(spark, folder):
+    """Cells that the flights sweep as they are revealed."""
+    m = grid.with_origin(tb.missions(spark, folder)).select("mission_id", "epsg", "origin_e", "origin_n", "size", "res_m")
+    none = ticked(spark, folder).select("mission_id", "tick", "person", "lat", "lon", "confidence").limit(0)
+    e = tracks.all_evidence(none, revealed(spark, folder), F.lit(STEP))
+    return shown(ev.swept_cells(joins.salted_join(e, m, ["mission_id"]), tb.RES_M), "mission_id", "tick", "row", "col")
+
+
 @query
 def subsample(spark, folder):
     e = tb.events(spark, folder).select("event_id", (F.col("user_id") % 3).alias("sortie"), "ts", ((F.col("event_type") == "purchase") & (F.col("user_id") % 5 == 0)).alias("person"))

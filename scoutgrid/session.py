@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,18 @@ def get_spark(app: str = "scoutgrid", master: str | None = None, partitions: int
         builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of a session, wherever it was started from; call it once on a session of your own."""
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="scoutgrid-")) / "scoutgrid.zip"  # the driver serves it, nobody else reads it
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    return spark
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -40,12 +53,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer splits than the session has shuffle partitions out to all tasks.
-
-    For small files with much work per row; a scan that has enough splits is left alone.
-    """
-    wanted = shuffle_partitions(df.sparkSession)
-    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+    """Deal rows out to all tasks: for inputs of few splits with much work per row."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalars import tick_of
 from ..operators import evidence as ev
 from ..operators.grid import CELL_KEYS
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 from ..plans.heatmap import raw_surfaces
 from ..settings import DEFAULTS, Settings
 from .messages import delta_rows, layer_switches, parse_messages, route
@@ -117,29 +117,45 @@ class StateTable:
 
 def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_m: float,
                  settings: Settings = DEFAULTS) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: advance the surfaces of the missions seen by one tick per batch.
+    """``foreachBatch`` function: advance the surfaces of the missions seen, tick by tick.
 
-    The state table holds (mission, row, col, p, tick, last_sweep). A batch carries the records
-    of one tick per mission (``tick`` set, mission columns joined); missions without records in
-    the batch keep their state.
+    The state table holds (mission, row, col, p, tick, last_sweep). A batch carries records with their ``tick`` and
+    mission columns. Each of its ticks is folded in order, and so are the ticks without records that a mission has passed since its
+    last one; the numbers of distinct ticks are the only thing read on the driver. Missions without records in the batch keep their state; of
+    records later than their mission's state only those of the batch's last tick count.
     """
     keys = list(CELL_KEYS)
-
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        prior = state.before(batch_id)
-        seen = batch.groupBy("mission_id").agg(F.max("tick").alias("now"))
-        n = shuffle_partitions(batch.sparkSession)
-        active = fields.join(seen, "mission_id").repartition(n, "mission_id")
-        surface = raw_surfaces(active, F.array("now"), settings)
-        swept = ev.swept_cells(batch, res_m, settings).groupBy(*keys).agg(F.max("tick").alias("_new"))
-        boosts = ev.boost_factors(ev.person_events(batch).drop("position"), settings).groupBy(*keys).agg(F.product("boost").alias("boost"))
+    columns = [*keys, "p", "tick", "last_sweep"]
+
+    def advance(prior: DataFrame, records: DataFrame, moving: DataFrame, tick: int) -> DataFrame:
+        """The missions in ``moving`` at ``tick``, the others as they were."""
+        n = shuffle_partitions(prior.sparkSession)
+        active = fields.join(moving, "mission_id").repartition(n, "mission_id")
+        surface = raw_surfaces(active, F.array(F.lit(tick)), settings)
+        swept = ev.swept_cells(records, res_m, settings).groupBy(*keys).agg(F.max("tick").alias("_new"))
+        boosts = ev.boost_factors(ev.person_events(records).drop("position"), settings).groupBy(*keys).agg(F.product("boost").alias("boost"))
         merged = surface.join(prior.select(*keys, F.col("p").alias("prior"), "last_sweep"), keys, "left").join(swept, keys, "left").join(boosts, keys, "left")
         merged = merged.withColumn("last_sweep", F.greatest("last_sweep", "_new")).withColumn(
             "clean", F.pow(F.lit(settings.clean_decay), F.col("tick") - F.col("last_sweep"))).drop("_new")
         out = ev.boost(ev.suppress(ev.blend_history(merged, "prior", settings), settings))
-        columns = [*keys, "p", "tick", "last_sweep"]
-        idle = prior.join(seen, "mission_id", "left_anti").select(*columns)
-        state.write(batch_id, out.select(*columns).unionByName(idle))
+        idle = prior.join(moving, "mission_id", "left_anti").select(*columns)
+        return out.select(*columns).unionByName(idle)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        current = state.before(batch_id)
+        batch = batch.cache()
+        reached = batch.groupBy("mission_id").agg(F.max("tick").alias("_to"))
+        passed = current.groupBy("mission_id").agg(F.max("tick").alias("_from"))
+        due = reached.join(passed, "mission_id", "left").select("mission_id", F.explode(F.sequence(
+            F.least(F.coalesce(F.col("_from") + 1, F.col("_to")), F.col("_to")), F.col("_to"))).alias("tick")).cache()
+        ticks = [r["tick"] for r in due.select("tick").distinct().orderBy("tick").collect()]
+        for tick in ticks:
+            current = advance(current, batch.where(F.col("tick") == tick), due.where(F.col("tick") == tick).select("mission_id"), tick)
+            if tick != ticks[-1]:
+                current = cut_lineage(current)
+        state.write(batch_id, current)
+        due.unpersist()
+        batch.unpersist()
 
     return apply
 

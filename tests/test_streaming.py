@@ -77,6 +77,25 @@ def test_fold_and_relayer(spark, small, tmp_path):
     assert any(again[k] != got[k] for k in got if k[0] == 1) and all(again[k] == got[k] for k in got if k[0] != 1)
 
 
+def test_three_ticks_in_one_batch_equal_the_batch_fold(spark, small, tmp_path):
+    m = tb.missions(spark, small).where("mission_id <= 4")
+    fields = hm.prepare_fields(tb.terrain_of(m), 3, F.lit(3600.0)).cache()
+    surfaces = hm.raw_surfaces(fields, F.array(*[F.lit(t) for t in range(4)])).cache()
+    start = surfaces.where("tick = 0").select("mission_id", "row", "col", "p", F.col("tick").cast("bigint").alias("tick"), F.lit(None).cast("bigint").alias("last_sweep"))
+    placed = q.ticked(spark, small).where("mission_id <= 4")
+    # the first two missions report in all ticks, the third only in tick 3, the last never
+    records = placed.withColumn("tick", F.when(F.col("mission_id") <= 2, 1 + F.col("event_id") % 3).otherwise(3)).where("mission_id <= 3").cache()
+    state = st.StateTable(str(tmp_path / "state"), start)
+    st.fold_batches(fields, state, m, 50.0)(records, 0)
+    got = {(r.mission_id, r.row, r.col): (r.p, r.tick) for r in state.latest().collect()}
+    want = hm.run_ticks(surfaces, 3, ev.swept_cells(records, 50.0), ev.boost_factors(ev.person_events(records).drop("position"))).collect()
+    moved = {r.mission_id for r in records.select("mission_id").distinct().collect()}
+    assert len(moved) >= 2
+    for r in want:
+        p, tick = got[r.mission_id, r.row, r.col]
+        assert (abs(p - r.p) < 1e-12 and tick == 3) if r.mission_id in moved else tick == 0
+
+
 def test_delta_batches(spark, tmp_path):
     grid = spark.createDataFrame([(1, r, c, 0.0) for r in range(2) for c in range(2)], "mission_id bigint, row int, col int, p double")
     state = st.StateTable(str(tmp_path / "d"), grid)
