@@ -20,6 +20,30 @@ def _gather(df: DataFrame, keys: list[str], item, out: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(out))
 
 
+def _jumps(t: np.ndarray, wait: int) -> list[np.ndarray]:
+    """Place reached from every place after 1, 2, 4, ... waits; the end of a chain stays. The last array gives the ends."""
+    n = len(t)
+    ahead = np.searchsorted(t, t + wait)
+    steps = [np.where(ahead < n, ahead, np.arange(n))]
+    while n and (steps[-1][steps[-1]] != steps[-1]).any():
+        steps.append(steps[-1][steps[-1]])
+    return [*steps, steps[-1]]
+
+
+def _smoothed(x: np.ndarray, alpha: float, block: int = 256) -> np.ndarray:
+    """Exponential smoothing seeded by the first value: blocks as one triangular product, then their carried states."""
+    keep, n = 1.0 - alpha, len(x)
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    weights = np.where(lag >= 0, alpha * keep ** np.maximum(lag, 0), 0.0)
+    blocks = np.concatenate((x, np.zeros(-n % block))).reshape(-1, block)
+    local, fade = blocks @ weights.T, keep ** np.arange(1, block + 1)
+    state = x[0]
+    for row in local:
+        row += fade * state
+        state = row[-1]
+    return local.ravel()[:n]
+
+
 def throttle(df: DataFrame, keys: list[str], cooldown_sec: float, ts: str = "ts", tie: tuple[str, ...] = (),
              slice_sec: float | None = None) -> DataFrame:
     """Keep a row only if it is at least ``cooldown_sec`` after the last row kept for its key."""
@@ -36,11 +60,7 @@ def throttle(df: DataFrame, keys: list[str], cooldown_sec: float, ts: str = "ts"
         """Last kept time of a slice for each time its first kept row can have."""
         first, end = [], []
         for t, number in zip(times, numbers):
-            n, nxt = len(t), np.searchsorted(t, t + wait)
-            last = np.arange(n)
-            for i in range(n - 1, -1, -1):
-                if nxt[i] < n:
-                    last[i] = last[nxt[i]]
+            n, last = len(t), _jumps(t, wait)[-1]
             count = min(n, int(np.searchsorted(t, number * micros + wait)) + 1)
             a, b = t[:count], t[last[:count]]
             keep = np.append(b[1:] != b[:-1], True)  # of a run with one outcome the largest time is enough
@@ -66,12 +86,11 @@ def throttle(df: DataFrame, keys: list[str], cooldown_sec: float, ts: str = "ts"
     def kept(times: pd.Series, starts: pd.Series) -> pd.Series:
         out = []
         for t, start in zip(times, starts):
-            at = 0 if pd.isna(start) else int(np.searchsorted(t, int(start) + wait))
-            picks = []
-            while at < len(t):
-                picks.append(int(t[at]))
-                at = int(np.searchsorted(t, t[at] + wait))
-            out.append(picks)
+            at = np.arange(len(t))[0 if pd.isna(start) else np.searchsorted(t, int(start) + wait):][:1]
+            for jump in reversed(_jumps(t, wait)[:-1]):  # 1, 2, 4, ... kept rows on from those found so far
+                further = jump[at]
+                at = np.concatenate((at, further[further != at]))
+            out.append(t[np.unique(at)])
         return pd.Series(out)
 
     reduced = slices.withColumn("_x", exits("_times", SLICE)).select(*keys, SLICE, F.col("_x.first").alias("first"), F.col("_x.end").alias("end"))
@@ -96,14 +115,7 @@ def ewma(df: DataFrame, keys: list[str], value: str, alpha: float = 0.1, ts: str
 
     @F.pandas_udf("array<double>")
     def local(values: pd.Series) -> pd.Series:
-        out = []
-        for x in values:
-            y = np.empty(len(x))
-            y[0] = x[0]
-            for i in range(1, len(x)):
-                y[i] = keep * y[i - 1] + alpha * x[i]
-            out.append(y)
-        return pd.Series(out)
+        return pd.Series([_smoothed(np.asarray(x, float), alpha) for x in values])
 
     @F.pandas_udf("array<double>")
     def carried(chains: pd.Series) -> pd.Series:
