@@ -221,14 +221,17 @@ oracle("time_sorted", EVENTS, "SELECT event_id, us AS ts FROM ev ORDER BY us, ev
 oracle("slope_aspect", TERRAIN, f"SELECT {KEYS}, {r('elevation', 3)}, {r('slope', 8)}, {r('aspect_e', 6)}, {r('aspect_n', 6)} FROM terrain")
 
 
-def focal(src: str, weight: str) -> str:
-    return f"""(SELECT c.mission_id, c."row", c.col, any_value(c.slope) AS slope, any_value(c.elevation) AS elevation0, sum(n.elevation * {weight}) AS elevation FROM {src} c, {NINE}, {src} n
-   WHERE n.mission_id = c.mission_id AND n."row" = greatest(0, least(31, c."row" + dr)) AND n.col = greatest(0, least(31, c.col + dc)) GROUP BY 1, 2, 3)"""
+def focal(src: str, side: str, mid: str) -> str:
+    """Weighted 3 x 3 sum as two passes of windows; the border repeats."""
+    def line(value: str, fixed: str, moving: str) -> str:
+        w = f'OVER (PARTITION BY mission_id, {fixed} ORDER BY {moving})'
+        return f"{mid} * {value} + {side} * (coalesce(lag({value}) {w}, {value}) + coalesce(lead({value}) {w}, {value}))"
+    across, down = line("elevation", '"row"', "col"), line("across", "col", '"row"')
+    return f"""(SELECT mission_id, "row", col, slope, elevation AS elevation0, {down} AS elevation FROM (SELECT *, {across} AS across FROM {src}))"""
 
 
-_w16 = "((2 - abs(dr)) * (2 - abs(dc)) / 16e0)"
-oracle("smooth", f"{RELIEF}, r0 AS (SELECT *, 0 AS slope FROM relief), s1 AS (SELECT * FROM {focal('r0', _w16)})", f"SELECT {KEYS}, {r('elevation', 6)} FROM {focal('s1', _w16)}")
-CLASSES = f"""{TERRAIN}, cls0 AS (SELECT *, elevation0 - (elevation - elevation0) / 8 AS tpi FROM {focal('terrain', '1')}),
+oracle("smooth", f"{RELIEF}, r0 AS (SELECT *, 0 AS slope FROM relief), s1 AS (SELECT * FROM {focal('r0', '0.25e0', '0.5e0')})", f"SELECT {KEYS}, {r('elevation', 6)} FROM {focal('s1', '0.25e0', '0.5e0')}")
+CLASSES = f"""{TERRAIN}, cls0 AS (SELECT *, elevation0 - (elevation - elevation0) / 8 AS tpi FROM {focal('terrain', '1', '1')}),
  cls AS (SELECT *, degrees(slope) >= 30 AS is_steep, degrees(slope) >= 45 AS is_cliff, tpi <= -5 AS is_valley, tpi >= 5 AS is_ridge FROM cls0),
  weighed AS (SELECT *, (CASE WHEN is_steep THEN 0.7e0 ELSE 1 END) * (CASE WHEN is_cliff THEN 0.2e0 ELSE 1 END) * (CASE WHEN is_valley THEN 1.15e0 ELSE 1 END) * (CASE WHEN is_ridge THEN 0.9e0 ELSE 1 END) AS weight FROM cls)"""
 oracle("terrain_classes", CLASSES, f"SELECT {KEYS}, {', '.join(f'CAST({f} AS BIGINT) AS {f}' for f in ('is_steep', 'is_cliff', 'is_valley', 'is_ridge'))}, {r('tpi', 6)}, {r('weight', 6)} FROM weighed")
