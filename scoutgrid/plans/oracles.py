@@ -410,8 +410,8 @@ oracle("negative_search", NEG, f"SELECT {KEYS}, CAST(searched AS BIGINT) AS sear
 oracle("heatmap_delta", NEG, f"SELECT {KEYS}, {r('p', 9)} FROM nw WHERE abs(p - old) > 1e-5")
 oracle("delta_merge", f"{FORMULA}, {_tail}, lst AS (SELECT mission_id, \"row\", col, arg_max(confidence, event_id) AS c FROM onto GROUP BY 1, 2, 3)", f"SELECT s.mission_id, CAST(s.\"row\" AS BIGINT) AS \"row\", CAST(s.col AS BIGINT) AS col, {r('coalesce(c, s.p)', 9, 'p')} FROM surf s LEFT JOIN lst USING (mission_id, \"row\", col)")
 oracle("footprint_union", f"{PLACED}, u AS (SELECT DISTINCT mission_id, \"row\", col FROM onto)", "SELECT mission_id, count(*) AS seen_cells, CAST(1024 - count(*) AS BIGINT) AS open_cells FROM u GROUP BY 1 HAVING count(*) < 1024")
-_masked = ", ".join(f"{stack(t)}, mk{t} AS (SELECT *, {_pe_mask} AS m FROM pe{t})" for t in range(4))
-ONLY = f"{COSTED}, {walk('relief', '4e0')}, {_masked}"
+_masked = ", ".join(f'mk{t} AS MATERIALIZED (WITH RECURSIVE {stacked(t, 6 * t, 2 * max(1, t))} SELECT mission_id, "row", col, wet, p AS m FROM fin)' for t in range(4))
+ONLY = f"{PINS}, {_masked}"
 oracle("history_blend", ONLY, f"""SELECT a.mission_id, CAST(a."row" AS BIGINT) AS "row", CAST(a.col AS BIGINT) AS col, {r('CASE WHEN a.wet THEN d.m ELSE 0.6e0 * (0.6e0 * (0.6e0 * a.m + 0.4e0 * b.m) + 0.4e0 * c.m) + 0.4e0 * d.m END', 9, 'p')}
   FROM mk0 a JOIN mk1 b USING (mission_id, "row", col) JOIN mk2 c USING (mission_id, "row", col) JOIN mk3 d USING (mission_id, "row", col)""")
 _fold = ""
@@ -422,7 +422,7 @@ for _t in (1, 2, 3):
  h{_t} AS (SELECT *, CASE WHEN max(cl) OVER w > 0 AND sum(v * (1 - 0.8e0 * cl)) OVER w > 0 THEN v * (1 - 0.8e0 * cl) / sum(v * (1 - 0.8e0 * cl)) OVER w ELSE v END AS q FROM g{_t} WINDOW w AS (PARTITION BY mission_id)),
  b{_t} AS (SELECT h.mission_id, h."row", h.col, q, b, q * coalesce(b, 1) AS qb FROM h{_t} h LEFT JOIN (SELECT mission_id, "row", col, product(1 + 0.6e0 * confidence) AS b FROM timed WHERE person AND tick = {_t} GROUP BY 1, 2, 3) USING (mission_id, "row", col)),
  f{_t} AS MATERIALIZED (SELECT mission_id, "row", col, CASE WHEN count(b) OVER (PARTITION BY mission_id) > 0 AND sum(qb) OVER (PARTITION BY mission_id) > 0 THEN qb / sum(qb) OVER (PARTITION BY mission_id) ELSE qb END AS p FROM b{_t})"""
-oracle("tick_fold", f"{ONLY}, {_tail}, {swept(10.0)}{_fold}", f"SELECT {KEYS}, {r('p', 9)} FROM f3")
+oracle("tick_fold", f"{ONLY}, {_tail}, {swept(10.0)}{_fold}".replace("3.6e9", "8.64e11"), f"SELECT {KEYS}, {r('p', 9)} FROM f3")
 
 # --- ranking, statistics, exports
 RANKED = f"{FORMULA}, rk AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY p DESC, \"row\" DESC, col DESC) AS rank FROM surf WHERE p > 1e-12)"

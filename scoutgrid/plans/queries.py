@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, scalars as sc
 from ..operators import evidence as ev, folds, grid, joins, layers, points, ranking, raster, report, routes, telemetry as tm, tracks, transport as tp
+from ..session import cut_lineage
 from ..settings import DEFAULTS, METRES_PER_DEGREE
 from ..sources import readers, sinks
 from ..streaming import messages
@@ -636,15 +637,14 @@ def footprint_union(spark, folder):
 
 @query
 def history_blend(spark, folder):
-    s = surfaces(spark, folder, [0, 1, 2, 3], ("roads", "sea_drift"))
-    return shown(ev.history_closed_form(s, 3), "mission_id", "row", "col", p=9)
+    return shown(ev.history_closed_form(surfaces(spark, folder, [0, 1, 2, 3]), 3), "mission_id", "row", "col", p=9)
 
 
 @query
 def tick_fold(spark, folder):
-    """Three ticks with sweeps and finds folded in order."""
-    s = surfaces(spark, folder, [0, 1, 2, 3], ("roads", "sea_drift"))
-    t = ticked(spark, folder).where("tick <= 3")
+    """All sweeps and finds folded in order over the full layer stack; the month is replayed in three ticks of ten days."""
+    t = tb.placed_detections(spark, folder).withColumn("tick", sc.tick_of(F.col("ts"), F.col("lkp_ts"), F.lit(864000.0))).where("tick >= 1")
+    s = cut_lineage(surfaces(spark, folder, [0, 1, 2, 3]))  # every tick reads it
     boosts = ev.boost_factors(ev.person_events(t).drop("position"))
     return shown(hm.run_ticks(s, 3, ev.swept_cells(t, tb.RES_M), boosts), "mission_id", "row", "col", p=9)
 
