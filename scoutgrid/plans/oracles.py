@@ -449,15 +449,21 @@ def moved(lat: str, u: str, v: str, length: str, axis: str) -> str:
     return f"({base} / (111320e0 * cos(radians({lat}))))" if axis == "lon" else f"({base} / 111320e0)"
 
 
-oracle("current_vectors", f"""{META}, axis AS (SELECT CAST(range AS INT) AS i FROM range(32)), gr AS (SELECT m.*, a.i AS "row", b.i AS col, a.i + b.i < shore AS water, west + (b.i + 0.5e0) / 32 * (east - west) AS lo, north - (a.i + 0.5e0) / 32 * (north - south) AS la FROM meta m, axis a, axis b),
+ARROWS = f"""{META}, axis AS (SELECT CAST(range AS INT) AS i FROM range(32)), gr AS (SELECT m.*, a.i AS "row", b.i AS col, a.i + b.i < shore AS water, west + (b.i + 0.5e0) / 32 * (east - west) AS lo, north - (a.i + 0.5e0) / 32 * (north - south) AS la FROM meta m, axis a, axis b),
  arr AS (SELECT mission_id, "row", col, lo, la, 0.4e0 AS u, 0.4e0 * cos(radians(90)) AS v, 0.4e0 AS sp, 600 * (0.35e0 + 0.65e0 * (0.4e0 / CASE WHEN mission_id % 2 = 0 THEN sqrt(1.25e0) ELSE 0.4e0 END)) AS len, 'shaft' AS kind, CAST(NULL AS VARCHAR) AS source FROM gr WHERE water AND "row" % 2 = 0 AND col % 2 = 0
    UNION ALL SELECT mission_id, "row", col, lo, la, 1e0, 0.5e0, sqrt(1.25e0), 810e0, 'lkp', 'fallback' FROM gr WHERE "row" = 16 AND col = 16 AND mission_id % 2 = 0),
- tip AS (SELECT *, lo + {moved('la', 'u', 'v', 'len', 'lon')} AS tlo, la + {moved('la', 'u', 'v', 'len', 'lat')} AS tla, -u / sp * 0.42e0 - v / sp * 0.42e0 AS lu, -v / sp * 0.42e0 + u / sp * 0.42e0 AS lv, -u / sp * 0.42e0 + v / sp * 0.42e0 AS ru, -v / sp * 0.42e0 - u / sp * 0.42e0 AS rv FROM arr)""",
+ tip AS (SELECT *, lo + {moved('la', 'u', 'v', 'len', 'lon')} AS tlo, la + {moved('la', 'u', 'v', 'len', 'lat')} AS tla, -u / sp * 0.42e0 - v / sp * 0.42e0 AS lu, -v / sp * 0.42e0 + u / sp * 0.42e0 AS lv, -u / sp * 0.42e0 + v / sp * 0.42e0 AS ru, -v / sp * 0.42e0 - u / sp * 0.42e0 AS rv FROM arr)"""
+oracle("current_vectors", ARROWS,
        f"""SELECT {KEYS}, kind, source, {r('lo', 7, 'lon')}, {r('la', 7, 'lat')}, {r('sp', 6, 'speed')}, {r('len', 4, 'length_m')}, {r('tlo', 7, 'tip_lon')}, {r('tla', 7, 'tip_lat')}, {r('tlo - ' + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lon'), 7, 'left_lon')}, {r('tla - ' + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lat'), 7, 'left_lat')},
   {r('tlo - ' + moved('tla', 'ru', 'rv', 'len * 0.22e0', 'lon'), 7, 'right_lon')}, {r('tla - ' + moved('tla', 'ru', 'rv', 'len * 0.22e0', 'lat'), 7, 'right_lat')} FROM tip""")
 oracle("nearest_land", f"""{PLACED}, spot AS (SELECT event_id, mission_id, shore, CAST(greatest(0, least(31, floor(row_f))) AS INT) AS r, CAST(greatest(0, least(31, floor(col_f))) AS INT) AS c FROM placed), ax AS (SELECT CAST(range AS INT) AS i FROM range(32))""",
        """SELECT event_id, CAST(x.i AS BIGINT) AS near_row, CAST(y.i AS BIGINT) AS near_col, CAST((x.i - r) * (x.i - r) + (y.i - c) * (y.i - c) AS BIGINT) AS near_d2 FROM spot, ax x, ax y WHERE r + c < shore AND x.i + y.i >= shore
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY near_d2, x.i, y.i) = 1""")
+oracle("vectors_geojson", ARROWS.replace("mission_id % 2 = 0", "FALSE"), f"""SELECT mission_id, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, 'shaft' AS kind, CAST(2 AS BIGINT) AS points, {r('lo', 7, 'lon')}, {r('la', 7, 'lat')}, {r('tlo', 7, 'tip_lon')}, {r('tla', 7, 'tip_lat')} FROM tip
+ UNION ALL SELECT mission_id, CAST("row" AS BIGINT), CAST(col AS BIGINT), 'head', CAST(3 AS BIGINT), {r("tlo - " + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lon'), 7, 'a')}, {r("tla - " + moved('tla', 'lu', 'lv', 'len * 0.22e0', 'lat'), 7, 'b')}, {r('tlo', 7, 'c')}, {r('tla', 7, 'd')} FROM tip""")
+oracle("pin_layers", MISSIONS, """SELECT mission_id, CAST(NOT wet AND (mission_id % 4 <> 0 OR NOT (roads OR personality)) AS BIGINT) AS topography, CAST(NOT wet AND roads AS BIGINT) AS roads,
+ CAST(NOT wet AND personality AS BIGINT) AS personality, CAST(0 AS BIGINT) AS weather, CAST(wet AS BIGINT) AS sea_drift FROM missions""")
+oracle("scatter_samples", RELIEF, f"""SELECT mission_id, CAST("row" // 4 AS BIGINT) AS coarse_row, CAST(col // 4 AS BIGINT) AS coarse_col, {r('CASE WHEN ("row" + col + mission_id) % 3 = 0 THEN 0 ELSE elevation END', 3, 'elevation')} FROM relief WHERE "row" % 4 = 0 AND col % 4 = 0""")
 
 # --- points
 oracle("effective_sample_size", f"{DETECTIONS}, w AS (SELECT mission_id, (1 + event_id % 13) / 1000e0 AS w FROM det), e AS (SELECT mission_id, count(*) AS n, 1 / sum(w * w) AS ess FROM w GROUP BY 1)",

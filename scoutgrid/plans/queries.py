@@ -724,6 +724,37 @@ def current_vectors(spark, folder):
     return shown(report.current_vectors(t, meta, marine), "mission_id", "row", "col", "kind", "source", lon=7, lat=7, speed=6, length_m=4, tip_lon=7, tip_lat=7, left_lon=7, left_lat=7, right_lon=7, right_lat=7)
 
 
+@query
+def vectors_geojson(spark, folder):
+    """Arrow features read back from their GeoJSON text: kind and corner points."""
+    t = raster.node_fields(tb.cross_proximity(tb.terrain(spark, folder)))
+    features = report.vectors_geojson(report.current_vectors(t, grid.grid_metadata(tb.missions(spark, folder))))
+    read = features.select("mission_id", "row", "col", F.from_json("feature", (
+        "geometry struct<coordinates: array<array<double>>>, properties struct<kind: string, speed: double>")).alias("f"))
+    at = lambda i, k: F.get(F.get("f.geometry.coordinates", F.lit(i)), F.lit(k))
+    return shown(read.select("mission_id", "row", "col", F.col("f.properties.kind").alias("kind"), F.size("f.geometry.coordinates").alias("points"),
+                             at(0, 0).alias("lon"), at(0, 1).alias("lat"), at(1, 0).alias("tip_lon"), at(1, 1).alias("tip_lat")),
+                 "mission_id", "row", "col", "kind", "points", lon=7, lat=7, tip_lon=7, tip_lat=7)
+
+
+@query
+def pin_layers(spark, folder):
+    """Layer switches of each mission resolved with the land flag of its pin's cell."""
+    pins = tb.terrain(spark, folder).where("is_pin").select("mission_id", F.col("is_land").alias("pin_on_land"))
+    asked = F.create_map(*[x for n in ("topography", "roads", "personality", "bogus") for x in (F.lit(n), F.col(n))])
+    m = tb.missions(spark, folder).withColumn("bogus", F.lit(True)).withColumn("topography", F.col("mission_id") % 4 != 0)
+    got = m.join(pins, "mission_id").select("mission_id", sc.resolve_layers(asked, F.col("pin_on_land")).alias("on")).select("mission_id", "on.*")
+    return got.select("mission_id", *[F.col(c).cast("bigint").alias(c) for c in got.columns if c != "mission_id"])
+
+
+@query
+def scatter_samples(spark, folder):
+    """Provider readings put on every n-th cell; the provider answers for two cells in three."""
+    c = raster.strided_cells(tb.cells(spark, folder), F.lit(4)).select("mission_id", "row", "col", "coarse_row", "coarse_col")
+    heights = tb.with_elevation(tb.cells(spark, folder)).where((F.col("row") + F.col("col") + F.col("mission_id")) % 3 != 0)
+    return shown(raster.scatter_samples(c, heights, "elevation"), "mission_id", "coarse_row", "coarse_col", elevation=3)
+
+
 @query
 def nearest_land(spark, folder):
     """Nearest land cell of each detection that lies on water."""
