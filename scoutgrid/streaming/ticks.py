@@ -86,7 +86,8 @@ def stream_sessions(events: DataFrame, keys: list[str], gap: str = "10 seconds",
 class StateTable:
     """Versions of a keyed table in a shared folder, one per micro-batch.
 
-    Writing a version overwrites it whole, so a batch that is run again leaves the same state.
+    Writing a version overwrites it whole, so a batch that is run again leaves the same state. The two versions before a
+    written one are kept, for a rerun and for readers of the last; older ones are removed.
     """
 
     def __init__(self, folder: str, initial: DataFrame):
@@ -95,10 +96,13 @@ class StateTable:
     def _path(self, version: int) -> str:
         return f"{self.folder}/version={version}"
 
+    def _files(self, path: str):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        root, fs = self._files(self.folder)
         if not fs.exists(root):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
@@ -110,6 +114,9 @@ class StateTable:
 
     def write(self, batch_id: int, state: DataFrame) -> None:
         state.write.mode("overwrite").parquet(self._path(batch_id))
+        for old in [v for v in self._versions() if v < batch_id][:-2]:
+            path, fs = self._files(self._path(old))
+            fs.delete(path, True)
 
     def latest(self) -> DataFrame:
         return self.before(1 << 62)

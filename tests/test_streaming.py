@@ -96,6 +96,13 @@ def test_three_ticks_in_one_batch_equal_the_batch_fold(spark, small, tmp_path):
         assert (abs(p - r.p) < 1e-12 and tick == 3) if r.mission_id in moved else tick == 0
 
 
+def test_state_keeps_two_older_versions(spark, tmp_path):
+    state = st.StateTable(str(tmp_path / "s"), spark.range(0))
+    for batch in range(5):
+        state.write(batch, spark.range(batch + 1))
+    assert state._versions() == [2, 3, 4] and state.latest().count() == 5 and state.before(4).count() == 4
+
+
 def test_delta_batches(spark, tmp_path):
     grid = spark.createDataFrame([(1, r, c, 0.0) for r in range(2) for c in range(2)], "mission_id bigint, row int, col int, p double")
     state = st.StateTable(str(tmp_path / "d"), grid)
