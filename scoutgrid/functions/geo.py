@@ -117,10 +117,10 @@ def with_latlon(df: DataFrame, easting: str, northing: str, epsg: str, lat: str
     out = _settled(df, _xi=_nan((F.col(northing) - false_northing(F.col(epsg))) / RADIUS), _eta=_nan((F.col(easting) - FALSE_EASTING) / RADIUS))
     out = _settled(out, _xp=F.expr(f"_xi - ({_terms(INVERSE, 'sin', 'cosh', '_xi', '_eta')})"),
                    _ep=F.expr(f"_eta - ({_terms(INVERSE, 'cos', 'sinh', '_xi', '_eta')})"))
-    out = _settled(out, _chi=F.expr("asin(sin(_xp) / cosh(_ep))"), _lon=F.expr("degrees(atan2(sinh(_ep), cos(_xp)))"))
+    out = _settled(out, _chi=F.expr("asin(sin(_xp) / cosh(_ep))"), _arc=F.expr("degrees(atan2(sinh(_ep), cos(_xp)))"))
     out = _settled(out, **{lat: _null(F.expr(f"degrees(_chi + {_terms(LATITUDE, 'sin', None, '_chi')})")),
-                           lon: central_meridian(F.col(epsg)) + _null(F.col("_lon"))})
-    return out.drop("_xi", "_eta", "_xp", "_ep", "_chi", "_lon")
+                           lon: central_meridian(F.col(epsg)) + _null(F.col("_arc"))})
+    return out.drop("_xi", "_eta", "_xp", "_ep", "_chi", "_arc")
 
 
 # --- grid geometry -------------------------------------------------------------------------
