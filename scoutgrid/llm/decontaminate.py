@@ -24,7 +24,6 @@ WALKS, BANDS, SAMPLES = 4, 8, 4
 EDIT_PERCENT = 20
 CHUNK_WORDS = 200_000
 BLOCK_ITEMS = 20_000
-MASK = np.uint64((1 << 20) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Letters and digits stay, A-Z are lowered, other signs below 128 part words.
@@ -56,17 +55,18 @@ def _gram(c: np.ndarray, q: int) -> np.ndarray:
 
 
 class _Keys:
-    """Sorted 64-bit keys with values; a bitmap of their last bits turns most questions away."""
+    """Sorted 64-bit keys with values; a bitmap of their last bits, 64 to 128 places a key, turns most questions away."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.bits = np.zeros(int(MASK) + 1, bool)
-        self.bits[(keys & MASK).astype(np.int64)] = True
+        self.mask = np.uint64((1 << (64 * len(keys)).bit_length()) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(keys & self.mask).astype(np.int64)] = True
 
     def hits(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``asked`` and the values found there, a pair per match."""
-        at = np.flatnonzero(self.bits[(asked & MASK).astype(np.int64)])
+        at = np.flatnonzero(self.bits[(asked & self.mask).astype(np.int64)])
         low, high = (np.searchsorted(self.keys, asked[at], side) for side in ("left", "right"))
         n = high - low
         first = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
