@@ -25,7 +25,7 @@ ORDER, MAX_NODES = 4, 16384
 SYMBOLS, END, START = 258, 256, 257
 BITS = np.uint64(9)
 CHUNK = 1_000_000
-HEAVY_WORDS = 50_000
+HEAVY_WORDS = 300_000
 
 
 def symbols_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +197,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     """``row`` (the key), held_out, n_tokens, n_known, train_tokens, base_score and score of every text.
 
     Both models learn from the rows that are not held out. base_score adds log10((c + 1) / (N + V + 1)) over the words (A-Z lowered)
-    and one end token per text; c is the token's count, N all and V the distinct training tokens. The most frequent
-    words (``heavy_words``, a bound on what is sent to tasks) are scored where the text is read, all others by a join on the word, so that
+    and one end token per text; c is the token's count, N all and V the distinct training tokens. Words that make up at least
+    1/``heavy_words`` of all tokens (so at most as many as that go to the tasks) are scored where the text is read, all others by a join on the word, so that
     no join key is hot. ``score`` is the log10 probability of the text under the trie. Null texts count as empty, null keys are
     training rows unless crc32 of the empty text says otherwise; with no training rows N is 0; repeated rows are scored each.
     """
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     seen = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = (seen[0] or 0) + n_train, seen[1] + (n_train > 0)
     log_p = lambda c: F.log10((c + 1) / F.lit(float(total + distinct + 1)))
-    heavy = counts.orderBy(F.desc("c"), "word").limit(heavy_words).select("word", log_p(F.col("c")).alias("p"))
+    heavy = counts.where(F.col("c") * heavy_words >= total).select("word", log_p(F.col("c")).alias("p"))
     model = docs.sparkSession.sparkContext.broadcast((trained(train, "text", max_nodes), {bytes(r["word"]): r["p"] for r in heavy.collect()}))
 
     kind = rows.schema["row"].dataType.simpleString()
