@@ -79,6 +79,21 @@ def test_lm_scores_equal_plain_models(spark, heavy):
         assert a[5:] == pytest.approx(b[5:], rel=1e-6)
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_nodes": 40, "common_runs": 300}, {"max_nodes": 1, "common_runs": 1}])
+def test_lm_scores_use_rare_contexts(spark, limits):
+    rng = random.Random(5)
+    rare = ["".join(rng.choice("abcdefghijk") for _ in range(30)) for _ in range(30)]
+    rows = lm_rows() + [(1000 + i, t) for i, t in enumerate(rare)] + [(2000 + i, f"{t} {rare[0][:9]}") for i, t in enumerate(rare)] + [(3000, "ab" * 30000)]
+    train = [(t or "").encode().lower() for k, t in rows if remainder(k, 7) != 2]
+    model = PlainPpm(train)
+    got = ppm.scored(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()
+    have = sorted((-1 if r["row"] is None else r["row"], r["score"]) for r in got)
+    want = sorted((-1 if k is None else k, model.score((t or "").encode().lower())) for k, t in rows)
+    for a, b in zip(have, want, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-6)
+    assert any(remainder(k, 7) == 2 for k, _ in rows[-90:])
+
+
 def test_lm_distributions_sum_to_one_when_nodes_are_bounded(spark):
     texts = spark.createDataFrame([(t or "",) for _, t in lm_rows()], "t string")
     trie = ppm.trained(texts, "t", max_nodes=40)
