@@ -33,9 +33,16 @@ PART_SCORES = {
 }
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "redacted", "none", "null", "true", "false")
 
-PAIR = re.compile(r"""(?<![A-Za-z0-9_])["']?([A-Za-z_][A-Za-z0-9_.-]{0,99})["']?[\x20\t]{0,40}(?::=|=>|[=:])(?![=:/])[\x20\t]{0,40}""", re.A)
-PIECE = re.compile(r"""(?:"([^"\\\n]*)"|'([^'\\\n]*)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]{0,40}""", re.A)
+PAIR = re.compile(r"""(?<![A-Za-z0-9_])["']?([A-Za-z_][A-Za-z0-9_.-]{0,99})["']?[\x20\t]{0,40}
+    (?::[\x20\t]*+(?:&(?:'[a-z]+\x20)?)?TYPE(?:[\x20\t]*+\|[\x20\t]*+TYPE)*+(?:[\x20\t]++=|=(?=["']))|:=|=>|[=:])(?![=:/])[\x20\t]{0,40}"""
+                  .replace("TYPE", r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]=\n]*+\]|<[^>=\n]*+>)?+\??"), re.A | re.X)
+PIECE = re.compile(r"""(?:"((?:[^"\\\n]|\\[^\n])*+)"|'((?:[^'\\\n]|\\[^\n])*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]{0,40}""", re.A)
 JOINT = re.compile(r"[+.][\x20\t]{0,40}")
+# An unquoted stretch, what may follow it at the end of a line, and stretches that are calls, look-ups or references instead of literals.
+STRETCH = re.compile(r"[^\s]*+", re.A)
+LINE_END = re.compile(r"[\x20\t]*+(?=[\r\n]|\Z)|[\x20\t]++(?:\#|;|//)", re.A)
+CODE = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?:\(.*\)|\[.*\]|[(\[{])[;,]?|\$[({].*|<.*>|\{\{.*", re.A)
+BLANK = re.compile(r"\s")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -46,7 +53,7 @@ def name_score(name: str) -> int:
 def plausible(literal: str) -> bool:
     """Eight or more signs of which four differ, no blank, no placeholder."""
     low = literal.lower()
-    return len(literal) >= 8 and len(set(literal)) >= 4 and not any(c.isspace() for c in literal) and not any(p in low for p in PLACEHOLDERS)
+    return len(literal) >= 8 and len(set(literal)) >= 4 and not BLANK.search(literal) and not any(p in low for p in PLACEHOLDERS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,38 +64,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _value(text: str, at: int, known: dict[str, list[tuple[int, int]]]) -> tuple[list[tuple[int, int]], int]:
-    """Literals of the expression at ``at``, constants replaced by their literals, and where it ends."""
-    spans: list[tuple[int, int]] = []
+def _value(text: str, at: int, known: dict[str, list[tuple[int, int, bool]]]) -> tuple[list[tuple[int, int, bool]], int, bool]:
+    """Literals of the expression at ``at``, constants replaced by their literals, where it ends, and whether all its names are known."""
+    spans: list[tuple[int, int, bool]] = []
+    clear = True
     while m := PIECE.match(text, at):
         if m[3] is not None:
+            clear &= m[3] in known
             spans += known.get(m[3], ())
         else:
-            spans.append(m.span(m.lastindex))
+            spans.append((*m.span(m.lastindex), False))
         at = m.end()
         joint = JOINT.match(text, at)
         if not joint:
             break
         at = joint.end()
-    return spans, at
+    return spans, at, clear
 
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of literals under sensitive names, directly or through constants assigned earlier in the text.
 
-    A name keeps the literals of its last assignment; a chain a = "..."; b = a; password = b leads to the first literal. Each
-    assignment keeps the spans of at most one expression, so the work is linear in the text.
+    A name keeps the literals of its last assignment; a chain a = "..."; b = a; password = b leads to the first literal. An unquoted
+    value up to the end of its line (.env, INI, YAML) is one literal, whatever its signs, unless it is an expression of known names
+    and literals or looks like code. Each assignment keeps the spans of at most one expression.
     """
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, list[tuple[int, int, bool]]] = {}
     found: set[tuple[int, int, int]] = set()
-    at = 0
+    at = stop = 0
+    ends_line = False
     while m := PAIR.search(text, at):
-        spans, end = _value(text, m.end(), known)
-        spans = list(dict.fromkeys(spans))
+        spans, end, clear = _value(text, m.end(), known)
+        if m.end() >= stop:
+            stop = STRETCH.match(text, m.end()).end()
+            ends_line = LINE_END.match(text, stop) is not None
+        bare = ends_line and text[m.end():m.end() + 1] not in ("", '"', "'") and (not clear or end < stop)
+        spans = [(m.end(), stop, True)] if bare else list(dict.fromkeys(spans))
         known[m[1]] = spans
-        if name_score(m[1].rpartition(".")[2]) >= NAME_SCORE:
-            found.update((s, 3, e) for s, e in spans if plausible(text[s:e]))
         at = max(end, m.end())
+        if name_score(m[1].rpartition(".")[2]) >= NAME_SCORE:
+            hits = [(s, 3, e) for s, e, unquoted in spans if plausible(text[s:e]) and not (unquoted and CODE.fullmatch(text, s, e))]
+            found.update(hits)
+            if bare and hits:
+                at = max(at, stop)
     return sorted(found)
 
 

@@ -30,6 +30,24 @@ def test_base_spans_equal_plain_regular_expressions(spark):
     assert s.scanned(docs.limit(0)).count() == 0
 
 
+def named(text):
+    return [text[a:b] for a, _, b in s.named_spans(text)]
+
+
+def test_unquoted_and_annotated_values_are_found():
+    for line, value in (("passphrase: hunter2hunter2", "hunter2hunter2"), ("aws_access_key = q8Zr41LmPw90", "q8Zr41LmPw90"), ("db_pwd=correcthorse99", "correcthorse99"),
+                        ("db_pwd=Passw0rd!xyz", "Passw0rd!xyz"), ("db_pwd=12345678!x", "12345678!x"), ("export db_pwd=x.y(z)!%$abc", "x.y(z)!%$abc"), ("db_pwd = !Passw0rd", "!Passw0rd"),
+                        (r'db_pwd = "ab\"cd\\ef12"', r'ab\"cd\\ef12'), (r"db_pwd = 'ab\'cdef12'", r"ab\'cdef12"), ("db_pwd=abc=defgh123", "abc=defgh123"),
+                        ('db_pwd: str = "x7Gh29sKq1"', "x7Gh29sKq1"), ("db_pwd: Optional[str] = 'x7Gh29sKq1'", "x7Gh29sKq1"), ('db_pwd: str | None = "x7Gh29sKq1"', "x7Gh29sKq1"),
+                        ('let db_pwd: &\'static str="x7Gh29sKq1";', "x7Gh29sKq1"), ("url=a&db_pwd=correcthorse99", "correcthorse99")):
+        for text in (line, f"[db]\n  {line}\r\nother = 1\n", f"{line}  # note"):
+            assert named(text) == [value], text
+    assert named("base=hunter2hunter2\nother=base\ndb_pwd=other\n") == ["hunter2hunter2"]
+    for code in ("db_pwd = load_it(x,y)", 'db_pwd = environ["DB_PWD_X"]', "db_pwd=${DB_PWD_X}", "db_pwd = compute_it(", "user_id = hunter2hunter2", "db_pwd = one two three"):
+        assert named(code) == [], code
+    assert len(named("a=b!" * 50_000 + " x")) == 0 and len(named("pwd=a!" * 50_000)) == 1
+
+
 def test_redaction_removes_what_was_found(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in s.redacted(docs).collect()}
