@@ -118,6 +118,16 @@ class StateTable:
             path, fs = self._files(self._path(old))
             fs.delete(path, True)
 
+    def write_late(self, batch_id: int, records: DataFrame) -> None:
+        """Keep records that came too late for their tick; batches of them are never removed, one that is run again is overwritten."""
+        if not records.isEmpty():
+            records.write.mode("overwrite").parquet(f"{self.folder}/late/batch={batch_id}")
+
+    def late(self) -> DataFrame | None:
+        """All late records with their ``batch``, or None if there are none."""
+        root, fs = self._files(f"{self.folder}/late")
+        return self.spark.read.parquet(f"{self.folder}/late") if fs.exists(root) else None
+
     def latest(self) -> DataFrame:
         return self.before(1 << 62)
 
@@ -128,8 +138,9 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
 
     The state table holds (mission, row, col, p, tick, last_sweep). A batch carries records with their ``tick`` and
     mission columns. Each of its ticks is folded in order, and so are the ticks without records that a mission has passed since its
-    last one; the numbers of distinct ticks are the only thing read on the driver. Missions without records in the batch keep their state; of
-    records later than their mission's state only those of the batch's last tick count.
+    last one; the numbers of distinct ticks are the only thing read on the driver. A mission without state starts at the first tick
+    of its records in the batch. Missions without records in the batch keep their state. Records whose tick the mission's state has
+    already reached cannot be folded any more: they leave the state as it is and go to ``state.late()``.
     """
     keys = list(CELL_KEYS)
     columns = [*keys, "p", "tick", "last_sweep"]
@@ -151,10 +162,12 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
     def apply(batch: DataFrame, batch_id: int) -> None:
         current = state.before(batch_id)
         batch = batch.cache()
-        reached = batch.groupBy("mission_id").agg(F.max("tick").alias("_to"))
+        reached = batch.groupBy("mission_id").agg(F.min("tick").alias("_least"), F.max("tick").alias("_to"))
         passed = current.groupBy("mission_id").agg(F.max("tick").alias("_from"))
-        due = reached.join(passed, "mission_id", "left").select("mission_id", F.explode(F.sequence(
-            F.least(F.coalesce(F.col("_from") + 1, F.col("_to")), F.col("_to")), F.col("_to"))).alias("tick")).cache()
+        state.write_late(batch_id, batch.join(passed, "mission_id").where("tick <= _from").select(*batch.columns))
+        first = F.coalesce(F.col("_from") + 1, F.col("_least"))
+        due = reached.join(passed, "mission_id", "left").select("mission_id", F.explode(F.when(
+            first <= F.col("_to"), F.sequence(first, F.greatest(first, F.col("_to"))))).alias("tick")).cache()
         ticks = [r["tick"] for r in due.select("tick").distinct().orderBy("tick").collect()]
         for tick in ticks:
             current = advance(current, batch.where(F.col("tick") == tick), due.where(F.col("tick") == tick).select("mission_id"), tick)

@@ -96,6 +96,30 @@ def test_three_ticks_in_one_batch_equal_the_batch_fold(spark, small, tmp_path):
         assert (abs(p - r.p) < 1e-12 and tick == 3) if r.mission_id in moved else tick == 0
 
 
+def test_new_missions_fold_all_ticks_and_late_records_are_kept(spark, small, tmp_path):
+    m = tb.missions(spark, small).where("mission_id IN (1, 2)")
+    fields = hm.prepare_fields(tb.terrain_of(m), 3, F.lit(3600.0)).cache()
+    records = q.ticked(spark, small).where("mission_id IN (1, 2)").withColumn("tick", 2 + F.col("event_id") % 3).cache()
+    none = spark.createDataFrame([], "mission_id bigint, row int, col int, p double, tick bigint, last_sweep bigint")
+    read = lambda state: {(r.mission_id, r.row, r.col): (round(r.p, 12), r.tick, r.last_sweep) for r in state.latest().collect()}
+    assert records.select("mission_id", "tick").distinct().count() == 6
+    whole, parts = st.StateTable(str(tmp_path / "whole"), none), st.StateTable(str(tmp_path / "parts"), none)
+    st.fold_batches(fields, whole, m, 50.0)(records, 0)
+    for tick in (2, 3, 4):
+        st.fold_batches(fields, parts, m, 50.0)(records.where(F.col("tick") == tick), tick)
+    assert read(whole) == read(parts) and {t for _, t, _ in read(whole).values()} == {4} and whole.late() is None
+    # mission 1 sends only old ticks, mission 2 an old and a new one
+    more = records.withColumn("tick", F.when(F.col("mission_id") == 1, F.col("tick")).when(F.col("tick") == 2, 3).otherwise(5))
+    before = read(whole)
+    for _ in range(2):  # run again, it leaves the same
+        st.fold_batches(fields, whole, m, 50.0)(more, 1)
+        assert whole.late().drop("batch").exceptAll(more.where("tick < 5")).count() == 0 and whole.late().count() == more.where("tick < 5").count()
+    st.fold_batches(fields, parts, m, 50.0)(more.where("tick = 5"), 5)
+    after = read(whole)
+    assert after == read(parts) and {k[0]: v[1] for k, v in after.items()} == {1: 4, 2: 5}
+    assert all(after[k] == before[k] for k in before if k[0] == 1)
+
+
 def test_state_keeps_two_older_versions(spark, tmp_path):
     state = st.StateTable(str(tmp_path / "s"), spark.range(0))
     for batch in range(5):
