@@ -33,11 +33,13 @@ PART_SCORES = {
 }
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "redacted", "none", "null", "true", "false")
 
-PAIR = re.compile(r"""(?<![A-Za-z0-9_])["']?([A-Za-z_][A-Za-z0-9_.-]{0,99})["']?[\x20\t]{0,40}
-    (?::[\x20\t]*+(?:&(?:'[a-z]+\x20)?)?TYPE(?:[\x20\t]*+\|[\x20\t]*+TYPE)*+(?:[\x20\t]++=|=(?=["']))|:=|=>|[=:])(?![=:/])[\x20\t]{0,40}"""
+# No repeat has an upper bound and none is given back; a stretch of name signs is entered only at its start, so that none is scanned twice.
+PLACEHOLDER = re.compile("|".join(PLACEHOLDERS), re.I | re.A)
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])["']?[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+
+    (?::[\x20\t]*+(?:&(?:'[a-z]+\x20)?)?TYPE(?:[\x20\t]*+\|[\x20\t]*+TYPE)*+(?:[\x20\t]++=|=(?=["']))|:=|=>|[=:])(?![=:/])[\x20\t]*+"""
                   .replace("TYPE", r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]=\n]*+\]|<[^>=\n]*+>)?+\??"), re.A | re.X)
-PIECE = re.compile(r"""(?:"((?:[^"\\\n]|\\[^\n])*+)"|'((?:[^'\\\n]|\\[^\n])*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]{0,40}""", re.A)
-JOINT = re.compile(r"[+.][\x20\t]{0,40}")
+PIECE = re.compile(r"""(?:"((?:[^"\\\n]|\\[^\n])*+)"|'((?:[^'\\\n]|\\[^\n])*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]*+""", re.A)
+JOINT = re.compile(r"[+.][\x20\t]*+")
 # An unquoted stretch, what may follow it at the end of a line, and stretches that are calls, look-ups or references instead of literals.
 STRETCH = re.compile(r"[^\s]*+", re.A)
 LINE_END = re.compile(r"[\x20\t]*+(?=[\r\n]|\Z)|[\x20\t]++(?:\#|;|//)", re.A)
@@ -92,16 +94,20 @@ def named_spans(text: str) -> list[tuple[int, int, int]]:
     known: dict[str, list[tuple[int, int, bool]]] = {}
     found: set[tuple[int, int, int]] = set()
     at = stop = 0
+    doubtful = -1  # where the last placeholder of the stretch begins: no value that reaches the stretch's end and holds it is plausible
     ends_line = False
     while m := PAIR.search(text, at):
         spans, end, clear = _value(text, m.end(), known)
         if m.end() >= stop:
             stop = STRETCH.match(text, m.end()).end()
             ends_line = LINE_END.match(text, stop) is not None
+            doubtful = max((x.start() for x in PLACEHOLDER.finditer(text, m.end(), stop)), default=-1) if ends_line else -1
         bare = ends_line and text[m.end():m.end() + 1] not in ("", '"', "'") and (not clear or end < stop)
         spans = [(m.end(), stop, True)] if bare else list(dict.fromkeys(spans))
         known[m[1]] = spans
         at = max(end, m.end())
+        if bare and m.end() <= doubtful:
+            continue
         if name_score(m[1].rpartition(".")[2]) >= NAME_SCORE:
             hits = [(s, 3, e) for s, e, unquoted in spans if plausible(text[s:e]) and not (unquoted and CODE.fullmatch(text, s, e))]
             found.update(hits)

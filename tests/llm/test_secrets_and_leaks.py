@@ -48,6 +48,14 @@ def test_unquoted_and_annotated_values_are_found():
     assert len(named("a=b!" * 50_000 + " x")) == 0 and len(named("pwd=a!" * 50_000)) == 1
 
 
+def test_long_names_and_wide_columns_are_found():
+    for text in ("db_pwd" + " " * 45 + '= "x7Gh29sKq1"', "db_pwd =" + "\t" * 45 + '"x7Gh29sKq1"', "n" * 150 + '_pwd = "x7Gh29sKq1"', '--db-pwd="x7Gh29sKq1"', '1.db_pwd="x7Gh29sKq1"'):
+        assert named(text) == ["x7Gh29sKq1"], text
+    assert named('db_pwd = "x7Gh29sKq1"' + " " * 45 + "+" + " " * 45 + '"dEf8zz12"') == ["x7Gh29sKq1", "dEf8zz12"]
+    for text in ("a-" * 100_000, "a." * 100_000 + "=", "a" + " " * 200_000, "- " * 100_000 + ":", "pwd=example!" * 10_000):
+        assert named(text) == []
+
+
 def test_redaction_removes_what_was_found(spark):
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in s.redacted(docs).collect()}
