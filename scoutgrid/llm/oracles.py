@@ -52,4 +52,34 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
                 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT}
+_FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda a, b:
+  list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)))"""
+
+_MERKLE = f"""
+WITH RECURSIVE f AS (SELECT doc_id, source, text, {' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', 'n_chars')))} AS head,
+  CASE WHEN coalesce({_CRC}, 0) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS claimed FROM documents),
+h AS (SELECT doc_id, source, sha256(head || {_FIELD('text')}) AS leaf, sha256(head || {_FIELD('claimed')}) AS claim FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t,
+             row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS rid FROM h),
+a AS (SELECT t, 0 AS lvl, i, leaf AS digest, n FROM n
+      UNION ALL SELECT t, lvl + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM a WHERE n > 1 GROUP BY t, lvl, i // 3, n),
+s AS (SELECT t, digest, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (SELECT 0 AS lvl, t AS i, digest, n FROM s
+      UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3 FROM b WHERE n > 1 GROUP BY lvl, i // 3, n),
+k AS (SELECT rid, t, 0 AS lvl, i, claim AS acc, '' AS proof, n > 1 AS more FROM n
+      UNION ALL
+      SELECT k.rid, k.t, k.lvl + 1, k.i // 3, sha256(string_agg(CASE WHEN a.i = k.i THEN k.acc ELSE a.digest END, '' ORDER BY a.i)),
+             k.proof || coalesce(string_agg(CASE WHEN a.i = k.i THEN '' ELSE a.digest END, '' ORDER BY a.i), ''), any_value(a.n) > 3
+      FROM k JOIN a ON a.t = k.t AND a.lvl = k.lvl AND a.i // 3 = k.i // 3 WHERE k.more GROUP BY k.rid, k.t, k.lvl, k.i, k.acc, k.proof),
+u AS (SELECT rid, 0 AS lvl, t AS i, acc, proof, (SELECT count(*) FROM s) > 1 AS more FROM k WHERE NOT more
+      UNION ALL
+      SELECT u.rid, u.lvl + 1, u.i // 3, sha256(string_agg(CASE WHEN b.i = u.i THEN u.acc ELSE b.digest END, '' ORDER BY b.i)),
+             u.proof || coalesce(string_agg(CASE WHEN b.i = u.i THEN '' ELSE b.digest END, '' ORDER BY b.i), ''), any_value(b.n) > 3
+      FROM u JOIN b ON b.lvl = u.lvl AND b.i // 3 = u.i // 3 WHERE u.more GROUP BY u.rid, u.lvl, u.i, u.acc, u.proof)
+SELECT z.doc_id, z.leaf, s.digest AS subroot, r.digest AS root, sha256(u.proof) AS proof_sha256, u.acc AS folded_root, u.acc = r.digest AS verified
+FROM n z JOIN u ON u.rid = z.rid AND NOT u.more JOIN s ON s.t = z.t, (SELECT digest FROM b WHERE n = 1) r"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT,
+                           "op13_merkle_manifest": _MERKLE}

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, decontaminate, jaccard_join, mil_quality, mixing, ppm, quality_rules, secret_scan, toxicity, url_filter
+from scoutgrid.llm import chat, decontaminate, jaccard_join, merkle, mil_quality, mixing, ppm, quality_rules, secret_scan, toxicity, url_filter
+
+from scoutgrid.llm.text import held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,6 +82,14 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("formatted_chars").cast("long").alias("formatted_chars"))
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(held_out(docs["doc_id"], 2, 0), F.translate(docs["text"], "\n", "")).otherwise(docs["text"])
+    proved = merkle.manifest(docs, claims={"text": tampered}).withColumn("folded_root", merkle.folded(F.col("claim"), F.col("path")))
+    return proved.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_lm_score,
-    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format)}
+    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format, op13_merkle_manifest)}
