@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, decontaminate, jaccard_join, merkle, mil_quality, mixing, ppm, quality_rules, secret_scan, toxicity, url_filter
+from scoutgrid.llm import chat, decontaminate, jaccard_join, merkle, mil_quality, mixing, ppm, quality_rules, secret_scan, simhash, toxicity, url_filter
 
 from scoutgrid.llm.text import held_out
 
@@ -82,6 +82,12 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("formatted_chars").cast("long").alias("formatted_chars"))
 
 
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, k=3, bits=2).select(
+        F.col("row").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(held_out(docs["doc_id"], 2, 0), F.translate(docs["text"], "\n", "")).otherwise(docs["text"])
@@ -92,4 +98,4 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_lm_score,
-    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format, op13_merkle_manifest)}
+    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format, op12_simhash, op13_merkle_manifest)}
