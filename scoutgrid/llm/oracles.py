@@ -81,5 +81,28 @@ u AS (SELECT rid, 0 AS lvl, t AS i, acc, proof, (SELECT count(*) FROM s) > 1 AS
 SELECT z.doc_id, z.leaf, s.digest AS subroot, r.digest AS root, sha256(u.proof) AS proof_sha256, u.acc AS folded_root, u.acc = r.digest AS verified
 FROM n z JOIN u ON u.rid = z.rid AND NOT u.more JOIN s ON s.t = z.t, (SELECT digest FROM b WHERE n = 1) r"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT,
+_SHARE = lambda n, total, v: f"(1 + CAST(1000000000 AS HUGEINT) * ({n} + 1) // ({total} + {v}))"
+
+_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+m AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE("coalesce(c.n, 0)", "coalesce(s.total, 0)", "l.v")} AS p,
+             {_SHARE("k.lang_n", "l.total", "l.v")} AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+           LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+a AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+      FROM m x JOIN m y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+b AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(a.value, 0) AS value
+      FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+f AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM m WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM f))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT, "op11_source_divergence": _DIVERGENCE,
                            "op13_merkle_manifest": _MERKLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoutgrid.llm import chat, decontaminate, jaccard_join, merkle, mil_quality, mixing, ppm, quality_rules, secret_scan, simhash, toxicity, url_filter
+from scoutgrid.llm import chat, decontaminate, divergence, jaccard_join, merkle, mil_quality, mixing, ppm, quality_rules, secret_scan, simhash, toxicity, url_filter
 
 from scoutgrid.llm.text import held_out
 
@@ -82,6 +82,10 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.col("formatted_chars").cast("long").alias("formatted_chars"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
 def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, k=3, bits=2).select(
@@ -98,4 +102,5 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_secret_scan, op3_jaccard_join, op4_quality_rules, op5_url_filter, op6_lm_score,
-    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format, op12_simhash, op13_merkle_manifest)}
+    op7_toxicity, op8_source_mixing, op9_quality_mil, op10_chat_format,
+    op11_source_divergence, op12_simhash, op13_merkle_manifest)}
