@@ -37,8 +37,8 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _split(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counted share of a set (two and a half times the prefix) and, if it is shorter than the prefix, what the others add."""
-    first = (s & np.uint64(0xFFFF)) < np.uint64(min(65536, round(65536 * 2.5 * (100 - percent) / 100)))
+    """The counted share of a set (twice the prefix) and, if it is shorter than the prefix, what the others add."""
+    first = (s & np.uint64(0xFFFF)) < np.uint64(min(65536, round(65536 * 2 * (100 - percent) / 100)))
     counted = s[first]
     return counted, s[~first][:max(0, _prefix_size(len(s), percent) - len(counted))]
 
@@ -48,33 +48,22 @@ def _class_of(s: np.ndarray) -> int:
 
 
 def _describe(k: int, percent: int):
+    """(row, text_hash, class, n, counted, rest, tokens) of every text in one pass; ``tokens`` is the counted share."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
+        codes, seen = WordCodes(), set()
         for b in batches:
             out = []
             for text in b.column(2):
                 s = shingles(text.as_py(), k, codes)
                 counted, rest = _split(s, percent)
-                out.append((_class_of(s), len(s), len(counted), _signed(rest)))
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]],
-                                              pa.array(cols[3], pa.list_(pa.int64()))], ["row", "text_hash", "class", "n", "counted", "rest"])
-    return run
-
-
-def _tokens(k: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen = WordCodes(), set()
-        for b in batches:
-            ids, sets = [], []
-            for text in b.column(0):
-                s = shingles(text.as_py(), k, codes)
                 c = _class_of(s)
-                if len(s) and c not in seen:  # a class counts once; copies met in other tasks only change the order
+                new = c not in seen  # a class counts once; copies met in other tasks only change the order
+                if len(seen) < 2_000_000:
                     seen.add(c)
-                    ids.append(c)
-                    sets.append(_signed(_split(s, percent)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["class", "tokens"])
+                out.append((c, len(s), len(counted), _signed(rest), _signed(counted) if new and len(s) else None))
+            cols = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]],
+                                              *[pa.array(c, pa.list_(pa.int64())) for c in cols[3:]]], ["row", "text_hash", "class", "n", "counted", "rest", "tokens"])
     return run
 
 
@@ -149,13 +138,12 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     body = docs[f"`{text}`"].cast("string")
     plain = docs.select(docs[f"`{key}`"].alias("row"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"))
     kind = plain.schema["row"].dataType.simpleString()
-    info = cut_lineage(plain.mapInArrow(_describe(k, percent), f"row {kind}, text_hash long, class long, n long, counted long, rest array<long>"))
+    info = cut_lineage(plain.mapInArrow(_describe(k, percent), f"row {kind}, text_hash long, class long, n long, counted long, rest array<long>, tokens array<long>"))
     classes = cut_lineage(info.where("n > 0").groupBy("class").agg(
         F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"), F.min("text_hash").alias("text_hash"),
         F.count("*").alias("copies"), F.min("row").alias("least")))
 
-    tokens = plain.select("text").mapInArrow(_tokens(k, percent), "class long, tokens array<long>").select(
-        "class", F.explode("tokens").alias("token"))
+    tokens = info.select("class", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "token").groupBy("class").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
     n, counted = F.col("n"), F.col("counted")
@@ -176,7 +164,7 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     placed = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     placed = placed.select("class", "copies", "text_hash", "hubs", "hub", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
-    texts = plain.select("text_hash", "text").join(placed.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    texts = plain.select("text_hash", "text").dropDuplicates(["text_hash"]).join(placed.select("text_hash").distinct(), "text_hash", "left_semi")
     met = placed.join(texts, "text_hash").select("hub", "low", "high", "block", "class", "copies", "hubs", "text")
     found = cut_lineage(met.groupBy("hub", "low", "high").applyInPandas(_verify(k, percent), "class long, root long, links long"))
 
