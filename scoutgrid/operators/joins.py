@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import geo
 from ..settings import DEFAULTS, Settings
 from .grid import CELL_KEYS, point_to_cell
-from .slices import SLICE
+from .slices import ROWS, SLICE, sliced
 
 SALTS = 16
 
@@ -25,34 +25,35 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], how: str = "inne
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], tolerance_sec: float, tie: str = "later",
-                 left_ts: str = "ts", right_ts: str = "ts", slice_sec: float | None = None, prefix: str = "r_") -> DataFrame:
+                 left_ts: str = "ts", right_ts: str = "ts", slice_sec: float | None = None, prefix: str = "r_", rows: int = ROWS) -> DataFrame:
     """Two-sided nearest match in time, left outer, gap <= tolerance.
 
-    Both sides are cut into time slices at least two tolerances wide; a right row within the
-    tolerance of a slice border is given to the slice beyond as well, so every left row finds
-    its match inside its own (key, slice). There the sides are put in one order and each left
-    row takes the last right row before it and the first at or after it: no pairs are formed.
+    Both sides are put in one order per key, at one time left rows before right ones, and cut into slices: each left row takes
+    the last right row before it and the first at or after it, from its slice or else from what the slices around it
+    hand on. No pairs are formed, and a burst of rows is split like any other stretch.
     Right rows with equal time: the last (by all columns) stands before, the first after.
     """
-    width = max(slice_sec or 3600.0, 2.0 * tolerance_sec, 1e-3)
-    micros = int(round(width * 1e6))
+    width = max(slice_sec or 3600.0, 1e-3)
     tol = int(round(tolerance_sec * 1e6))
     names = [c for c in right.columns if c not in on]
     payload = F.struct(F.unix_micros(F.col(right_ts)).alias("_t"), *[F.col(c).alias(c) for c in names])
-    r = right.select(*on, payload.alias("_r"))
-    lo, hi = F.floor((F.col("_r._t") - tol) / micros), F.floor((F.col("_r._t") + tol) / micros)
-    r = r.where("_r._t is not null").withColumn(SLICE, F.explode(F.when(lo == hi, F.array(lo)).otherwise(F.array(lo, hi)))).select(
-        *on, SLICE, F.col("_r._t").alias("_t"), F.lit(0).alias("_side"), "_r", F.lit(None).cast(left.schema).alias("_l"))
-    l = left.select(*on, F.floor(F.unix_micros(F.col(left_ts)) / micros).alias(SLICE), F.unix_micros(F.col(left_ts)).alias("_t"),
-                    F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
+    r = right.select(*on, payload.alias("_r")).where("_r._t is not null").select(
+        *on, F.col("_r._t").alias("_t"), F.lit(0).alias("_side"), "_r", F.lit(None).cast(left.schema).alias("_l"))
+    l = left.select(*on, F.unix_micros(F.col(left_ts)).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"),
                     F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
-    both = r.unionByName(l)
-    w = W.partitionBy(*on, SLICE)
-    # strictly before: left rows sort ahead of right rows with the same time
-    before = F.last("_r", ignorenulls=True).over(w.orderBy("_t", F.desc("_side"), "_r").rowsBetween(W.unboundedPreceding, 0))
+    both = sliced(r.unionByName(l), on, [F.col("_t"), F.desc("_side"), F.col("_r")], F.col("_t") / 1e6, width, rows)
+    w, upto = W.partitionBy(*on, SLICE), (W.unboundedPreceding, 0)
+    before = F.last("_r", ignorenulls=True).over(w.orderBy("_t", F.desc("_side"), "_r").rowsBetween(*upto))
     # the same order read backwards: a frame open to the end would be rescanned for every row
-    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_t"), "_side", F.desc("_r")).rowsBetween(W.unboundedPreceding, 0))
-    found = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1")
+    after = F.last("_r", ignorenulls=True).over(w.orderBy(F.desc("_t"), "_side", F.desc("_r")).rowsBetween(*upto))
+    ends = both.where("_side = 0").groupBy(*on, SLICE).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
+    # slices of left rows alone need the chain's states as well
+    ends = both.where("_side = 1").select(*on, SLICE).distinct().join(ends, [*on, SLICE], "full")
+    along, past = W.partitionBy(*on), (W.unboundedPreceding, -1)
+    ends = ends.select(*on, SLICE, F.last("_last", ignorenulls=True).over(along.orderBy(SLICE).rowsBetween(*past)).alias("_before"),
+                       F.last("_first", ignorenulls=True).over(along.orderBy(F.desc(SLICE)).rowsBetween(*past)).alias("_after"))
+    found = both.withColumn("_b", before).withColumn("_a", after).where("_side = 1").join(ends, [*on, SLICE], "left")
+    found = found.withColumns({"_b": F.coalesce("_b", "_before"), "_a": F.coalesce("_a", "_after")})
     back, ahead = F.col("_t") - F.col("_b._t"), F.col("_a._t") - F.col("_t")
     take_after = F.col("_b").isNull() | (ahead <= back if tie == "later" else ahead < back)
     best = F.when(F.col("_a").isNotNull() & take_after, F.col("_a")).otherwise(F.col("_b"))
@@ -63,12 +64,12 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], tolerance_sec
 
 
 def asof_claim(detections: DataFrame, samples: DataFrame, on: list[str], tolerance_sec: float, sample_id: str,
-               order: tuple[str, ...] = ("ts", "source_index"), slice_sec: float | None = None) -> DataFrame:
+               order: tuple[str, ...] = ("ts", "source_index"), slice_sec: float | None = None, rows: int = ROWS) -> DataFrame:
     """Nearest match where a sample serves one detection: the earliest one wins, losers stay unmatched.
 
     The earliest claimant of a sample is a minimum, taken with a partial aggregate.
     """
-    near = asof_nearest(detections, samples, on, tolerance_sec, "earlier", slice_sec=slice_sec)
+    near = asof_nearest(detections, samples, on, tolerance_sec, "earlier", slice_sec=slice_sec, rows=rows)
     rank = F.struct(*[F.col(c) for c in order])
     claims = near.where(F.col(f"r_{sample_id}").isNotNull())
     winners = claims.groupBy(*on, f"r_{sample_id}").agg(F.min(rank).alias("_won"))

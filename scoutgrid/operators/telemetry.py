@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.scalars import clamp, feet_to_metres, parse_flight_clock, parse_iso, safe_double, video_time
 from ..settings import DEFAULTS, Settings
 from .joins import asof_claim, asof_nearest, salted_join
-from .slices import SLICE, chained, join_back, running_rank, with_slice, within
+from .slices import ROWS, SLICE, chained, join_back, running_rank, sliced, within
 
 
 # --- normalising ---------------------------------------------------------------------------
@@ -75,16 +75,16 @@ def attach_gps(detections: DataFrame, track: DataFrame, on: list[str], settings:
 # --- sessions ------------------------------------------------------------------------------
 
 def sessionize(df: DataFrame, keys: list[str], gap_sec: float, ts: str = "ts", slice_sec: float = 86400.0,
-               tie: tuple[str, ...] = ()) -> DataFrame:
+               tie: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Number the sessions of each key from 1; a gap strictly above ``gap_sec`` starts one.
 
-    Gaps inside a time slice come from a lag there; the gap to the slice before and the count
+    Gaps inside a slice come from a lag there; the gap to the slice before and the count
     of earlier sessions are carried along the key's slices.
     """
     gap = int(round(gap_sec * 1e6))
-    sliced = with_slice(df.withColumn("_t", F.unix_micros(F.col(ts))), F.col("_t") / 1e6, slice_sec)
+    cut = sliced(df.withColumn("_t", F.unix_micros(F.col(ts))), keys, [F.col("_t"), *[F.col(c) for c in tie]], F.col("_t") / 1e6, slice_sec, rows)
     order = within(keys, "_t", *tie)
-    local = sliced.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(order) > gap).cast("int"), F.lit(0)))
+    local = cut.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(order) > gap).cast("int"), F.lit(0)))
     local = local.withColumn("_k", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     bounds = local.groupBy(*keys, SLICE).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.sum("_new").alias("_n"))
     before = F.lag("_hi").over(chained(keys))
@@ -191,7 +191,7 @@ def merge_report(samples: DataFrame, detections: DataFrame, merged: DataFrame, c
 # --- flights and frames --------------------------------------------------------------------
 
 def subsample(records: DataFrame, keys: list[str], max_points: int = DEFAULTS.sortie_max_points, slice_sec: float = 86400.0,
-              tie: tuple[str, ...] = ()) -> DataFrame:
+              tie: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Thin each key to ``max_points``: all finds stay, the rest is picked evenly.
 
     Whether the k-th other row is picked has a closed form: some i < keep has floor(i * step) = k.
@@ -203,8 +203,8 @@ def subsample(records: DataFrame, keys: list[str], max_points: int = DEFAULTS.so
     keep, others = F.lit(max_points) - F.col("_found"), F.col("_all") - F.col("_found")
     whole = sized.where((F.col("_all") <= max_points) | F.col("person")).select(*records.columns)
     rest = sized.where((F.col("_all") > max_points) & ~F.col("person") & (keep > 0))
-    sliced = with_slice(rest, F.unix_micros("ts") / 1e6, slice_sec)
-    ranked = running_rank(sliced, keys, ["ts", *tie], "_rank").withColumn("_k", F.col("_rank") - 1).withColumn("_s", others / keep)
+    cut = sliced(rest, keys, [F.unix_micros("ts"), *[F.col(c) for c in tie]], F.unix_micros("ts") / 1e6, slice_sec, rows)
+    ranked = running_rank(cut, keys, ["ts", *tie], "_rank").withColumn("_k", F.col("_rank") - 1).withColumn("_s", others / keep)
     near = F.ceil(F.col("_k") / F.col("_s"))
     def picked(i: Column) -> Column:
         return (i >= 0) & (i < keep) & (F.least(others - 1, F.floor(i * F.col("_s"))) == F.col("_k"))

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import os
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -180,3 +181,69 @@ def test_routes_equal_brute_force_and_do_not_cross(spark):
     assert s.length_m <= flown + 1e-6 and abs(s.expected_coverage - sum(p[q] for q in covered)) < 1e-12
     assert routes.route_crossings(placed, pins).first().crossings == 0
     assert {(x.row, x.col) for x in placed.collect()} == set(want)
+
+
+def burst(spark):
+    """One key with a third of all rows: a burst of 30 rows a second, ties, then an idle month; others sparse."""
+    rng = random.Random(11)
+    start = 1_700_000_000_000_000
+    times = [start + i * 33_333 for i in range(3000)] + [start + 100_000_000] * 40 + [start + 30 * 86_400_000_000 + i * 700_000 for i in range(500)]
+    rows = [(1, t) for t in times] + [(2 + rng.randrange(40), start + rng.randrange(40 * 86_400_000_000)) for _ in range(7000)]
+    rows = [(i, k, t, rng.random() * 10) for i, (k, t) in enumerate(rows)]
+    return rows, spark.createDataFrame(rows, "id bigint, k bigint, t bigint, x double").select("id", "k", F.timestamp_micros("t").alias("ts"), "x")
+
+
+def test_slices_are_bounded_by_rows(spark):
+    rows, df = burst(spark)
+    order = [F.unix_micros("ts"), F.col("id")]
+    timed = slices.sliced(df, ["k"], order, F.unix_micros("ts") / 1e6, 3600.0, 5000)
+    assert timed.groupBy("k", slices.SLICE).count().agg(F.max("count")).first()[0] > 3000
+    cut = slices.sliced(df, ["k"], order, F.unix_micros("ts") / 1e6, 3600.0, 200)
+    assert cut.groupBy("k", slices.SLICE).count().agg(F.max("count")).first()[0] <= 400
+    assert cut.count() == len(rows)
+    same = spark.createDataFrame([(1, 5)] * 3000, "k bigint, t bigint")
+    assert slices.row_slices(same, ["k"], [F.col("t")], 200).groupBy(slices.SLICE).count().agg(F.max("count")).first()[0] <= 400
+
+
+def test_burst_equals_plain_loops(spark):
+    rows, df = burst(spark)
+    by_key = {}
+    for i, k, t, x in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        by_key.setdefault(k, []).append((i, t, x))
+    kept, smooth, session = set(), {}, {}
+    for k, items in by_key.items():
+        last, state, n, before = None, None, 0, None
+        for i, t, x in items:
+            if last is None or t - last >= 5_000_000:
+                last = t
+                kept.add(i)
+            state = x if state is None else 0.9 * state + 0.1 * x
+            smooth[i] = state
+            n += before is None or t - before > 10_000_000
+            session[i], before = n, t
+    for limit in (200, 100_000):
+        assert {r.id for r in folds.throttle(df, ["k"], 5.0, tie=("id",), slice_sec=3600.0, rows=limit).collect()} == kept
+        got = {r.id: r.smooth for r in folds.ewma(df, ["k"], "x", tie=("id",), rows=limit).collect()}
+        assert got.keys() == smooth.keys() and all(abs(got[i] - v) < 1e-9 for i, v in smooth.items())
+        assert {r.id: r.session for r in tm.sessionize(df, ["k"], 10.0, tie=("id",), rows=limit).collect()} == session
+    samples = df.where("id % 3 = 0").select("k", "ts", F.col("id").alias("sample"))
+    found = df.where("id % 3 <> 0")
+    a = {r.id: (r.r_sample, r.gap_sec) for r in joins.asof_nearest(found, samples, ["k"], 20.0, rows=150).collect()}
+    b = {r.id: (r.r_sample, r.gap_sec) for r in joins.asof_nearest(found, samples, ["k"], 20.0, slice_sec=1e9, rows=10**9).collect()}
+    assert a == b and len(a) == found.count() and any(v[0] is not None for v in a.values())
+
+
+def test_cool_down_tables_stay_short(spark, monkeypatch):
+    """Many slices per key, composed in runs of three: the tables hold entries of one cool-down only, and the rows kept are those of a loop."""
+    monkeypatch.setattr(slices, "FAN", 3)
+    times = sorted(random.Random(5).randrange(400_000) for _ in range(6000))
+    df = spark.createDataFrame([(1, t, i) for i, t in enumerate(times)] + [(2, 7, 0)], "k bigint, s bigint, id bigint").select("k", "id", F.timestamp_seconds("s").alias("ts"))
+    last, want = None, {(2, 7)}
+    for t in times:
+        if last is None or t - last >= 900:
+            last = t
+            want.add((1, t))
+    got = folds.throttle(df, ["k"], 900.0, tie=("id",), slice_sec=1800.0, rows=100).select("k", F.unix_seconds("ts").alias("s")).collect()
+    assert {(r.k, r.s) for r in got} == want and len(got) == len(want)
+    table = folds._composed([folds._table(t[0], np.array(t), np.array(t)[folds._jumps(np.array(t), 900)[-1]], 900) for t in (times[:50], times[50:100], times[100:150])], 900)
+    assert len(table["first"]) <= 1 + sum(t <= times[0] + 900 for t in times[:150])
