@@ -2,7 +2,8 @@
 
 Diffusion and drift are the same thing here: a static 8-neighbour stencil. Weights and all steps of a
 mission are array arithmetic in one Arrow group, which knows its own grid size; as a chain of windows
-each step costs about fifty times as much.
+each step costs about fifty times as much. With ``tile`` a mission is cut into tiles of that side, which
+exchange halos from round to round: the way for grids that are too large for one task.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalars import hiking_speed_kmh
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 from ..settings import DEFAULTS, NEIGHBOURS, Settings
 from .grid import mission_sum, mission_window
+from .joins import salted_join
 from .raster import terrain_weight
+from .tiles import TILE, Frame, haloed, own_tile, per_tile
+
+#: Steps between two exchanges of halos.
+ROUND_STEPS = 32
 
 def neighbour_values(cells: DataFrame, values: list[str], keys=("mission_id",)) -> DataFrame:
     """Columns ``_n0`` .. ``_n7``: the named values of the eight neighbours as structs, null off the grid.
@@ -94,13 +100,13 @@ def _diffusion_shares(cost: np.ndarray, road: np.ndarray, s: Settings) -> tuple[
     The denominator always counts eight neighbours: one off the grid has the floor cost and
     is no road, and the share sent to it is lost. That leak is part of the result.
     """
-    n = len(cost)
+    height, width = cost.shape
     pull = np.pad(s.weight_scale * (s.distance_share + s.topology_share / np.maximum(cost, s.cost_floor)), 1,
                   constant_values=s.weight_scale * (s.distance_share + s.topology_share / s.cost_floor))
     roads = np.pad(road, 1)
     out = []
     for dr, dc in NEIGHBOURS:
-        there = (slice(1 + dr, 1 + dr + n), slice(1 + dc, 1 + dc + n))
+        there = (slice(1 + dr, 1 + dr + height), slice(1 + dc, 1 + dc + width))
         bonus = np.where(~road & roads[there], 1.0 + s.trail_bonus, 1.0)
         out.append(pull[there] * bonus / math.hypot(dr, dc))
     total = s.diffusion_self + sum(out)
@@ -121,8 +127,7 @@ def _drift_shares(u: np.ndarray, v: np.ndarray, land: np.ndarray, bias: float, s
 
 def _stepped(surface: np.ndarray, stay: np.ndarray, shares: list[np.ndarray], times: int) -> np.ndarray:
     """``times`` steps of moving mass to the neighbours."""
-    n = len(surface)
-    flows = [(*_overlap(n, *step), share) for step, share in zip(NEIGHBOURS, shares)]
+    flows = [(*_overlap(surface.shape, *step), share) for step, share in zip(NEIGHBOURS, shares)]
     flows = [(here, there, share[here]) for here, there, share in flows]
     for _ in range(times):
         moved = surface * stay
@@ -133,59 +138,57 @@ def _stepped(surface: np.ndarray, stay: np.ndarray, shares: list[np.ndarray], ti
 
 
 def _per_mission(cells: DataFrame, keys, work, schema: T.StructType) -> DataFrame:
-    """Run an Arrow function on each mission's grid (bounded by the grid limit).
+    """Run an Arrow function on each mission's whole grid, which must fit a task.
 
     Its output goes back to one place per mission with an explicit partition number: what
     follows is heavy per byte and must not be coalesced by size.
     """
-    done = cells.groupBy(*keys).applyInArrow(work, schema)
+    done = cells.groupBy(*keys).applyInArrow(lambda table: work(Frame(table)), schema)
     return done.repartition(shuffle_partitions(cells.sparkSession), "mission_id")
 
 
-def _grid_reader(table: pa.Table):
-    """Side length, place of each row, and a reader of columns as square arrays."""
-    n = table["size"][0].as_py()
-    at = table["row"].to_numpy() * n + table["col"].to_numpy()
-
-    def read(name: str) -> np.ndarray:
-        flat = np.zeros(n * n)
-        flat[at] = table[name].to_numpy()
-        return flat.reshape(n, n)
-    return n, at, read
-
-
-def _overlap(n: int, dr: int, dc: int):
+def _overlap(shape: tuple[int, int], dr: int, dc: int):
     """Slices of the cells that have a neighbour at (dr, dc), and of those neighbours."""
-    here = (slice(max(0, -dr), n - max(0, dr)), slice(max(0, -dc), n - max(0, dc)))
-    there = (slice(max(0, dr), n - max(0, -dr)), slice(max(0, dc), n - max(0, -dc)))
+    height, width = shape
+    here = (slice(max(0, -dr), height - max(0, dr)), slice(max(0, -dc), width - max(0, dc)))
+    there = (slice(max(0, dr), height - max(0, -dr)), slice(max(0, dc), width - max(0, -dc)))
     return here, there
 
 
-def _rewritten(cells: DataFrame, steps: Column | int, work, value: str, keys, **given: Column) -> DataFrame:
-    """Rewrite ``value`` by ``work(reader, first row, times)`` in one Arrow group per mission.
+def _rewritten(cells: DataFrame, steps: Column | int, work, value: str, keys, tile: int | None, extra: int, **given: Column) -> DataFrame:
+    """Rewrite ``value`` by ``work(frame, times)`` in one Arrow group per mission, or tile by tile.
 
-    The group reads its own size from its rows. Many steps on a small grid are array
-    arithmetic; weights and steps share one pass through Python.
+    A group reads its own size from its rows. Many steps on a small grid are array arithmetic; weights and steps
+    share one pass through Python. Tiles do ``ROUND_STEPS`` steps at a time, with a ring as wide as these reach and ``extra``
+    cells more for the weights; a mission that has done its steps passes the rounds that others still need.
     """
     wanted = steps if isinstance(steps, Column) else F.lit(steps)
+    given = {"_steps": wanted.cast("int"), **given}
     kept, schema = list(cells.columns), cells.schema
 
-    def run(table: pa.Table) -> pa.Table:
-        times = table["_steps"][0].as_py() or 0
+    def replaced(frame: Frame, times: int) -> pa.Table:
+        table, rows = frame.table, frame.inner
         if times > 0:
-            _, at, read = _grid_reader(table)
-            surface = work(read, lambda name: table[name][0].as_py(), times)
-            table = table.set_column(table.schema.get_field_index(value), value, pa.array(surface.ravel()[at]))
-        return table.select(kept)
-
-    return _per_mission(cells.withColumns({"_steps": wanted.cast("int"), **given}), keys, run, schema)
-
-
-def diffuse(cells: DataFrame, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+            table = table.set_column(table.schema.get_field_index(value), value, pa.array(work(frame, times).ravel()[frame.at]))
+        return table if rows.all() else table.filter(pa.array(rows))
+
+    if tile is None:
+        return _per_mission(cells.withColumns(given), keys, lambda frame: replaced(frame, frame.first("_steps") or 0).select(kept), schema)
+    state = cut_lineage(cells.withColumns(given))
+    most = state.agg(F.coalesce(F.max("_steps"), F.lit(0))).first()[0]
+    names = state.columns
+    for done in range(0, most, ROUND_STEPS):
+        times = min(ROUND_STEPS, most - done)
+        state = cut_lineage(per_tile(state, keys, tile, times + extra, lambda frame: replaced(
+            frame, min(times, (frame.first("_steps") or 0) - done)).select(names), state.schema))
+    return state.select(kept)
+
+
+def diffuse(cells: DataFrame, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",), tile: int | None = None) -> DataFrame:
     """Cost-surface diffusion of ``p`` (needs ``cost``, ``on_road`` and ``size``)."""
-    def work(read, first, times):
-        return _stepped(read("p"), *_diffusion_shares(read("cost"), read("on_road") > 0, settings), times)
-    return _rewritten(cells, steps, work, "p", keys)
+    def work(frame: Frame, times: int) -> np.ndarray:
+        return _stepped(frame.read("p"), *_diffusion_shares(frame.read("cost"), frame.read("on_road") > 0, settings), times)
+    return _rewritten(cells, steps, work, "p", keys, tile, 1)
 
 
 def diffuse_flat(cells: DataFrame, steps: Column | int, settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
@@ -195,18 +198,28 @@ def diffuse_flat(cells: DataFrame, steps: Column | int, settings: Settings = DEF
 
 
 def drift(cells: DataFrame, steps: Column | int, dt_sec: Column, strength: float = 1.0,
-          settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+          settings: Settings = DEFAULTS, keys=("mission_id",), tile: int | None = None) -> DataFrame:
     """Advect ``p`` on water. Each step keeps the mission's mass; as the step is linear, one
     rescale at the end gives the same surface."""
     bias = strength * settings.advection_strength * F.sqrt(F.greatest(dt_sec, F.lit(1.0)) / max(settings.reference_dt_sec, 1.0))
 
-    def work(read, first, times):
-        start = read("p")
-        shares = _drift_shares(read("current_u"), read("current_v"), read("is_land") > 0, first("_bias"), settings)
-        done = _stepped(start, *shares, times)
-        mass, left = start.sum(), done.sum()
+    def moved(frame: Frame, times: int) -> np.ndarray:
+        shares = _drift_shares(frame.read("current_u"), frame.read("current_v"), frame.read("is_land") > 0, frame.first("_bias"), settings)
+        return _stepped(frame.read("p"), *shares, times)
+
+    def work(frame: Frame, times: int) -> np.ndarray:
+        done = moved(frame, times)
+        mass, left = frame.read("p").sum(), done.sum()
         return done * (mass / left) if left > 1e-15 and mass > 0 else done
-    return _rewritten(cells, steps, work, "p", keys, _bias=bias)
+
+    if tile is None:
+        return _rewritten(cells, steps, work, "p", keys, None, 0, _bias=bias)
+    start = cut_lineage(cells)
+    done = _rewritten(start, steps, moved, "p", keys, tile, 0, _bias=bias)
+    mass = lambda df, name: df.groupBy(*keys).agg(F.sum("p").alias(name))  # noqa: E731 - partial sums, one row per mission
+    scale = mass(start, "_mass").join(mass(done, "_left"), list(keys)).select(
+        *keys, F.when((F.col("_left") > 1e-15) & (F.col("_mass") > 0), F.col("_mass") / F.col("_left")).otherwise(F.lit(1.0)).alias("_scale"))
+    return salted_join(done, scale, list(keys)).withColumn("p", F.col("p") * F.col("_scale")).select(*cells.columns)
 
 
 # --- directional weights -------------------------------------------------------------------
@@ -239,13 +252,12 @@ def road_weights(cells: DataFrame, weight: float, settings: Settings = DEFAULTS)
 
 # --- least travel time ---------------------------------------------------------------------
 
-def _relax(elevation: np.ndarray, res: float, start: np.ndarray, flat_speed: float, limit: float) -> np.ndarray:
-    """Walking hours from the start cells: neighbour relaxation until nothing improves."""
-    n = len(elevation)
-    hours = np.where(start, 0.0, np.inf)
+def _relax(elevation: np.ndarray, res: float, hours: np.ndarray, flat_speed: float, limit: float) -> np.ndarray:
+    """Walking hours from what is known: neighbour relaxation until nothing improves."""
+    hours = hours.copy()
     moves = []
     for dr, dc in NEIGHBOURS:
-        here, there = _overlap(n, dr, dc)
+        here, there = _overlap(elevation.shape, dr, dc)
         run = math.hypot(dr, dc) * res
         grade = (elevation[there] - elevation[here]) / run
         speed = np.maximum(flat_speed * np.exp(3.5 * 0.05 - 3.5 * np.abs(grade + 0.05)), 1e-6)
@@ -260,24 +272,58 @@ def _relax(elevation: np.ndarray, res: float, start: np.ndarray, flat_speed: flo
     return hours
 
 
-def travel_time(cells: DataFrame, max_hours: str = "max_hours", settings: Settings = DEFAULTS, keys=("mission_id",)) -> DataFrame:
+def travel_time(cells: DataFrame, max_hours: str = "max_hours", settings: Settings = DEFAULTS, keys=("mission_id",),
+                tile: int | None = None) -> DataFrame:
     """Add ``travel_h``: least walking time from the pin, null beyond ``max_hours``.
 
-    One group per mission (bounded by the grid limit), relaxed to its fixed point inside the
-    task; the land mask plays no part. Solve once at the largest horizon of a mission and
-    derive the score of every tick from it.
+    One group per mission, or tiles, relaxed to their fixed point inside the task; the land mask plays no part. Solve once at the
+    largest horizon of a mission and derive the score of every tick from it.
     """
     schema = T.StructType(cells.schema.fields + [T.StructField("travel_h", T.DoubleType())])
     flat_speed = settings.flat_speed_kmh
+    if tile is not None:
+        return _travel_by_tiles(cells, max_hours, flat_speed, list(keys), tile)
 
-    def solve(table: pa.Table) -> pa.Table:
-        _, at, read = _grid_reader(table)
-        hours = _relax(read("elevation"), table["res_m"][0].as_py(), read("is_pin") > 0, flat_speed, table[max_hours][0].as_py()).ravel()[at]
-        return table.append_column("travel_h", pa.array(hours, mask=~np.isfinite(hours)))
+    def solve(frame: Frame) -> pa.Table:
+        start = np.where(frame.read("is_pin") > 0, 0.0, np.inf)
+        hours = _relax(frame.read("elevation"), frame.first("res_m"), start, flat_speed, frame.first(max_hours)).ravel()[frame.at]
+        return frame.table.append_column("travel_h", pa.array(hours, mask=~np.isfinite(hours)))
 
     return _per_mission(cells, keys, solve, schema)
 
 
+def _travel_by_tiles(cells: DataFrame, max_hours: str, flat_speed: float, keys: list[str], side: int) -> DataFrame:
+    """The wave goes from tile to tile: each round solves the tiles next to a cell that got better, until none does.
+
+    Only cells that are reached are kept as state. Times are sums along a path and the least one wins, so the order
+    of the rounds does not show in the result.
+    """
+    cells = cut_lineage(cells)
+    place = [*keys, "row", "col"]
+    still = cells.select(*place, "size", "res_m", "elevation", F.col(max_hours).alias("_limit"))
+    hours = cells.where("is_pin").select(*place, "size", F.lit(0.0).alias("travel_h"))
+    active = haloed(hours, side, 1).select(*keys, *TILE).distinct()
+    schema = f"{hours.schema.toDDL().replace(' NOT NULL', '')}, better boolean"
+
+    def solve(frame: Frame) -> pa.Table:
+        known = frame.read("travel_h", np.inf)
+        better = _relax(frame.read("elevation"), frame.first("res_m"), known, flat_speed, frame.first("_limit"))
+        at, keep = frame.at, frame.inner & np.isfinite(better.ravel()[frame.at])
+        out = frame.table.select([*place, "size"]).append_column("travel_h", pa.array(better.ravel()[at])).append_column(
+            "better", pa.array(better.ravel()[at] < known.ravel()[at]))
+        return out.filter(pa.array(keep))
+
+    while not (active := cut_lineage(active)).isEmpty():
+        seen = haloed(still, side, 1).join(active, [*keys, *TILE], "left_semi").join(hours.drop("size"), place, "left")
+        done = cut_lineage(seen.groupBy(*keys, *TILE).applyInArrow(lambda table: solve(Frame(table, side, 1)), schema))
+        rest = hours.select("*", *own_tile(side)).join(active, [*keys, *TILE], "left_anti").select(*hours.columns)
+        hours = cut_lineage(rest.unionByName(done.select(*hours.columns)))
+        changed = haloed(done.where("better"), side, 1)
+        own = own_tile(side)
+        active = changed.where((F.col(TILE[0]) != own[0]) | (F.col(TILE[1]) != own[1])).select(*keys, *TILE).distinct()
+    return cells.join(hours.drop("size"), place, "left")
+
+
 def hop_hours(distance_m: Column, climb_m: Column, settings: Settings = DEFAULTS) -> Column:
     """Walking hours of one hop."""
     return distance_m / 1000.0 / F.greatest(hiking_speed_kmh(climb_m / distance_m, settings), F.lit(1e-6))

@@ -327,6 +327,10 @@ oracle("reachability", f"""{CLASSES}, {walk('relief', '0.35e0')}, rr AS (SELECT
        f"SELECT {KEYS}, {r('reach', 9)}, {r('score', 8, 'reach_score')}, {r('reach_exp', 9)}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 9, 'p')} FROM bl")
 
 
+# tiles give what whole grids give
+ORACLES |= {f"{name}_tiles": ORACLES[name] for name in ("diffuse", "drift", "travel_time")}
+
+
 def stack(tick: int) -> str:
     """Topography and personality of one tick as CTE ``pe{tick}``; the walk must be there."""
     h = (tick + 1) * 1e0

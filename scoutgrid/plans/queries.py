@@ -514,6 +514,24 @@ def travel_time(spark, folder):
     return shown(tp.travel_time(c.select("mission_id", "row", "col", "size", "res_m", "is_pin", "elevation", "max_hours")), "mission_id", "row", "col", travel_h=8)
 
 
+@query
+def diffuse_tiles(spark, folder):
+    c = costed(spark, folder).withColumn("p", F.col("p") + F.when((F.col("row") == 1) & (F.col("col") == 1), 0.5).otherwise(0.0))
+    return shown(tp.diffuse(c.select("mission_id", "row", "col", "size", "cost", "on_road", "p"), 3, tile=13), "mission_id", "row", "col", p=9)
+
+
+@query
+def drift_tiles(spark, folder):
+    c = tb.terrain(spark, folder).withColumn("p", F.when((F.col("row") < 4) & (F.col("col") < 4), 1.0).otherwise(F.col("p"))).withColumn("current_u", F.lit(0.4)).withColumn("current_v", F.lit(-0.3))
+    return shown(tp.drift(c.select("mission_id", "row", "col", "size", "is_land", "current_u", "current_v", "p"), 2, F.lit(60.0), tile=13), "mission_id", "row", "col", p=9)
+
+
+@query
+def travel_time_tiles(spark, folder):
+    c = tb.with_elevation(tb.cells(spark, folder)).withColumn("max_hours", F.lit(0.35))
+    return shown(tp.travel_time(c.select("mission_id", "row", "col", "size", "res_m", "is_pin", "elevation", "max_hours"), tile=11), "mission_id", "row", "col", travel_h=8)
+
+
 @query
 def reachability(spark, folder):
     c = raster.terrain_classes(tb.terrain(spark, folder)).withColumn("max_hours", F.lit(0.35))

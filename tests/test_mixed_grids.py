@@ -3,10 +3,11 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scoutgrid.operators import evidence as ev
-from scoutgrid.operators import grid, raster, routes
+from scoutgrid.operators import grid, raster, routes, tiles
 from scoutgrid.operators import transport as tp
 
 
@@ -99,3 +100,29 @@ def test_routes_are_uncrossed_and_never_longer():
             a, b, c, d = x[i], x[i + 1], x[j], x[j + 1]
             assert not (side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0)
     assert routes._uncrossed(np.array([(0, 0), (2, 0), (1, 0), (3, 0.0)])).tolist() == [0, 2, 1, 3]
+
+
+@pytest.mark.parametrize("side", [5, 8, 33])
+def test_tiles_equal_whole_grids(spark, side, monkeypatch):
+    """Odd tile sides, missions of different sizes and step counts, several rounds of halos."""
+    monkeypatch.setattr(tp, "ROUND_STEPS", 3)
+    cells = field(grid.make_cells(missions(spark, (8, 33, 11)))).withColumn("n", F.col("mission_id") * 3 + 1)
+    assert rows(tp.diffuse(cells, F.col("n"), tile=side), "p") == rows(tp.diffuse(cells, F.col("n")), "p")
+    a, b = (rows(tp.drift(cells, F.col("n"), F.lit(60.0), tile=t), "p") for t in (side, None))
+    assert a.keys() == b.keys() and all(abs(a[k][0] - b[k][0]) < 1e-12 for k in a)
+
+
+@pytest.mark.parametrize("side", [6, 17])
+def test_travel_time_by_tiles_equals_whole_grids(spark, side):
+    """A wall that the wave has to go round, so that it comes back into tiles it has left."""
+    r, c = F.col("row"), F.col("col")
+    cells = grid.make_cells(missions(spark, (40, 9))).withColumns({
+        "elevation": F.when((r == 12) & (c < 36), 4000.0).otherwise((r * 5 + c * 3) % 7), "max_hours": F.lit(3.0), "extra": r})
+    a, b = (rows(tp.travel_time(cells, tile=t), "travel_h", "extra") for t in (side, None))
+    assert a == b and any(v[0] is None for v in a.values()) and sum(v[0] is not None for v in a.values()) > 900
+
+
+def test_no_tile_holds_more_than_its_square_and_ring(spark):
+    cells = grid.make_cells(missions(spark, (200,)))
+    spread = tiles.haloed(cells, 32, 4).groupBy(*tiles.TILE).count().collect()
+    assert len(spread) == 49 and max(x["count"] for x in spread) <= 40 * 40
