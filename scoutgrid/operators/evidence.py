@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalars import valid_position
+from ..session import cut_lineage
 from ..settings import DEFAULTS, Settings
 from .grid import CELL_KEYS, mission_sum, mission_window, point_to_cell
 from .joins import cells_in_polygon, disc_cells
@@ -69,21 +70,45 @@ def boost(cells: DataFrame, keys=("mission_id",)) -> DataFrame:
     return out.withColumn("p", F.when(use, F.col("_f") / F.col("_t")).otherwise(F.col("_f"))).drop("_hit", "_f", "_t")
 
 
+#: Up to so many searches a mission, each is a pass of windows; beyond, a mission's cells are folded in one Arrow group.
+WINDOW_SEARCHES = 8
+
+
 def negative_search(cells: DataFrame, searches: DataFrame, settings: Settings = DEFAULTS, sequence: str | None = None) -> DataFrame:
     """Lower the mass inside each mission's searched polygons by their probability of detection, one after the other.
 
     ``cells`` carries lat/lon; ``searches`` is (mission_id, rings, pod) and, if a mission has several, ``sequence`` names
-    the column of their order. After every search each of its cells has at least the floor and the mission is
+    the column of their order; without it, and among equal values, the smaller probability and then the polygon decide, so that
+    every search counts. After every search each of its cells has at least the floor and the mission is
     renormalised; a polygon that holds no cell changes nothing. Adds ``searched``. A cell stays one row.
     """
     pod = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("pod")))
     place = F.col(sequence).cast("long") if sequence else F.lit(0).cast("long")
-    hits = cells_in_polygon(cells.select(*CELL_KEYS, "lat", "lon"), searches.select("mission_id", "rings", "pod", place.alias("_seq")))
-    hits = hits.groupBy(*CELL_KEYS).agg(F.sort_array(F.collect_list(F.struct("_seq", pod.alias("pod")))).alias("_hits"))
+    steps = F.row_number().over(W.partitionBy("mission_id").orderBy(place.asc_nulls_first(), "pod", "rings"))
+    asked = searches.select("mission_id", "rings", pod.alias("pod"), steps.alias("_seq"))
+    hits = cells_in_polygon(cells.select(*CELL_KEYS, "lat", "lon"), asked).groupBy(*CELL_KEYS).agg(
+        F.sort_array(F.collect_list(F.struct("_seq", "pod"))).alias("_hits"))
+    hits = cut_lineage(hits)
     given = cells.join(hits, list(CELL_KEYS), "left").withColumn("searched", F.col("_hits").isNotNull())
+    most = hits.agg(F.max(F.element_at("_hits", -1)["_seq"])).first()[0] or 0
+    floor = settings.search_floor
+    if most > WINDOW_SEARCHES:
+        return _searched_in_groups(given, floor)
+    for step in range(1, most + 1):
+        found = F.filter(F.col("_hits"), lambda h: h["_seq"] == step)
+        given = given.withColumn("_pod", F.get(found, F.lit(0))["pod"]).withColumn(
+            "_q", F.when(F.col("_pod").isNotNull(), F.greatest(F.col("p") * (1.0 - F.col("_pod")), F.lit(floor))).otherwise(F.col("p")))
+        given = given.withColumns({"_any": F.max(F.col("_pod").isNotNull()).over(mission_window()), "_total": mission_sum("_q"),
+                                   "_n": F.count("*").over(mission_window())})
+        given = given.withColumn("p", F.when(~F.col("_any"), F.col("p")).when(F.col("_total") < floor, 1.0 / F.col("_n")).otherwise(
+            F.col("_q") / F.col("_total"))).drop("_pod", "_q", "_any", "_total", "_n")
+    return given.drop("_hits")
+
+
+def _searched_in_groups(given: DataFrame, floor: float) -> DataFrame:
+    """The same for long sequences: all steps of a mission as array arithmetic."""
     kept = [c for c in given.columns if c != "_hits"]
     schema = T.StructType([f for f in given.schema.fields if f.name in kept])
-    floor = settings.search_floor
 
     def fold(table: pa.Table) -> pa.Table:
         p, rows = table["p"].to_numpy().astype(float), table["_hits"].combine_chunks()

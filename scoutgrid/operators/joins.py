@@ -105,26 +105,73 @@ def parse_polygon(geojson: Column) -> Column:
         ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
 
 
+BLOCK = 16
+#: Level k has squares of 2 ** -k degrees.
+LEVELS = 20
+
+
+def _squares(low: Column, high: Column, level: Column) -> Column:
+    scale = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low * scale), F.floor(high * scale))
+
+
+def _edge_meets_box(rings: Column, box: dict[str, Column]) -> Column:
+    """Whether the box around any ring edge touches the box."""
+    def touches(ring: Column) -> Column:
+        legs = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("a"), F.slice(ring, 2, F.size(ring) - 1).alias("b"))
+        def near(leg: Column) -> Column:
+            a, b = leg["a"], leg["b"]
+            return ((F.greatest(a["lat"], b["lat"]) >= box["south"]) & (F.least(a["lat"], b["lat"]) <= box["north"])
+                    & (F.greatest(a["lon"], b["lon"]) >= box["west"]) & (F.least(a["lon"], b["lon"]) <= box["east"]))
+        return F.exists(legs, near)
+    return F.exists(rings, touches)
+
+
+def polygon_blocks(cells: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Polygons with the blocks of ``BLOCK`` x ``BLOCK`` cells (``_br``, ``_bc``) that they may hold cells of.
+
+    Polygons and blocks meet on squares of a hierarchy: a polygon takes the level at which it spans two squares a side, or the finest at
+    which a block of its mission still does, blocks name their squares of all these levels. ``_whole`` tells blocks
+    without a piece of the polygon's edge: they lie inside as a whole, and those outside are dropped.
+    """
+    blocks = cells.groupBy("mission_id", F.floor(F.col("row") / BLOCK).alias("_br"), F.floor(F.col("col") / BLOCK).alias("_bc")).agg(
+        F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    extent = lambda south, north, west, east: F.greatest(north - south, east - west, F.lit(1e-9))
+    level = lambda size: F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(-F.log2(size)))).cast("int")
+    box = [F.col(c) for c in ("south", "north", "west", "east")]
+    finest = blocks.groupBy("mission_id").agg(level(F.max(extent(*box))).alias("_finest"))
+    flat = F.flatten("rings")
+    side = lambda pick, part: pick(F.transform(flat, lambda p: p[part]))
+    boxed = polygons.withColumns({"_south": side(F.array_min, "lat"), "_north": side(F.array_max, "lat"),
+                                  "_west": side(F.array_min, "lon"), "_east": side(F.array_max, "lon")}).where("_south is not null")
+    boxed = salted_join(boxed, finest, ["mission_id"])
+    own = [F.col(f"_{c}") for c in ("south", "north", "west", "east")]
+    boxed = boxed.withColumn("_level", F.least("_finest", level(extent(*own)))).drop("_finest")
+    boxed = boxed.withColumn("_y", F.explode(_squares(own[0], own[1], F.col("_level")))).withColumn("_x", F.explode(_squares(own[2], own[3], F.col("_level"))))
+    placed = salted_join(blocks, finest, ["mission_id"]).withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_finest")))).drop("_finest")
+    placed = placed.withColumn("_y", F.explode(_squares(box[0], box[1], F.col("_level")))).withColumn("_x", F.explode(_squares(box[2], box[3], F.col("_level"))))
+    met = boxed.join(placed, ["mission_id", "_level", "_y", "_x"]).where(
+        (F.col("north") >= own[0]) & (F.col("south") <= own[1]) & (F.col("east") >= own[2]) & (F.col("west") <= own[3]))
+    # a pair that shares several squares counts in the first of them
+    first = lambda a, b: F.floor(F.greatest(a, b) * F.pow(F.lit(2.0), F.col("_level")))
+    met = met.where((F.col("_y") == first(own[0], box[0])) & (F.col("_x") == first(own[2], box[2])))
+    edge = _edge_meets_box(F.col("rings"), {c: F.col(c) for c in ("south", "north", "west", "east")})
+    met = met.withColumn("_whole", ~edge)
+    return met.where(~F.col("_whole") | point_in_polygon(F.col("rings"), F.col("west"), F.col("south"))).drop(
+        "south", "north", "west", "east", "_level", "_y", "_x")
+
+
 def cells_in_polygon(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     """Cells whose centre lies in a polygon of their mission; a cell once per polygon that holds it.
 
-    ``cells`` carries lat/lon; ``polygons`` is (mission_id, rings, ...). Polygons meet the bounds of grid rows,
-    and only the rows that a polygon's box touches are joined to their cells; the exact test comes last.
+    ``cells`` carries lat/lon; ``polygons`` is (mission_id, rings, ...). Polygons meet blocks of cells (``polygon_blocks``), and only
+    blocks that the polygon's edge runs through are tested cell by cell. Polygons without points hold nothing.
     """
-    flat = F.flatten("rings")
-    def side(pick, part: str) -> Column:
-        return pick(F.transform(flat, lambda p: p[part]))
-    boxed = polygons.withColumns({
-        "_west": side(F.array_min, "lon"), "_east": side(F.array_max, "lon"),
-        "_south": side(F.array_min, "lat"), "_north": side(F.array_max, "lat")})
-    rows = cells.groupBy("mission_id", "row").agg(F.min("lat").alias("_lat0"), F.max("lat").alias("_lat1"),
-                                                  F.min("lon").alias("_lon0"), F.max("lon").alias("_lon1"))
-    touched = boxed.join(rows, "mission_id").where(
-        (F.col("_lat1") >= F.col("_south")) & (F.col("_lat0") <= F.col("_north"))
-        & (F.col("_lon1") >= F.col("_west")) & (F.col("_lon0") <= F.col("_east"))).drop("_lat0", "_lat1", "_lon0", "_lon1")
+    block = {"_br": F.floor(F.col("row") / BLOCK), "_bc": F.floor(F.col("col") / BLOCK)}
+    near = cells.withColumns(block).join(polygon_blocks(cells, polygons), ["mission_id", "_br", "_bc"])
     inside = F.col("lon").between(F.col("_west"), F.col("_east")) & F.col("lat").between(F.col("_south"), F.col("_north"))
-    hit = F.when(inside, point_in_polygon(F.col("rings"), F.col("lon"), F.col("lat"))).otherwise(F.lit(False))
-    return cells.join(touched, ["mission_id", "row"]).where(hit).drop("_west", "_east", "_south", "_north")
+    hit = F.when(F.col("_whole"), F.lit(True)).when(inside, point_in_polygon(F.col("rings"), F.col("lon"), F.col("lat"))).otherwise(F.lit(False))
+    return near.where(hit).drop("_br", "_bc", "_west", "_east", "_south", "_north", "_whole")
 
 
 def disc_cells(points: DataFrame, radius_m: float, res_m: float, keep: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoutgrid.operators import evidence as ev
-from scoutgrid.operators import grid, raster, routes, tiles
+from scoutgrid.operators import grid, joins, raster, routes, tiles
 from scoutgrid.operators import transport as tp
 
 
@@ -126,3 +126,60 @@ def test_no_tile_holds_more_than_its_square_and_ring(spark):
     cells = grid.make_cells(missions(spark, (200,)))
     spread = tiles.haloed(cells, 32, 4).groupBy(*tiles.TILE).count().collect()
     assert len(spread) == 49 and max(x["count"] for x in spread) <= 40 * 40
+
+
+def star(rng, lat, lon, reach):
+    """A closed polygon of 3 to 9 corners around a point."""
+    angles = np.sort(rng.random(rng.integers(3, 10)) * 2 * np.pi)
+    radius = reach * (0.3 + 0.7 * rng.random(len(angles)))
+    ring = [(float(lon + r * np.cos(a)), float(lat + r * np.sin(a))) for a, r in zip(angles, radius)]
+    return ring + ring[:1]
+
+
+def inside(rings, lon, lat):
+    odd = False
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, ring[1:]):
+            odd ^= (y0 > lat) != (y1 > lat) and lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0
+    return odd
+
+
+def test_many_polygons_meet_blocks_of_cells(spark):
+    """Hundreds of polygons of all sizes in one mission, with holes, off the grid, and covering whole blocks."""
+    rng = np.random.default_rng(4)
+    cells = grid.with_cell_latlon(grid.make_cells(missions(spark, (50, 20)))).select("mission_id", "row", "col", "lat", "lon").cache()
+    mine = {i: [x for x in cells.collect() if x["mission_id"] == i] for i in (0, 1)}
+    polygons = []
+    for n in range(260):
+        mission = int(n % 5 == 0)
+        centre = mine[mission][rng.integers(len(mine[mission]))]
+        rings = [star(rng, centre["lat"] + rng.normal() * 0.002, centre["lon"] + rng.normal() * 0.002, 10 ** -rng.uniform(1.8, 4.5))]
+        if n % 4 == 0:
+            rings.append(star(rng, centre["lat"], centre["lon"], 0.001))
+        polygons.append((mission, n, rings))
+    polygons += [(0, 900, [square(-170.0, -80.0, 170.0, 80.0)[0]]), (0, 901, []), (0, 902, None), (7, 903, [square(34.9, 32.7, 35.2, 32.9)[0]])]
+    table = spark.createDataFrame(polygons, "mission_id long, polygon int, rings array<array<struct<lon:double,lat:double>>>")
+    got = joins.cells_in_polygon(cells, table)
+    assert set(got.columns) == {"mission_id", "row", "col", "lat", "lon", "polygon", "rings"}
+    got = sorted((x["mission_id"], x["polygon"], x["row"], x["col"]) for x in got.collect())
+    want = sorted((m, n, x["row"], x["col"]) for m, n, rings in polygons if rings for x in mine.get(m, []) if inside(rings, x["lon"], x["lat"]))
+    assert got == want and len(want) > 5000
+    blocks = joins.polygon_blocks(cells, table)
+    assert blocks.count() == blocks.select("polygon", "_br", "_bc").distinct().count()
+
+
+@pytest.mark.parametrize("windows", [0, 8])
+def test_overlapping_searches_without_sequence_all_count(spark, monkeypatch, windows):
+    monkeypatch.setattr(ev, "WINDOW_SEARCHES", windows)
+    cells = spark.createDataFrame([(m, r, c, float(r), float(c), 1 / 16) for m in (1, 2) for r in range(4) for c in range(4)],
+                                  "mission_id long, row int, col int, lat double, lon double, p double")
+    twice = square(-0.5, -0.5, 1.5, 3.5)
+    searches = spark.createDataFrame([(1, twice, 0.5), (1, twice, 0.5), (1, square(-0.5, -0.5, 1.5, 1.5), 0.85), (1, square(9.0, 9.0, 10.0, 10.0), 0.9)],
+                                     "mission_id long, rings array<array<struct<lon:double,lat:double>>>, pod double")
+    p = np.full((4, 4), 1 / 16)
+    for area, pod in (((slice(0, 4), slice(0, 2)), 0.5), ((slice(0, 4), slice(0, 2)), 0.5), ((slice(0, 2), slice(0, 2)), 0.85)):
+        p[area] *= 1 - pod
+        p /= p.sum()
+    for x in ev.negative_search(cells, searches).collect():
+        assert abs(x["p"] - (p[x["row"], x["col"]] if x["mission_id"] == 1 else 1 / 16)) < 1e-12
+        assert x["searched"] == (x["mission_id"] == 1 and x["col"] < 2)
