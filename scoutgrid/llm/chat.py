@@ -96,17 +96,23 @@ def formatted(turns: DataFrame, by: list[str], loss_roles=("assistant",)) -> Dat
 
 
 def read_back(conversations: DataFrame) -> DataFrame:
-    """``turns`` (role, text) of ``formatted``, and ``loss_texts``: what lies under ``loss_mask``; both unescaped."""
+    """``turns`` (role, text) of ``formatted``, and ``loss_texts``: what ``formatted`` has between the start and the end of each
+    entry of ``loss_mask``; both unescaped.
+
+    The text is laid out in four bytes a code point, so that a cut costs its own length wherever it lies.
+    """
     rest = [c for c in conversations.columns if c != "formatted"]
     bodies = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda s: s != "")
-    cut = conversations.select(*rest, F.transform(bodies, lambda s: F.struct(
+    wide = F.array(F.encode("formatted", "UTF-32"))  # an element of an array is worked out once for all cuts
+    pieces = F.transform(wide, lambda w: F.transform("loss_mask", lambda m: F.decode(
+        F.substring(w, (4 * m["start"] + 1).cast("int"), (4 * (m["end"] - m["start"])).cast("int")), "UTF-32")))
+    cut = conversations.select(*rest, F.get(pieces, F.lit(0)).alias("pieces"), F.transform(bodies, lambda s: F.struct(
         F.substring_index(s, BREAK, 1).alias("head"),
         F.substring(s, F.locate(BREAK, s) + 1, F.length(s) - F.locate(BREAK, s) - len(END)).alias("body"))).alias("cut"))
     role = lambda s: unescaped(F.replace(s, F.lit("\\n"), F.lit("\n")))
     return cut.select(
         *rest, F.transform("cut", lambda x: F.struct(role(x["head"]).alias("role"), unescaped(x["body"]).alias("text"))).alias("turns"),
-        F.transform("loss_mask", lambda m: unescaped(F.substring(
-            F.get("cut", m["turn"])["body"], F.lit(1), (m["end"] - m["start"]).cast("int")))).alias("loss_texts"))
+        F.transform("pieces", unescaped).alias("loss_texts"))
 
 
 def conversations(messages: DataFrame, per_root: int = 1, loss_roles=("assistant",)) -> DataFrame:

@@ -23,7 +23,7 @@ from scoutgrid.llm.shingles import WordCodes, mixed
 WALKS, BANDS, SAMPLES = 4, 8, 4
 EDIT_PERCENT = 20
 CHUNK_WORDS = 200_000
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 # Letters and digits stay, A-Z are lowered, other signs below 128 part words.
@@ -73,23 +73,23 @@ class _Keys:
         return np.repeat(at, n), self.values[first]
 
 
-def _coins(c: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
-    """Random bits of each word for ``steps`` steps of a walk, 64 to an array."""
-    salts = np.random.default_rng(walk).integers(1, 1 << 62, 4096, dtype=np.uint64)
-    return [mixed(c * _STEP + salts[g % 4096] + np.uint64(g // 4096)) for g in range(steps // 64 + 1)]
-
+def _bands(c: np.ndarray, starts: np.ndarray, w: int, walk: int) -> Iterator[np.ndarray]:
+    """LSH keys of the windows of w words at ``starts``; c ends in 2 w words of padding.
 
-def _bands(c: np.ndarray, coins: list[np.ndarray], starts: np.ndarray, w: int, walk: int) -> Iterator[np.ndarray]:
-    """LSH keys of the windows of w words at ``starts``; c ends in 2 w words of padding."""
+    The random bits of the words are drawn for 64 steps at a time, so that a long walk needs no more memory than a short one.
+    """
+    salts = np.random.default_rng(walk).integers(1, 1 << 62, 4096, dtype=np.uint64)
     draw = np.random.default_rng((w, walk))
     steps = 2 * w
     wanted = np.array([np.resize(draw.permutation(steps), SAMPLES) for _ in range(BANDS)])
     seen, at = {}, starts.copy()
     needed = set(wanted.ravel().tolist())
     for j in range(max(needed) + 1):
+        if j % 64 == 0:
+            coins = mixed(c * _STEP + salts[j // 64 % 4096] + np.uint64(j // 64 // 4096))
         if j in needed:
             seen[j] = np.where(at - starts < w, c[at], np.uint64(0))
-        at += ((coins[j // 64][at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        at += ((coins[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
     for b in range(BANDS):
         acc = np.full(len(starts), (w << 16) + (walk << 8) + b, np.uint64)
         for j in wanted[b]:
@@ -135,7 +135,6 @@ class Index:
                 self.ids.append(key)
                 self.words.append(codes.of(words))
         self.classes = [self._class(w) for w in sorted({size_class(len(c)) for c in self.words})]
-        self.longest = max((c.w for c in self.classes), default=1)
 
     def _class(self, w: int) -> _Class:
         mine = [i for i, c in enumerate(self.words) if size_class(len(c)) == w]
@@ -151,55 +150,61 @@ class Index:
                 flat += [self.words[i][o:o + w], np.zeros(2 * w, np.uint64)]
                 at += 3 * w
         c, starts = np.concatenate(flat), np.array(starts)
-        bands = [_Keys(k, np.array(owner)) for walk in range(WALKS)
-                 for k in _bands(c, _coins(c, walk, 2 * w), starts, w, walk)]
+        bands = [_Keys(k, np.array(owner)) for walk in range(WALKS) for k in _bands(c, starts, w, walk)]
         return _Class(w, q, _Keys(seeds, seeds), bands)
 
-    def candidates(self, c: np.ndarray) -> np.ndarray:
-        """Rows (position where item begins, item) of all windows of the padded words ``c`` that share a band with an item."""
-        found = [np.empty((0, 2), np.int64)]
-        coins = [_coins(c, walk, 2 * self.longest) for walk in range(WALKS)]
+    def _candidates(self, k: _Class, docs: list[np.ndarray], names: np.ndarray) -> Iterator[np.ndarray]:
+        """Rows (document, word where item begins, item) of windows of one class that share a band with an item."""
+        pad = np.zeros(2 * k.w + 1, np.uint64)
+        flat, begin, at = [pad], [], len(pad)
+        for n in names:
+            begin.append(at)
+            flat += [docs[n], pad]
+            at += len(docs[n]) + len(pad)
+        c, begin = np.concatenate(flat), np.array(begin)
+        hit = np.zeros(len(c) + 1, np.int64)
+        hit[np.unique(k.seeds.hits(_gram(c, k.q))[0]) + 1] = 1
+        upto = np.cumsum(hit)  # runs that begin before a position
+        last = len(c) - len(pad)
+        inside = np.minimum(np.arange(last) + k.w, len(c))
+        # every window that holds a whole run
+        starts = np.flatnonzero(upto[inside] - upto[:last] > 0)
+        n = 0
+        for walk in range(WALKS):
+            for key in _bands(c, starts, k.w, walk):
+                at, owners = k.bands[n].hits(key)
+                n += 1
+                if len(at):
+                    place = starts[at] - owners[:, 1]
+                    owner = np.maximum(np.searchsorted(begin, place + k.w, "right") - 1, 0)
+                    yield np.column_stack((names[owner], place - begin[owner], owners[:, 0]))
+
+    def candidates(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Rows (document, item, word where the item begins) in this order. Each class sees the documents with one of its runs only,
+        padded for its own size, ``CHUNK_WORDS`` words with their padding at a time."""
+        gap = np.zeros(1, np.uint64)
+        flat = np.concatenate([x for d in docs for x in (d, gap)])
+        begin = np.cumsum([0, *(len(d) + 1 for d in docs)])[:-1]
+        found = [np.empty((0, 3), np.int64)]
         for k in self.classes:
-            hit = np.zeros(len(c) + 1, np.int64)
-            hit[np.unique(k.seeds.hits(_gram(c, k.q))[0]) + 1] = 1
-            upto = np.cumsum(hit)  # runs that begin before a position
-            last = len(c) - 2 * self.longest - 1
-            inside = np.minimum(np.arange(max(0, last)) + k.w, len(c))
-            # every window that holds a whole run
-            starts = np.flatnonzero(upto[inside] - upto[:max(0, last)] > 0)
-            if not len(starts):
+            near = np.unique(np.searchsorted(begin, k.seeds.hits(_gram(flat, k.q))[0], "right") - 1)
+            if not len(near):
                 continue
-            n = 0
-            for walk in range(WALKS):
-                for key in _bands(c, coins[walk], starts, k.w, walk):
-                    at, owners = k.bands[n].hits(key)
-                    n += 1
-                    if len(at):
-                        found.append(np.column_stack((starts[at] - owners[:, 1], owners[:, 0])))
-        return np.unique(np.concatenate(found), axis=0)
+            size = np.cumsum([len(docs[n]) + 2 * k.w + 1 for n in near])
+            for part in np.split(near, np.unique(np.searchsorted(size, np.arange(CHUNK_WORDS, size[-1], CHUNK_WORDS)) + 1)):
+                if len(part):
+                    found += self._candidates(k, docs, part)
+        return np.unique(np.concatenate(found)[:, [0, 2, 1]], axis=0)
 
     def found_in(self, docs: list[np.ndarray]) -> list[list[dict]]:
         """Hits of each document: item, start, end (words, end exclusive) and distance."""
         out: list[list[dict]] = [[] for _ in docs]
-        if not self.classes:
+        if not self.classes or not docs:
             return out
-        pad = np.zeros(2 * self.longest + 1, np.uint64)
-        flat, begin, at = [pad], [], len(pad)
-        for d in docs:
-            begin.append(at)
-            flat += [d, pad]
-            at += len(d) + len(pad)
-        c, begin = np.concatenate(flat), np.array(begin)
-        near = self.candidates(c)
-        owner = np.searchsorted(begin, near[:, 0] + len(pad) // 2, "right") - 1
-        order = np.lexsort((near[:, 0], near[:, 1], owner))
         last = None
-        for doc, (start, item) in zip(owner[order], near[order]):
+        for doc, item, place in self.candidates(docs).tolist():
             words = self.words[item]
             allowed = limit(len(words), self.percent)
-            if doc < 0:
-                continue
-            place = int(start - begin[doc])
             if last and last[:2] == (doc, item) and place < last[2]:
                 continue
             low = max(0, place - 2 * allowed - 2)
@@ -238,14 +243,17 @@ def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     """``row`` (the columns ``keep``, default all) and ``hits`` (item, start, end, distance) of every document.
 
     A hit is a part of the text whose words are within ``percent`` % word edits of an item, overlapping parts reported once; words are
-    folded to lower-case letters and digits. The items are the query set: they go to every task in blocks of at most
-    ``BLOCK_ITEMS``, one pass over the documents a block. Null and empty texts have no hits, items without a word match nothing,
-    repeated items are all reported, empty tables of either kind give rows without hits.
+    folded to lower-case letters and digits. The items are the query set: they go to every task in blocks of about
+    ``BLOCK_ITEMS`` items or ``BLOCK_BYTES`` bytes, one pass over the documents a block. A long item's windows are padded and walked by themselves,
+    and only in documents that share a run with it; very long texts are read whole. Null and empty texts have no hits, items without a word
+    match nothing, repeated items are all reported, empty tables of either kind give rows without hits. The input row travels as one struct, so that
+    names of other columns cannot clash.
     """
     spark = docs.sparkSession
     body = items[f"`{item_text}`"].cast("string").cast("binary")
     wanted = items.select(items[f"`{item_key}`"].alias("item"), body.alias("text"))
-    blocks = max(1, -(-wanted.count() // BLOCK_ITEMS))
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     columns = list(keep or docs.columns)
     out = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[f"`{text}`"].cast("string").cast("binary").alias("t"))
     kind, item_kind = out.schema["row"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()

@@ -183,7 +183,8 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row of every linked group with its own columns: the one with the smallest key, among these the smallest text hash.
 
-    Rows without a word are not linked and all stay, except that rows equal in key and text are kept once.
+    Rows without a word are not linked and all stay, except that rows equal in key and text are kept once. The input row travels as one struct,
+    so that names of other columns cannot clash; an empty table gives no rows; very long texts are compared whole.
     """
     name = F.struct(docs[f"`{key}`"].alias("key"), F.xxhash64(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))).alias("hash"))
     known = joined(docs.select(name.alias("name"), docs[f"`{text}`"].alias("text")), "name", "text", k, percent)

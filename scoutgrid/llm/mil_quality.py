@@ -166,18 +166,20 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     The model learns from the texts of at most MAX_LABELLED labelled keys, chosen by a hash, none of them held out. All passages of
     every text are read. Null and empty texts are a bag of one empty passage; null labels are ignored; labels
-    of one class only give a constant, none 1/2; rows of a repeated key are used and scored each.
+    of one class only give a constant, none 1/2. Rows of a repeated key are scored each, the one with the least text hash is used for
+    training. Very long texts are bags of many passages; equal texts tie. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     known = labels.select(labels[f"`{key}`"].alias("key"), labels[f"`{label}`"].cast("int").alias("label")).where(
         ~held_out(F.col("key"), folds, fold) & F.col("label").isin(0, 1)).distinct()
     chosen = hashed_sample(known, MAX_LABELLED)
     rows = docs.select(docs[f"`{key}`"].alias("row"), held_out(docs[f"`{key}`"], folds, fold).alias("held_out"),
                        docs[f"`{text}`"].cast("string").cast("binary").alias("text"))
-    read = rows.join(F.broadcast(chosen), rows["row"] == chosen["key"]).select("label", "text").mapInArrow(
-        _read, "label int, features array<float>").collect()
-    bags = [np.array(r["features"], np.float32).reshape(-1, FEATURES) for r in read]
-    order = sorted(range(len(bags)), key=lambda i: (read[i]["label"], bags[i].tobytes()))
-    model = docs.sparkSession.sparkContext.broadcast(fitted([bags[i] for i in order], np.array([read[i]["label"] for i in order], np.float64)))
+    own = rows.join(F.broadcast(chosen), rows["row"] == chosen["key"]).groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    read = own.select("label", "text").mapInArrow(_read, "label int, features array<float>").toArrow()
+    known_labels = read["label"].to_numpy()
+    bags = [f.values.to_numpy().reshape(-1, FEATURES) for f in read["features"].combine_chunks()]
+    order = sorted(range(len(bags)), key=lambda i: (known_labels[i], bags[i].tobytes()))
+    model = docs.sparkSession.sparkContext.broadcast(fitted([bags[i] for i in order], known_labels[order].astype(np.float64)))
     kind = rows.schema["row"].dataType.simpleString()
     out = rows.mapInArrow(_score(model), f"row {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -88,32 +88,38 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     a document belongs to one by a hash). A shard lays its documents on a line in seeded order and takes the whole line as
     often as its quota covers it, then the first blocks of the line; a block may begin or end inside a document. No document
     is taken more than ``max_repeats`` times. The same rows give the same result on any cluster; rows equal in key and text are interchangeable.
-    Null texts have size 0, null sources form a source of their own, an empty table gives no rows.
+    Null and blank texts have size 0 and lie on no line; rows equal in source, key and text are one stretch of a line, however many. Null sources form
+    a source of their own; texts are counted where they are read, very long ones too. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     body = _body(docs, text)
     sizes = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{source}`"].cast("string").alias("source"),
                         F.size(words(body)).cast("long").alias("size"), F.xxhash64(body).alias("body_hash"))
-    sizes = cut_lineage(sizes.withColumn("place_hash", F.xxhash64(F.lit(seed), "key", "body_hash")))
-    per_source = cut_lineage(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
+    sizes = cut_lineage(sizes.groupBy("key", "source", "size", "body_hash").agg(F.count("*").alias("copies")).withColumn(
+        "place_hash", F.xxhash64(F.lit(seed), "key", "body_hash")))
+    per_source = cut_lineage(targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, max_repeats)
                              .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")))
     blocks = F.round(F.sum("source_size").over(Window.partitionBy()) / block_words).cast("long")
     seats = apportioned(per_source.withColumn("all", F.lit(1)).withColumn("blocks", blocks), "target", "blocks", ["all"], ["place"])
     seats = seats.select("source", "source_size", "target", "shards", F.col("quota").alias("source_quota"))
     rows = sizes.join(seats, sizes["source"].eqNullSafe(seats["source"])).select(
-        "key", sizes["source"], "size", "source_size", "target", "source_quota", "place_hash", "body_hash",
+        "key", sizes["source"], "size", "copies", "source_size", "target", "source_quota", "place_hash", "body_hash",
         F.pmod("place_hash", F.col("shards").cast("long")).alias("shard"))
-    shard = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    blank = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    rows = rows.where("size > 0")
+    length = F.col("size") * F.col("copies")
+    shard = rows.groupBy("source", "shard").agg(F.sum(length).alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = apportioned(shard, "shard_size", "source_quota", ["source"], ["shard"]).select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "quota")
     rows = rows.join(quotas, rows["source"].eqNullSafe(quotas["_source"]) & (rows["shard"] == quotas["_shard"])).drop("_source", "_shard")
     line = Window.partitionBy("source", "shard").orderBy("place_hash", "body_hash", "key")
-    end = F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum(length).over(line.rowsBetween(Window.unboundedPreceding, 0))
     words_due = F.least(F.col("quota") * block_words, max_repeats * F.col("shard_size"))
-    return rows.withColumn("end", end).withColumn("due", words_due).withColumn("rounds", F.when(
-        F.col("shard_size") > 0, F.floor(F.col("due") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")).select(
-        "key", "body_hash", "size", "source_size", "target",
-        (F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(
-            F.col("size"), F.col("due") - F.col("rounds") * F.col("shard_size") - F.col("end") + F.col("size")))).alias("taken"))
+    rows = rows.withColumn("begin", end - length).withColumn("due", words_due).withColumn("rounds", F.floor(F.col("due") / F.col("shard_size")))
+    each = rows.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    left = F.col("due") - F.col("rounds") * F.col("shard_size") - F.col("begin") - F.col("nth") * F.col("size")
+    each = each.withColumn("taken", F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    out = ["key", "body_hash", "size", "source_size", "target", "taken"]
+    return each.select(*out).unionAll(blank.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(*out))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

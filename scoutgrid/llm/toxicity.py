@@ -2,7 +2,9 @@
 
 The risk of a classifier g is estimated from positives and unlabelled texts alone: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-));
 where the second part turns negative, the step goes against it, as in the published non-negative estimator. g is a linear model on
-the presence of words, hashed to a fixed number of places.
+the presence of words, hashed to a fixed number of places. Every place that is commoner in positives gets a weight, however rare: a place's
+input is scaled by the evidence for it (its two-sample z, cubed, up to ``EVIDENCE``), so that the penalty holds down
+what little evidence speaks for.
 """
 
 from __future__ import annotations
@@ -20,8 +22,7 @@ from scoutgrid.llm.text import hashed_sample, held_out
 
 PLACES = 1 << 20
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
-FEATURES, LEAST_Z = 400, 4.0
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+STEPS, RATE, PENALTY, EVIDENCE, MOMENTUM = 300, 1.0, 1e-5, 4.0, 0.9
 
 
 def places(text: bytes | None, codes: WordCodes) -> np.ndarray:
@@ -41,49 +42,59 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[at].sum(), -30, 30))))
 
 
-def _matrix(rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), int(column.max()) + 1 if len(column) else 0), np.float32)
-    for i, r in enumerate(rows):
-        c = column[r]
-        out[i, c[c >= 0]] = 1
-    return out
+class Texts:
+    """Places of many texts in a row, each text's own beside the others'."""
+
+    def __init__(self, rows: list[np.ndarray], column: np.ndarray):
+        self.n = len(rows)
+        self.at = column[np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)]
+        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights[self.at], self.n)
+
+    def spread(self, per_text: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(self.at, per_text[self.owner], size)
+
+
+def risk(theta: np.ndarray, xp: Texts, xu: Texts, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk of positives, the rest (negative risk of all, less the positives' share), and the gradient of the non-negative estimator."""
+    sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
+    gp, gu = xp.sums(theta[:-1]) + theta[-1], xu.sums(theta[:-1]) + theta[-1]
+    positive = prior * np.logaddexp(0, -gp).mean()
+    rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    if rest >= 0:
+        dp, du = -prior * sigmoid(-gp) / xp.n - prior * sigmoid(gp) / xp.n, sigmoid(gu) / xu.n
+    else:  # the step goes against the part that turned negative
+        dp, du = prior * sigmoid(gp) / xp.n, -sigmoid(gu) / xu.n
+    k = len(theta) - 1
+    return positive, rest, np.append(xp.spread(dp, k) + xu.spread(du, k), dp.sum() + du.sum())
 
 
 def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Features are the words most surely commoner in positives (a two-sample z of at least LEAST_Z), the model minimises the nnPU risk."""
+    """The model that minimises the nnPU risk over all places of the training texts, with a squared penalty on their weights."""
     weights = np.zeros(PLACES, np.float32)
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(weights, -30.0 if prior <= 0 or not positive else 30.0)
-    n, m = len(positive), len(unlabelled)
-    p = np.bincount(np.concatenate(positive), minlength=PLACES)
-    u = np.bincount(np.concatenate(unlabelled), minlength=PLACES)
-    rate = (p + u + 0.5) / (n + m)
-    z = (p / n - u / m) / np.sqrt(rate * np.maximum(1 - rate, 1e-9) * (1 / n + 1 / m))
-    z[p < 3] = 0
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[z[chosen] >= LEAST_Z]
-    column = np.full(PLACES, -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-    if not len(chosen):
-        return Model(weights, float(np.log(prior / (1 - prior))))
-    xp, xu = _matrix(positive, column), _matrix(unlabelled, column)
-    theta = np.zeros(len(chosen) + 1)
+    used = np.unique(np.concatenate([*positive, *unlabelled, np.empty(0, np.int32)]).astype(np.int64))
+    column = np.zeros(PLACES, np.int64)
+    column[used] = np.arange(len(used))
+    xp, xu = Texts(positive, column), Texts(unlabelled, column)
+    p, u = (np.bincount(x.at, minlength=len(used)) for x in (xp, xu))
+    rate = (p + u + 0.5) / (xp.n + xu.n)
+    z = (p / xp.n - u / xu.n) / np.sqrt(rate * np.maximum(1 - rate, 1e-9) * (1 / xp.n + 1 / xu.n))
+    scale = (np.clip(z, 0, EVIDENCE) / EVIDENCE) ** 3
+    theta = np.zeros(len(used) + 1)
     theta[-1] = np.log(prior / (1 - prior))
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    sigmoid = lambda a: 1 / (1 + np.exp(-np.clip(a, -30, 30)))
-    for step in range(1, STEPS + 1):
-        gp, gu = xp @ theta[:-1] + theta[-1], xu @ theta[:-1] + theta[-1]
-        rest = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_pos, d_neg_p, d_neg_u = -prior * sigmoid(-gp) / n, -prior * sigmoid(gp) / n, sigmoid(gu) / m
-        if rest >= 0:
-            dp, du = d_pos + d_neg_p, d_neg_u
-        else:
-            dp, du = -d_neg_p, -d_neg_u
-        grad = np.append(dp @ xp + du @ xu, dp.sum() + du.sum())
-        grad[:-1] += DECAY * prior * theta[:-1]
-        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad ** 2
-        theta -= RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
-    weights[chosen] = theta[:-1]
+    speed = np.zeros_like(theta)
+    curve = 0.25 * (1 + max(2 * prior * xp.sums(scale ** 2).mean(), xu.sums(scale ** 2).mean()))
+    for _ in range(STEPS):
+        ahead = theta + MOMENTUM * speed
+        grad = risk(np.append(ahead[:-1] * scale, ahead[-1]), xp, xu, prior)[2]
+        grad[:-1] = grad[:-1] * scale + PENALTY * ahead[:-1]
+        speed = MOMENTUM * speed - RATE / curve * grad
+        theta = theta + speed
+    weights[used] = theta[:-1] * scale
     return Model(weights, float(theta[-1]))
 
 
@@ -104,7 +115,10 @@ def _score(model):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, folds: int, fold: int) -> tuple[list, list, float]:
-    """Words of confirmed positives and of unlabelled texts, both bounded samples by a hash of the key, and the prior among training labels."""
+    """Words of confirmed positives and of unlabelled texts, both bounded samples by a hash of the key, and the prior among training labels.
+
+    A key gives one text, the one with the least hash, however many rows it has: what reaches the driver is bounded in texts.
+    """
     known = labels.select(labels[f"`{key}`"].alias("key"), labels[f"`{label}`"].cast("int").alias("label")).where(
         ~held_out(F.col("key"), folds, fold) & F.col("label").isNotNull())
     prior = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0] or 0.0
@@ -113,11 +127,13 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     rows = rows.where(~held_out(F.col("key"), folds, fold))
     plain = hashed_sample(rows.select("key").distinct(), MAX_UNLABELLED)
     both = toxic.select("key", F.lit(True).alias("toxic")).union(plain.select("key", F.lit(False).alias("toxic")))
-    found = rows.join(F.broadcast(both), "key").select("toxic", "text").mapInArrow(_read, "toxic boolean, places array<int>").collect()
+    own = rows.join(F.broadcast(both), "key").groupBy("toxic", "key").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = own.select("toxic", "text").mapInArrow(_read, "toxic boolean, places array<int>").toArrow()
     split = {True: [], False: []}
-    for r in found:
-        split[r["toxic"]].append(np.array(r["places"], np.int32))
-    return split[True], split[False], float(prior)
+    for toxic, own_places in zip(found["toxic"].to_pylist(), found["places"].combine_chunks()):
+        split[toxic].append(own_places.values.to_numpy())
+    # the order of the rows must not show in the sums
+    return *(sorted(split[x], key=lambda r: r.tobytes()) for x in (True, False)), float(prior)
 
 
 def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, fold: int = 1,
@@ -126,7 +142,8 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     The model learns from at most MAX_POSITIVE texts labelled toxic and MAX_UNLABELLED texts whose labels are not looked at, none of them
     held out (crc32 of the key as text leaves ``fold``). Null and empty texts have no words and get the score of the bias; null
-    labels are ignored; without confirmed texts all scores are near 0; rows of a repeated key are used and scored each.
+    labels are ignored; without confirmed texts all scores are near 0. Rows of a repeated key are scored each, one of them is used for training;
+    texts with the same words tie. Texts are read whole, very long ones too; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(*sampled(docs, labels, key, text, label, folds, fold)))
     rows = docs.select(docs[f"`{key}`"].alias("row"), held_out(docs[f"`{key}`"], folds, fold).alias("held_out"),

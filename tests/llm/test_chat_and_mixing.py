@@ -84,3 +84,25 @@ def test_targets_and_taken_words(spark):
     assert kept.columns == ["doc_id", "source", "text", "size", "source_size", "target", "taken"]
     assert kept.agg(F.sum("taken")).first()[0] == sum(r["taken"] for r in mixing.mixed(docs).collect())
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_loss_texts_are_cut_by_the_mask(spark):
+    """A shifted mask reads other text; signs outside the basic plane count as one."""
+    rows = [(1, None, "user", "q\U0001f600", 0.0), (2, 1, "assistant", "\U0001f600b<c\\ [é", 0.0), (3, 2, "user", "x", 0.0), (4, 3, "assistant", "end", 0.0)]
+    made = chat.conversations(tree(spark, rows))
+    assert chat.read_back(made).first()["loss_texts"] == ["\U0001f600b<c\\ [é", "end"]
+    shifted = made.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["turn"].alias("turn"), (m["start"] + 1).alias("start"), (m["end"] + 1).alias("end"))))
+    assert chat.read_back(shifted).first()["loss_texts"] != ["\U0001f600b<c\\ [é", "end"]
+
+
+def test_hot_source_of_blank_and_equal_rows(spark):
+    """A third of all rows blank, a third equal, all of one source: blank ones lie on no line, equal ones share a stretch."""
+    rows = [(i, "hot", None if i % 2 else " \n") for i in range(300)] + [(5000, "hot", "same three words")] * 300 + [(1000 + i, f"s{i % 3}", "w " * (i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mixed(docs, shard_words=400, block_words=4).collect()
+    assert len(got) == len(rows)
+    hot = [r for r in got if r["key"] == 5000]
+    assert len(hot) == 300 and all(r["taken"] == 0 for r in got if r["size"] == 0)
+    assert max(r["taken"] for r in hot) <= 9 and abs(sum(r["taken"] for r in hot) - hot[0]["target"]) <= 40
+    assert len({r["source_size"] for r in got if r["key"] in (5000, 1)}) == 1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed(docs.repartition(7), shard_words=400, block_words=4).collect()))

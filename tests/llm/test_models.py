@@ -183,3 +183,61 @@ def test_passage_features_of_odd_texts():
     assert m.passages(None, codes).shape == m.passages(b" \n", codes).shape == (1, m.FEATURES)
     long = m.passages(b"word | ## X " * 5000, codes)
     assert len(long) == math.ceil(20000 / m.PASSAGE) and np.isfinite(long).all()
+
+
+def plain_risk(weights, bias, positive, unlabelled, prior):
+    """The two parts of the non-negative risk, text by text."""
+    g = lambda at: bias + sum(weights[i] for i in at)
+    loss = lambda v: math.log1p(math.exp(-v)) if v > 0 else -v + math.log1p(math.exp(v))
+    mean = lambda values: sum(values) / len(values)
+    return prior * mean([loss(g(t)) for t in positive]), mean([loss(-g(t)) for t in unlabelled]) - prior * mean([loss(-g(t)) for t in positive])
+
+
+@pytest.mark.parametrize("bias", [-2.0, 3.0])
+def test_risk_and_gradient_equal_plain_sums(bias):
+    rng = np.random.default_rng(2)
+    positive, unlabelled = ([np.unique(rng.integers(0, 12, rng.integers(0, 6))).astype(np.int32) for _ in range(n)] for n in (5, 9))
+    column = np.arange(12)
+    theta, prior = np.append(rng.normal(size=12), bias), 0.3
+    part, rest, grad = toxicity.risk(theta, toxicity.Texts(positive, column), toxicity.Texts(unlabelled, column), prior)
+    assert (part, rest) == pytest.approx(plain_risk(theta[:-1], theta[-1], positive, unlabelled, prior))
+    for i in range(13):
+        ends = []
+        for e in (1e-6, -1e-6):
+            near = theta.copy()
+            near[i] += e
+            a, b = plain_risk(near[:-1], near[-1], positive, unlabelled, prior)
+            ends.append(a + b if rest >= 0 else -b)
+        assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(grad[i], abs=1e-7)
+
+
+def test_scores_equal_plain_sums_and_every_word_of_evidence_counts(spark):
+    docs, labels = labelled(spark, lambda rng, words: [*words, f"rare{rng.randrange(60)}", "slurone"], "toxic")
+    split = toxicity.sampled(docs, labels, "doc_id", "text", "toxic", 3, 1)
+    model = toxicity.fitted(*split)
+    codes = WordCodes()
+    for r in toxicity.scored(docs, labels).collect()[:60]:
+        text = docs.where(F.col("doc_id") == r["row"]).first()["text"] if r["row"] % 7 == 0 else None
+        if text is not None:
+            words = {w for w in text.lower().split()}
+            at = {int(codes[w.encode()]) % toxicity.PLACES for w in words}
+            assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(float(model.weights[i]) for i in at)))), abs=1e-5)
+    rare = [int(codes[f"rare{i}".encode()]) % toxicity.PLACES for i in range(60)]
+    assert sum(model.weights[i] > 0 for i in rare) > 20
+
+
+def test_a_repeated_key_is_one_training_text(spark):
+    """One key on a third of all rows, long texts, equal texts: bounded samples, equal scores."""
+    docs, labels = labelled(spark, lambda rng, words: [*words, "slurone"], "toxic", 120)
+    key = next(k for k in range(4, 120, 4) if remainder(k, 3) != 1)
+    many = docs.where(F.col("doc_id") == key).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(60)))).drop("n")
+    long = docs.limit(1).select(F.lit(777_777).cast("long").alias("doc_id"), F.repeat(F.lit("some words here "), 40_000).alias("text"), "score", "label")
+    both = docs.unionByName(many).unionByName(long)
+    positive, plain, _ = toxicity.sampled(both, labels, "doc_id", "text", "toxic", 3, 1)
+    want = [k for k in range(120) if remainder(k, 3) != 1]
+    assert len(positive) == sum(k % 4 == 0 for k in want)
+    assert len(plain) == len(want) + sum(remainder(k, 3) != 1 for k in (10_000, 10_001, 777_777))
+    got = toxicity.scored(both, labels).collect()
+    assert len(got) == both.count() and len({r["score"] for r in got if r["row"] == key}) == 1
+    quality = m.scored(both, labels.withColumnRenamed("toxic", "quality")).collect()
+    assert len(quality) == both.count() and len({r["score"] for r in quality if r["row"] == key}) == 1

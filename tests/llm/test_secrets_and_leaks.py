@@ -121,3 +121,35 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(d, "BLOCK_ITEMS", 7)
     assert found() == whole and any(hits for _, hits in whole)
+
+
+def test_one_long_item_does_not_weigh_on_the_others():
+    """Items of 12 to 5,000 words: found whole and edited, in memory that does not grow with documents times the longest item."""
+    import tracemalloc
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(3000)}".encode()
+    items = [(i, b" ".join(word() for _ in range(n))) for i, n in enumerate((12, 40, 300, 5000))]
+    index = d.Index(items)
+    codes = WordCodes()
+    docs = [[word() for _ in range(200)] for _ in range(400)]
+    for i, (_, t) in enumerate(items):
+        w = t.split()
+        for _ in range(len(w) // 20):
+            w[rng.randrange(len(w))] = b"edited"
+        docs += [[word() for _ in range(50)] + t.split() + [word() for _ in range(50)], w]
+    tracemalloc.start()
+    found = index.found_in([codes.of(x) for x in docs])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(found[:400]) and peak < 300e6
+    for i in range(4):
+        whole, edited = found[400 + 2 * i], found[401 + 2 * i]
+        assert [(h["item"], h["start"], h["distance"]) for h in whole] == [(i, 50, 0)] and [h["item"] for h in edited] == [i]
+
+
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_BYTES", 40)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "k l m n o p q r s")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "k l m n o p q r s"), (3, "a b c d e f g h x"), (4, None)], "item_id long, text string")
+    got = {r["row"]["doc_id"]: sorted(h["item"] for h in r["hits"]) for r in d.marked(docs, items).collect()}
+    assert got == {1: [1, 3], 2: [2]}
