@@ -35,10 +35,19 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "xxxx", "
 
 # No repeat has an upper bound and none is given back; a stretch of name signs is entered only at its start, so that none is scanned twice.
 PLACEHOLDER = re.compile("|".join(PLACEHOLDERS), re.I | re.A)
-PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])["']?[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)["']?[\x20\t]*+
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.-])["']?[0-9.-]*+([A-Za-z_][A-Za-z0-9_.-]*+)["']?+\]?+[\x20\t]*+
     (?::[\x20\t]*+(?:&(?:'[a-z]+\x20)?)?TYPE(?:[\x20\t]*+\|[\x20\t]*+TYPE)*+(?:[\x20\t]++=|=(?=["']))|:=|=>|[=:])(?![=:/])[\x20\t]*+"""
                   .replace("TYPE", r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]=\n]*+\]|<[^>=\n]*+>)?+\??"), re.A | re.X)
-PIECE = re.compile(r"""(?:"((?:[^"\\\n]|\\[^\n])*+)"|'((?:[^'\\\n]|\\[^\n])*+)'|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]*+""", re.A)
+# Quoted literals, with a prefix of one or two letters or none, over several lines with three quotes; a name; an unquoted literal.
+QUOTE = re.compile(r"""(?:[A-Za-z]{1,2}(?=["'`]))?["'`]""", re.A)
+PIECE = re.compile(r"""(?:(?:[A-Za-z]{1,2}(?=["'`]))?(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}
+    |"((?:[^"\\\n]|\\[^\n])*+)"|'((?:[^'\\\n]|\\[^\n])*+)'|`((?:[^`\\]|\\.)*+)`)
+    |(?P<name>[A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9_+/=(-])|([A-Za-z0-9+/_=-]{8,}))[\x20\t]*+""", re.A | re.S | re.X)
+# A block of indented lines below a YAML key, its lines, a name and a literal as the first two arguments of a call, and a literal in an element of its name.
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[\x20\t]*+(?:\#[^\n]*+)?\r?\n(?=([\x20\t]++)\S)", re.A)
+BLOCK_LINE = re.compile(r"([\x20\t]++)([^\s][^\r\n]*+)\r?\n?", re.A)
+CALL = re.compile(r"""\(\s*+["']([A-Za-z_][A-Za-z0-9_.-]*+)["']\s*+,\s*+(?=(?:[A-Za-z]{1,2})?["'`])""", re.A)
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*+)(?:\x20[^<>\n]*+)?>[\x20\t]*+([^<>\s]++)[\x20\t]*+</(?=\1>)", re.A)
 JOINT = re.compile(r"[+.][\x20\t]*+")
 # An unquoted stretch, what may follow it at the end of a line, and stretches that are calls, look-ups or references instead of literals.
 STRETCH = re.compile(r"[^\s]*+", re.A)
@@ -66,53 +75,106 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _value(text: str, at: int, known: dict[str, list[tuple[int, int, bool]]]) -> tuple[list[tuple[int, int, bool]], int, bool]:
-    """Literals of the expression at ``at``, constants replaced by their literals, where it ends, and whether all its names are known."""
-    spans: list[tuple[int, int, bool]] = []
-    clear = True
+class Literals:
+    """What a name stands for: spans, and the literals of the names it was made from. A chain shares its links, however long it is."""
+
+    __slots__ = ("parts", "told")
+
+    def __init__(self, parts: list):
+        self.parts, self.told = parts, False
+
+    def tell(self) -> Iterator[tuple[int, int, bool]]:
+        """Its spans, but for those that were told before."""
+        stack = [self]
+        while stack:
+            link = stack.pop()
+            if not link.told:
+                link.told = True
+                for part in link.parts:
+                    if isinstance(part, Literals):
+                        stack.append(part)
+                    else:
+                        yield part
+
+
+def _value(text: str, at: int, known: dict[str, Literals]) -> tuple[list, int, list[str]]:
+    """Parts of the expression at ``at``, where it ends, and its unknown names."""
+    parts: list = []
+    unknown: list[str] = []
     while m := PIECE.match(text, at):
-        if m[3] is not None:
-            clear &= m[3] in known
-            spans += known.get(m[3], ())
+        if name := m["name"]:
+            if name in known:
+                parts.append(known[name])
+            else:
+                unknown.append(name)
         else:
-            spans.append((*m.span(m.lastindex), False))
+            parts.append((*m.span(m.lastindex), False))
         at = m.end()
         joint = JOINT.match(text, at)
         if not joint:
             break
         at = joint.end()
-    return spans, at, clear
+    return parts, at, unknown
+
+
+def _sensitive(name: str) -> bool:
+    return name_score(name.rpartition(".")[2]) >= NAME_SCORE
+
+
+def _block_lines(text: str, at: int, indent: str) -> Iterator[tuple[int, int, bool]]:
+    while (line := BLOCK_LINE.match(text, at)) and line[1].startswith(indent):
+        yield *line.span(2), False
+        at = line.end()
 
 
 def named_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of literals under sensitive names, directly or through constants assigned earlier in the text.
+    """(start, kind, end) of literals under sensitive names, directly or through constants.
 
-    A name keeps the literals of its last assignment; a chain a = "..."; b = a; password = b leads to the first literal. An unquoted
-    value up to the end of its line (.env, INI, YAML) is one literal, whatever its signs, unless it is an expression of known names
-    and literals or looks like code. Each assignment keeps the spans of at most one expression.
+    A name keeps the literals of its last assignment; a chain a = "..."; b = a; password = b leads to the first literal, and a constant
+    may stand below its use. Targets may be subscripts, arguments of a call and elements; values may have a prefix, three quotes or
+    back quotes, or be an indented block. An unquoted value up to the end of its line (.env, INI, YAML) is one literal, whatever its signs,
+    unless it is an expression of known names and literals or looks like code.
     """
-    known: dict[str, list[tuple[int, int, bool]]] = {}
+    known: dict[str, Literals] = {}
     found: set[tuple[int, int, int]] = set()
+    waiting: set[str] = set()
+
+    def report(spans) -> bool:
+        hits = [(s, 3, e) for s, e, unquoted in spans if plausible(text[s:e]) and not (unquoted and CODE.fullmatch(text, s, e))]
+        found.update(hits)
+        return bool(hits)
+
     at = stop = 0
     doubtful = -1  # where the last placeholder of the stretch begins: no value that reaches the stretch's end and holds it is plausible
     ends_line = False
     while m := PAIR.search(text, at):
-        spans, end, clear = _value(text, m.end(), known)
+        parts, end, unknown = _value(text, m.end(), known)
         if m.end() >= stop:
             stop = STRETCH.match(text, m.end()).end()
             ends_line = LINE_END.match(text, stop) is not None
             doubtful = max((x.start() for x in PLACEHOLDER.finditer(text, m.end(), stop)), default=-1) if ends_line else -1
-        bare = ends_line and text[m.end():m.end() + 1] not in ("", '"', "'") and (not clear or end < stop)
-        spans = [(m.end(), stop, True)] if bare else list(dict.fromkeys(spans))
-        known[m[1]] = spans
+        sensitive = _sensitive(m[1])
+        if sensitive and (block := BLOCK.match(text, m.end())):
+            report(_block_lines(text, block.end(), block[1]))
+        bare = ends_line and m.end() < len(text) and not QUOTE.match(text, m.end()) and (bool(unknown) or end < stop)
+        known[m[1]] = value = Literals([(m.end(), stop, True)] if bare else parts)
         at = max(end, m.end())
+        if sensitive:
+            waiting.update(unknown)
         if bare and m.end() <= doubtful:
             continue
-        if name_score(m[1].rpartition(".")[2]) >= NAME_SCORE:
-            hits = [(s, 3, e) for s, e, unquoted in spans if plausible(text[s:e]) and not (unquoted and CODE.fullmatch(text, s, e))]
-            found.update(hits)
-            if bare and hits:
-                at = max(at, stop)
+        if sensitive and report(value.tell()) and bare:
+            at = max(at, stop)
+    for name in waiting & known.keys():
+        report(known[name].tell())
+    if "(" in text:
+        for m in CALL.finditer(text):
+            if _sensitive(m[1]) and (piece := PIECE.match(text, m.end())):
+                report([(*piece.span(piece.lastindex), False)])
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            if _sensitive(m[1]):
+                report([(*m.span(2), False)])
     return sorted(found)
 
 
@@ -120,7 +182,7 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     """All spans as (start, kind, end), sorted: base ones and those of the lexer, in code points."""
     if not text:
         return []
-    named = named_spans(text) if ":" in text or "=" in text else []
+    named = named_spans(text) if ":" in text or "=" in text or "</" in text or "(" in text else []
     return sorted(base_spans(text) + named)
 
 
@@ -148,7 +210,8 @@ def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
     """``row`` (the columns ``keep``, default all) and ``spans``, an array of (start, end, kind) ordered by start and kind.
 
     Null and empty texts have no spans; every row is scanned alone and whole, so repeated rows and long texts need
-    nothing special. An empty table gives an empty result.
+    nothing special (the time grows with the length). An empty table gives an empty result; the input row travels as one struct, so that
+    names of other columns cannot clash.
     """
     columns = list(keep or docs.columns)
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), docs[f"`{text}`"].cast("string").alias("t"))
@@ -157,7 +220,10 @@ def scanned(docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None =
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """The input rows with secrets replaced by ``mark`` and ``length`` (if such a column exists) counted anew."""
+    """The input rows with secrets replaced by ``mark`` and ``length`` (if such a column exists) counted anew.
+
+    Null texts stay null; repeated rows change alike, very long ones are read whole; an empty table gives none; other columns pass through.
+    """
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: redacted_text(t, mark))

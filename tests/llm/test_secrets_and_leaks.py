@@ -153,3 +153,31 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     items = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "k l m n o p q r s"), (3, "a b c d e f g h x"), (4, None)], "item_id long, text string")
     got = {r["row"]["doc_id"]: sorted(h["item"] for h in r["hits"]) for r in d.marked(docs, items).collect()}
     assert got == {1: [1, 3], 2: [2]}
+
+
+def test_targets_and_values_of_many_forms():
+    key = "x7Gh29sKq1"
+    for text in (f'os.environ["DB_PASSPHRASE"] = "{key}"', f'conf["db_pwd"] = "{key}"', f"$conf['db_pwd'] = '{key}';", f'db_pwd = """{key}"""', f"db_pwd = '''{key}'''",
+                 f"db_pwd: |\n  {key}\nother: 1", f"db_pwd: >-\n    {key}\n", f'define("DB_PWD", "{key}")', f"setenv('DB_PWD', '{key}', 1)", f"<db_pwd>{key}</db_pwd>", f'<db_pwd type="x"> {key} </db_pwd>',
+                 f'db_pwd = f"{key}"', f'db_pwd = b"{key}"', f"db_pwd = `{key}`", f'db_pwd = rb"{key}"', f'db_pwd = SALT\nSALT = "{key}"\n', f'a = "{key}"\na = a + ""\nb = a\ndb_pwd = b\n'):
+        assert named(text) == [key], text
+    for text in ('get("DB_PWD", default)', '<user_id>x7Gh29sKq1</user_id>', '<db_pwd>x7Gh29sKq1</other>', 'print("db_pwd is", "x7Gh29sKq1")', 'rows: |\n  x7Gh29sKq1\n'):
+        assert named(text) == [], text
+
+
+def test_long_chains_take_linear_time():
+    import time
+    for last in ("db_pwd = a\n", "", "db_pwd = a\n" * 2000):
+        text = 'a = "x7Gh29sKq1"\n' + "".join(f'a = a + "part{i:06d}xyz"\n' for i in range(100_000)) + last
+        start = time.time()
+        spans = s.named_spans(text)
+        assert time.time() - start < 6 and len(spans) == (100_001 if last else 0)
+    start = time.time()
+    assert len(s.named_spans("".join(f'password = password + "part{i:06d}xyz"\n' for i in range(50_000)))) == 50_000
+    assert len(s.named_spans("(\"a" * 100_000 + "<a>" * 100_000)) == 0 and time.time() - start < 6
+
+
+def test_repeated_rows_are_scanned_alike(spark):
+    docs = spark.createDataFrame([(1, TEXTS[10])] * 3 + [(2, None)], "doc_id long, text string")
+    got = s.scanned(docs).collect()
+    assert len(got) == 4 and len({str(r["spans"]) for r in got if r["row"]["doc_id"] == 1}) == 1
