@@ -52,6 +52,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
                 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
 
+_JACCARD = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b USING (h) WHERE a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT rid AS x, rid AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT r.x AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.y GROUP BY r.x),
+k AS (SELECT x AS rid, count(*) AS n_links FROM e GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid) LEFT JOIN k USING (rid)"""
+
 _FIELD = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
 _CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda a, b:
   list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)))"""
@@ -104,5 +119,5 @@ f AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM b UNION ALL SELECT * FROM f))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT, "op11_source_divergence": _DIVERGENCE,
+ORACLES: dict[str, str] = {"op3_jaccard_join": _JACCARD, "op4_quality_rules": _QUALITY, "op5_url_filter": _URLS, "op10_chat_format": _CHAT, "op11_source_divergence": _DIVERGENCE,
                            "op13_merkle_manifest": _MERKLE}
