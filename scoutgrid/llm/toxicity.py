@@ -43,18 +43,29 @@ class Model:
 
 
 class Texts:
-    """Places of many texts in a row, each text's own beside the others'."""
+    """Places of many texts, in the order of the texts and in the order of the places, so that sums over either are sums of stretches."""
 
     def __init__(self, rows: list[np.ndarray], column: np.ndarray):
         self.n = len(rows)
+        size = np.array([len(r) for r in rows])
         self.at = column[np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)]
-        self.owner = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.filled = np.flatnonzero(size)
+        self.begin = (np.cumsum(size) - size)[self.filled]
+        order = np.argsort(self.at, kind="stable")
+        self.owner = np.repeat(np.arange(self.n), size)[order]
+        self.used, self.first = np.unique(self.at[order], return_index=True)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights[self.at], self.n)
+        out = np.zeros(self.n)
+        if len(self.at):
+            out[self.filled] = np.add.reduceat(weights[self.at], self.begin)
+        return out
 
     def spread(self, per_text: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.at, per_text[self.owner], size)
+        out = np.zeros(size)
+        if len(self.at):
+            out[self.used] = np.add.reduceat(per_text[self.owner], self.first)
+        return out
 
 
 def risk(theta: np.ndarray, xp: Texts, xu: Texts, prior: float) -> tuple[float, float, np.ndarray]:
