@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalars import clamp, feet_to_metres, parse_flight_clock, parse_iso, safe_double, video_time
@@ -159,33 +161,33 @@ def duplicate_count(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame
 
 
 def merge_report(samples: DataFrame, detections: DataFrame, merged: DataFrame, chosen: DataFrame, keys: list[str],
-                 malformed: DataFrame | None = None, not_found: DataFrame | None = None) -> DataFrame:
-    """The merge counters, one row per key."""
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias(name))
-    out = (
-        chosen.select(*keys, F.col("session_rows").alias("selected_json_records"),
-                      F.date_format("session_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("selected_session_start"),
-                      (F.col("offset_us") / 1e6).alias("clock_offset_seconds"))
-        .join(counted(detections, "total_json_records"), keys).join(counted(samples, "total_csv_rows"), keys)
-        .join(merged.groupBy(*keys).agg(F.count("detection").alias("matched_records")), keys)
-        .join(duplicate_count(detections, keys).withColumnRenamed("duplicates", "duplicate_json_timestamps"), keys)
-        .join(duplicate_count(samples, keys).withColumnRenamed("duplicates", "duplicate_csv_timestamps"), keys)
-        .withColumn("unmatched_json_records", F.col("total_json_records") - F.col("matched_records"))
-        .withColumn("unmatched_selected_json_records", F.col("selected_json_records") - F.col("matched_records"))
-        .withColumn("unselected_json_records", F.col("total_json_records") - F.col("selected_json_records"))
-        .withColumn("unmatched_csv_rows", F.col("total_csv_rows") - F.col("matched_records"))
-    )
-    if not_found is not None:
-        out = out.join(counted(not_found, "not_found_csv_rows"), keys, "left")
-    else:
-        out = out.withColumn("not_found_csv_rows", F.lit(0).cast("bigint"))
-    names = ("malformed_json_timestamps", "malformed_csv_timestamps", "malformed_not_found_csv_timestamps")
-    if malformed is not None:
-        out = out.join(malformed, keys, "left")
-    have = set(out.columns)
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(0).cast("bigint")) if n in have else F.lit(0).cast("bigint")
-                            for n in (*names, "not_found_csv_rows")})
+                 not_found: DataFrame | None = None, malformed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The merge counters, one row per key of ``chosen``.
+
+    All rows to count are one tagged union that is aggregated twice, by time and by key. ``not_found`` holds the rows of the flights without
+    finds; ``malformed`` the rows without a readable time of ``json``, ``csv`` and ``not_found_csv``.
+    """
+    bad = {f"bad_{kind}": rows for kind, rows in (malformed or {}).items()}
+    parts = {"json": detections, "csv": samples, "match": merged.where("detection is not null"), **({"not_found": not_found} if not_found is not None else {}), **bad}
+    timed = {"json", "csv"}
+    rows = reduce(DataFrame.unionAll, [df.select(*keys, F.lit(kind).alias("_kind"), (F.unix_micros("ts") if kind in timed else F.lit(None).cast("bigint")).alias("_t"))
+                                       for kind, df in parts.items()])
+    counts = rows.groupBy(*keys, "_kind", "_t").agg(F.count("*").alias("_n"))
+    number = lambda kind, less=0: F.coalesce(F.sum(F.when(F.col("_kind") == kind, F.col("_n") - less)), F.lit(0)).cast("bigint")
+    totals = counts.groupBy(*keys).agg(
+        number("json").alias("total_json_records"), number("csv").alias("total_csv_rows"), number("match").alias("matched_records"),
+        number("json", 1).alias("duplicate_json_timestamps"), number("csv", 1).alias("duplicate_csv_timestamps"),
+        number("not_found").alias("not_found_csv_rows"), number("bad_json").alias("malformed_json_timestamps"),
+        number("bad_csv").alias("malformed_csv_timestamps"), number("bad_not_found_csv").alias("malformed_not_found_csv_timestamps"))
+    picked = chosen.select(*keys, F.col("session_rows").alias("selected_json_records"),
+                           F.date_format("session_start", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("selected_session_start"),
+                           (F.col("offset_us") / 1e6).alias("clock_offset_seconds"))
+    col = F.col
+    return picked.join(totals, keys).withColumns({
+        "unmatched_json_records": col("total_json_records") - col("matched_records"),
+        "unmatched_selected_json_records": col("selected_json_records") - col("matched_records"),
+        "unselected_json_records": col("total_json_records") - col("selected_json_records"),
+        "unmatched_csv_rows": col("total_csv_rows") - col("matched_records")})
 
 
 # --- flights and frames --------------------------------------------------------------------

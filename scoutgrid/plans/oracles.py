@@ -190,10 +190,12 @@ oracle("merge_flights", MERGED, f"""SELECT m.user_id, m.event_id AS source_index
   CAST(d.event_id % 1000 AS BIGINT) AS frame, CASE WHEN d.event_type = 'purchase' THEN d.value END AS box2, {r('m.value * 0.3048e0', 6, 'altitude')}, {r("CASE WHEN d.event_type = 'purchase' THEN least(d.value / 100, 1e0) END", 6, 'confidence')},
   {r("coalesce(CASE WHEN d.event_type = 'purchase' THEN least(d.value / 100, 1e0) * 100 END, 0)", 4, 'confidence_percent')} FROM mrg m LEFT JOIN ev d ON d.event_id = m.did""")
 oracle("merge_report", f"""{MERGED}, tot AS (SELECT user_id, count(*) AS j, count(*) - count(DISTINCT us) AS jd FROM mdet GROUP BY 1), tc AS (SELECT user_id, count(*) AS c, count(*) - count(DISTINCT us) AS cd FROM tele GROUP BY 1),
- mm AS (SELECT user_id, count(did) AS k FROM mrg GROUP BY 1)""", f"""SELECT c.user_id, CAST(c.n AS BIGINT) AS selected_json_records, strftime(make_timestamp(c.s0), '%Y-%m-%dT%H:%M:%S.%f') AS selected_session_start, CAST(j AS BIGINT) AS total_json_records, CAST(tc.c AS BIGINT) AS total_csv_rows,
+ mm AS (SELECT user_id, count(did) AS k FROM mrg GROUP BY 1),
+ er AS (SELECT user_id, count(*) FILTER (event_id % 3 = 2 AND event_id % 2 = 1) AS nf, count(*) FILTER (event_id % 3 = 0 AND (event_id % 2 = 0 OR event_id % 9 <> 0)) AS bj,
+  count(*) FILTER (event_id % 3 = 1 AND event_id % 2 = 0) AS bc, count(*) FILTER (event_id % 3 = 2 AND event_id % 2 = 0) AS bn FROM events WHERE event_type = 'error' GROUP BY 1)""", f"""SELECT c.user_id, CAST(c.n AS BIGINT) AS selected_json_records, strftime(make_timestamp(c.s0), '%Y-%m-%dT%H:%M:%S.%f') AS selected_session_start, CAST(j AS BIGINT) AS total_json_records, CAST(tc.c AS BIGINT) AS total_csv_rows,
   CAST(k AS BIGINT) AS matched_records, CAST(jd AS BIGINT) AS duplicate_json_timestamps, CAST(cd AS BIGINT) AS duplicate_csv_timestamps, CAST(j - k AS BIGINT) AS unmatched_json_records, CAST(c.n - k AS BIGINT) AS unmatched_selected_json_records,
-  CAST(j - c.n AS BIGINT) AS unselected_json_records, CAST(tc.c - k AS BIGINT) AS unmatched_csv_rows, CAST(0 AS BIGINT) AS not_found_csv_rows, CAST(0 AS BIGINT) AS malformed_json_timestamps, CAST(0 AS BIGINT) AS malformed_csv_timestamps,
-  CAST(0 AS BIGINT) AS malformed_not_found_csv_timestamps, {r('c.off / 1e6', 6, 'clock_offset_seconds')} FROM chosen c JOIN tot USING (user_id) JOIN tc USING (user_id) JOIN mm USING (user_id)""")
+  CAST(j - c.n AS BIGINT) AS unselected_json_records, CAST(tc.c - k AS BIGINT) AS unmatched_csv_rows, coalesce(nf, 0) AS not_found_csv_rows, coalesce(bj, 0) AS malformed_json_timestamps, coalesce(bc, 0) AS malformed_csv_timestamps,
+  coalesce(bn, 0) AS malformed_not_found_csv_timestamps, {r('c.off / 1e6', 6, 'clock_offset_seconds')} FROM chosen c JOIN tot USING (user_id) JOIN tc USING (user_id) JOIN mm USING (user_id) LEFT JOIN er USING (user_id)""")
 oracle("json_arrays", TELE, "SELECT user_id, CAST(us // 86400000000 AS BIGINT) AS bucket, count(*) AS n, min(us) AS first_us, CAST(sum(event_id) AS BIGINT) AS ids FROM tele GROUP BY 1, 2")
 oracle("gps_track", EVENTS, f"SELECT user_id, event_id, us // 10000 * 10000 AS ts, {r('value', 6, 'lat')}, {r('value / 4', 6, 'lon')} FROM ev WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND NOT (value = 0)")
 oracle("best_detection", "b AS (SELECT event_id // 3 AS frame, event_id, value, event_type IN ('purchase', 'click', 'view') AND value / 97 >= 0.5 AS good FROM events), g AS (SELECT * FROM b WHERE good QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, event_id) = 1)",

@@ -269,8 +269,17 @@ def merge_flights(spark, folder):
 
 @query
 def merge_report(spark, folder):
+    """All counters; error events are the rows without a readable time and those of flights without finds."""
     samples, found, out, chosen = merged(spark, folder)
-    rep = tm.merge_report(samples, found, out, chosen, ["user_id"])
+    errors = tb.events(spark, folder).where("event_type = 'error'")
+    kind, stamp = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = errors.where(kind == 0).select("user_id", F.when(F.col("event_id") % 2 == 0, F.format_string('{"ts":"?","frame":%d}', "event_id")).when(
+        F.col("event_id") % 9 == 0, F.format_string('{"timestamp":"","ts":"%s"}', stamp)).alias("value"))
+    clock = F.when(F.col("event_id") % 2 == 0, F.lit("noon")).otherwise(F.date_format("ts", "h:mm:ss.SS a"))
+    log = errors.where(kind != 0).select("user_id", kind.alias("kind"), sc.parse_flight_clock(F.date_format("ts", "M/d/yyyy"), clock, "+00:00").alias("ts"))
+    bad = log.where("ts is null")
+    rep = tm.merge_report(samples, found, out, chosen, ["user_id"], log.where("kind = 2 and ts is not null"), {
+        "json": readers.flag_malformed(lines).where("malformed"), "csv": bad.where("kind = 1"), "not_found_csv": bad.where("kind = 2")})
     names = [c for c in rep.columns if c not in ("clock_offset_seconds",)]
     return shown(rep, *names, clock_offset_seconds=6)
 

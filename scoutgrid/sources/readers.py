@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geo import current_east, current_north, heading_deg
 from ..functions.scalars import parse_flight_clock, parse_iso
+from ..operators.slices import SLICE, running_sum
 from ..operators.telemetry import normalize_detections
 from ..settings import DEFAULTS, HIGHWAY_CLASSES, Settings
 
@@ -43,28 +44,69 @@ def read_detections(spark: SparkSession, path: str, layout: str = "lines") -> Da
     return normalize_detections(read_json_objects(spark, path, layout).where("value is not null"))
 
 
-def read_merge_detections(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """Detections for the merge with a ``malformed`` flag; bad rows are kept and counted."""
-    raw = read_json_objects(spark, path, layout)
+def flag_malformed(raw: DataFrame) -> DataFrame:
+    """JSON objects as text (null where the text was none) with ``malformed``: no readable time."""
     m = F.from_json("value", "map<string,string>")
     stamp = F.coalesce(F.when(F.try_element_at(m, F.lit("timestamp")) != "", F.try_element_at(m, F.lit("timestamp"))), F.try_element_at(m, F.lit("ts")))
     return raw.withColumn("ts", parse_iso(stamp)).withColumn("malformed", F.col("ts").isNull())
 
 
-def read_flight_log(spark: SparkSession, path: str, columns: list[str], zone: str = DEFAULTS.flight_zone) -> DataFrame:
-    """Flight-log CSV with an optional ``sep=`` line and a BOM; all values stay text.
+def read_merge_detections(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """Detections for the merge with a ``malformed`` flag; bad rows are kept and counted."""
+    return flag_malformed(read_json_objects(spark, path, layout))
+
+
+LOG_COLUMNS = ("CUSTOM.date [local]", "CUSTOM.updateTime [local]", "OSD.latitude", "OSD.longitude", "OSD.altitude [ft]")
+
 
-    ``columns`` is the header in file order. Each row carries its file, its position there,
-    ``ts`` and ``malformed`` (no readable local time).
+def _cells(line: Column) -> Column:
+    """Values of a CSV record; one comma more makes every value end in one, so that an empty last value counts."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    quoted = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) >= 2), quoted(c)).otherwise(c))
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """Lines (source_path, _slice, source_index, value) to records: a line break inside quotes does not end one.
+
+    A line goes on with the record before it if the quotes of its file so far are odd in number. Running sums in two
+    levels, within a block of a file and over its blocks, tell; no file has to be read by one task.
     """
-    text = spark.read.text(path).select(
-        F.regexp_replace("value", "^\\uFEFF", "").alias("value"), F.col("_metadata.file_path").alias("source_path"),
-        F.monotonically_increasing_id().alias("source_index"))
-    header = F.regexp_replace(F.col("value"), '"', "")
-    body = text.where(~F.lower("value").startswith("sep=") & (header != F.lit(",".join(columns))) & (F.trim("value") != ""))
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = body.select("source_path", "source_index", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    out = rows.select("source_path", "source_index", *[F.col(f"r.`{c}`").alias(c) for c in columns])
+    counted = lines.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    upto = running_sum(counted, ["source_path"], ["source_index"], "_quotes", "_upto")
+    first = ((F.col("_upto") - F.col("_quotes")) % 2 == 0).cast("int")
+    numbered = running_sum(upto.withColumn("_first", first), ["source_path"], ["source_index"], "_first", "_record")
+    joined = numbered.groupBy("source_path", "_record").agg(
+        F.min("source_index").alias("source_index"), F.min(SLICE).alias(SLICE), F.array_sort(F.collect_list(F.struct(SLICE, "source_index", "value"))).alias("_lines"))
+    return joined.select("source_path", SLICE, "source_index", F.array_join(F.col("_lines.value"), "\n").alias("value"))
+
+
+def read_flight_log(spark: SparkSession, path: str, columns: list[str] | None = None, zone: str = DEFAULTS.flight_zone,
+                    line_breaks: bool = False) -> DataFrame:
+    """Flight-log CSV files, each with a header of its own, an optional ``sep=`` line before it and a BOM; all values stay text.
+
+    ``columns`` are the ones wanted (``LOG_COLUMNS``), found by name in each file's header, wherever they stand there; one that a file lacks is
+    null, and so is a value that a short record lacks. Headers are a table of one row per file, joined to its records. Each row carries its
+    file, its place there, ``csv_row`` (the untouched record by column name), ``ts`` and ``malformed`` (no readable local time). With
+    ``line_breaks`` quoted values may hold line breaks. A missing path is empty.
+    """
+    columns = list(columns or LOG_COLUMNS)
+    if not _exists(spark, path):
+        text = spark.createDataFrame([], f"source_path string, {SLICE} bigint, source_index bigint, value string")
+    else:
+        text = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias(SLICE),
+                                            F.monotonically_increasing_id().alias("source_index"), F.regexp_replace("value", "^\\uFEFF|\r$", "").alias("value"))
+    if line_breaks:
+        text = log_records(text)
+    body = text.where(~F.startswith(F.lower("value"), F.lit("sep=")) & (F.trim("value") != ""))
+    place = F.struct(SLICE, "source_index")
+    headers = body.groupBy("source_path").agg(F.min(F.struct(place.alias("at"), "value")).alias("_h")).select(
+        "source_path", F.col("_h.at").alias("_at"), _cells(F.col("_h.value")).alias("_names"))
+    rows = body.join(headers, "source_path").where(place != F.col("_at")).withColumn("_cells", _cells(F.col("value")))
+    found = lambda c: F.get("_cells", F.array_position("_names", F.lit(c)).cast("int") - 1)  # noqa: E731 - place 0 is none
+    known = F.array_distinct("_names")
+    raw = F.map_from_arrays(known, F.transform(known, lambda n: F.get("_cells", F.array_position("_names", n).cast("int") - 1)))
+    out = rows.select("source_path", F.col(SLICE).alias("source_block"), "source_index", *[found(c).alias(c) for c in columns], raw.alias("csv_row"))
     ts = parse_flight_clock(F.col("`CUSTOM.date [local]`"), F.col("`CUSTOM.updateTime [local]`"), zone)
     return out.withColumn("ts", ts).withColumn("malformed", ts.isNull())
 
