@@ -26,6 +26,8 @@ from scoutgrid.llm.text import packed
 from scoutgrid.session import cut_lineage
 
 BLOCK_MEMBERS, BLOCK_BYTES = 1000, 16_000_000
+#: Counted shingles for each one of a prefix; up to the share KEPT of all shingles they are kept from the first pass, else texts are read again for them.
+COUNTED, KEPT = 2.5, 0.3
 
 
 def _prefix_size(n: int, percent: int) -> int:
@@ -37,8 +39,8 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _split(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counted share of a set (twice the prefix) and, if it is shorter than the prefix, what the others add."""
-    first = (s & np.uint64(0xFFFF)) < np.uint64(min(65536, round(65536 * 2 * (100 - percent) / 100)))
+    """The counted share of a set (two and a half times the prefix) and, if it is shorter than the prefix, what the others add."""
+    first = (s & np.uint64(0xFFFF)) < np.uint64(min(65536, round(65536 * COUNTED * (100 - percent) / 100)))
     counted = s[first]
     return counted, s[~first][:max(0, _prefix_size(len(s), percent) - len(counted))]
 
@@ -47,8 +49,8 @@ def _class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
 
-def _describe(k: int, percent: int):
-    """(row, text_hash, class, n, counted, rest, tokens) of every text in one pass; ``tokens`` is the counted share."""
+def _describe(k: int, percent: int, keep: bool):
+    """(row, text_hash, class, n, counted, rest, tokens) of every text; ``tokens`` is the counted share, if it is to be kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen = WordCodes(), set()
         for b in batches:
@@ -57,16 +59,26 @@ def _describe(k: int, percent: int):
                 s = shingles(text.as_py(), k, codes)
                 counted, rest = _split(s, percent)
                 c = _class_of(s)
-                new = c not in seen  # a class counts once; copies met in other tasks only change the order
-                if len(seen) < 2_000_000:
+                new = keep and len(s) > 0 and c not in seen  # a class counts once; copies met in other tasks only change the order
+                if new and len(seen) < 2_000_000:
                     seen.add(c)
-                out.append((c, len(s), len(counted), _signed(rest), _signed(counted) if new and len(s) else None))
+                out.append((c, len(s), len(counted), _signed(rest), _signed(counted) if new else None))
             cols = list(zip(*out)) or [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in cols[:3]],
                                               *[pa.array(c, pa.list_(pa.int64())) for c in cols[3:]]], ["row", "text_hash", "class", "n", "counted", "rest", "tokens"])
     return run
 
 
+def _tokens(k: int, percent: int):
+    """(class, tokens) of the texts, a class once per task."""
+    describe = _describe(k, percent, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in describe(pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(0)], ["row", "text_hash", "text"]) for b in batches):
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("tokens")], ["class", "tokens"])
+    return run
+
+
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """Sizes of all intersections: incidence matrices over shared shingles, multiplied some columns at a time."""
     out = np.zeros((len(left), len(right)), np.float32)
@@ -138,12 +150,14 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     body = docs[f"`{text}`"].cast("string")
     plain = docs.select(docs[f"`{key}`"].alias("row"), F.xxhash64(body).alias("text_hash"), body.cast("binary").alias("text"))
     kind = plain.schema["row"].dataType.simpleString()
-    info = cut_lineage(plain.mapInArrow(_describe(k, percent), f"row {kind}, text_hash long, class long, n long, counted long, rest array<long>, tokens array<long>"))
+    keep = COUNTED * (100 - percent) / 100 <= KEPT
+    info = cut_lineage(plain.mapInArrow(_describe(k, percent, keep), f"row {kind}, text_hash long, class long, n long, counted long, rest array<long>, tokens array<long>"))
     classes = cut_lineage(info.where("n > 0").groupBy("class").agg(
         F.first("n").alias("n"), F.first("counted").alias("counted"), F.first("rest").alias("rest"), F.min("text_hash").alias("text_hash"),
         F.count("*").alias("copies"), F.min("row").alias("least")))
 
-    tokens = info.select("class", F.explode("tokens").alias("token"))
+    sets = info.select("class", "tokens") if keep else plain.select("text").mapInArrow(_tokens(k, percent), "class long, tokens array<long>")
+    tokens = sets.select("class", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = tokens.join(common, "token").groupBy("class").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("shared"))
     n, counted = F.col("n"), F.col("counted")
