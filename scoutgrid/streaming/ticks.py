@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import tick_of
 from ..operators import evidence as ev
@@ -34,11 +35,6 @@ def tick_counts(ticked: DataFrame, width: str = "1 hour") -> DataFrame:
         F.count_if("person").alias("finds"), F.count_if(~F.col("person")).alias("sweeps"))
 
 
-def stream_finds(ticked: DataFrame) -> DataFrame:
-    """Person events of the feed."""
-    return ev.person_events(ticked)
-
-
 def stream_reveals(reveals: DataFrame, step_sec: Column) -> DataFrame:
     """Live sweep: revealed records with their tick, ready for ``swept_cells`` and ``person_events``."""
     return reveals.withColumn("tick", (F.floor(F.col("reveal_sec") / step_sec) + 1).cast("bigint"))
@@ -50,30 +46,137 @@ def first_events(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withColumn("event_key", key).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_key"])
 
 
-def stream_throttle(events: DataFrame, key: str, cooldown_sec: float, delay: str = "10 minutes") -> DataFrame:
-    """At most one (key, ts) per cool-down after the last one emitted, in event time.
+def kept_by_cooldown(times: np.ndarray, wait: int, last: int | None) -> np.ndarray:
+    """Places in sorted ``times`` that are kept, each at least ``wait`` after the one kept before (``last`` at the start): a search per kept place."""
+    at = 0 if last is None else int(np.searchsorted(times, last + wait))
+    kept = []
+    while at < len(times):
+        kept.append(at)
+        at = int(np.searchsorted(times, times[at] + wait))
+    return np.array(kept, np.int64)
+
+
+class _Cooldown(StatefulProcessor):
+    """State of a key: the time last emitted."""
+
+    def __init__(self, wait: int, ts: str, tie: list[str], columns: list[str]):
+        self.wait, self.ts, self.tie, self.columns = wait, ts, tie, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values([self.ts, *self.tie], kind="stable", ignore_index=True)
+        times = batch[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        last = self.last.get()[0] if self.last.exists() else None
+        kept = kept_by_cooldown(times, self.wait, last)
+        if len(kept):
+            last = int(times[kept[-1]])
+        if last is not None:
+            self.last.update((last,))
+        yield batch.iloc[kept][self.columns]
 
-    State is the last emitted time of the key. A micro-batch of a key is put in time order, so
-    its size (set by the source's rate limit) bounds the group.
+    def close(self) -> None:
+        pass
+
+
+def stream_throttle(events: DataFrame, keys: list[str], cooldown_sec: float, delay: str = "10 minutes", ts: str = "ts", tie: tuple[str, ...] = ()) -> DataFrame:
+    """At most one event per cool-down after the last one emitted, in event time, with all its columns.
+
+    State is the last emitted time of the key. A micro-batch of a key is put in time order (then by ``tie``), so
+    its size (set by the source's rate limit) bounds the group. Events behind the last emitted time plus the cool-down are dropped, late ones as well.
     """
     wait = int(round(cooldown_sec * 1e6))
+    return events.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Cooldown(wait, ts, list(tie), events.columns), outputStructType=events.schema, outputMode="append", timeMode="None")
+
+
+class _CleanScores(StatefulProcessor):
+    """State of a mission: of each cell its last reported sweep and those of ticks to come, and a timer at the end of the next tick to report."""
+
+    def __init__(self, decay: float, least: float):
+        self.decay, self.least = decay, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sweeps = handle.getMapState("sweeps", "row int, col int", "ticks array<bigint>")
+        self.clock = handle.getValueState("clock", "start bigint, step bigint, next bigint")
+
+    def _wake(self, start: int, step: int, tick: int) -> None:
+        self.clock.update((start, step, tick))
+        self.handle.registerTimer(start + tick * step)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        for (row, col), ticks in batch.groupby(["row", "col"])["tick"].unique().items():
+            cell = (int(row), int(col))
+            known = self.sweeps.getValue(cell)[0] if self.sweeps.containsKey(cell) else []
+            self.sweeps.updateValue(cell, (sorted({*map(int, known), *map(int, ticks)}),))
+        if not self.clock.exists():
+            start, step = int(batch["start_ms"].iloc[0]), int(batch["step_ms"].iloc[0])
+            self._wake(start, step, int(batch["tick"].min()))
+        yield pd.DataFrame({"mission_id": [], "tick": [], "row": [], "col": [], "clean": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, step, tick = self.clock.get()
+        cells = {(int(cell[0]), int(cell[1])): [int(t) for t in value[0]] for cell, value in self.sweeps.iterator()}
+        before, out = dict(cells), []
+        while cells and start + tick * step <= timerValues.getCurrentWatermarkInMs():
+            for cell, ticks in list(cells.items()):
+                past = [t for t in ticks if t <= tick]
+                score = self.decay ** (tick - past[-1]) if past else 0.0
+                if score >= self.least:
+                    out.append((key[0], tick, *cell, score))
+                    past = past[-1:]
+                else:
+                    past = []
+                cells[cell] = past + [t for t in ticks if t > tick]
+                if not cells[cell]:
+                    del cells[cell]
+            tick += 1
+        for cell, ticks in before.items():
+            if cell not in cells:
+                self.sweeps.removeKey(cell)
+            elif cells[cell] != ticks:
+                self.sweeps.updateValue(cell, (cells[cell],))
+        if cells:
+            self._wake(start, step, tick)
+        else:
+            self.clock.clear()
+        yield pd.DataFrame(out, columns=["mission_id", "tick", "row", "col", "clean"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_clean_scores(swept: DataFrame, missions: DataFrame, settings: Settings = DEFAULTS, delay: str = "10 minutes", least: float = 1e-3) -> DataFrame:
+    """(mission_id, tick, row, col, clean) at the end of every tick, from swept cells (mission_id, row, col, tick, ts), without a surface in the state.
+
+    A tick is reported once the watermark passes its end, whether the mission sent anything or not: an idle mission decays by its timer.
+    Cells below ``least`` are forgotten; a mission without cells is until it sends again.
+    """
+    ms = lambda c: F.floor(c / 1000).cast("bigint")
+    clock = missions.select("mission_id", ms(F.unix_micros("lkp_ts")).alias("start_ms"), (F.col("step_sec") * 1000).cast("bigint").alias("step_ms"))
+    timed = swept.select("mission_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("tick").cast("bigint").alias("tick"), "ts")
+    timed = timed.withWatermark("ts", delay).join(clock, "mission_id")
+    return timed.groupBy("mission_id").transformWithStateInPandas(
+        statefulProcessor=_CleanScores(settings.clean_decay, least), outputStructType="mission_id bigint, tick bigint, row int, col int, clean double",
+        outputMode="append", timeMode="EventTime")
 
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = sorted(t for frame in frames for t in frame["t"].tolist())
-        last = state.get[0] if state.exists else None
-        kept = []
-        for t in times:
-            if last is None or t - last >= wait:
-                kept.append(t)
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: pd.Series([group[0]] * len(kept)), "t": pd.Series(kept, dtype="int64")})
 
-    kind = dict(events.dtypes)[key]
-    timed = events.withWatermark("ts", delay).select(key, F.unix_micros("ts").alias("t"))
-    out = timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, t bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
-    return out.select(key, F.timestamp_micros("t").alias("ts"))
+def stream_live_sweep(records: DataFrame, launches: DataFrame, step_sec: float, delay: str = "1 hour", within: str = "1 day") -> DataFrame:
+    """Flight records joined to the launch plan of their flight as both arrive: all record columns, reveal_sec, tick and north_m.
+
+    ``records`` are (mission_id, sortie, ts, ...), ``launches`` (mission_id, sortie, base_ts, start_sec, north_m): a launch says when a flight
+    started and how its clock begins. A record meets its launch if it was taken at most ``within`` after the launch's first record;
+    watermarks on both sides bound how long either waits. Records without a launch are dropped when the watermark passes them.
+    """
+    left = records.withWatermark("ts", delay).alias("r")
+    right = launches.select(F.col("mission_id").alias("_mission"), F.col("sortie").alias("_sortie"), "base_ts", "start_sec", "north_m").withWatermark("base_ts", delay).alias("l")
+    met = left.join(right, (F.col("mission_id") == F.col("_mission")) & (F.col("sortie") == F.col("_sortie")) & (F.col("ts") >= F.col("base_ts"))
+                    & (F.col("ts") <= F.col("base_ts") + F.expr(f"INTERVAL {within}")))
+    reveal = F.col("start_sec") + (F.unix_micros("ts") - F.unix_micros("base_ts")) / 1e6
+    return stream_reveals(met.withColumn("reveal_sec", reveal).drop("_mission", "_sortie", "base_ts", "start_sec"), F.lit(step_sec))
 
 
 def stream_sessions(events: DataFrame, keys: list[str], gap: str = "10 seconds", delay: str = "10 minutes") -> DataFrame:
@@ -216,5 +319,5 @@ def run_fold(batch_fold: Callable[[DataFrame, int], None], stream: DataFrame, ch
     return stream.writeStream.foreachBatch(batch_fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["stream_ticks", "tick_counts", "stream_finds", "stream_reveals", "first_events", "stream_throttle", "stream_sessions",
+__all__ = ["stream_ticks", "tick_counts", "stream_reveals", "stream_live_sweep", "stream_clean_scores", "first_events", "kept_by_cooldown", "stream_throttle", "stream_sessions",
            "StateTable", "fold_batches", "merge_delta_batches", "relayer_batches", "run_fold"]

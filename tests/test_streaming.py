@@ -3,9 +3,10 @@
 import datetime as dt
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from scoutgrid.operators import evidence as ev, folds, telemetry as tm
+from scoutgrid.operators import evidence as ev, folds, grid, telemetry as tm
 from scoutgrid.plans import heatmap as hm, queries as q, tables as tb
 from scoutgrid.streaming import ticks as st
 from test_telemetry import hot_events
@@ -31,12 +32,73 @@ def test_ticks(spark, small, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_throttle_stream(spark, tmp_path):
+def run_once(stream, out, checkpoint):
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+
+def test_throttle_stream_keeps_whole_rows_across_a_restart(spark, tmp_path):
+    """Three files in time order, the last one after a restart from the checkpoint: the rows kept are those of the batch rule."""
     _, df = hot_events(spark, 400, 4000)
-    df.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
-    got = {(r.k, r.ts) for r in drained(st.stream_throttle(stream, "k", 20.0), "thr").collect()}
-    assert got == {(r.k, r.ts) for r in folds.throttle(df, ["k"], 20.0, tie=("id",), slice_sec=300.0).collect()}
+    df = df.withColumn("extra", F.concat(F.lit("e"), "id")).cache()
+    cuts = df.select(F.expr("percentile(unix_micros(ts), array(0.4, 0.7))").alias("c")).first()["c"]
+    parts = [F.unix_micros("ts") <= cuts[0], (F.unix_micros("ts") > cuts[0]) & (F.unix_micros("ts") <= cuts[1]), F.unix_micros("ts") > cuts[1]]
+    path, out, checkpoint = (str(tmp_path / n) for n in ("e", "out", "ck"))
+    for n, part in enumerate(parts):
+        df.where(part).coalesce(1).write.mode("append").parquet(path)
+        if n > 0:  # the second run starts from the state of the first
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            run_once(st.stream_throttle(stream, ["k"], 20.0, tie=("id",)), out, checkpoint)
+    got, want = spark.read.parquet(out), folds.throttle(df, ["k"], 20.0, tie=("id",), slice_sec=300.0)
+    assert got.columns == df.columns and got.count() == want.count() > 100
+    assert got.exceptAll(want).count() == 0
+
+
+def test_kept_by_cooldown():
+    t = np.array([0, 1, 5, 5, 9, 10, 30])
+    assert st.kept_by_cooldown(t, 5, None).tolist() == [0, 2, 5, 6] and st.kept_by_cooldown(t, 5, 2).tolist() == [4, 6]
+    assert st.kept_by_cooldown(t, 5, 100).tolist() == st.kept_by_cooldown(t[:0], 5, None).tolist() == []
+
+
+def test_idle_missions_decay_by_timer(spark, tmp_path):
+    """Mission 1 sends once and falls silent while mission 2 moves the watermark; a restart from the checkpoint lies between."""
+    start = dt.datetime(2026, 1, 1)
+    missions = spark.createDataFrame([(1, start, 60.0), (2, start, 60.0)], "mission_id bigint, lkp_ts timestamp, step_sec double")
+    at = lambda tick: start + dt.timedelta(seconds=60 * tick - 30)
+    sweeps = [(1, 3, 3, 1), (1, 4, 4, 2), (2, 0, 0, 1)]
+    later = [(2, 0, 1, 5), (1, 3, 3, 5)]
+    last = [(2, 9, 9, 9)]
+    path, out, checkpoint = (str(tmp_path / n) for n in ("s", "out", "ck"))
+    for part in (sweeps, later, last):
+        spark.createDataFrame([(m, r, c, t, at(t)) for m, r, c, t in part], "mission_id bigint, row int, col int, tick bigint, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("mission_id bigint, row int, col int, tick bigint, ts timestamp").parquet(path)
+        run_once(st.stream_clean_scores(stream, missions, delay="0 seconds", least=0.5), out, checkpoint)
+    got = {(r["mission_id"], r["tick"], r["row"], r["col"]): r["clean"] for r in spark.read.parquet(out).collect()}
+    want = {}
+    swept = sweeps + later
+    for tick in range(1, 9):  # the watermark ends in tick 9
+        for m, r, c in {s[:3] for s in swept}:
+            known = [t for a, b, d, t in swept if (a, b, d) == (m, r, c) and t <= tick]
+            if known and 0.9 ** (tick - max(known)) >= 0.5:
+                want[m, tick, r, c] = 0.9 ** (tick - max(known))
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    assert (1, 8, 4, 4) in got and (2, 3, 0, 0) in got
+
+
+def test_live_sweep_as_a_stream(spark, small, tmp_path):
+    """Three batches of records against a streamed launch plan give the sweep of the batch query."""
+    shown = q.revealed(spark, small).where("lat is not null").cache()
+    launches = shown.groupBy("mission_id", "sortie").agg(F.min("ts").alias("base_ts"), F.first("start_sec").alias("start_sec"), F.first("north_m").alias("north_m"))
+    records = shown.drop("start_sec", "north_m", "reveal_sec", "asset_id", "found", "duration", "base_ts")
+    left = stored(spark, records, str(tmp_path / "r"))
+    right = stored(spark, launches, str(tmp_path / "l"), 1)
+    live = st.stream_live_sweep(left, right, q.STEP, "60 days", "60 days")
+    run_once(live, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    m = grid.with_origin(tb.missions(spark, small)).select("mission_id", "epsg", "origin_e", "origin_n", "size", "res_m")
+    keep = [c for c in got.columns if c == "mission_id" or c not in m.columns]
+    swept = ev.swept_cells(got.select(*keep).join(m, "mission_id"), tb.RES_M, north_m="north_m").select("mission_id", "tick", "row", "col")
+    want = q.live_sweep(spark, small).select(*swept.columns)
+    assert got.count() == records.count() and swept.exceptAll(want).count() == want.exceptAll(swept).count() == 0
 
 
 def test_sessions_and_first_events(spark, tmp_path):
