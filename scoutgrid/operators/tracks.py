@@ -57,7 +57,7 @@ def reveal_tick(step_sec: Column) -> Column:
 def track_snapshot(revealed: DataFrame, now_sec: Column) -> DataFrame:
     """Path so far, last position and state of each launched flight at mission second ``now``.
 
-    Paths hold the thinned flight (see ``subsample``), which bounds their length.
+    A path is as long as the records given: thin them first (``telemetry.subsample``) to bound it.
     """
     shown = revealed.withColumn("_now", now_sec).where((F.col("start_sec") < F.col("_now")) & (F.col("reveal_sec") < F.col("_now"))
                                                       & F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -129,12 +129,6 @@ def mpp_trail(mpps: DataFrame, missions: DataFrame) -> DataFrame:
     return pins.unionByName(mpps.select("mission_id", (F.col("tick") + 1).cast("bigint").alias("slot"), "lat", "lon"))
 
 
-def sortie_events(revealed: DataFrame, step_sec: Column) -> DataFrame:
-    """Revealed finds as detection events with their tick."""
-    return revealed.where("person").withColumn("tick", reveal_tick(step_sec)).withColumn(
-        "position", valid_position(F.col("lat"), F.col("lon"), F.col("north_m")))
-
-
 def all_evidence(feed: DataFrame, revealed: DataFrame, step_sec: Column) -> DataFrame:
     """Bag union of the live feed and the flights' revealed records as (mission, tick, source, person, lat, lon, confidence).
 

@@ -295,7 +295,7 @@ def json_arrays(spark, folder):
 
 @query
 def gps_track(spark, folder):
-    """Flight-log text of each event parsed, cleaned and shifted, then matched to the event's own clock."""
+    """Flight-log text of each event parsed, cleaned and shifted."""
     e = tb.events(spark, folder)
     local = F.from_utc_timestamp("ts", "Asia/Jerusalem")
     log = e.select("user_id", "event_id", F.date_format(local, "M/d/yyyy").alias("CUSTOM.date [local]"), F.date_format(local, "h:mm:ss.SS a").alias("CUSTOM.updateTime [local]"),

@@ -162,8 +162,3 @@ def parse_marine(payloads: DataFrame, text: str = "value", settings: Settings =
     still = F.when(F.hypot(fu, fv) > 1e-9, heading_deg(fu, fv)).otherwise(0.0)
     return out.withColumn("speed", F.hypot("u", "v")).withColumn("direction", F.when(F.col("_ok"), F.col("_a")).otherwise(still)).withColumn(
         "source", F.when(F.col("_ok"), "open_meteo").otherwise("fallback")).drop("_d", "_s", "_a", "_ok")
-
-
-def marine_lookup_keys(missions: DataFrame) -> DataFrame:
-    """One lookup per position rounded to four digits."""
-    return missions.select(F.round("lkp_lat", 4).alias("lat4"), F.round("lkp_lon", 4).alias("lon4")).distinct()

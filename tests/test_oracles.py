@@ -8,7 +8,8 @@ from check import compare, database
 NAMES = ["grid_metadata", "grid_cells", "point_to_cell", "quad_point_cell", "normalize_detections", "sessions", "asof_nearest", "asof_claim",
          "merge_flights", "merge_report", "slope_aspect", "terrain_classes", "upsample", "road_fields", "transition_edges", "diffuse", "drift",
          "travel_time", "mpp", "suppress_boost", "negative_search", "tick_fold", "field_range", "kde_surface", "systematic_resample",
-         "sortie_schedule", "drone_tracks", "subsample", "throttle", "smoothed_rate", "message_routing", "nearest_land"]
+         "sortie_schedule", "drone_tracks", "subsample", "throttle", "alerts", "smoothed_rate", "message_routing", "nearest_land",
+         "diffuse_tiles", "drift_tiles", "travel_time_tiles", "cells_in_polygon", "heatmap_delta", "session_match", "attach_gps"]
 
 
 @pytest.fixture(scope="module")
