@@ -216,15 +216,14 @@ def nearest_cell(places: DataFrame, cells: DataFrame, wanted: Column) -> DataFra
         "_s", F.last("_hit", ignorenulls=True).over(
             W.partitionBy("mission_id", "col").orderBy(F.desc("row")).rowsBetween(W.unboundedPreceding, 0)))
     nearest = F.when(F.col("_s").isNull() | (F.col("row") - F.col("_n") <= F.col("_s") - F.col("row")), F.col("_n")).otherwise(F.col("_s"))
-    hits = hits.withColumn("_r", nearest).withColumn("_line", F.collect_list(F.struct("col", F.coalesce("_r", F.lit(-1)).alias("r"))).over(
-        W.partitionBy("mission_id", "row").orderBy("col").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     needed = places.select(*CELL_KEYS).distinct()
-    lines = needed.join(hits.select(*CELL_KEYS, "_line"), list(CELL_KEYS))
+    # a row's candidates are gathered once per row that is asked for, one per column
+    asked = hits.withColumn("_r", nearest).where("_r is not null").join(needed.select("mission_id", "row").distinct(), ["mission_id", "row"], "left_semi")
+    lines = needed.join(asked.groupBy("mission_id", "row").agg(F.collect_list(F.struct("col", F.col("_r").alias("r"))).alias("_line")), ["mission_id", "row"])
     def candidate(x: Column) -> Column:
         dr, dc = x["r"] - F.col("row"), x["col"] - F.col("col")
         return F.struct((dr * dr + dc * dc).alias("d2"), x["r"].alias("row"), x["col"].alias("col"))
-    best = F.array_min(F.transform(F.filter("_line", lambda x: x["r"] >= 0), candidate))
-    answers = lines.withColumn("_b", best).where("_b is not null").select(
+    answers = lines.withColumn("_b", F.array_min(F.transform("_line", candidate))).select(
         *CELL_KEYS, F.col("_b.row").alias("near_row"), F.col("_b.col").alias("near_col"), F.col("_b.d2").alias("near_d2"))
     return salted_join(places, answers, list(CELL_KEYS), "left")
 

@@ -22,12 +22,12 @@ def effective_sample_size(points: DataFrame, keys=("mission_id",)) -> DataFrame:
     return points.groupBy(*keys).agg(ess.alias("ess"), F.count("*").alias("n")).withColumn("resample", F.col("ess") < F.col("n") / 2)
 
 
-def kde_surface(points: DataFrame, roads: DataFrame | None = None, road_weight: float = 1.0, fade_cells: int = 0,
-                settings: Settings = DEFAULTS) -> DataFrame:
-    """Gaussian density of weighted points on the touched cells, mass 1 per mission.
+def kde_surface(points: DataFrame, cells: DataFrame, road_weight: float = 1.0, fade_cells: int = 0, settings: Settings = DEFAULTS) -> DataFrame:
+    """Gaussian density of weighted points on all cells of the grid, mass 1 per mission (0 everywhere for one without points).
 
-    ``points`` carries weight, point_e, point_n and its mission's origin, size and res_m. A
-    point is spread over the cells of its support only, and cell sums are built on the map side.
+    ``points`` carries weight, point_e, point_n and its mission's origin, size and res_m; ``cells`` are (mission_id, row, col, size), with
+    ``road_proximity`` where roads attract. A point is spread over the cells of its support only; the grid comes in as rows of no
+    weight under the same aggregate, which is built on the map side, so that nothing is joined.
     """
     reach = max(4, math.ceil(3.0 * settings.kde_bandwidth))
     size, res = F.col("size"), F.col("res_m")
@@ -43,11 +43,12 @@ def kde_surface(points: DataFrame, roads: DataFrame | None = None, road_weight:
     spread = spread.select("mission_id", "size", "weight", "_rf", "_cf", "row", F.explode("_cols").alias("col"))
     dr, dc = F.col("row") - F.col("_rf"), F.col("col") - F.col("_cf")
     kernel = F.exp(-0.5 * (dr * dr + dc * dc) / settings.kde_bandwidth**2)
-    cells = spread.groupBy(*CELL_KEYS, "size").agg(F.sum(F.col("weight") * kernel).alias("p"))
-    if roads is not None:
-        cells = cells.join(roads.select(*CELL_KEYS, "road_proximity"), list(CELL_KEYS), "left").withColumn(
-            "p", F.col("p") * road_factor(F.coalesce("road_proximity", F.lit(0.0)), road_weight, settings)).drop("road_proximity")
-    return edge_fade(normalize(cells), fade_cells)
+    near = F.col("road_proximity") if "road_proximity" in cells.columns else F.lit(0.0)
+    rows = spread.select(*CELL_KEYS, "size", (F.col("weight") * kernel).alias("p"), F.lit(0.0).alias("_near")).unionByName(
+        cells.select(*CELL_KEYS, "size", F.lit(0.0).alias("p"), near.alias("_near")))
+    summed = rows.groupBy(*CELL_KEYS, "size").agg(F.sum("p").alias("p"), F.max("_near").alias("_near"))
+    lifted = summed.withColumn("p", F.col("p") * road_factor(F.col("_near"), road_weight, settings)).drop("_near")
+    return edge_fade(normalize(lifted), fade_cells)
 
 
 def systematic_resample(points: DataFrame, u0: Column, order: str = "idx", keys: list[str] | None = None, block: int = 100_000) -> DataFrame:

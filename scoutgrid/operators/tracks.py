@@ -8,11 +8,20 @@ from ..functions import geo
 from ..functions.scalars import valid_position
 from ..settings import DEFAULTS, METRES_PER_DEGREE, Settings
 from .joins import salted_join
-from .slices import SLICE, previous, with_slice
+from .slices import previous, with_slice
+from .telemetry import subsample
 
 FLIGHT = ["mission_id", "sortie"]
 
 
+def thinned(records: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Records as flights show them: all finds and an even share of the others, ``sortie_max_points`` per flight unless the finds alone are more.
+
+    Schedule, tracks and evidence of flights read these, so that no path grows with the rate at which a drone reports.
+    """
+    return subsample(records, FLIGHT, settings.sortie_max_points, tie=("record_id",))
+
+
 def sortie_schedule(records: DataFrame, plan: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Start and duration of every flight that has records.
 
@@ -57,7 +66,7 @@ def reveal_tick(step_sec: Column) -> Column:
 def track_snapshot(revealed: DataFrame, now_sec: Column) -> DataFrame:
     """Path so far, last position and state of each launched flight at mission second ``now``.
 
-    A path is as long as the records given: thin them first (``telemetry.subsample``) to bound it.
+    A path is as long as the flight's records: those of ``thinned`` bound it.
     """
     shown = revealed.withColumn("_now", now_sec).where((F.col("start_sec") < F.col("_now")) & (F.col("reveal_sec") < F.col("_now"))
                                                       & F.col("lat").isNotNull() & F.col("lon").isNotNull())

@@ -197,6 +197,8 @@ oracle("merge_report", f"""{MERGED}, tot AS (SELECT user_id, count(*) AS j, coun
   CAST(j - c.n AS BIGINT) AS unselected_json_records, CAST(tc.c - k AS BIGINT) AS unmatched_csv_rows, coalesce(nf, 0) AS not_found_csv_rows, coalesce(bj, 0) AS malformed_json_timestamps, coalesce(bc, 0) AS malformed_csv_timestamps,
   coalesce(bn, 0) AS malformed_not_found_csv_timestamps, {r('c.off / 1e6', 6, 'clock_offset_seconds')} FROM chosen c JOIN tot USING (user_id) JOIN tc USING (user_id) JOIN mm USING (user_id) LEFT JOIN er USING (user_id)""")
 oracle("json_arrays", TELE, "SELECT user_id, CAST(us // 86400000000 AS BIGINT) AS bucket, count(*) AS n, min(us) AS first_us, CAST(sum(event_id) AS BIGINT) AS ids FROM tele GROUP BY 1, 2")
+oracle("array_elements", TELE, """SELECT user_id || '/' || us // 86400000000 AS source_path, row_number() OVER (PARTITION BY user_id, us // 86400000000 ORDER BY us, event_id) - 1 AS place, event_id AS source_index,
+  CAST(length('{"' || event_id || '": "\\\\"}]') AS BIGINT) AS note_chars FROM tele""")
 oracle("gps_track", EVENTS, f"SELECT user_id, event_id, us // 10000 * 10000 AS ts, {r('value', 6, 'lat')}, {r('value / 4', 6, 'lon')} FROM ev WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 AND NOT (value = 0)")
 oracle("best_detection", "b AS (SELECT event_id // 3 AS frame, event_id, value, event_type IN ('purchase', 'click', 'view') AND value / 97 >= 0.5 AS good FROM events), g AS (SELECT * FROM b WHERE good QUALIFY row_number() OVER (PARTITION BY frame ORDER BY value DESC, event_id) = 1)",
        f"SELECT CAST(f.frame AS BIGINT) AS frame, CAST(g.event_id IS NOT NULL AS BIGINT) AS person, CAST(g.event_id AS DOUBLE) AS box2, {r('g.value / 97', 3, 'confidence')} FROM (SELECT DISTINCT frame FROM b) f LEFT JOIN g USING (frame)")
@@ -476,7 +478,8 @@ oracle("effective_sample_size", f"{DETECTIONS}, w AS (SELECT mission_id, (1 + ev
        f"SELECT mission_id, n, CAST(ess < n / 2 AS BIGINT) AS resample, {r('ess', 4)} FROM e")
 oracle("kde_surface", f"""{PLACED}, pt AS (SELECT mission_id, (1 + event_id % 13) / 1000e0 AS w, row_f - 0.5 AS rf, col_f - 0.5 AS cf FROM placed), ax AS (SELECT CAST(range AS INT) AS i FROM range(32)),
  kd AS (SELECT mission_id, x.i AS "row", y.i AS col, sum(w * exp(-0.5e0 * (power(x.i - rf, 2) + power(y.i - cf, 2)) / 1.21e0)) AS d FROM pt, ax x, ax y WHERE x.i BETWEEN floor(rf - 4) AND ceil(rf + 4) AND y.i BETWEEN floor(cf - 4) AND ceil(cf + 4) GROUP BY 1, 2, 3),
- kr AS (SELECT *, d * (1 + 1.05e0 * {PROX}) AS q FROM kd)""", f"SELECT {KEYS}, {r('q / sum(q) OVER (PARTITION BY mission_id)', 7, 'p')} FROM kr")
+ gr AS (SELECT mission_id, x.i AS "row", y.i AS col FROM pins, ax x, ax y),
+ kr AS (SELECT mission_id, "row", col, coalesce(d, 0e0) * (1 + 1.05e0 * {PROX}) AS q FROM gr LEFT JOIN kd USING (mission_id, "row", col))""", f"SELECT {KEYS}, {r('CASE WHEN sum(q) OVER w > 0 THEN q / sum(q) OVER w ELSE 0 END', 7, 'p')} FROM kr WINDOW w AS (PARTITION BY mission_id)")
 oracle("systematic_resample", """pt AS (SELECT event_id % 8 AS mission_id, event_id // 8 AS idx, 1 + event_id * 7 % 13 AS raw FROM events), cu AS (SELECT *, sum(raw) OVER w AS hi, sum(raw) OVER w - raw AS lo, sum(raw) OVER (PARTITION BY mission_id) AS tot, count(*) OVER (PARTITION BY mission_id) AS n FROM pt WINDOW w AS (PARTITION BY mission_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
  dr AS (SELECT *, greatest(0, CAST(floor(lo / tot * n - 0.37e0) AS BIGINT) + 1) AS j0, least(n - 1, CAST(floor(hi / tot * n - 0.37e0) AS BIGINT)) AS j1 FROM cu)""",
        "SELECT mission_id, idx, CAST(j1 - j0 + 1 AS BIGINT) AS copies, CAST(j0 AS BIGINT) AS first_draw FROM dr WHERE j1 >= j0")
@@ -484,7 +487,11 @@ oracle("top_points", f"{DETECTIONS}, w AS (SELECT *, row_number() OVER (PARTITIO
 
 # --- flights
 _tail_timed = "timed_all AS (SELECT *, CAST(floor((us - epoch_us(TIMESTAMP '2024-01-01')) / 3.6e9) + 1 AS BIGINT) AS tick FROM det)"
-SORTIES = f"""{DETECTIONS}, rec AS (SELECT *, user_id % 8 AS sortie FROM det), fl AS (SELECT mission_id, sortie, min(us) AS b, max(us) AS z, bool_or(person) AS found, count(*) AS n FROM rec GROUP BY 1, 2),
+SORTIES = f"""{DETECTIONS}, rc0 AS MATERIALIZED (SELECT *, user_id % 8 AS sortie FROM det), rct AS (SELECT mission_id, sortie, count(*) AS n0, count(*) FILTER (person) AS f0 FROM rc0 GROUP BY 1, 2),
+ rot AS (SELECT event_id, mission_id, sortie, row_number() OVER (PARTITION BY mission_id, sortie ORDER BY us, event_id) - 1 AS k FROM rc0 WHERE NOT person),
+ rpk AS (SELECT mission_id, sortie, CAST(floor(i * ((n0 - f0) / (40 - f0))) AS BIGINT) AS k FROM (SELECT *, unnest(range(0, 40 - f0)) AS i FROM rct WHERE n0 > 40 AND f0 < 40)),
+ rec AS MATERIALIZED (SELECT a.* FROM rc0 a JOIN rct b ON b.mission_id = a.mission_id AND b.sortie = a.sortie WHERE person OR n0 <= 40
+  UNION ALL SELECT a.* FROM rc0 a JOIN rot o ON o.event_id = a.event_id JOIN rpk k ON k.mission_id = o.mission_id AND k.sortie = o.sortie AND k.k = o.k), fl AS (SELECT mission_id, sortie, min(us) AS b, max(us) AS z, bool_or(person) AS found, count(*) AS n FROM rec GROUP BY 1, 2),
  fo AS (SELECT *, (z - b) / 1e6 AS dur, CASE WHEN mission_id % 2 = 0 AND sortie % 2 = 0 THEN 600e0 * sortie END AS ex, row_number() OVER (PARTITION BY mission_id ORDER BY sortie) AS i FROM fl),
  sch AS (SELECT *, coalesce(ex, 120e0) AS st FROM fo WHERE i = 1 UNION ALL SELECT f.*, coalesce(f.ex, s.st + s.dur + 10) FROM sch s JOIN fo f ON f.mission_id = s.mission_id AND f.i = s.i + 1),
  rev AS (SELECT r.*, s.found, s.st, s.dur, st + (us - b) / 1e6 AS rv, lat + CASE r.sortie WHEN 0 THEN 60 WHEN 2 THEN -30 ELSE 0 END / 111320e0 AS la FROM rec r JOIN sch s USING (mission_id, sortie))"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geo, scalars as sc
 from ..operators import evidence as ev, folds, grid, joins, layers, points, ranking, raster, report, routes, telemetry as tm, tracks, transport as tp
+from ..operators.slices import SLICE
 from ..session import cut_lineage
 from ..settings import DEFAULTS, METRES_PER_DEGREE
 from ..sources import readers, sinks
@@ -293,6 +294,17 @@ def json_arrays(spark, folder):
     return rows.groupBy("user_id", F.col("bucket").cast("bigint").alias("bucket")).agg(F.count("*").alias("n"), F.min("r.us").alias("first_us"), F.sum("r.source_index").alias("ids"))
 
 
+@query
+def array_elements(spark, folder):
+    """Array documents per user and day, cut at their braces as a split reader meets them, back to records and their places."""
+    t = tb.telemetry(spark, folder).select("user_id", "source_index", F.format_string('{"%d": "\\\\"}]', "source_index").alias("note"), F.unix_micros("ts").alias("us"))
+    docs = sinks.json_arrays(t, ["user_id"], ["us"], F.floor(F.col("us") / 86400000000)).select(
+        F.concat_ws("/", "user_id", "bucket").alias("source_path"), F.posexplode(F.split("value", "[}]")).alias("source_index", "value"))
+    rows = readers.array_elements(docs.withColumn(SLICE, F.floor(F.col("source_index") / 5)))
+    body = F.from_json("value", "source_index bigint, note string")
+    return rows.select("source_path", F.col("source_index").alias("place"), body["source_index"].alias("source_index"), F.length(body["note"]).cast("bigint").alias("note_chars"))
+
+
 @query
 def gps_track(spark, folder):
     """Flight-log text of each event parsed, cleaned and shifted."""
@@ -806,7 +818,7 @@ def effective_sample_size(spark, folder):
 
 @query
 def kde_surface(spark, folder):
-    k = points.kde_surface(weighted_points(spark, folder), tb.cross_proximity(tb.cells(spark, folder)))
+    k = points.kde_surface(weighted_points(spark, folder), tb.cross_proximity(tb.cells(spark, folder)))  # every cell of the grid
     return shown(k, "mission_id", "row", "col", p=7)
 
 
@@ -827,19 +839,25 @@ def top_points(spark, folder):
 
 # --- flights -------------------------------------------------------------------------------
 
-def schedule(spark, folder):
-    return tracks.sortie_schedule(tb.flight_records(spark, folder), tb.flight_plan(spark, folder))
+#: Points a flight shows in these queries; the tables' flights have fewer than the usual bound.
+FLIGHT_POINTS = 40
+
+
+def flights(spark, folder):
+    """Thinned records; kept, since the schedule and the reveal both read them."""
+    return cut_lineage(tracks.thinned(tb.flight_records(spark, folder), DEFAULTS.but(sortie_max_points=FLIGHT_POINTS)))
 
 
 @query
 def sortie_schedule(spark, folder):
-    s = schedule(spark, folder)
+    s = tracks.sortie_schedule(flights(spark, folder), tb.flight_plan(spark, folder))
     return shown(s.withColumn("found", F.col("found").cast("bigint")), "mission_id", "sortie", "asset_id", "found", "n_records", start_sec=6, duration=6)
 
 
 def revealed(spark, folder):
     offsets = F.array(F.lit(60.0), F.lit(0.0), F.lit(-30.0))
-    return tracks.reveal(tb.flight_records(spark, folder), schedule(spark, folder), offsets)
+    records = flights(spark, folder)
+    return tracks.reveal(records, tracks.sortie_schedule(records, tb.flight_plan(spark, folder)), offsets)
 
 
 @query

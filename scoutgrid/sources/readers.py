@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.geo import current_east, current_north, heading_deg
 from ..functions.scalars import parse_flight_clock, parse_iso
+from ..operators.joins import salted_join
 from ..operators.slices import SLICE, running_sum
 from ..operators.telemetry import normalize_detections
+from ..session import cut_lineage
 from ..settings import DEFAULTS, HIGHWAY_CLASSES, Settings
 
 
@@ -18,21 +20,69 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def json_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Files cut at every closing brace (which the pieces lack), by as many tasks as the files have splits."""
+    return spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias(SLICE),
+                                                     F.monotonically_increasing_id().alias("source_index"), "value")
+
+
+def array_elements(pieces: DataFrame) -> DataFrame:
+    """Pieces (source_path, _slice, source_index, value) of documents to the elements of their arrays: (source_path, source_index, value).
+
+    ``source_index`` becomes the element's place in its array. Whether a piece starts inside a string follows from the quotes before it, and how
+    deep its end lies from the brackets outside strings before it: running sums in two levels, within a split and over splits, so that no
+    task needs a whole file. A brace that leads back to the array's own depth ends a chunk, which holds one object and what stands before it.
+    A document that is no array is one element. A chunk that is no JSON is one null element; a quote that is never closed spoils
+    what follows it in its file. Blank files and empty arrays have no elements.
+    """
+    keys, order = ["source_path"], ["source_index"]
+    place = F.struct(SLICE, "source_index")
+
+    def net(head: str) -> Column:
+        plain = F.regexp_replace(F.concat(F.lit(head), F.col("_bare")), r'"[^"]*("|\z)', "")
+        return F.length(F.translate(plain, "]", "")) - F.length(F.translate(plain, "{[", ""))
+
+    bare = pieces.withColumn("_bare", F.regexp_replace("value", r"(?s)\\.", ""))
+    kept = cut_lineage(bare.withColumns({"_quotes": F.length("_bare") - F.length(F.translate("_bare", '"', "")), "_out": net(""), "_in": net('"')}).drop("_bare"))
+    files = kept.groupBy(*keys).agg(F.max(place).alias("_end"), F.min_by("value", place).alias("_head"))
+    files = files.select(*keys, "_end", F.col("_head").rlike(r"^\uFEFF?\s*\[").alias("_array"))
+    steps = salted_join(kept.drop("value"), files, keys).withColumn("_end", place == F.col("_end"))
+    quoted = cut_lineage(running_sum(steps, keys, order, "_quotes", "_upto"))
+    closes = (F.col("_upto") % 2 == 0) & ~F.col("_end")  # whether the last piece had a brace is not known
+    start = F.when((F.col("_upto") - F.col("_quotes")) % 2 == 1, F.col("_in")).otherwise(F.col("_out"))
+    level = running_sum(quoted.withColumn("_closes", closes).withColumn("_net", start - F.col("_closes").cast("int")).drop("_upto"), keys, order, "_net", "_depth")
+    level = cut_lineage(level.withColumn("_cut", (F.col("_closes") & F.col("_array") & (F.col("_depth") == 1)).cast("int")))
+    numbered = running_sum(level, keys, order, "_cut", "_upto").select(
+        *keys, SLICE, *order, "_array", "_cut", (F.col("_upto") - F.col("_cut")).cast("bigint").alias("_chunk"), F.when(F.col("_end"), F.col("_depth")).alias("_left"))
+    chunks = kept.select(*keys, SLICE, *order, "value").join(numbered, [*keys, SLICE, *order]).groupBy(*keys, "_chunk").agg(
+        F.min(SLICE).alias(SLICE), F.first("_array").alias("_array"), F.max("_cut").alias("_cut"), F.max("_left").alias("_left"),
+        F.array_sort(F.collect_list(F.struct(SLICE, "source_index", "value"))).alias("_pieces"))
+    brace = (F.col("_cut") == 1) | F.coalesce(~F.col("_array") & (F.col("_left") == 1), F.lit(False))
+    text = F.regexp_replace(F.concat(F.array_join("_pieces.value", "}"), F.when(brace, "}").otherwise("")), r"^\uFEFF", "")
+    body = F.regexp_replace(F.col("_text"), F.when(F.col("_chunk") == 0, F.lit(r"^\s*\[")).otherwise(F.lit(r"^\s*,")), F.lit(""))
+    body = F.when(F.col("_cut") == 1, body).otherwise(F.regexp_replace(body, r"\]\s*\z", ""))
+    items = F.when(F.col("_array"), F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")).otherwise(F.array("_text"))
+    found = chunks.withColumn("_text", text).where(F.col("_array") | F.col("_text").rlike(r"\S")).select(
+        *keys, SLICE, "_chunk", F.coalesce(items, F.array(F.lit(None).cast("string"))).alias("_items"))
+    found = cut_lineage(found.withColumn("_n", F.size("_items")).withColumn("_size", F.col("_n")))
+    before = running_sum(found.drop("_n"), keys, ["_chunk"], "_size", "_upto")
+    return before.select(*keys, (F.col("_upto") - F.col("_size")).cast("bigint").alias("_first"), F.posexplode("_items").alias("_i", "value")).select(
+        *keys, (F.col("_first") + F.col("_i")).alias("source_index"), "value")
+
+
 def read_json_objects(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """JSON objects as text, one per row with its ``source_path``; a missing path is empty.
 
-    ``lines`` is JSONL and splits freely. ``array`` reads documents that are one array or one
-    object (JSON has to be read whole per file, so use many files of moderate size). Text that
-    is no object comes through as null, so that callers can count it.
+    ``lines`` is JSONL. ``array`` reads documents that are one array or one object. Both split: a large file is read by many tasks
+    (``array_elements``). Text that is no object comes through as null, so that callers can count it.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], "source_index bigint, value string, source_path string")
-    text = spark.read.text(path, wholetext=(layout == "array")).withColumn("source_path", F.col("_metadata.file_path"))
-    body = F.regexp_replace(F.trim("value"), "^\\uFEFF", "")
     if layout == "array":
-        items = F.when(F.startswith(body, F.lit("[")), F.from_json(body, "array<string>")).otherwise(F.array(body))
-        text = text.select(F.posexplode(items).alias("source_index", "value"), "source_path")
+        text = array_elements(json_pieces(spark, path)).select("source_index", "value", "source_path")
     else:
+        text = spark.read.text(path).withColumn("source_path", F.col("_metadata.file_path"))
+        body = F.regexp_replace(F.trim("value"), "^\\uFEFF", "")
         text = text.select(F.monotonically_increasing_id().alias("source_index"), body.alias("value"), "source_path").where(
             "trim(value) <> ''")
     is_object = F.startswith(F.trim("value"), F.lit("{")) & F.from_json("value", "map<string,string>").isNotNull()

@@ -9,7 +9,7 @@ NAMES = ["grid_metadata", "grid_cells", "point_to_cell", "quad_point_cell", "nor
          "merge_flights", "merge_report", "slope_aspect", "terrain_classes", "upsample", "road_fields", "transition_edges", "diffuse", "drift",
          "travel_time", "mpp", "suppress_boost", "negative_search", "tick_fold", "field_range", "kde_surface", "systematic_resample",
          "sortie_schedule", "drone_tracks", "subsample", "throttle", "alerts", "smoothed_rate", "message_routing", "nearest_land",
-         "diffuse_tiles", "drift_tiles", "travel_time_tiles", "cells_in_polygon", "heatmap_delta", "session_match", "attach_gps"]
+         "diffuse_tiles", "drift_tiles", "travel_time_tiles", "array_elements", "trail_segments", "track_heads", "cells_in_polygon", "heatmap_delta", "session_match", "attach_gps"]
 
 
 @pytest.fixture(scope="module")

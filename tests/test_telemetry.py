@@ -247,3 +247,25 @@ def test_cool_down_tables_stay_short(spark, monkeypatch):
     assert {(r.k, r.s) for r in got} == want and len(got) == len(want)
     table = folds._composed([folds._table(t[0], np.array(t), np.array(t)[folds._jumps(np.array(t), 900)[-1]], 900) for t in (times[:50], times[50:100], times[100:150])], 900)
     assert len(table["first"]) <= 1 + sum(t <= times[0] + 900 for t in times[:150])
+
+
+def test_thinned_flights_bound_paths(spark):
+    """Schedule and paths of thinned flights against a plain loop: finds stay, the rest is picked evenly."""
+    from scoutgrid.operators import tracks
+    at = dt.datetime(2026, 6, 11, 10)
+    flown = [(1, f, f * 1000 + i, at + dt.timedelta(seconds=i * 2), i % 17 == 3, 32.0 + i / 1e4, 35.0) for f, n in ((0, 90), (1, 12), (2, 400)) for i in range(n)]
+    records = spark.createDataFrame(flown, "mission_id long, sortie int, record_id long, ts timestamp, person boolean, lat double, lon double")
+    want = {}
+    for f in range(3):
+        rows = [r for r in flown if r[1] == f]
+        found, others = [r for r in rows if r[4]], [r for r in rows if not r[4]]
+        keep = 20 - len(found)
+        if len(rows) > 20:
+            rows = found + [others[min(len(others) - 1, int(i * (len(others) / keep)))] for i in range(max(keep, 0))]
+        want[f] = sorted(r[2] for r in rows)
+    thin = tracks.thinned(records, DEFAULTS.but(sortie_max_points=20)).cache()
+    got = {f: sorted(r["record_id"] for r in thin.where(f"sortie = {f}").collect()) for f in range(3)}
+    assert got == want and [len(want[f]) for f in range(3)] == [20, 12, 24]
+    plan = spark.createDataFrame([(1, [], 120.0)], "mission_id long, delays array<double>, first_delay double")
+    paths = tracks.track_snapshot(tracks.reveal(thin, tracks.sortie_schedule(thin, plan)), F.lit(1e6)).collect()
+    assert {p["sortie"]: len(p["path"]) for p in paths} == {f: len(want[f]) for f in range(3)}
