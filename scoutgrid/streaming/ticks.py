@@ -187,39 +187,81 @@ def stream_sessions(events: DataFrame, keys: list[str], gap: str = "10 seconds",
 
 
 class StateTable:
-    """Versions of a keyed table in a shared folder, one per micro-batch.
+    """Versions of a keyed table in a shared folder, one per micro-batch, in buckets of keys.
 
-    Writing a version overwrites it whole, so a batch that is run again leaves the same state. The two versions before a
-    written one are kept, for a rerun and for readers of the last; older ones are removed.
+    A version writes only the buckets it is told it touched, and then a pointer of one row per bucket that names the version holding
+    it; the pointer makes the version count, so that a batch which fails half-way leaves the state as it was, and one that is run again
+    leaves the same state. The first version holds all buckets. The two versions before a written one stay readable, for a
+    rerun and for readers of the last; buckets that none of them names are removed. A table without the key column is one bucket.
     """
 
-    def __init__(self, folder: str, initial: DataFrame):
+    def __init__(self, folder: str, initial: DataFrame, key: str = "mission_id", buckets: int = 64):
         self.folder, self.initial, self.spark = folder.rstrip("/"), initial, initial.sparkSession
+        self.key, self.buckets = key, buckets
 
-    def _path(self, version: int) -> str:
-        return f"{self.folder}/version={version}"
+    def _bucket(self, df: DataFrame) -> Column:
+        return (F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)) if self.key in df.columns else F.lit(0)).cast("int")
+
+    def buckets_of(self, rows: DataFrame) -> list[int]:
+        """Buckets of the rows' keys: at most ``buckets`` numbers, read on the driver."""
+        return sorted(r[0] for r in rows.select(self._bucket(rows)).distinct().collect())
 
     def _files(self, path: str):
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _numbers(self, path: str, name: str) -> list[int]:
+        """Numbers of the folders ``name=number``."""
+        root, fs = self._files(path)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}="))
+
+    def _delete(self, path: str) -> None:
+        root, fs = self._files(path)
+        fs.delete(root, True)
+
+    def _pointer(self, version: int) -> str:
+        return f"{self.folder}/pointers/version={version}"
+
     def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root, fs = self._files(self.folder)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-
-    def before(self, batch_id: int) -> DataFrame:
+        def written(version: int) -> bool:
+            root, fs = self._files(f"{self._pointer(version)}/_SUCCESS")
+            return fs.exists(root)
+        return [v for v in self._numbers(f"{self.folder}/pointers", "version") if written(v)]
+
+    def _holders(self, version: int) -> dict[int, int]:
+        """The version that holds each bucket."""
+        return {r["bucket"]: r["at"] for r in self.spark.read.schema("bucket int, at bigint").parquet(self._pointer(version)).collect()}
+
+    def before(self, batch_id: int, buckets: list[int] | None = None) -> DataFrame:
+        """The state that a batch finds, or some buckets of it."""
         older = [v for v in self._versions() if v < batch_id]
-        return self.spark.read.parquet(self._path(older[-1])) if older else self.initial
+        if not older:
+            return self.initial if buckets is None else self.initial.where(self._bucket(self.initial).isin(buckets))
+        paths = [f"{self.folder}/version={v}/state_bucket={b}" for b, v in self._holders(older[-1]).items() if buckets is None or b in buckets]
+        return self.spark.read.parquet(*paths) if paths else self.initial.limit(0)
 
-    def write(self, batch_id: int, state: DataFrame) -> None:
-        state.write.mode("overwrite").parquet(self._path(batch_id))
-        for old in [v for v in self._versions() if v < batch_id][:-2]:
-            path, fs = self._files(self._path(old))
-            fs.delete(path, True)
+    def write(self, batch_id: int, state: DataFrame, buckets: list[int] | None = None) -> None:
+        """Write ``state``, which replaces all, or those ``buckets`` (it must not have rows of others)."""
+        older = [v for v in self._versions() if v < batch_id]
+        held = {}
+        if buckets is not None and older:
+            held = {b: v for b, v in self._holders(older[-1]).items() if b not in buckets}
+        elif buckets is not None:
+            state = state.unionByName(self.initial.where(~self._bucket(self.initial).isin(buckets)).select(*state.columns))
+        target = f"{self.folder}/version={batch_id}"
+        state.withColumn("state_bucket", self._bucket(state)).write.mode("overwrite").partitionBy("state_bucket").parquet(target)
+        held |= {b: batch_id for b in self._numbers(target, "state_bucket")}
+        self.spark.createDataFrame(sorted(held.items()), "bucket int, at bigint").coalesce(1).write.mode("overwrite").parquet(self._pointer(batch_id))
+        kept = [*older[-2:], batch_id]
+        for old in [v for v in older if v < kept[0]]:
+            self._delete(self._pointer(old))
+        named = {(v, b) for pointer in kept for b, v in self._holders(pointer).items()}
+        for version in [v for v in self._numbers(self.folder, "version") if v < kept[0]]:
+            present = self._numbers(f"{self.folder}/version={version}", "state_bucket")
+            unused = [b for b in present if (version, b) not in named]
+            for path in [f"/state_bucket={b}" for b in unused] if len(unused) < len(present) else [""]:
+                self._delete(f"{self.folder}/version={version}{path}")
 
     def write_late(self, batch_id: int, records: DataFrame) -> None:
         """Keep records that came too late for their tick; batches of them are never removed, one that is run again is overwritten."""
@@ -242,7 +284,7 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
     The state table holds (mission, row, col, p, tick, last_sweep). A batch carries records with their ``tick`` and
     mission columns. Each of its ticks is folded in order, and so are the ticks without records that a mission has passed since its
     last one; the numbers of distinct ticks are the only thing read on the driver. A mission without state starts at the first tick
-    of its records in the batch. Missions without records in the batch keep their state. Records whose tick the mission's state has
+    of its records in the batch. Missions without records in the batch keep their state; only buckets with missions of the batch are read and written. Records whose tick the mission's state has
     already reached cannot be folded any more: they leave the state as it is and go to ``state.late()``.
     """
     keys = list(CELL_KEYS)
@@ -263,8 +305,9 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
         return out.select(*columns).unionByName(idle)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        current = state.before(batch_id)
         batch = batch.cache()
+        touched = state.buckets_of(batch)
+        current = state.before(batch_id, touched)
         reached = batch.groupBy("mission_id").agg(F.min("tick").alias("_least"), F.max("tick").alias("_to"))
         passed = current.groupBy("mission_id").agg(F.max("tick").alias("_from"))
         state.write_late(batch_id, batch.join(passed, "mission_id").where("tick <= _from").select(*batch.columns))
@@ -276,7 +319,8 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
             current = advance(current, batch.where(F.col("tick") == tick), due.where(F.col("tick") == tick).select("mission_id"), tick)
             if tick != ticks[-1]:
                 current = cut_lineage(current)
-        state.write(batch_id, current)
+        if touched:
+            state.write(batch_id, current, touched)
         due.unpersist()
         batch.unpersist()
 
@@ -286,11 +330,13 @@ def fold_batches(fields: DataFrame, state: StateTable, missions: DataFrame, res_
 def merge_delta_batches(state: StateTable) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: upsert the deltas of a batch of messages, the last one wins.
 
-    Messages carry ``seq``; a cell is written once per batch.
+    Messages carry ``seq``; a cell is written once per batch, and only buckets with missions of the batch are.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         deltas = delta_rows(route(parse_messages(batch), "heatmap_delta"), "seq")
-        state.write(batch_id, ev.apply_deltas(state.before(batch_id), deltas))
+        touched = state.buckets_of(deltas)
+        if touched:
+            state.write(batch_id, ev.apply_deltas(state.before(batch_id, touched), deltas), touched)
     return apply
 
 
@@ -302,14 +348,17 @@ def relayer_batches(fields: DataFrame, state: StateTable, settings: Settings = D
     keys = list(CELL_KEYS)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        prior = state.before(batch_id)
         controls = route(parse_messages(batch), "update_layers")
+        touched = state.buckets_of(controls)
+        if not touched:
+            return
+        prior = state.before(batch_id, touched)
         ticks = prior.groupBy("mission_id").agg(F.max("tick").alias("now"))
         switched = layer_switches(controls, fields, "seq").join(ticks, "mission_id").repartition(
             shuffle_partitions(batch.sparkSession), "mission_id")
         fresh = raw_surfaces(switched, F.array("now"), settings).select(*keys, F.col("p").alias("_p"))
         out = prior.join(fresh, keys, "left").withColumn("p", F.coalesce("_p", "p")).drop("_p")
-        state.write(batch_id, out)
+        state.write(batch_id, out, touched)
 
     return apply
 

@@ -197,3 +197,30 @@ def test_delta_batches(spark, tmp_path):
     batch = spark.createDataFrame([(1, delta(0.25)), (2, delta(0.75)), (3, "{broken")], "seq bigint, value string")
     st.merge_delta_batches(state)(batch, 0)
     assert {(r.row, r.col): r.p for r in state.latest().collect()} == {(0, 0): 0.0, (0, 1): 0.75, (1, 0): 0.0, (1, 1): 0.0}
+
+
+def test_state_by_bucket(spark, tmp_path):
+    """A batch of one mission writes one bucket; run again it leaves the same state; buckets that no kept version names go."""
+    grid = spark.createDataFrame([(m, r, c, float(m)) for m in range(40) for r in range(2) for c in range(2)], "mission_id bigint, row int, col int, p double")
+    state = st.StateTable(str(tmp_path / "s"), grid, buckets=8)
+    read = lambda df: {(r.mission_id, r.row, r.col): r.p for r in df.collect()}
+    want = read(grid)
+    apply = st.merge_delta_batches(state)
+
+    def batch(mission, p):
+        text = '{"type":"heatmap_delta","mission_id":"%d","timestamp":"t","cells":[{"row":1,"col":0,"probability":%f}]}' % (mission, p)
+        return spark.createDataFrame([(text, 1)], "value string, seq bigint")
+
+    written = lambda n: sorted(f.name for f in (tmp_path / "s" / f"version={n}").glob("state_bucket=*"))
+    for n, mission in enumerate([7, 7, 30, 7, 7, 11]):
+        for _ in range(2):
+            apply(batch(mission, n + 0.5), n)
+        want[(mission, 1, 0)] = n + 0.5
+        assert read(state.latest()) == want
+        assert len(written(n)) == (8 if n == 0 else 1)
+    apply(batch(7, 0.25).limit(0), 6)
+    assert state._versions() == [3, 4, 5] and read(state.latest()) == want
+    assert written(1) == [] and len(written(0)) < 8  # version 1 held only what version 3 and later replace
+    touched = state.buckets_of(spark.createDataFrame([(7,)], "mission_id bigint"))
+    assert len(touched) == 1
+    assert read(state.before(6, touched)).items() <= want.items() and (7, 1, 0) in read(state.before(6, touched))
